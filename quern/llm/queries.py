@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import decontaminate, sharding, simhash
+from quern.llm import decontaminate, licenses, sharding, simhash
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +31,23 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(_docs(spark, sf_dir))
+    base = F.filter("detections", lambda d: d["base"])
+    joined = lambda a: F.array_join(F.array_sort(F.array_distinct(F.transform(a, lambda d: d["label"]))), ",")
+    word = F.transform(base, lambda d: d["start_word"])
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size(base).cast("long").alias("n_base"),
+        F.array_min(word).alias("first_word"),
+        F.array_max(word).alias("last_word"),
+        joined(base).alias("base_labels"),
+        joined("detections").alias("labels"),
+        "score",
+    )
+
+
 def op10_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_docs(spark, sf_dir), n_shards=24)
 
@@ -39,6 +56,7 @@ def queries() -> dict:
     return {
         "op5_simhash_neardup": op5_simhash_neardup,
         "op7_decontamination": op7_decontamination,
+        "op9_license_scan": op9_license_scan,
         "op10_rendezvous_shards": op10_rendezvous_shards,
     }
 
