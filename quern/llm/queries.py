@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import decontaminate, licenses, quality, sharding, simhash
+from quern.llm import bpe, decontaminate, licenses, quality, sharding, simhash
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encoded(_docs(spark, sf_dir), bpe.default_path(), ids=False)
+
+
 def op5_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.grouped(_docs(spark, sf_dir), width=3, radius=3)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -66,6 +70,7 @@ def op10_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_quality_classifier": op1_quality_classifier,
+        "op4_bpe_roundtrip": op4_bpe_roundtrip,
         "op5_simhash_neardup": op5_simhash_neardup,
         "op7_decontamination": op7_decontamination,
         "op9_license_scan": op9_license_scan,
