@@ -32,7 +32,7 @@ from quern.llm.common import configure, texts
 
 CACHE_CHUNKS = 1 << 18
 #: Unicode White_Space.
-_SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
+_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _GAPS = regex.compile(f"[{_SPACE}]+")
 #: What str.split() takes for white space and the library does not.
 _NOT_SPACE = regex.compile("[\x1c-\x1f]")

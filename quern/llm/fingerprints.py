@@ -1,0 +1,230 @@
+"""Document fingerprints by invertible Bloom lookup sketches.
+
+A text is a set of paragraph cells: its lines, long ones cut further after words whose hash
+says so (about every CUT words), so that an edit changes only the cells it touches. A cell's
+digest is a 64-bit hash of its bytes and of how often it came before in the text.
+
+A sketch of m cells adds each digest to one cell in each of three thirds: a count, the sum
+of digests and the sum of their checks. Two sketches subtract cell by cell; what both texts
+have vanishes, and peeling (a cell of count one whose check fits gives up its digest, which
+is then taken out of its other cells) recovers the digests that differ. Where peeling gets
+stuck, both sketches are made again with twice the cells. Likeness is the share of digests
+in common, 2 |A and B| / (|A| + |B|); two texts without cells are alike.
+
+The fingerprint handed out is the sketch of BASE_CELLS cells; it is a function of the text
+alone. All documents of a batch are sketched and peeled together.
+
+Versions: `with_next` pairs every document with the next one by id in one shuffle. Ranges of
+ids are dealt out by quantiles (as many as there are tasks); the first document of a range is
+copied to the range before it, so the next document is always in the same task.
+
+Null texts count as empty. Null ids come first; equal ids stand in the order of their texts'
+hashes. A single document is its own next; an empty table gives no rows.
+"""
+
+from __future__ import annotations
+
+import base64
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from quern.llm.common import DARK, PIECE_BYTES, buffer_of, configure, mix64, span_hashes, texts, word_spans
+
+CUT = 8
+BASE_CELLS = 12
+RANGE_BYTES = 16 << 20
+_CHECK = np.uint64(0x5851F42D4C957F2D)
+
+
+def digests(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, digest) of all paragraph cells, rows ascending. Digests of a row are distinct."""
+    starts, ends = word_spans(data, offsets, DARK)
+    if not len(starts):
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    row = np.searchsorted(offsets, starts, "right") - 1
+    lines = np.cumsum(data == 0x0A)
+    cut = np.ones(len(starts), bool)
+    cut[:-1] = (span_hashes(data, starts[:-1], ends[:-1]) % np.uint64(CUT) == 0) | (row[1:] != row[:-1]) | (lines[starts[1:]] != lines[starts[:-1]])
+    last = np.flatnonzero(cut)
+    first = np.append(0, last[:-1] + 1)
+    row, found = row[first], span_hashes(data, starts[first], ends[last])
+    order = np.lexsort((found, row))
+    row, found = row[order], found[order]
+    fresh = np.ones(len(row), bool)
+    fresh[1:] = (row[1:] != row[:-1]) | (found[1:] != found[:-1])
+    run = np.flatnonzero(fresh)
+    nth = np.arange(len(row)) - np.repeat(run, np.diff(np.append(run, len(row))))
+    return row, mix64(found + nth.astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
+
+
+def _places(slot: np.ndarray, digest: np.ndarray, cells: int) -> list[np.ndarray]:
+    """The flat cell of each digest in each third of its sketch."""
+    third, out, h = cells // 3, [], digest
+    for k in range(3):
+        h = mix64(h + np.uint64(k + 1))
+        out.append(slot * cells + k * third + (h % np.uint64(third)).astype(np.int64))
+    return out
+
+
+def sketch(slot: np.ndarray, digest: np.ndarray, n: int, cells: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sketches of n sets, flat: counts, sums of digests, sums of checks (modulo 2^64). cells: a multiple of 3."""
+    count, total, check = np.zeros(n * cells, np.int64), np.zeros(n * cells, np.uint64), np.zeros(n * cells, np.uint64)
+    checks = mix64(digest ^ _CHECK)
+    for at in _places(slot, digest, cells):
+        np.add.at(count, at, 1)
+        np.add.at(total, at, digest)
+        np.add.at(check, at, checks)
+    return count, total, check
+
+
+def peel(count: np.ndarray, total: np.ndarray, check: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(slot, digest, sign) recovered from differences of sketches, and which sketches came out whole. The arrays are used up."""
+    n = len(count) // cells
+    slots, found, signs = [], [], []
+    at = np.flatnonzero(np.abs(count) == 1)
+    while len(at):
+        sign = count[at]
+        digest = np.where(sign > 0, total[at], np.uint64(0) - total[at])
+        pure = np.where(sign > 0, check[at], np.uint64(0) - check[at]) == mix64(digest ^ _CHECK)
+        slot, digest, sign = at[pure] // cells, digest[pure], sign[pure]
+        order = np.lexsort((digest, slot))
+        slot, digest, sign = slot[order], digest[order], sign[order]
+        fresh = np.ones(len(slot), bool)
+        fresh[1:] = (slot[1:] != slot[:-1]) | (digest[1:] != digest[:-1])
+        slot, digest, sign = slot[fresh], digest[fresh], sign[fresh]
+        slots.append(slot), found.append(digest), signs.append(sign)
+        checks, touched = mix64(digest ^ _CHECK), []
+        for where in _places(slot, digest, cells):
+            np.subtract.at(count, where, sign)
+            np.subtract.at(total, where, np.where(sign > 0, digest, np.uint64(0) - digest))
+            np.subtract.at(check, where, np.where(sign > 0, checks, np.uint64(0) - checks))
+            touched.append(where)
+        touched = np.unique(np.concatenate(touched))
+        at = touched[np.abs(count[touched]) == 1]
+    whole = ((count == 0) & (total == 0) & (check == 0)).reshape(n, cells).all(axis=1)
+    return *(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (slots, found, signs)), whole
+
+
+def _bounds(row: np.ndarray, n: int) -> np.ndarray:
+    return np.searchsorted(row, np.arange(n + 1))
+
+
+def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], n: int, cells: int = BASE_CELLS) -> np.ndarray:
+    """Likeness of n pairs of digest sets, by subtracting and peeling sketches, larger ones where that fails."""
+    size_a, size_b = np.bincount(a[0], minlength=n), np.bincount(b[0], minlength=n)
+    both, out = size_a + size_b, np.ones(n)
+    todo = np.flatnonzero(both)
+    while len(todo):
+        slot_of = np.full(n, -1)
+        slot_of[todo] = np.arange(len(todo))
+        sides = []
+        for row, digest in (a, b):
+            mine = slot_of[row]
+            sides.append(sketch(mine[mine >= 0], digest[mine >= 0], len(todo), cells))
+        slot, _, sign, whole = peel(*(x - y for x, y in zip(*sides)), cells)
+        only_a = np.bincount(slot[sign > 0], minlength=len(todo))
+        done = todo[whole]
+        out[done] = 2 * (size_a[done] - only_a[whole]) / both[done]
+        todo, cells = todo[~whole], 2 * cells
+    return out
+
+
+def fingerprints(found: tuple[np.ndarray, np.ndarray], n: int) -> list[str]:
+    """The sketch of BASE_CELLS cells of each of n sets, as text."""
+    count, total, check = sketch(*found, n, BASE_CELLS)
+    packed = np.empty((n, BASE_CELLS), [("count", "<u2"), ("check", "<u4"), ("total", "<u8")])
+    packed["count"], packed["check"], packed["total"] = (x.reshape(n, BASE_CELLS) for x in (count & 0xFFFF, check & np.uint64(0xFFFFFFFF), total))
+    return [base64.b85encode(x.tobytes()).decode() for x in packed]
+
+
+def _digests_of(bodies: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    return digests(*buffer_of(pa.array(bodies, pa.large_string())))
+
+
+def edited(text: str, after: str) -> str:
+    """The last quarter of a text replaced by as much of the start of the next one."""
+    q = len(text) // 4
+    return text[: len(text) - q] + after[:q]
+
+
+FOUND = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_cells long"
+
+
+def _compared(ids: list, bodies: list[str]) -> pa.RecordBatch:
+    """Rows of FOUND for all documents but the last, each with the one after it."""
+    n = len(ids)
+    changed = [edited(x, y) for x, y in zip(bodies, bodies[1:])]
+    own, new = _digests_of(bodies), _digests_of(changed)
+    cut = _bounds(own[0], n)
+    mine = own[0][: cut[n - 1]], own[1][: cut[n - 1]]
+    after = own[0][cut[1] :] - 1, own[1][cut[1] :]
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(ids[:-1], pa.int64()),
+            pa.array([len(x) for x in bodies[:-1]], pa.int64()),
+            pa.array([hashlib.sha256(x.encode()).hexdigest() for x in changed]),
+            pa.array(fingerprints(mine, n - 1)),
+            pa.array(fingerprints(new, n - 1)),
+            pa.array(likeness(mine, new, n - 1)),
+            pa.array(likeness(mine, after, n - 1)),
+            pa.array(np.diff(cut)[:-1]),
+        ],
+        [x.split()[0] for x in FOUND.split(", ")],
+    )
+
+
+def with_next(docs: DataFrame) -> DataFrame:
+    """doc_id, text and part, place of every document, dealt to parts and sorted: within a part each row's next one is the next document. Rows of place 1 are copies that only end their part."""
+    spark = docs.sparkSession
+    rows = texts(docs).withColumn("text", F.coalesce("text", F.lit("")))
+    n_bytes, least, nulls = rows.agg(F.sum(F.octet_length("text")), F.min("doc_id"), F.count(F.when(F.col("doc_id").isNull(), 1))).first()
+    parts = max(1, (n_bytes or 0) // RANGE_BYTES + 1)
+    heads = sorted(set(rows.stat.approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.25 / parts))) if parts > 1 else []
+    # Quantiles come as doubles; only those that stand for an id exactly can be the head of a part.
+    heads = [int(h) for h in heads if abs(h) < 2**53 and (least is None or nulls or int(h) > least)]
+    shared = spark.sparkContext.broadcast(np.array(heads, np.int64))
+    first_null = bool(nulls)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heads = shared.value
+        for batch in batches:
+            ids = batch.column("doc_id")
+            known = ids.is_valid().to_numpy(zero_copy_only=False)
+            value = ids.fill_null(0).to_numpy()
+            part = np.where(known, np.searchsorted(heads, value, "right"), 0)
+            copied = known & (part > 0) & (heads[np.maximum(part - 1, 0)] == value) if len(heads) else np.zeros(len(value), bool)
+            wraps = ~known if first_null else known & (value == least)
+            take = np.concatenate([np.arange(len(value)), np.flatnonzero(copied), np.flatnonzero(wraps)])
+            part = np.concatenate([part, part[copied] - 1, np.full(wraps.sum(), len(heads))])
+            place = np.repeat([0, 1, 2], [len(value), copied.sum(), wraps.sum()])
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(take)), batch.column("text").take(pa.array(take)), pa.array(part.astype(np.int64)), pa.array(place.astype(np.int32))], ["doc_id", "text", "part", "place"])
+
+    dealt = rows.mapInArrow(deal, "doc_id long, text string, part long, place int")
+    order = ["part", "place", F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    return dealt.repartition(parts, "part").sortWithinPartitions(*order)
+
+
+def compared(docs: DataFrame) -> DataFrame:
+    """Columns FOUND of every document: its fingerprint, that of its edited text, and likenesses."""
+    configure(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, bodies, size, part = [], [], 0, None
+        for batch in batches:
+            for i, text, p, place in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "part", "place"))):
+                if p != part:
+                    ids, bodies, size, part = [], [], 0, p
+                elif ids is None:
+                    continue  # the part has ended; more copies than one of the same id
+                ids.append(i), bodies.append(text)
+                size += len(text)
+                if len(ids) > 1 and (place or size > PIECE_BYTES):
+                    yield _compared(ids, bodies)
+                    ids, bodies, size = (None, None, 0) if place else (ids[-1:], bodies[-1:], len(text))
+
+    return with_next(docs).mapInArrow(run, FOUND)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import bpe, decontaminate, licenses, quality, sharding, simhash
+from quern.llm import bpe, decontaminate, fingerprints, licenses, quality, sharding, simhash, tokencount
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compared(_docs(spark, sf_dir))
+
+
 def op4_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(_docs(spark, sf_dir), bpe.default_path(), ids=False)
 
@@ -46,6 +50,10 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.counts(_docs(spark, sf_dir), tokencount.default_path())
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan(_docs(spark, sf_dir))
     base = F.filter("detections", lambda d: d["base"])
@@ -70,9 +78,11 @@ def op10_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_quality_classifier": op1_quality_classifier,
+        "op3_fingerprints": op3_fingerprints,
         "op4_bpe_roundtrip": op4_bpe_roundtrip,
         "op5_simhash_neardup": op5_simhash_neardup,
         "op7_decontamination": op7_decontamination,
+        "op8_token_counts": op8_token_counts,
         "op9_license_scan": op9_license_scan,
         "op10_rendezvous_shards": op10_rendezvous_shards,
     }

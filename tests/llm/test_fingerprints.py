@@ -1,0 +1,76 @@
+from __future__ import annotations
+
+import hashlib
+import random
+
+import numpy as np
+
+from quern.llm import fingerprints, queries
+
+from .tables import AWKWARD, clashing, docs_of
+
+
+def dice(a, b):
+    return 2 * len(a & b) / (len(a) + len(b)) if a or b else 1.0
+
+
+def sets(bodies):
+    row, digest = fingerprints._digests_of(bodies)
+    return [set(digest[row == k].tolist()) for k in range(len(bodies))]
+
+
+def test_peeling_recovers_the_difference():
+    rng = np.random.default_rng(3)
+    common, left, right = (rng.integers(0, 2**64, n, np.uint64) for n in (500, 7, 4))
+    a, b = np.concatenate([common, left]), np.concatenate([right, common])
+    for cells in (24, 48, 96):
+        x, y = (fingerprints.sketch(np.zeros(len(s), np.int64), s, 1, cells) for s in (a, b))
+        _, digest, sign, whole = fingerprints.peel(*(p - q for p, q in zip(x, y)), cells)
+        if whole[0]:
+            assert set(digest[sign > 0].tolist()) == set(left.tolist()) and set(digest[sign < 0].tolist()) == set(right.tolist())
+    assert whole[0]
+
+
+def test_likeness_equals_set_likeness():
+    rng = random.Random(3)
+    words = [f"w{k}" for k in range(400)]
+    a = [" ".join(rng.choice(words) for _ in range(rng.randrange(300))) for _ in range(80)] + ["", "same " * 500]
+    b = [x[: len(x) // 2] + " new words here" if k % 2 else x for k, x in enumerate(a)]
+    got = fingerprints.likeness(fingerprints._digests_of(a), fingerprints._digests_of(b), len(a))
+    assert np.allclose(got, [dice(x, y) for x, y in zip(sets(a), sets(b))])
+    assert got[0] == 1
+
+
+def check(rows, docs):
+    """docs: (id, text) in order."""
+    bodies = [t or "" for _, t in docs]
+    after = bodies[1:] + bodies[:1]
+    changed = [x[: len(x) - len(x) // 4] + y[: len(x) // 4] for x, y in zip(bodies, after)]
+    own, new, nxt = sets(bodies), sets(changed), sets(after)
+    want = sorted((i is not None, i or 0, len(x), hashlib.sha256(c.encode()).hexdigest(), round(dice(p, q), 9), round(dice(p, r), 9)) for (i, _), x, c, p, q, r in zip(docs, bodies, changed, own, new, nxt))
+    got = sorted((r.doc_id is not None, r.doc_id or 0, r.n_chars, r.edited_sha256, round(r.near_edited, 9), round(r.near_next, 9)) for r in rows)
+    assert got == want
+
+
+def test_query_equals_brute_force_over_many_ranges(spark, sf_dir, monkeypatch):
+    docs = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect())
+    for size in (fingerprints.RANGE_BYTES, 40_000):
+        monkeypatch.setattr(fingerprints, "RANGE_BYTES", size)
+        rows = queries.op3_fingerprints(spark, sf_dir).collect()
+        check(rows, docs)
+    texts = dict(docs)
+    same = {}
+    for r in rows:
+        assert same.setdefault(texts[r.doc_id], r.fingerprint) == r.fingerprint
+    assert np.median([r.near_edited for r in rows]) > 0.6 and np.median([r.near_next for r in rows]) < 0.1
+
+
+def test_awkward_rows(spark, monkeypatch):
+    rows = [(i, t) for i, t in AWKWARD if i is not None]
+    assert len(fingerprints.compared(clashing(docs_of(spark, AWKWARD))).collect()) == len(AWKWARD)
+    check(fingerprints.compared(clashing(docs_of(spark, rows))).collect(), rows)
+    monkeypatch.setattr(fingerprints, "RANGE_BYTES", 20_000)
+    check(fingerprints.compared(clashing(docs_of(spark, rows))).collect(), rows)
+    assert len(fingerprints.compared(docs_of(spark, AWKWARD)).collect()) == len(AWKWARD)
+    check(fingerprints.compared(docs_of(spark, [(9, "only one here")])).collect(), [(9, "only one here")])
+    assert fingerprints.compared(docs_of(spark, rows).limit(0)).collect() == []
