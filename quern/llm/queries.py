@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import bpe, decontaminate, fingerprints, licenses, quality, sharding, simhash, tokencount
+from quern.llm import bpe, decontaminate, fingerprints, licenses, quality, sharding, simhash, suffixdedup, tokencount
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +23,11 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixdedup.cut(_docs(spark, sf_dir).select("doc_id", "text"), depth=50)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compared(_docs(spark, sf_dir))
 
@@ -78,6 +83,7 @@ def op10_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_quality_classifier": op1_quality_classifier,
+        "op2_suffix_dedup": op2_suffix_dedup,
         "op3_fingerprints": op3_fingerprints,
         "op4_bpe_roundtrip": op4_bpe_roundtrip,
         "op5_simhash_neardup": op5_simhash_neardup,
