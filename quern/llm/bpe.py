@@ -6,11 +6,11 @@ gives the same ids. A piece's adjacent pairs are the leaves of a segment tree ho
 merge ranks; the root yields the leftmost pair of the lowest rank, a merge updates the three
 leaves it touches in logarithmic time, and encoding ends when the root holds no rank.
 
-Pieces never span white space, so texts are cut there and each distinct chunk is encoded
-once per worker (a cache of at most CACHE_CHUNKS chunks, emptied when full). Added tokens are
-taken out of the raw text first, as the library does.
+Each distinct piece is encoded once per worker while it stays in a cache of two generations
+of at most CACHE_PIECES short pieces. Added tokens are taken out of the raw text first, as
+the library does.
 
-Null texts count as empty and have no ids; very long chunks cost n log n. The file is read
+Null texts count as empty and have no ids; very long pieces cost n log n. The file is read
 on the driver and broadcast (its size is fixed by the vocabulary).
 """
 
@@ -18,11 +18,12 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import struct
 import sys
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import pyarrow as pa
 import regex
@@ -30,14 +31,9 @@ from pyspark.sql import DataFrame
 
 from quern.llm.common import configure, texts
 
-CACHE_CHUNKS = 1 << 18
+CACHE_PIECES = 1 << 18
 #: Unicode White_Space.
 _SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_GAPS = regex.compile(f"[{_SPACE}]+")
-#: What str.split() takes for white space and the library does not.
-_NOT_SPACE = regex.compile("[\x1c-\x1f]")
-
-
 # Fixed values of the Unicode Character Database: what versions 16 and 17 add that Python's
 # tables of version 15.1 lack and the library's have (letters and numbers of 16 as ranges,
 # capitals of 16 and 17 as first capital, first small letter, how many in a row).
@@ -71,6 +67,19 @@ def _category(first: str) -> str:
     return "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in zip(turns[::2], turns[1::2]))
 
 
+#: Below it the regex module and the library agree on what is a letter or a number.
+_HIGH = re.compile("[\u0500-\U0010ffff]")
+
+
+@lru_cache
+def unsure_characters() -> regex.Pattern[str]:
+    """Characters that the regex module takes for a letter or number and the library does not, or the other way round."""
+    own = {f: regex.compile(f"[{_category(f)}]") for f in "LN"}
+    theirs = {f: regex.compile(rf"\p{{{f}}}") for f in "LN"}
+    found = [c for c in map(chr, range(0x500, sys.maxunicode + 1)) if any((own[f].match(c) is None) != (theirs[f].match(c) is None) for f in "LN")]
+    return regex.compile("[" + "".join(found) + "]")
+
+
 def byte_symbols() -> list[str]:
     """The printable character that stands for each byte: itself if printable in Latin-1, else the next one from U+0100."""
     shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -121,16 +130,24 @@ class Codec:
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.ranks = {(self.vocab[a], self.vocab[b]): (k, self.vocab[a + b]) for k, (a, b) in enumerate(pairs)}
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        pattern = split["pattern"]["Regex"].replace(r"\s", _SPACE)
-        for first in "LN":
-            pattern = pattern.replace(rf"\p{{{first}}}", _category(first)) if f"[\\p{{{first}}}]" in pattern else pattern
-        self.pieces = regex.compile(pattern)
+        self.pattern = split["pattern"]["Regex"].replace(r"\s", _SPACE)
+        self.pieces = regex.compile(self.pattern)
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
         self.names = {i: x for x, i in [*self.vocab.items(), *self.added.items()]}
         symbols = byte_symbols()
         self.inner, self.last = [self.vocab[s] for s in symbols], [self.vocab[s + self.end] for s in symbols]
-        self.cache: dict[str, tuple[bytes, bytes]] = {}
+        # Two generations: what the older one holds moves up when it is met again.
+        self.young: dict[str, tuple[bytes, bytes]] = {}
+        self.old: dict[str, tuple[bytes, bytes]] = {}
+
+    @cached_property
+    def exact_pieces(self) -> regex.Pattern[str]:
+        """The split pattern with letters and numbers spelt out: much slower, for texts with characters of UNSURE."""
+        pattern = self.pattern
+        for first in "LN":
+            pattern = pattern.replace(rf"[\p{{{first}}}]", f"[{_category(first)}]").replace(rf"\p{{{first}}}", _category(first))
+        return regex.compile(pattern)
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one piece by rank order merges."""
@@ -159,20 +176,23 @@ class Codec:
                 tree.put(left, ranks.get((ids[left], ids[at]), none)[0])
         return [i for i in ids if i >= 0]
 
-    def chunk(self, raw: str) -> list[int]:
-        """Ids of a run of text without white space."""
-        low = _lower(unicodedata.normalize("NFC", raw))
-        return [i for m in self.pieces.finditer(low) for i in self.merge(m[0].encode())]
+    def cut(self, text: str) -> list[str]:
+        """Normalised pieces of a text without added tokens."""
+        low = _lower(unicodedata.normalize("NFC", text))
+        unsure = _HIGH.search(low) is not None and unsure_characters().search(low) is not None
+        return (self.exact_pieces if unsure else self.pieces).findall(low)
 
-    def _known(self, raw: str) -> tuple[bytes, bytes]:
-        found = self.cache.get(raw)
+    def _known(self, piece: str) -> tuple[bytes, bytes]:
+        found = self.young.get(piece)
         if found is None:
-            if len(self.cache) >= CACHE_CHUNKS:
-                self.cache.clear()
-            ids = self.chunk(raw)
-            found = struct.pack(f"<{len(ids)}I", *ids), self.decode(ids).encode()
-            if len(raw) <= 64:
-                self.cache[raw] = found
+            found = self.old.get(piece)
+            if found is None:
+                ids = self.merge(piece.encode())
+                found = struct.pack(f"<{len(ids)}I", *ids), self.decode(ids).encode()
+            if len(piece) <= 64:
+                if len(self.young) >= CACHE_PIECES:
+                    self.old, self.young = self.young, {}
+                self.young[piece] = found
         return found
 
     def coded(self, text: str) -> tuple[bytes, bytes]:
@@ -183,8 +203,8 @@ class Codec:
             if part in self.added:
                 found.append((struct.pack("<I", self.added[part]), part.encode()))
             else:
-                found += map(self._known, _GAPS.split(part) if _NOT_SPACE.search(part) else part.split())
-        return b"".join([a for a, _ in found]), b" ".join([b for _, b in found if b])
+                found += map(self._known, self.cut(part))
+        return b"".join([a for a, _ in found]), b" ".join([b for _, b in found])
 
     def encode(self, text: str) -> list[int]:
         ids = self.coded(text)[0]
