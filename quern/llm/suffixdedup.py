@@ -41,7 +41,9 @@ from pyspark.sql.types import StructType
 from quern.llm.common import PIECE_BYTES, buffer_of, pieces, span_hashes, written
 
 DEPTH = 50
-GROUP_BYTES = 8 << 20
+GROUP_BYTES = 4 << 20
+#: Buckets of spans for each group: a window takes a dozen times its share of memory while it is sorted.
+SPAN_BUCKETS = 3
 _INDEX = np.uint64(40)  # a key's low bits hold a position, its high ones the hash that ranks it
 _LAST_ID = np.int64(2**63 - 1)
 
@@ -267,7 +269,7 @@ def _sort_spans(sent: pa.Table, depth: int) -> pa.Table:
 
 def covered(group: Group, known: pa.Table) -> np.ndarray:
     """Which bytes of a group go."""
-    depth, cover = group.depth, np.zeros(len(group.data) + 1, np.int64)
+    depth, cover = group.depth, np.zeros(len(group.data) + 1, np.int32)
     answer = known.filter(pc.equal(known.column("kind"), 2))
     h, digest, mask = (np.concatenate([np.zeros(0, np.uint64), *_array(answer.column(c), np.uint64)]) for c in ("hash", "digest", "mask"))
     own, many = group.repeated()
@@ -293,7 +295,7 @@ def covered(group: Group, known: pa.Table) -> np.ndarray:
             s = group.first[same[(live >> np.uint64(j)) & np.uint64(1) > 0]] + j
             np.add.at(cover, s, 1)
             np.add.at(cover, s + depth, -1)
-    gone = np.cumsum(cover[:-1]) > 0
+    gone = np.cumsum(cover[:-1], dtype=np.int32) > 0
     for k in np.flatnonzero(group.copies).tolist():
         a, b = group.offsets[k], group.offsets[k + 1]
         if b - a >= depth:
@@ -347,7 +349,7 @@ def cut(docs: DataFrame, depth: int = DEPTH, group_bytes: int = GROUP_BYTES) ->
     # The three passes over the documents share one shuffle of them.
     hashes = rows.groupBy("g").cogroup(copies.groupBy("g")).applyInArrow(lambda d, k: _send_hashes(d, k, depth, n), ddl(_HASHES))
     wanted = hashes.groupBy("b").applyInArrow(_match_hashes, _KNOWN_DDL)
-    spans = rows.groupBy("g").cogroup(copies.union(wanted).groupBy("g")).applyInArrow(lambda d, k: _send_spans(d, k, depth, n), ddl(_SPANS))
+    spans = rows.groupBy("g").cogroup(copies.union(wanted).groupBy("g")).applyInArrow(lambda d, k: _send_spans(d, k, depth, SPAN_BUCKETS * n), ddl(_SPANS))
     answers = spans.groupBy("b").applyInArrow(lambda t: _sort_spans(t, depth), _KNOWN_DDL)
     schema = StructType([*rows.select(*columns).schema.fields, *StructType.fromDDL(ADDED).fields])
     arrow = to_arrow_schema(schema)
