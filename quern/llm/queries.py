@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import bpe, decontaminate, fingerprints, licenses, quality, sharding, simhash, suffixdedup, tokencount
+from quern.llm import bpe, decontaminate, fingerprints, licenses, lm, quality, sharding, simhash, suffixdedup, tokencount
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,6 +41,10 @@ def op5_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scored(_docs(spark, sf_dir))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir).select("doc_id", "text")
     found = decontaminate.found(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -87,6 +91,7 @@ def queries() -> dict:
         "op3_fingerprints": op3_fingerprints,
         "op4_bpe_roundtrip": op4_bpe_roundtrip,
         "op5_simhash_neardup": op5_simhash_neardup,
+        "op6_lm_scores": op6_lm_scores,
         "op7_decontamination": op7_decontamination,
         "op8_token_counts": op8_token_counts,
         "op9_license_scan": op9_license_scan,
