@@ -1,0 +1,135 @@
+"""Column functions on names, commands, logs and JSON text."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Sequence
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+# Suffixes that name a series of a metric family, longest meaning first.
+METRIC_SUFFIXES = ["_bucket", "_count", "_sum", "_total", "_created", "_max", "_min", "_seconds"]
+
+#: (label, pattern): what a shell command does. Patterns run on the lower-cased command and
+#: stay inside what Java's regular expressions and RE2 share.
+COMMAND_RULES = [
+    ("control:wait", r"^\s*(sleep|wait)\b"),
+    ("control:interrupt", r"^\s*(c-c|\^c)"),
+    ("telemetry:metrics", r"(prometheus|promql|/api/v1/query|grafana|query_range)"),
+    ("telemetry:logs", r"(opensearch|elasticsearch|_search|lucene|otel-logs)"),
+    ("telemetry:traces", r"(jaeger|tempo|/api/traces|traceql)"),
+    ("code:search", r"\b(grep|rg|ag|ack)\b"),
+    ("code:read", r"\b(cat|head|tail|less|sed -n)\b"),
+    ("code:list", r"\b(ls|find|tree|fd)\b"),
+    ("code:edit", r"(\b(vim|nano|tee|sed -i)\b|>>|cat <<)"),
+    ("code:history", r"\bgit (log|show|diff|blame)\b"),
+    ("discovery:services", r"\b(docker|kubectl|systemctl|ps)\b"),
+    ("discovery:network", r"\b(curl|wget|ping|nc|dig|nslookup)\b"),
+    ("discovery:environment", r"\b(env|printenv|uname|whoami|pwd|which)\b"),
+    ("script:python", r"\bpython[0-9.]*\b"),
+    ("script:shell", r"\b(bash|sh) -c\b"),
+]
+
+#: (language, pattern) of scripts that an agent runs.
+LANGUAGE_RULES = [
+    ("python", r"\bpython[0-9.]*\b|\.py\b"),
+    ("bash", r"\b(bash|sh) |\.sh\b"),
+    ("javascript", r"\bnode\b|\.js\b"),
+    ("typescript", r"\.ts\b"),
+    ("go", r"\bgo (run|build|test)\b|\.go\b"),
+    ("java", r"\bjava(c)?\b|\.java\b"),
+    ("ruby", r"\bruby\b|\.rb\b"),
+    ("rust", r"\bcargo\b|\.rs\b"),
+    ("sql", r"\bselect\b.*\bfrom\b|\.sql\b"),
+    ("awk", r"\bawk\b"),
+    ("jq", r"\bjq\b"),
+    ("perl", r"\bperl\b|\.pl\b"),
+    ("php", r"\bphp\b"),
+]
+
+MAIN_ORDER = ["telemetry", "code", "discovery"]
+
+
+def _starts(prefix: str) -> Callable[[Column], Column]:
+    return lambda x: x.startswith(prefix)
+
+
+def labels_by_rules(text: Column, rules: Sequence[tuple[str, str]], fallback: str | None = None) -> Column:
+    """Labels of all rules that match, in the rules' order, once each; [fallback] if none does."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    found = F.array_compact(F.array(*[F.when(low.rlike(p), F.lit(label)) for label, p in rules]))
+    return found if fallback is None else F.when(F.size(found) == 0, F.array(F.lit(fallback))).otherwise(F.array_distinct(found))
+
+
+def classify_command(text: Column) -> Column:
+    """What a command does. A control command is nothing else."""
+    found = labels_by_rules(text, COMMAND_RULES, "other")
+    control = F.filter(found, lambda x: x.startswith("control:"))
+    return F.when(F.size(control) > 0, F.slice(control, 1, 1)).otherwise(found)
+
+
+def languages(text: Column) -> Column:
+    return labels_by_rules(text, LANGUAGE_RULES)
+
+
+def main_category(labels: Column) -> Column:
+    """One category for a set of labels: telemetry before code before discovery before other."""
+    out = F.lit("other")
+    for kind in reversed(MAIN_ORDER):
+        out = F.when(F.exists(labels, _starts(f"{kind}:")), F.lit(kind)).otherwise(out)
+    return out
+
+
+def prefix_combination(labels: Column) -> Column:
+    """The distinct label prefixes, sorted, joined by ' + '."""
+    return F.array_join(F.array_sort(F.array_distinct(F.transform(labels, lambda x: F.substring_index(x, ":", 1)))), " + ")
+
+
+def family(metric: Column) -> Column:
+    """A metric's family: one series suffix dropped, unless it is the whole name."""
+    out = metric
+    for s in reversed(METRIC_SUFFIXES):
+        out = F.when(metric.endswith(s) & (F.length(metric) > len(s)), F.substring(metric, 1, F.length(metric) - len(s))).otherwise(out)
+    return out
+
+
+def slug(text: Column) -> Column:
+    """Lower case, anything but letters and digits as single dashes, none at the ends; null as 'none'."""
+    return F.coalesce(F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), F.lit("-")), F.lit("none"))
+
+
+def short_digest(text: Column) -> Column:
+    """The first 16 hexadecimal digits of SHA-256."""
+    return F.substring(F.sha2(text, 256), 1, 16)
+
+
+def display_name(model: Column) -> Column:
+    """The last path segment without a trailing date or version tag."""
+    last = F.substring_index(model, "/", -1)
+    return F.regexp_replace(F.regexp_replace(last, r"[-@](20\d{6}|20\d{2}-\d{2}-\d{2})$", ""), r"[-:]v\d+(:\d+)?$", "")
+
+
+def group_label(agent: Column, model: Column, effort: Column) -> Column:
+    """agent (model) (effort)."""
+    return F.concat(agent, F.lit(" ("), model, F.lit(") ("), F.coalesce(effort, F.lit("unknown")), F.lit(")"))
+
+
+def printable(text: Column) -> Column:
+    """Text without terminal escape sequences and control characters that XML forbids."""
+    return F.regexp_replace(F.regexp_replace(text, "\\x1b\\[[0-9;?]*[a-zA-Z]", ""), "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]", "")
+
+
+def fenced_json(text: Column) -> Column:
+    """The JSON inside a fenced block if there is one, else from the first brace to the last."""
+    fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1)
+    return F.when(fenced != "", fenced).otherwise(F.regexp_extract(text, r"(?s)(\{.*\})", 1))
+
+
+def section(text: Column, title: str) -> Column:
+    """The body of a '## title' section of a Markdown text, up to the next one or the end."""
+    return F.trim(F.regexp_extract(text, rf"(?s)(?:^|\n)## {title}[^\n]*\n(.*?)(?=\n## |\z)", 1))
+
+
+def canonical_json(entries: Column) -> Column:
+    """A map as JSON with its keys sorted: a key for grouping and joining."""
+    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(entries))))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from quern.plans import accuracy, boards, metrics, scans, splits, streams, timelines, trajectories  # noqa: F401  (they register)
+from quern.plans.registry import ORACLES, QUERIES
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
