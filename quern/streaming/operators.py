@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType, TimestampType
 
 
 def tumbling(events: DataFrame, size: str, keys: list[str], late: str = "1 hour") -> DataFrame:
@@ -38,7 +38,7 @@ class Toggle(StatefulProcessor):
     """On-intervals of a switch: state is the time it went on, if it is on."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.on = handle.getValueState("on", StructType.fromDDL("at timestamp"))
+        self.on = handle.getValueState("on", StructType([StructField("at", TimestampType())]))
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timer_values: object) -> Iterator[pd.DataFrame]:
         seen = pd.concat(list(rows)).sort_values(["ts", "event_id"], kind="stable")
