@@ -56,7 +56,7 @@ def joint_flow_edges(t: Tables) -> DataFrame:
     WITH c AS (SELECT *, lag(event_type) OVER w AS p FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
     runs AS (SELECT * FROM c WHERE p IS DISTINCT FROM event_type),
     q AS (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM runs)
-    SELECT user_id, count(*) AS n_runs, count_if(before = 'click' AND event_type = 'view') AS click_to_view, count_if(before = 'view' AND event_type = 'click') AS view_to_click FROM q GROUP BY 1
+    SELECT user_id, count(*) AS n_runs, count(*) FILTER (before = 'click' AND event_type = 'view') AS click_to_view, count(*) FILTER (before = 'view' AND event_type = 'click') AS view_to_click FROM q GROUP BY 1
 """)
 def run_length_transitions(t: Tables) -> DataFrame:
     """Switches between two kinds of calls after repeats are collapsed; other kinds in between break them."""
@@ -128,7 +128,7 @@ def category_overlap(t: Tables) -> DataFrame:
 @query(f"""
     WITH c AS (SELECT conv_id, lower({_SCRIPT}) AS command FROM conversations), l AS (SELECT conv_id, {_sql_rules(text.COMMAND_RULES, "command")} AS f FROM c),
     k AS (SELECT conv_id, CASE WHEN len(list_filter(f, lambda x: starts_with(x, 'control:'))) > 0 THEN 'other' WHEN len(list_filter(f, lambda x: starts_with(x, 'telemetry:'))) > 0 THEN 'telemetry' WHEN len(list_filter(f, lambda x: starts_with(x, 'code:'))) > 0 THEN 'code' WHEN len(list_filter(f, lambda x: starts_with(x, 'discovery:'))) > 0 THEN 'discovery' ELSE 'other' END AS main FROM l)
-    SELECT conv_id, count_if(main = 'telemetry') AS telemetry, count_if(main = 'code') AS code, count_if(main = 'discovery') AS discovery, count_if(main = 'other') AS other FROM k GROUP BY 1
+    SELECT conv_id, count(*) FILTER (main = 'telemetry') AS telemetry, count(*) FILTER (main = 'code') AS code, count(*) FILTER (main = 'discovery') AS discovery, count(*) FILTER (main = 'other') AS other FROM k GROUP BY 1
 """)
 def category_pivot(t: Tables) -> DataFrame:
     """Calls per trial by main category, one column each."""
@@ -163,7 +163,7 @@ def failure_rate_two_level(t: Tables) -> DataFrame:
 
 @query("""
     WITH w AS (SELECT conv_id, turn, role, length(text) AS n FROM conversations)
-    SELECT conv_id, count(*) AS n_turns, count_if(role = 'user') AS n_user, CAST(sum(n) AS BIGINT) AS n_chars, arg_max(role, turn) AS last_role FROM w GROUP BY 1
+    SELECT conv_id, count(*) AS n_turns, count(*) FILTER (role = 'user') AS n_user, CAST(sum(n) AS BIGINT) AS n_chars, arg_max(role, turn) AS last_role FROM w GROUP BY 1
 """)
 def conversation_rollup(t: Tables) -> DataFrame:
     return t.conversations.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_turns"), F.count_if(F.col("role") == "user").alias("n_user"), F.sum(F.char_length("text")).alias("n_chars"), F.max_by("role", "turn").alias("last_role"))
