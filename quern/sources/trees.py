@@ -130,7 +130,7 @@ def markdown_tables(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.text(path, wholetext=True).select(file_stem().alias("stem"), "value")
     parts = rows.select("stem", F.posexplode(F.split("value", r"\n(?=#+ )")).alias("part", "body"))
     lines = parts.select("stem", "part", F.trim(F.regexp_extract("body", r"^#+ ([^\n]*)", 1)).alias("heading"), F.posexplode(F.split("body", "\n")).alias("line", "text"))
-    cells = F.transform(F.split(F.regexp_replace(F.trim("text"), r"^\||\|$", ""), r"\|"), F.trim)
+    cells = F.transform(F.split(F.regexp_replace(F.trim("text"), r"^\||\|$", ""), r"\|"), lambda x: F.trim(x))
     return lines.where(F.trim("text").startswith("|") & ~F.col("text").rlike(r"^[\s|:\-]+$")).select("stem", "heading", "part", "line", cells.alias("cells"))
 
 
