@@ -99,5 +99,23 @@ def queries() -> dict:
     }
 
 
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP7_SQL = f"""
+    WITH d AS (SELECT doc_id, coalesce({_WORDS}, []) AS ws FROM documents),
+    b AS (SELECT item_id::VARCHAR AS item, {_WORDS} AS ws FROM benchmark WHERE text IS NOT NULL),
+    bi AS (SELECT item, ws, least(len(ws), 10) AS n, unnest(range(1, greatest(1, len(ws) - 9) + 1)) AS i FROM b WHERE len(ws) > 0),
+    bw AS (SELECT DISTINCT item, n, array_to_string(ws[i : i + n - 1], ' ') AS w FROM bi),
+    di AS (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM bw)),
+    dw AS (SELECT doc_id, i, n, array_to_string(ws[i : i + n - 1], ' ') AS w FROM di),
+    hits AS (SELECT doc_id, i, dw.n, item FROM dw JOIN bw ON bw.n = dw.n AND bw.w = dw.w),
+    words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY 1),
+    items AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS ids FROM hits GROUP BY 1)
+    SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_decontamination": OP7_SQL}

@@ -41,6 +41,16 @@ def test_query_equals_brute_force(spark, sf_dir):
     assert any(r[5] for r in want)
 
 
+def test_query_equals_sql(spark, sf_dir):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    want = con.sql(queries.oracle_sql()["op7_decontamination"]).fetchall()
+    assert sorted(tuple(r) for r in queries.op7_decontamination(spark, sf_dir).collect()) == sorted(want)
+
+
 ITEMS = [
     (1, "a b c d e f g h i j k l"),
     (2, "Lazy dog and"),
