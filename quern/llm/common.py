@@ -6,6 +6,7 @@ pieces of about PIECE_BYTES so that numpy temporaries stay small whatever a batc
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -16,7 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-PIECE_BYTES = 1 << 20
+try:  # glibc's own call for it; other C libraries return memory in their own ways
+    _TRIM = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):
+    _TRIM = None
+
+PIECE_BYTES = 1 << 18
 
 #: Rows that Spark hands to Python at once. Rows are whole documents here, so the default
 #: of 10,000 would make batches of tens of MB on each side of the socket.
@@ -53,6 +59,13 @@ def forget(spark: SparkSession, df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release_memory() -> None:
+    """Hands freed memory back to the system: workers live on between tasks and stages, beside a JVM that needs the room."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def texts(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id, text (and more columns) alone, whatever other columns a table has."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)

@@ -19,8 +19,9 @@ travel as one span of bytes. Steps, all over groups of documents of about GROUP_
    windows have a smaller id elsewhere.
 4. Each group marks the bytes covered and cuts them out.
 
-A passage that a third of all documents share is sent once per group. Groups and buckets are
-as many as the text needs, so their size stays what it is at any scale.
+A passage that a third of all documents share is sent once per group. A string shorter than a
+window that many share stands in as many contexts; windows around such hot minimizers are
+dealt by half of the context too. Groups and buckets are as many as the text needs.
 
 Null texts count as empty; texts shorter than `depth` have no windows. A null id counts as
 larger than any other. Rows of equal id don't remove from each other. Equal spans are told
@@ -30,6 +31,7 @@ by 128 bits of two hashes; windows of different spans by their bytes.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -38,12 +40,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from quern.llm.common import PIECE_BYTES, buffer_of, pieces, span_hashes, written
+from quern.llm.common import PIECE_BYTES, buffer_of, mix64, pieces, release_memory, span_hashes, written
 
 DEPTH = 50
 GROUP_BYTES = 4 << 20
 #: Buckets of spans for each group: a window takes a dozen times its share of memory while it is sorted.
-SPAN_BUCKETS = 3
+SPAN_BUCKETS = 4
+#: A minimizer that more groups have is hot: the string may be shorter than a window and stand in any number of contexts, so windows around it are dealt by their context too.
+HOT_GROUPS = 32
+#: Windows of a bucket that are sorted at once.
+SORT_WINDOWS = 1 << 18
 _INDEX = np.uint64(40)  # a key's low bits hold a position, its high ones the hash that ranks it
 _LAST_ID = np.int64(2**63 - 1)
 
@@ -55,8 +61,8 @@ def minimizer_length(depth: int) -> int:
     return max(8, depth // 2 - 1, depth - 63)
 
 
-def _segment_anchors(data: np.ndarray, valid: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, first window, windows) of each minimizer of consecutive valid windows in some bytes."""
+def _segment_anchors(data: np.ndarray, valid: np.ndarray, depth: int) -> tuple[np.ndarray, ...]:
+    """(hash, first window, windows, place) of each minimizer of consecutive valid windows in some bytes."""
     k = minimizer_length(depth)
     width, n = depth - k + 1, len(data) - k + 1
     x = data.astype(np.uint64)
@@ -75,14 +81,14 @@ def _segment_anchors(data: np.ndarray, valid: np.ndarray, depth: int) -> tuple[n
     place = (low & ((np.uint64(1) << (np.uint64(64) - _INDEX)) - np.uint64(1))).astype(np.int64)
     at = np.flatnonzero(valid)
     if not len(at):
-        return np.zeros(0, np.uint64), at, at
+        return np.zeros(0, np.uint64), at, at, at
     place = place[at]
     first = np.flatnonzero(np.append(True, (place[1:] != place[:-1]) | (at[1:] != at[:-1] + 1)))
-    return h[place[first]], at[first], np.diff(np.append(first, len(at)))
+    return h[place[first]], at[first], np.diff(np.append(first, len(at))), place[first]
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, depth: int) -> tuple[np.ndarray, ...]:
-    """(hash, row, first window, windows) of all minimizers of a buffer of documents."""
+    """(hash, row, first window, windows, place) of all minimizers of a buffer of documents."""
     found = []
     for lo, hi in pieces(offsets):
         a, b = int(offsets[lo]), int(offsets[hi])
@@ -91,12 +97,12 @@ def anchors(data: np.ndarray, offsets: np.ndarray, depth: int) -> tuple[np.ndarr
             valid[max(0, end - a - depth + 1) : end - a] = False
         # A long document goes in segments that overlap by what a window needs.
         for s in range(0, len(valid), PIECE_BYTES):
-            h, first, n = _segment_anchors(data[a + s : a + s + PIECE_BYTES + depth - 1], valid[s : s + PIECE_BYTES], depth)
-            found.append((h, first + a + s, n))
+            h, first, n, place = _segment_anchors(data[a + s : a + s + PIECE_BYTES + depth - 1], valid[s : s + PIECE_BYTES], depth)
+            found.append((h, first + a + s, n, place + a + s))
     if not found:
-        return np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3))
-    h, first, n = (np.concatenate(x) for x in zip(*found))
-    return h, np.searchsorted(offsets, first, "right") - 1, first, n
+        return np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(4))
+    h, first, n, place = (np.concatenate(x) for x in zip(*found))
+    return h, np.searchsorted(offsets, first, "right") - 1, first, n, place
 
 
 def _is_in(values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -127,9 +133,41 @@ class Group:
         copied = {(r["o"], r["tag"]) for r in known.filter(pc.equal(known.column("kind"), 0)).select(["o", "tag"]).to_pylist()}
         tags = docs.column("tag").to_pylist()
         self.copies = np.array([(o, t) in copied for o, t in zip(self.ids.tolist(), tags)], bool) if copied else np.zeros(len(tags), bool)
-        h, row, first, n = anchors(self.data, self.offsets, depth)
+        h, row, first, n, place = anchors(self.data, self.offsets, depth)
         own = ~self.copies[row]
         self.hash, self.row, self.first, self.n = h[own], row[own], first[own], n[own]
+        self.split = np.zeros(len(self.hash), bool)
+        hot = _array(known.filter(pc.equal(known.column("kind"), 3)).column("hash"), np.uint64)
+        if hot:
+            self._split(_is_in(self.hash, np.unique(np.concatenate(hot))), place[own])
+
+    def _split(self, hot: np.ndarray, place: np.ndarray) -> None:
+        """Parts the windows around hot minimizers in two, by whether more of the window lies to the left or to the right of it, and adds that context to the hash."""
+        k = minimizer_length(self.depth)
+        half = (self.depth - k + 1) // 2
+        h, row, first, n, place = self.hash[hot], self.row[hot], self.first[hot], self.n[hot], place[hot]
+        left = np.clip(place - half + 1 - first, 0, n)
+        sides = []
+        for begin, size, a, b, odd in (
+            (first, left, place - half, place, 0xA24BAED4963EE407),
+            (first + left, n - left, place + k, place + self.depth - half + 1, 0x9FB21C651E98DF25),
+        ):
+            live = np.flatnonzero(size)
+            sides.append((mix64(h[live] * np.uint64(odd) + self.digests(row[live], a[live], b[live])), row[live], begin[live], size[live], np.ones(len(live), bool)))
+        sides.append((self.hash[~hot], self.row[~hot], self.first[~hot], self.n[~hot], np.zeros(int((~hot).sum()), bool)))
+        h, row, first, n, split = (np.concatenate(x) for x in zip(*sides))
+        order = np.argsort(first, kind="stable")
+        self.hash, self.row, self.first, self.n, self.split = h[order], row[order], first[order], n[order], split[order]
+
+    def digests(self, row: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hashes of spans of bytes, their rows ascending."""
+        out, ranges = np.zeros(len(row), np.uint64), list(pieces(self.offsets))
+        cut = np.searchsorted(row, [lo for lo, _ in ranges] + [len(self.offsets)])
+        for (lo, hi), a, b in zip(ranges, cut, cut[1:]):
+            if a < b:
+                base = self.offsets[lo]
+                out[a:b] = span_hashes(self.data[base : self.offsets[hi]], starts[a:b] - base, ends[a:b] - base)
+        return out
 
     def repeated(self) -> tuple[np.ndarray, np.ndarray]:
         """Distinct minimizers in order, and which of them documents of two ids have."""
@@ -141,28 +179,27 @@ class Group:
         return h[run], np.minimum.reduceat(ids, run) != np.maximum.reduceat(ids, run)
 
     def spans(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(anchors whose hash is wanted, sorted by hash, digest and id; their digests; where runs of equal spans start)."""
-        at = np.flatnonzero(_is_in(self.hash, wanted))
-        digest = np.zeros(len(at), np.uint64)
-        cut = np.searchsorted(self.row[at], [lo for lo, _ in pieces(self.offsets)] + [len(self.offsets)])
-        for (lo, hi), a, b in zip(pieces(self.offsets), cut, cut[1:]):
-            if a < b:
-                base = self.offsets[lo]
-                s = self.first[at[a:b]] - base
-                digest[a:b] = span_hashes(self.data[base : self.offsets[hi]], s, s + self.n[at[a:b]] + self.depth - 1)
+        """(anchors whose hash is wanted or split, sorted by hash, digest and id; their digests; where runs of equal spans start)."""
+        at = np.flatnonzero(self.split | _is_in(self.hash, wanted))
+        digest = self.digests(self.row[at], self.first[at], self.first[at] + self.n[at] + self.depth - 1)
         order = np.lexsort((self.ids[self.row[at]], digest, self.hash[at]))
         at, digest = at[order], digest[order]
         return at, digest, _runs(self.hash[at], digest) if len(at) else at
 
 
+def _digits(data: np.ndarray, starts: np.ndarray, at: int) -> np.ndarray:
+    """Eight bytes from `at` on of each window, the first one highest; bytes past the end count as those of the end."""
+    out = np.zeros(len(starts), np.uint64)
+    for k in range(at, at + 8):
+        out = (out << np.uint64(8)) | data[np.minimum(starts + k, len(data) - 1)]
+    return out
+
+
 def repeated_windows(data: np.ndarray, starts: np.ndarray, depth: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """Groups of equal windows among data[s : s + depth], by most-significant-digit passes: (windows in order, where groups start), groups of at least two."""
-    padded = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint64)
-    for shift in (1, 2, 4):
-        padded = (padded[:-shift] << np.uint64(8 * shift)) | padded[shift:]
     window, label = np.arange(len(starts)), np.zeros(len(starts), np.int64)
     for at in range(0, depth, 8):
-        digit = padded[starts[window] + at] >> np.uint64(8 * max(0, 8 - (depth - at)))
+        digit = _digits(data, starts[window], at) >> np.uint64(8 * max(0, 8 - (depth - at)))
         order = np.lexsort((digit, label))
         window, label, digit = window[order], label[order], digit[order]
         run = _runs(label, digit) if len(window) else window
@@ -199,8 +236,8 @@ def _send_hashes(docs: pa.Table, known: pa.Table, depth: int, n: int) -> pa.Tabl
     return _table([(int(bucket[a]), g, h[a:b][~many[a:b]].tobytes(), h[a:b][many[a:b]].tobytes()) for a, b in zip(run, [*run[1:], len(h)])], _HASHES)
 
 
-def _match_hashes(sent: pa.Table) -> pa.Table:
-    """To each group: its minimizers that documents of two ids have."""
+def _match_hashes(sent: pa.Table, hot_groups: int) -> pa.Table:
+    """To each group: its minimizers that documents of two ids have (kind 1), and those of over hot_groups groups (kind 3)."""
     groups = sent.column("g").to_numpy()
     one, many = _array(sent.column("one"), np.uint64), _array(sent.column("many"), np.uint64)
     h = np.concatenate([*one, *many])
@@ -211,11 +248,15 @@ def _match_hashes(sent: pa.Table) -> pa.Table:
     run = _runs(h)
     size = np.diff(np.append(run, len(h)))
     shared = np.repeat((size > 1) | np.logical_or.reduceat(sure, run), size) if len(h) else sure
-    h, owner = h[shared], owner[shared]
-    order = np.argsort(owner, kind="stable")
-    h, owner = h[order], owner[order]
-    run = _runs(owner) if len(h) else []
-    return _table([(int(groups[owner[a]]), 1, None, None, h[a:b].tobytes(), None, None) for a, b in zip(run, [*run[1:], len(h)])], _KNOWN)
+    hot = np.repeat(size > hot_groups, size)
+    out = []
+    for kind, chosen in ((1, shared & ~hot), (3, hot)):
+        to, mine = owner[chosen], h[chosen]
+        order = np.argsort(to, kind="stable")
+        to, mine = to[order], mine[order]
+        run = _runs(to) if len(to) else []
+        out += [(int(groups[to[a]]), kind, None, None, mine[a:b].tobytes(), None, None) for a, b in zip(run, [*run[1:], len(to)])]
+    return _table(out, _KNOWN)
 
 
 def _send_spans(docs: pa.Table, known: pa.Table, depth: int, n: int) -> pa.Table:
@@ -223,7 +264,7 @@ def _send_spans(docs: pa.Table, known: pa.Table, depth: int, n: int) -> pa.Table
         return _table([], _SPANS)
     g, group = docs.column("g")[0].as_py(), Group(docs, known, depth)
     wanted = _array(known.filter(pc.equal(known.column("kind"), 1)).column("hash"), np.uint64)
-    at, digest, run = group.spans(np.unique(np.concatenate(wanted))) if wanted else (np.zeros(0, np.int64),) * 3
+    at, digest, run = group.spans(np.unique(np.concatenate([np.zeros(0, np.uint64), *wanted])))
     at, digest = at[run], digest[run]
     bucket = _buckets(group.hash[at], n)
     cut = _runs(bucket) if len(at) else []
@@ -253,15 +294,21 @@ def _sort_spans(sent: pa.Table, depth: int) -> pa.Table:
     begin = np.cumsum(size) - size  # of each distinct span: its first window
     starts = np.repeat(place[first] - begin, size) + np.arange(size.sum())
     least = np.repeat(ids[first], size)
-    window, group = repeated_windows(data, starts, depth)
-    if len(group):
-        low = np.minimum.reduceat(least[window], group)
-        least[window] = np.repeat(low, np.diff(np.append(group, len(window))))
-    # Each record's windows: those whose smallest id is below its own.
-    own = np.repeat(begin[which] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    bit = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    hit = (least[own] < np.repeat(ids, n)).astype(np.uint64) << bit.astype(np.uint64)
-    mask = np.bitwise_or.reduceat(hit, np.cumsum(n) - n)
+    # Equal windows begin alike, so parts by a hash of the first bytes can be sorted one after another.
+    parts = len(starts) // SORT_WINDOWS + 1
+    part = (mix64(_digits(data, starts, 0)) % np.uint64(parts)).astype(np.uint16) if parts > 1 else np.zeros(len(starts), np.uint16)
+    for k in range(parts):
+        mine = np.flatnonzero(part == k)
+        window, group = repeated_windows(data, starts[mine], depth)
+        if len(group):
+            window = mine[window]
+            low = np.minimum.reduceat(least[window], group)
+            least[window] = np.repeat(low, np.diff(np.append(group, len(window))))
+    # Each record's windows: those whose smallest id is below its own, a bit each.
+    mask = np.zeros(len(n), np.uint64)
+    for j in range(int(n.max(initial=0))):
+        rows = np.flatnonzero(n > j)
+        mask[rows] |= (least[begin[which[rows]] + j] < ids[rows]).astype(np.uint64) << np.uint64(j)
     live = np.flatnonzero(mask)
     run = _runs(owner[live]) if len(live) else []
     return _table([(int(groups[owner[live[a]]]), 2, None, None, h[live[a:b]].tobytes(), digest[live[a:b]].tobytes(), mask[live[a:b]].tobytes()) for a, b in zip(run, [*run[1:], len(live)])], _KNOWN)
@@ -325,7 +372,7 @@ def _cut(docs: pa.Table, known: pa.Table, depth: int, columns: list[str], schema
 ADDED = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
 
 
-def cut(docs: DataFrame, depth: int = DEPTH, group_bytes: int = GROUP_BYTES) -> DataFrame:
+def cut(docs: DataFrame, depth: int = DEPTH, group_bytes: int = GROUP_BYTES, hot_groups: int = HOT_GROUPS) -> DataFrame:
     """docs with n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 and kept_text (what is left, without characters cut in two). Columns of these names, g and tag are replaced."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -346,14 +393,32 @@ def cut(docs: DataFrame, depth: int = DEPTH, group_bytes: int = GROUP_BYTES) ->
     def ddl(schema: pa.Schema) -> str:
         return ", ".join(f"{f.name} {'long' if f.type == pa.int64() else 'int' if f.type == pa.int32() else 'binary'}" for f in schema)
 
-    # The three passes over the documents share one shuffle of them.
-    hashes = rows.groupBy("g").cogroup(copies.groupBy("g")).applyInArrow(lambda d, k: _send_hashes(d, k, depth, n), ddl(_HASHES))
-    wanted = hashes.groupBy("b").applyInArrow(_match_hashes, _KNOWN_DDL)
-    spans = rows.groupBy("g").cogroup(copies.union(wanted).groupBy("g")).applyInArrow(lambda d, k: _send_spans(d, k, depth, SPAN_BUCKETS * n), ddl(_SPANS))
-    answers = spans.groupBy("b").applyInArrow(lambda t: _sort_spans(t, depth), _KNOWN_DDL)
+    def released(step: Callable[..., pa.Table]) -> Callable[..., pa.Table]:
+        def run(*tables: pa.Table) -> pa.Table:
+            out = step(*tables)
+            release_memory()
+            return out
+
+        return run
+
+    one = released(lambda d, k: _send_hashes(d, k, depth, n))
+    two = released(lambda t: _match_hashes(t, hot_groups))
+    three = released(lambda d, k: _send_spans(d, k, depth, SPAN_BUCKETS * n))
+    four = released(lambda t: _sort_spans(t, depth))
     schema = StructType([*rows.select(*columns).schema.fields, *StructType.fromDDL(ADDED).fields])
     arrow = to_arrow_schema(schema)
-    return rows.groupBy("g").cogroup(copies.union(answers).groupBy("g")).applyInArrow(lambda d, k: _cut(d, k, depth, columns, arrow), schema)
+    five = released(lambda d, k: _cut(d, k, depth, columns, arrow))
+
+    def with_docs(known: DataFrame, step: Callable[[pa.Table, pa.Table], pa.Table], out: str | StructType) -> DataFrame:
+        left, right = rows.groupBy("g"), known.groupBy("g")
+        return left.cogroup(right).applyInArrow(lambda d, k: step(d, k), out)
+
+    # The three passes over the documents share one shuffle of them.
+    hashes = with_docs(copies, one, ddl(_HASHES))
+    wanted = hashes.groupBy("b").applyInArrow(lambda t: two(t), _KNOWN_DDL)
+    spans = with_docs(copies.union(wanted), three, ddl(_SPANS))
+    answers = spans.groupBy("b").applyInArrow(lambda t: four(t), _KNOWN_DDL)
+    return with_docs(copies.union(answers).union(wanted.where("kind = 3")), five, schema)
 
 
 def deduplicated(docs: DataFrame, depth: int = DEPTH) -> DataFrame:

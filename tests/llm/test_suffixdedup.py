@@ -51,11 +51,12 @@ def planted():
     return rows + [(500 + k, rows[k * 7][1]) for k in range(12)] + AWKWARD
 
 
-def test_planted_over_many_groups_and_depths(spark):
+def test_planted_over_many_groups_and_depths(spark, monkeypatch):
     rows = planted()
     docs = clashing(docs_of(spark, rows))
-    for depth, size in ((50, 3000), (20, 1 << 20), (100, 5000)):
-        found = suffixdedup.cut(docs, depth, size).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    for depth, size, hot in ((50, 3000, 32), (50, 3000, 2), (20, 1 << 20, 32), (100, 5000, 1)):
+        monkeypatch.setattr(suffixdedup, "SORT_WINDOWS", 300 if hot < 32 else 1 << 18)
+        found = suffixdedup.cut(docs, depth, size, hot).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
         assert sorted(map(tuple, found), key=key) == sorted(brute(rows, depth), key=key)
 
 
@@ -63,7 +64,8 @@ def test_long_documents_go_in_segments(spark, monkeypatch):
     monkeypatch.setattr(suffixdedup, "PIECE_BYTES", 200)
     data = np.random.default_rng(1).integers(97, 100, 3000).astype(np.uint8)
     offsets = np.array([0, 10, 1500, 1500, 3000])
-    h, row, first, n = suffixdedup.anchors(data, offsets, 50)
+    h, row, first, n, place = suffixdedup.anchors(data, offsets, 50)
+    assert ((place >= first + n - 1) & (place < first + 50)).all()
     windows = sorted(int(f) + j for f, k in zip(first, n) for j in range(k))
     assert windows == [*range(10, 1451), *range(1500, 2951)]
     assert set(row.tolist()) == {1, 3}
@@ -88,3 +90,21 @@ def test_deduplicated_text_and_empty_tables(spark):
     assert {i: r.n_chars for i, r in rows.items()} == {1: 61, 2: 2, 3: 0}
     assert suffixdedup.deduplicated(docs).columns == docs.columns
     assert suffixdedup.cut(docs.limit(0)).collect() == []
+
+
+def test_buckets_sorted_in_parts_answer_alike(monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    passage = "".join(rng.choice("abcd ") for _ in range(400))
+    texts = ["".join(rng.choice("abcd ") for _ in range(60)) + passage[k : k + 200] for k in range(0, 200, 20)]
+    known, answers = suffixdedup._table([], suffixdedup._KNOWN), []
+    docs = pa.table({"doc_id": list(range(len(texts))), "text": texts, "tag": [0] * len(texts), "g": [0] * len(texts)})
+    h = suffixdedup.Group(docs, known, 50).repeated()[0]
+    for kind in (1, 3):
+        wanted = suffixdedup._table([(0, kind, None, None, h.tobytes(), None, None)], suffixdedup._KNOWN)
+        sent = suffixdedup._send_spans(docs, wanted, 50, 1)
+        for size in (1 << 18, 40):
+            monkeypatch.setattr(suffixdedup, "SORT_WINDOWS", size)
+            answers.append(suffixdedup._sort_spans(sent, 50))
+        assert answers[-1].num_rows and answers[-1].equals(answers[-2])
