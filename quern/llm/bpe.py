@@ -25,13 +25,16 @@ import unicodedata
 from collections.abc import Iterator
 from functools import cached_property, lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
 from quern.llm.common import configure, texts
 
-CACHE_PIECES = 1 << 18
+CACHE_PIECES = 1 << 17
+#: Ids whose texts are laid out at once.
+DECODE_IDS = 1 << 15
 #: Unicode White_Space.
 _SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 # Fixed values of the Unicode Character Database: what versions 16 and 17 add that Python's
@@ -88,36 +91,34 @@ def byte_symbols() -> list[str]:
 
 
 class SegmentTree:
-    """Ranks of adjacent pairs; top() is the place of the leftmost lowest one."""
+    """Ranks of adjacent pairs. Every node holds the least (rank, place) below it as one number, so the root is the leftmost pair of the lowest rank."""
 
-    NONE = 1 << 40
+    PLACE = 24  # low bits that hold a place
+    NONE = 1 << 62  # a leaf whose pair can't be merged
 
-    def __init__(self, ranks: list[int]) -> None:
+    def __init__(self, ranks: list[int | None]) -> None:
         self.width = 1 << max(0, (len(ranks) - 1).bit_length())
-        leaves = ranks + [self.NONE] * (self.width - len(ranks))
-        self.low = [0] * self.width + leaves
+        low = [self.NONE] * (2 * self.width)
+        for place, rank in enumerate(ranks, self.width):
+            if rank is not None:
+                low[place] = rank << self.PLACE | (place - self.width)
         for k in range(self.width - 1, 0, -1):
-            a, b = self.low[2 * k], self.low[2 * k + 1]
-            self.low[k] = a if a <= b else b
-
-    def top(self) -> tuple[int, int]:
-        """(rank, place); rank NONE if no pair can be merged."""
-        low, k = self.low, 1
-        rank = low[1]
-        while k < self.width:
-            k = 2 * k if low[2 * k] == rank else 2 * k + 1
-        return rank, k - self.width
-
-    def put(self, place: int, rank: int) -> None:
+            a, b = low[2 * k], low[2 * k + 1]
+            low[k] = a if a < b else b
+        self.low = low
+
+    def top(self) -> tuple[int, int] | None:
+        """(rank, place) of the leftmost lowest pair, None if no pair can be merged."""
+        root = self.low[1]
+        return None if root == self.NONE else (root >> self.PLACE, root & ((1 << self.PLACE) - 1))
+
+    def put(self, place: int, rank: int | None) -> None:
         low, k = self.low, place + self.width
-        low[k] = rank
+        low[k] = self.NONE if rank is None else rank << self.PLACE | place
         k >>= 1
         while k:
             a, b = low[2 * k], low[2 * k + 1]
-            least = a if a <= b else b
-            if low[k] == least:
-                break
-            low[k] = least
+            low[k] = a if a < b else b
             k >>= 1
 
 
@@ -128,7 +129,8 @@ class Codec:
         self.end = model["end_of_word_suffix"] or ""
         self.vocab: dict[str, int] = model["vocab"]
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
-        self.ranks = {(self.vocab[a], self.vocab[b]): (k, self.vocab[a + b]) for k, (a, b) in enumerate(pairs)}
+        self.ranks = {(self.vocab[a], self.vocab[b]): k for k, (a, b) in enumerate(pairs)}
+        self.merged = [self.vocab[a + b] for a, b in pairs]
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pattern = split["pattern"]["Regex"].replace(r"\s", _SPACE)
         self.pieces = regex.compile(self.pattern)
@@ -138,8 +140,12 @@ class Codec:
         symbols = byte_symbols()
         self.inner, self.last = [self.vocab[s] for s in symbols], [self.vocab[s + self.end] for s in symbols]
         # Two generations: what the older one holds moves up when it is met again.
-        self.young: dict[str, tuple[bytes, bytes]] = {}
-        self.old: dict[str, tuple[bytes, bytes]] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        spaced = [(self.names.get(i, "") + " ").encode() for i in range(max(self.names) + 1)]
+        self.shown = np.frombuffer(b"".join(spaced), np.uint8)
+        self.width = np.array([len(x) for x in spaced])
+        self.begin = np.cumsum(self.width) - self.width
 
     @cached_property
     def exact_pieces(self) -> regex.Pattern[str]:
@@ -151,29 +157,29 @@ class Codec:
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one piece by rank order merges."""
-        ids = [self.inner[b] for b in piece[:-1]] + [self.last[piece[-1]]]
+        ids = [self.inner[b] for b in piece]
+        ids[-1] = self.last[piece[-1]]
         n = len(ids)
-        if n == 1:
-            return ids
-        ranks, none = self.ranks, (SegmentTree.NONE, 0)
-        tree = SegmentTree([ranks.get(p, none)[0] for p in zip(ids, ids[1:])])
+        ranks, merged = self.ranks, self.merged
+        found = list(map(ranks.get, zip(ids, ids[1:])))
+        if n < 3:
+            return [merged[found[0]]] if n == 2 and found[0] is not None else ids
+        tree = SegmentTree(found)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        while True:
-            rank, at = tree.top()
-            if rank == SegmentTree.NONE:
-                break
+        while top := tree.top():
+            rank, at = top
             gone = after[at]
-            ids[at] = ranks[ids[at], ids[gone]][1]
-            ids[gone] = -1
+            ids[at], ids[gone] = merged[rank], -1
             right = after[at] = after[gone]
-            if gone < n - 1:
-                tree.put(gone, SegmentTree.NONE)
             if right < n:
                 before[right] = at
-            tree.put(at, ranks.get((ids[at], ids[right]), none)[0] if right < n else SegmentTree.NONE)
+                tree.put(gone, None)
+                tree.put(at, ranks.get((ids[at], ids[right])))
+            else:
+                tree.put(at, None)
             left = before[at]
             if left >= 0:
-                tree.put(left, ranks.get((ids[left], ids[at]), none)[0])
+                tree.put(left, ranks.get((ids[left], ids[at])))
         return [i for i in ids if i >= 0]
 
     def cut(self, text: str) -> list[str]:
@@ -182,37 +188,44 @@ class Codec:
         unsure = _HIGH.search(low) is not None and unsure_characters().search(low) is not None
         return (self.exact_pieces if unsure else self.pieces).findall(low)
 
-    def _known(self, piece: str) -> tuple[bytes, bytes]:
+    def _known(self, piece: str) -> bytes:
         found = self.young.get(piece)
         if found is None:
             found = self.old.get(piece)
             if found is None:
                 ids = self.merge(piece.encode())
-                found = struct.pack(f"<{len(ids)}I", *ids), self.decode(ids).encode()
+                found = struct.pack(f"<{len(ids)}I", *ids)
             if len(piece) <= 64:
                 if len(self.young) >= CACHE_PIECES:
                     self.old, self.young = self.young, {}
                 self.young[piece] = found
         return found
 
-    def coded(self, text: str) -> tuple[bytes, bytes]:
-        """Ids as little-endian unsigned 32-bit integers, and the text they decode to in UTF-8."""
+    def coded(self, text: str) -> bytes:
+        """Ids as little-endian unsigned 32-bit integers."""
         parts = self.special.split(text) if self.special is not None and "<|" in text else [text]
-        found: list[tuple[bytes, bytes]] = []
+        found: list[bytes] = []
         for part in parts:
             if part in self.added:
-                found.append((struct.pack("<I", self.added[part]), part.encode()))
+                found.append(struct.pack("<I", self.added[part]))
             else:
                 found += map(self._known, self.cut(part))
-        return b"".join([a for a, _ in found]), b" ".join([b for _, b in found])
+        return b"".join(found)
+
+    def decoded(self, coded: bytes) -> bytes:
+        """The text of ids in UTF-8: their tokens with a space between (the file names no decoder), special tokens included."""
+        ids, out = np.frombuffer(coded, "<u4"), []
+        for lo in range(0, len(ids), DECODE_IDS):
+            part = ids[lo : lo + DECODE_IDS]
+            n = self.width[part]
+            out.append(self.shown[np.repeat(self.begin[part] - (np.cumsum(n) - n), n) + np.arange(n.sum())].tobytes())
+        return b"".join(out)[:-1]
 
     def encode(self, text: str) -> list[int]:
-        ids = self.coded(text)[0]
-        return list(struct.unpack(f"<{len(ids) // 4}I", ids))
+        return np.frombuffer(self.coded(text), "<u4").tolist()
 
     def decode(self, ids: list[int]) -> str:
-        """The tokens of ids with a space between (the file names no decoder), special tokens included."""
-        return " ".join([self.names[i] for i in ids])
+        return self.decoded(np.array(ids, "<u4").tobytes()).decode()
 
 
 @lru_cache(maxsize=4)
@@ -240,12 +253,13 @@ def encoded(docs: DataFrame, path: str | None = None, ids: bool = True) -> DataF
             out: dict[str, list] = {k: [] for k in kinds}
             out["doc_id"] = batch.column("doc_id")
             for text in batch.column("text"):
-                coded, decoded = known.coded(text.as_py() or "")
+                coded = known.coded(text.as_py() or "")
+                decoded = known.decoded(coded)
                 out["n_tokens"].append(len(coded) // 4)
                 out["ids_sha256"].append(hashlib.sha256(coded).hexdigest())
                 out["decoded_sha256"].append(hashlib.sha256(decoded).hexdigest())
                 if ids:
-                    out["ids"].append(struct.unpack(f"<{len(coded) // 4}I", coded))
+                    out["ids"].append(np.frombuffer(coded, "<i4"))
                     out["decoded"].append(decoded.decode())
             yield pa.RecordBatch.from_arrays([out[k] if k == "doc_id" else pa.array(out[k], kinds[k]) for k in kinds], [*kinds])
 

@@ -29,7 +29,7 @@ def own():
 def same(own, library, text):
     want = library.encode(text, add_special_tokens=False).ids
     assert own.encode(text) == want
-    assert own.coded(text)[1].decode() == library.decode(want, skip_special_tokens=False)
+    assert own.decoded(own.coded(text)).decode() == own.decode(want) == library.decode(want, skip_special_tokens=False)
 
 
 ODD = ["a" * 5000, "ab" * 3000, "I'Ll we've 's'squad ''s", "<|endoftext|>x <|startoftext|><|endoftext|", "é é İSTANBUL ΣΑΣ ΟΔΟΣ", "a\x1cb\x85c\xa0d e　f", "", "  ", "\x00\x01", "12345 x1y2", "😀👍🏽", "ﬁ K Å ̈̈́", "<|ENDOFTEXT|>", "́a ̈"]
@@ -61,9 +61,10 @@ def test_segment_tree_yields_the_leftmost_lowest():
         ranks = [rng.randrange(4) for _ in range(n)]
         tree = bpe.SegmentTree(list(ranks))
         for _ in range(30):
-            assert tree.top() == (min(ranks), ranks.index(min(ranks)))
+            live = [r for r in ranks if r is not None]
+            assert tree.top() == ((min(live), ranks.index(min(live))) if live else None)
             k = rng.randrange(n)
-            ranks[k] = rng.randrange(4)
+            ranks[k] = rng.choice([0, 1, 2, 3, None])
             tree.put(k, ranks[k])
 
 
