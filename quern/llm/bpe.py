@@ -93,15 +93,14 @@ def byte_symbols() -> list[str]:
 class SegmentTree:
     """Ranks of adjacent pairs. Every node holds the least (rank, place) below it as one number, so the root is the leftmost pair of the lowest rank."""
 
-    PLACE = 24  # low bits that hold a place
-    NONE = 1 << 62  # a leaf whose pair can't be merged
-
     def __init__(self, ranks: list[int | None]) -> None:
         self.width = 1 << max(0, (len(ranks) - 1).bit_length())
-        low = [self.NONE] * (2 * self.width)
+        self.place = self.width.bit_length()  # low bits that hold a place
+        self.none = none = 1 << self.place + 38  # a leaf whose pair can't be merged
+        low = [none] * (2 * self.width)
         for place, rank in enumerate(ranks, self.width):
             if rank is not None:
-                low[place] = rank << self.PLACE | (place - self.width)
+                low[place] = rank << self.place | (place - self.width)
         for k in range(self.width - 1, 0, -1):
             a, b = low[2 * k], low[2 * k + 1]
             low[k] = a if a < b else b
@@ -110,11 +109,11 @@ class SegmentTree:
     def top(self) -> tuple[int, int] | None:
         """(rank, place) of the leftmost lowest pair, None if no pair can be merged."""
         root = self.low[1]
-        return None if root == self.NONE else (root >> self.PLACE, root & ((1 << self.PLACE) - 1))
+        return None if root == self.none else (root >> self.place, root & ((1 << self.place) - 1))
 
     def put(self, place: int, rank: int | None) -> None:
         low, k = self.low, place + self.width
-        low[k] = self.NONE if rank is None else rank << self.PLACE | place
+        low[k] = self.none if rank is None else rank << self.place | place
         k >>= 1
         while k:
             a, b = low[2 * k], low[2 * k + 1]

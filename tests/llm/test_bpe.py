@@ -68,6 +68,14 @@ def test_segment_tree_yields_the_leftmost_lowest():
             tree.put(k, ranks[k])
 
 
+def test_segment_tree_of_more_than_2_to_the_24_places():
+    ranks = [None] * (1 << 24) + [None, None, None, 5]
+    tree = bpe.SegmentTree(ranks)
+    assert tree.top() == (5, (1 << 24) + 3)
+    tree.put((1 << 24) + 1, 5)
+    assert tree.top() == (5, (1 << 24) + 1)
+
+
 def test_query_equals_the_library(spark, sf_dir, library):
     docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     rows = queries.op4_bpe_roundtrip(spark, sf_dir).collect()
