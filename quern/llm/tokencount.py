@@ -5,7 +5,8 @@ vocabulary pieces: a first piece from the pieces that open a word, then pieces t
 one. A trie over both kinds has failure links: where no child fits, the automaton pops the
 pieces that the longest-match rule has settled and goes on from the link, reading no byte
 twice. How many pieces each link pops is computed with the trie, so a word's count is a sum
-over links and no piece is ever built. A word that can't be cut is one unknown token.
+over links and no piece is ever built. A word that no opening piece fits opens with a piece
+that continues words. A word that can't be cut is one unknown token.
 
 The vocabulary is a file of byte pieces with ranks; pieces that start with a space open
 words, the others continue them. It is read on the driver and broadcast (a fixed size).
@@ -62,12 +63,24 @@ class LongestMatch:
                     to = self.link[to]
                 if to >= 0:
                     self.link[node], self.pops[node] = self.child[to << 8 | byte[node]], popped
+        self.token = token
         self.cache: dict[bytes, int] = {}
 
-    def count(self, word: bytes) -> int:
-        """Pieces of a word, or 0 if it can't be cut."""
+    def opens(self, word: bytes) -> bool:
+        """Whether an opening piece fits."""
+        node = 0
+        for b in word:
+            node = self.child.get(node << 8 | b)
+            if node is None:
+                return False
+            if self.token[node]:
+                return True
+        return False
+
+    def count(self, word: bytes, root: int = 0) -> int:
+        """Pieces of a word from a root on, or 0 if it can't be cut."""
         child, link, pops = self.child, self.link, self.pops
-        node, n = 0, 0
+        node, n = root, 0
         for b in word:
             while (after := child.get(node << 8 | b)) is None:
                 n += pops[node]
@@ -88,6 +101,8 @@ class LongestMatch:
             if len(self.cache) >= CACHE_WORDS:
                 self.cache.clear()
             found = self.count(word)
+            if not found and not self.opens(word):
+                found = self.count(word, 1)
             if len(word) <= 64:
                 self.cache[word] = found
         return found

@@ -51,3 +51,14 @@ def test_awkward_rows(spark):
     by = {r.doc_id: r for r in rows}
     assert (by[1].n_tokens, by[2].n_tokens, by[3].n_tokens, by[8].n_tokens) == (0, 0, 0, 30000)
     assert tokencount.counts(docs_of(spark, AWKWARD).limit(0)).collect() == []
+
+
+def test_words_without_an_opening_piece(spark):
+    """Cyrillic, Chinese and Korean words open with a plain piece, single bytes at the least."""
+    with open(tokencount.default_path()) as f:
+        openers, continuers = map(set, tokencount.pieces_of(f.read()))
+    words = ["рассказывающий", "学" * 50, "中文文本没有空格", "한국어텍스트입니다", "\u0490x"]
+    assert any(greedy(w.encode(), openers, continuers, 200) == 0 for w in words)
+    want = [greedy(w.encode(), openers, continuers, 200) or greedy(w.encode(), continuers, continuers, 200) for w in words]
+    rows = {r.doc_id: r for r in tokencount.counts(docs_of(spark, list(enumerate(words)))).collect()}
+    assert [(rows[k].n_tokens, rows[k].n_unknown) for k in range(len(words))] == [(n, 0) for n in want]
