@@ -10,7 +10,7 @@ from quern.plans.registry import Tables, query, r6
 
 
 def _assigned(t: Tables) -> DataFrame:
-    tasks = t.orders.select(F.col("o_orderstatus").alias("stratum"), (F.col("o_custkey") % 200).alias("incident"))
+    tasks = t.orders.select(F.col("o_orderstatus").alias("stratum"), F.col("o_custkey").alias("incident"))
     return split.assigned(tasks, "stratum", "incident", 0.7, seed=7)
 
 
@@ -25,7 +25,7 @@ def split_checks(t: Tables) -> DataFrame:
     sides = _assigned(t)
     keys = ["stratum", "incident"]
     public, private = sides.where("side = 'public'").select(*keys), sides.where("side = 'private'").select(*keys)
-    every = t.orders.select(F.col("o_orderstatus").alias("stratum"), (F.col("o_custkey") % 200).alias("incident")).distinct()
+    every = t.orders.select(F.col("o_orderstatus").alias("stratum"), F.col("o_custkey").alias("incident")).distinct()
     pins = public.where("incident < 10")
     found = [("both sides", public.intersect(private)), ("neither side", every.exceptAll(public.union(private)).union(public.union(private).exceptAll(every))), ("pins outside", pins.subtract(public))]
     out = None
