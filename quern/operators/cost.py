@@ -7,25 +7,61 @@ from pyspark.sql import functions as F
 
 #: Prompts of more tokens than this are billed at the higher tier.
 LONG_PROMPT = 200_000
+#: Prices of a model, in dollars per million tokens; each can have a rate for long prompts beside it.
+RATES = ("input", "output", "context_cache_read", "cached_input", "cache_creation_5m", "cache_creation_1h")
+
+
+def _or0(x: Column | None) -> Column:
+    return F.lit(0) if x is None else F.coalesce(x, F.lit(0))
 
 
 def fresh_input(prompt: Column, cached: Column, write_5m: Column, write_1h: Column) -> Column:
     """Prompt tokens billed at the full input price."""
-    part = lambda c: F.coalesce(c, F.lit(0))
-    return F.greatest(prompt - part(cached) - part(write_5m) - part(write_1h), F.lit(0))
+    return F.greatest(prompt - _or0(cached) - _or0(write_5m) - _or0(write_1h), F.lit(0))
 
 
 def tiered(prompt: Column, base: Column, over: Column) -> Column:
     return F.when((prompt > LONG_PROMPT) & over.isNotNull(), over).otherwise(base)
 
 
-def token_cost(prompt: Column, completion: Column, cached: Column, input_price: Column, output_price: Column, cached_price: Column, input_over: Column, output_over: Column) -> Column:
-    """Cost of one call, prices per million tokens. Null if the model has no input or output price; a cached price of 0 counts as missing and falls back to the input price."""
-    rate_in = tiered(prompt, input_price, input_over)
-    rate_out = tiered(prompt, output_price, output_over)
-    rate_cached = F.coalesce(F.nullif(cached_price, F.lit(0.0)), rate_in)
-    fresh = fresh_input(prompt, cached, F.lit(0), F.lit(0))
-    return (fresh * rate_in + F.coalesce(cached, F.lit(0)) * rate_cached + completion * rate_out) / 1e6
+def token_cost(
+    prompt: Column,
+    completion: Column,
+    prices: dict[str, Column],
+    cached: Column | None = None,
+    write_5m: Column | None = None,
+    write_1h: Column | None = None,
+    thinking: Column | None = None,
+    thinking_included: Column | None = None,
+) -> Column:
+    """Cost of one call in dollars; null if the model has no input or output price.
+
+    prices: columns named as in RATES, with _over_200k behind those for long prompts. Reads
+    from the cache without a price cost nothing; writes to it without a price (or with a price
+    of 0) cost what input costs. Thinking is billed as output, unless it is part of it already.
+    """
+    null = F.lit(None).cast("double")
+    rate = {k: tiered(prompt, prices.get(k, null), prices.get(f"{k}_over_200k", null)) for k in RATES}
+    read = F.coalesce(rate["context_cache_read"], rate["cached_input"], F.lit(0.0))
+    write = lambda k: F.coalesce(F.nullif(rate[k], F.lit(0.0)), rate["input"])
+    apart = F.lit(True) if thinking_included is None else ~F.coalesce(thinking_included, F.lit(False))
+    output = completion + F.when(apart, _or0(thinking)).otherwise(F.lit(0))
+    total = fresh_input(prompt, cached, write_5m, write_1h) * rate["input"] + _or0(cached) * read
+    total = total + _or0(write_5m) * write("cache_creation_5m") + _or0(write_1h) * write("cache_creation_1h") + output * rate["output"]
+    return total / 1e6
+
+
+def usage_cost(usage: Column, prices: dict[str, Column]) -> Column:
+    """Cost of one call from its usage record; fields that are absent count as 0."""
+    made = usage["cache_creation"]
+    return token_cost(
+        _or0(usage["prompt_tokens"]),
+        _or0(usage["completion_tokens"]),
+        prices,
+        usage["cache_read_input_tokens"],
+        made["ephemeral_5m_input_tokens"],
+        made["ephemeral_1h_input_tokens"],
+    )
 
 
 def strict_sum(x: Column) -> Column:

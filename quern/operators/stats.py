@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -24,25 +24,32 @@ def zero_filled(mean: Column, sem: Column) -> tuple[Column, Column]:
     return F.coalesce(mean, zero), F.coalesce(sem, zero)
 
 
+def checked_reward(x: Column) -> Column:
+    """x as a reward: null stays null (a trial without a verdict), a number outside 0 to 1 stops the job."""
+    stop = F.raise_error(F.concat(F.lit("reward outside [0, 1]: "), x.cast("string"))).cast("double")
+    return F.when(x.isNull() | x.between(0, 1), x.cast("double")).otherwise(stop)
+
+
 def graded_accuracy(rows: DataFrame, group: Sequence[str], task: Sequence[str], value: str) -> DataFrame:
-    """Mean over tasks of each task's mean value, and its standard error.
+    """Mean value over all trials of a group that have one, and its standard error.
 
-    Where any task of the group has two or more trials, the error comes from the variance
-    within tasks, sum(var / k) / n^2; otherwise from the variance between tasks, var / n.
-    A group with one task of one trial has error 0.
+    Trials without a value are left out, and so are tasks of which no trial has one. Where any
+    task of the group has two or more trials, the error comes from the variance within tasks,
+    sum(var / k) / n^2; otherwise from the variance between tasks, var / n. A group with one
+    task of one trial has error 0.
     """
-    per_task = rows.groupBy(*group, *task).agg(
-        F.avg(value).alias("task_mean"),
+    per_task = rows.where(F.col(value).isNotNull()).groupBy(*group, *task).agg(
+        F.sum(value).alias("total"),
         F.count(value).alias("k"),
         F.coalesce(F.var_samp(value), F.lit(0.0)).alias("task_var"),
     )
     n = F.count(F.lit(1))
     within = F.sum(F.col("task_var") / F.col("k")) / (n * n)
-    between = F.coalesce(F.var_samp("task_mean"), F.lit(0.0)) / n
+    between = F.coalesce(F.var_samp(F.col("total") / F.col("k")), F.lit(0.0)) / n
     return per_task.groupBy(*group).agg(
         n.alias("n_tasks"),
         F.sum("k").alias("n_trials"),
-        F.avg("task_mean").alias("mean"),
+        (F.sum("total") / F.sum("k")).alias("mean"),
         F.sqrt(F.when(F.max("k") >= 2, within).otherwise(between)).alias("se"),
     )
 
@@ -62,15 +69,19 @@ def in_quadrature(*errors: Column) -> Column:
     return F.sqrt(total)
 
 
-def ranked(rows: DataFrame, by: str, ties: Sequence[str] = ()) -> DataFrame:
-    """rows with their rank by a number, highest first; equal numbers share a rank.
+def ranked(rows: DataFrame, by: str, ties: Sequence[str] = (), parts: int = 1024) -> DataFrame:
+    """rows with their rank by a number, highest first; equal numbers share a rank, nulls come last.
 
-    Ranks are counts of strictly larger values, joined from the distinct values, so that no
-    task sees all rows: distinct values are few (a leaderboard's groups).
+    Values are dealt to `parts` equal slices between the least and the largest. A rank is one
+    plus what the higher slices hold (a running sum over one row per slice) plus what the own
+    slice holds above the value.
     """
-    from pyspark.sql import Window
-
-    counts = rows.groupBy(by).agg(F.count(F.lit(1)).alias("__n"))
-    above = Window.orderBy(F.col(by).desc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    places = counts.select(F.col(by).alias("__v"), (F.coalesce(F.sum("__n").over(above), F.lit(0)) + 1).cast("int").alias("rank"))
+    lo, hi = (rows.select(f(F.col(by).cast("double"))).scalar() for f in (F.min, F.max))
+    share = F.try_divide(F.col(by) - lo, hi - lo)
+    part = F.coalesce(F.least(F.floor(share * parts), F.lit(parts - 1)), F.when(F.col(by).isNotNull(), F.lit(0)), F.lit(-1)).cast("int")
+    counts = rows.groupBy(by).agg(F.count(F.lit(1)).alias("__n")).withColumn("__p", part)
+    before = lambda w: F.coalesce(F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = counts.groupBy("__p").agg(F.sum("__n").alias("__n")).select("__p", before(Window.orderBy(F.desc("__p"))).alias("__above"))
+    inside = before(Window.partitionBy("__p").orderBy(F.col(by).desc_nulls_last()))
+    places = counts.withColumn("__in", inside).join(sums, "__p").select(F.col(by).alias("__v"), (F.col("__above") + F.col("__in") + 1).cast("int").alias("rank"))
     return rows.join(places, rows[by].eqNullSafe(places["__v"])).drop("__v").orderBy("rank", *ties)

@@ -43,3 +43,38 @@ def quarter(pos: Column, n: Column) -> Column:
     """The quarter (0 to 3) of step pos of n, from 1; bounds are the integer parts of q n / 4, which puts remainders elsewhere than ntile does."""
     at = pos - 1
     return sum((at >= F.floor(F.lit(q) * n / 4)).cast("int") for q in (1, 2, 3))
+
+
+def batches(rows: DataFrame, keys: Sequence[str], order: Sequence[str], size: int, name: str = "batch") -> DataFrame:
+    """rows with the number, from 1, of the batch of `size` that each falls in."""
+    placed = numbered(rows, keys, order, "__at")
+    return placed.withColumn(name, F.ceil(F.col("__at") / size).cast("int")).drop("__at")
+
+
+#: Of a command's first line, this many characters must stand in an input.
+NEEDLE = 30
+
+
+def aligned(calls: DataFrame, inputs: DataFrame, trial: str, call: str, command: str, at: str, data: str) -> DataFrame:
+    """calls with place: the first input, of those after the one taken last, that holds the start of the command's first line; null where the line is blank or none holds it.
+
+    Greedy matching in order is no relational join: one trial's calls and inputs are walked
+    together. Places count a trial's inputs from 0 in the order of `at`.
+    """
+    import pandas as pd
+
+    kinds = dict(calls.dtypes)
+
+    def walk(own: pd.DataFrame, seen: pd.DataFrame) -> pd.DataFrame:
+        bodies = seen.sort_values(at, kind="stable")[data].tolist()
+        own = own.sort_values(call, kind="stable")
+        free, places = 0, []
+        for line in own[command].fillna("").str.split("\n").str[0].str.strip():
+            needle = line[:NEEDLE]
+            hit = next((k for k in range(free, len(bodies)) if needle in (bodies[k] or "")), None) if needle else None
+            free = free if hit is None else hit + 1
+            places.append(hit)
+        return pd.DataFrame({trial: own[trial], call: own[call], "place": pd.array(places, "Int64")})
+
+    left = calls.select(trial, call, command).groupBy(trial)
+    return left.cogroup(inputs.select(trial, at, data).groupBy(trial)).applyInPandas(walk, f"{trial} {kinds[trial]}, {call} {kinds[call]}, place long")

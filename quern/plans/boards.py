@@ -12,17 +12,27 @@ _REWARD = "(o_totalprice::DOUBLE % 1000) / 1000"
 
 
 def _rewards(t: Tables) -> DataFrame:
-    return t.orders.withColumn("reward", (F.col("o_totalprice").cast("double") % 1000) / 1000)
+    return t.orders.withColumn("reward", stats.checked_reward((F.col("o_totalprice").cast("double") % 1000) / 1000))
+
+
+# A trial without a verdict has no reward: the stand-in are orders of status P and all orders of customers whose key ends in 7.
+_SCORED = f"CASE WHEN o_orderstatus = 'P' OR o_custkey % 10 = 7 THEN NULL ELSE {_REWARD} END"
+
+
+def _scored(t: Tables) -> DataFrame:
+    return _rewards(t).withColumn("reward", F.when((F.col("o_orderstatus") == "P") | (F.col("o_custkey") % 10 == 7), F.lit(None).cast("double")).otherwise(F.col("reward")))
 
 
 @query(f"""
-    WITH task AS (SELECT o_orderpriority AS grp, o_custkey, avg({_REWARD}) AS m, count(*) AS k, coalesce(var_samp({_REWARD}), 0) AS v FROM orders GROUP BY ALL)
-    SELECT grp, count(*) AS n_tasks, CAST(sum(k) AS BIGINT) AS n_trials, round(100 * avg(m), 6) AS mean,
-      round(100 * sqrt(CASE WHEN max(k) >= 2 THEN sum(v / k) / (count(*) * count(*)) ELSE coalesce(var_samp(m), 0) / count(*) END), 6) AS se FROM task GROUP BY grp
+    WITH trial AS (SELECT o_orderpriority AS grp, o_custkey AS task, {_SCORED} AS reward FROM orders),
+    total AS (SELECT grp, avg(reward) AS mean, count(reward) AS n_trials FROM trial GROUP BY grp),
+    task AS (SELECT grp, task, avg(reward) AS m, count(reward) AS k, coalesce(var_samp(reward), 0) AS v FROM trial WHERE reward IS NOT NULL GROUP BY ALL),
+    err AS (SELECT grp, count(*) AS n_tasks, sqrt(CASE WHEN max(k) >= 2 THEN sum(v / k) / (count(*) * count(*)) ELSE coalesce(var_samp(m), 0) / count(*) END) AS se FROM task GROUP BY grp)
+    SELECT grp, n_tasks, n_trials, round(100 * mean, 6) AS mean, round(100 * se, 6) AS se FROM total JOIN err USING (grp)
 """)
 def lb_metrics_by_group(t: Tables) -> DataFrame:
-    """Graded accuracy in percent with the two-estimator standard error."""
-    found = stats.graded_accuracy(_rewards(t).withColumnRenamed("o_orderpriority", "grp"), ["grp"], ["o_custkey"], "reward")
+    """Graded accuracy in percent, over all scored trials, with the two-estimator standard error."""
+    found = stats.graded_accuracy(_scored(t).withColumnRenamed("o_orderpriority", "grp"), ["grp"], ["o_custkey"], "reward")
     return found.select("grp", "n_tasks", "n_trials", r6(100 * F.col("mean")).alias("mean"), r6(100 * F.col("se")).alias("se"))
 
 
@@ -103,29 +113,32 @@ def resource_totals(t: Tables) -> DataFrame:
 
 
 @query("""
-    WITH calls AS (SELECT l_orderkey, p_brand AS model, CAST(l_extendedprice * 10 AS BIGINT) AS prompt, CAST(l_quantity AS BIGINT) AS completion, CAST(l_quantity * 100 AS BIGINT) AS cached, p_size % 7 AS s FROM lineitem JOIN part ON l_partkey = p_partkey),
-    priced AS (SELECT *, CASE WHEN s = 6 THEN NULL ELSE 1.0::DOUBLE + s END AS pi, 5.0::DOUBLE + s AS po, CASE WHEN s = 0 THEN 0.0::DOUBLE WHEN s = 1 THEN NULL ELSE 0.1::DOUBLE * s END AS pc, CASE WHEN s < 3 THEN 2.0::DOUBLE + s END AS pio, CASE WHEN s < 3 THEN 9.0::DOUBLE + s END AS poo FROM calls),
-    rates AS (SELECT *, CASE WHEN prompt > 200000 AND pio IS NOT NULL THEN pio ELSE pi END AS ri, CASE WHEN prompt > 200000 AND poo IS NOT NULL THEN poo ELSE po END AS ro FROM priced),
-    costs AS (SELECT *, (greatest(prompt - cached, 0) * ri + cached * coalesce(nullif(pc, 0), ri) + completion * ro) / 1000000 AS cost FROM rates)
-    SELECT l_orderkey AS trial_id, count(*) AS n_calls, round(CASE WHEN count_if(cost IS NULL) > 0 THEN NULL ELSE sum(cost) END, 6) AS strict_cost, round(sum(cost), 6) AS known_cost FROM costs GROUP BY 1
+    WITH calls AS (SELECT l_orderkey, p_size % 7 AS s, CAST(round_even(l_extendedprice * 10, 0) AS BIGINT) AS prompt, CAST(l_quantity AS BIGINT) AS completion, CAST(l_quantity * 100 AS BIGINT) AS cached,
+      l_linenumber * 10 AS w5, l_linenumber * 20 AS w1, CAST(l_quantity AS BIGINT) * 2 AS thinking, l_returnflag = 'R' AS included FROM lineitem JOIN part ON l_partkey = p_partkey),
+    priced AS (SELECT *, prompt > 200000 AS big, CASE WHEN s < 6 THEN 1.0::DOUBLE + s END AS pi, 5.0::DOUBLE + s AS po, CASE WHEN s < 3 THEN 2.0::DOUBLE + s END AS pi2, CASE WHEN s < 3 THEN 9.0::DOUBLE + s END AS po2,
+      CASE s WHEN 0 THEN 0.0::DOUBLE WHEN 2 THEN 0.25::DOUBLE END AS read, CASE s WHEN 2 THEN 0.5::DOUBLE END AS read2, CASE s WHEN 3 THEN 0.75::DOUBLE END AS alt, CASE s WHEN 0 THEN 0.0::DOUBLE WHEN 4 THEN 1.25::DOUBLE END AS p5, CASE s WHEN 4 THEN 2.5::DOUBLE END AS p1 FROM calls),
+    rates AS (SELECT *, CASE WHEN big THEN coalesce(pi2, pi) ELSE pi END AS ri, CASE WHEN big THEN coalesce(po2, po) ELSE po END AS ro, coalesce(CASE WHEN big THEN coalesce(read2, read) ELSE read END, alt, 0) AS rr FROM priced),
+    costs AS (SELECT *, (greatest(prompt - cached - w5 - w1, 0) * ri + cached * rr + w5 * CASE WHEN coalesce(p5, 0) = 0 THEN ri ELSE p5 END + w1 * coalesce(p1, ri) + (completion + CASE WHEN included THEN 0 ELSE thinking END) * ro) / 1000000 AS cost FROM rates)
+    SELECT l_orderkey AS trial_id, count(*) AS n_calls, round(CASE WHEN count_if(cost IS NULL) > 0 THEN NULL ELSE sum(cost) END, 9) AS strict_cost, round(sum(cost), 9) AS known_cost FROM costs GROUP BY 1
 """)
 def token_cost(t: Tables) -> DataFrame:
-    """Tiered cost of every call; totals with and without unknown terms."""
+    """Tiered cost of every call, with cache reads and writes and thinking; totals with and without unknown terms."""
     calls = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey"))
     s = F.col("p_size") % 7
-    prompt, completion, cached = F.rint(F.col("l_extendedprice") * 10).cast("long"), F.col("l_quantity").cast("long"), (F.col("l_quantity") * 100).cast("long")
-    null = F.lit(None).cast("double")
-    price = cost.token_cost(
-        prompt,
-        completion,
-        cached,
-        F.when(s == 6, null).otherwise(1.0 + s),
-        5.0 + s,
-        F.when(s == 0, F.lit(0.0)).when(s == 1, null).otherwise(0.1 * s),
-        F.when(s < 3, 2.0 + s),
-        F.when(s < 3, 9.0 + s),
-    )
-    return calls.select(F.col("l_orderkey").alias("trial_id"), price.alias("cost")).groupBy("trial_id").agg(F.count(F.lit(1)).alias("n_calls"), r6(cost.strict_sum(F.col("cost"))).alias("strict_cost"), r6(F.sum("cost")).alias("known_cost"))
+    quantity = F.col("l_quantity").cast("long")
+    prices = {
+        "input": F.when(s < 6, 1.0 + s),
+        "output": 5.0 + s,
+        "input_over_200k": F.when(s < 3, 2.0 + s),
+        "output_over_200k": F.when(s < 3, 9.0 + s),
+        "context_cache_read": F.when(s == 0, 0.0).when(s == 2, 0.25),
+        "context_cache_read_over_200k": F.when(s == 2, 0.5),
+        "cached_input": F.when(s == 3, 0.75),
+        "cache_creation_5m": F.when(s == 0, 0.0).when(s == 4, 1.25),
+        "cache_creation_1h": F.when(s == 4, 2.5),
+    }
+    price = cost.token_cost(F.rint(F.col("l_extendedprice") * 10).cast("long"), quantity, prices, (F.col("l_quantity") * 100).cast("long"), F.col("l_linenumber") * 10, F.col("l_linenumber") * 20, quantity * 2, F.col("l_returnflag") == "R")
+    return calls.select(F.col("l_orderkey").alias("trial_id"), price.alias("cost")).groupBy("trial_id").agg(F.count(F.lit(1)).alias("n_calls"), F.round(cost.strict_sum(F.col("cost")), 9).alias("strict_cost"), F.round(F.sum("cost"), 9).alias("known_cost"))
 
 
 @query("""

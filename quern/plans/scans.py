@@ -17,12 +17,12 @@ from quern.plans.registry import Tables, big, query, r6
 @query("""
     SELECT a.event_id AS anchor_id, e.event_id, e.event_type
     FROM events a JOIN events e ON e.ts BETWEEN a.ts - INTERVAL 10 MINUTE AND a.ts + INTERVAL 10 MINUTE
-    WHERE a.event_type = 'signup' AND a.event_id % 97 = 0 AND e.event_type = 'error'
+    WHERE a.event_type = 'signup' AND e.event_type = 'error'
 """)
 def log_window_scan(t: Tables) -> DataFrame:
     """Errors within ten minutes around an incident, both ends included."""
     ten = F.expr("INTERVAL 10 MINUTES")
-    anchors = t.events.where("event_type = 'signup' and event_id % 97 = 0").select(F.col("event_id").alias("anchor_id"), (F.col("ts") - ten).alias("lo"), (F.col("ts") + ten + F.expr("INTERVAL 1 MICROSECOND")).alias("hi"))
+    anchors = t.events.where("event_type = 'signup'").select(F.col("event_id").alias("anchor_id"), (F.col("ts") - ten).alias("lo"), (F.col("ts") + ten + F.expr("INTERVAL 1 MICROSECOND")).alias("hi"))
     errors = t.events.where("event_type = 'error'").select("event_id", "event_type", "ts")
     return timeline.within(errors, anchors, "ts", "lo", "hi", 1200).select("anchor_id", "event_id", "event_type")
 

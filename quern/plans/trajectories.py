@@ -6,7 +6,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.functions import text
 from quern.operators import stats, trajectory
 from quern.plans.registry import Tables, big, query, r6
 
@@ -36,20 +35,21 @@ def transition_matrix(t: Tables) -> DataFrame:
 def marginal_share(t: Tables) -> DataFrame:
     """Counts of categories and their shares of the total (a sum over one row per category)."""
     counts = _steps(t).groupBy("cat").agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn("share", r6(F.col("n") / _steps(t).select(F.count(F.lit(1))).scalar()))
+    return counts.withColumn("share", r6(F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0)))))
 
 
 @query(f"""
     WITH {_MOVES}, m AS (SELECT cat, count(*)::DOUBLE / (SELECT count(*) FROM steps) AS share FROM steps GROUP BY 1),
     p AS (SELECT *, weight / sum(weight) OVER (PARTITION BY prev) AS p FROM moves)
-    SELECT prev, next, round(p, 6) AS p, round(share * p, 6) AS flow FROM p JOIN m ON cat = prev WHERE p >= 0.05 AND share * p >= 0.03
+    SELECT prev, next, round(p, 6) AS p, round(share * p, 6) AS flow, round(max(share * p) OVER (), 6) AS largest FROM p JOIN m ON cat = prev WHERE p >= 0.05 AND share * p >= 0.03
 """)
 def joint_flow_edges(t: Tables) -> DataFrame:
     """Edges of the flow graph worth drawing: probable moves from frequent categories."""
-    total = _steps(t).select(F.count(F.lit(1))).scalar()
-    share = _steps(t).groupBy(F.col("cat").alias("prev")).agg((F.count(F.lit(1)) / total).alias("share"))
+    counts = _steps(t).groupBy(F.col("cat").alias("prev")).agg(F.count(F.lit(1)).alias("n"))
+    share = counts.select("prev", (F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0)))).alias("share"))
     rows = trajectory.normalised(_moves(t)).join(share, "prev").withColumn("flow", F.col("share") * F.col("p"))
-    return rows.where("p >= 0.05 and flow >= 0.03").select("prev", "next", r6(F.col("p")).alias("p"), r6(F.col("flow")).alias("flow"))
+    kept = rows.where("p >= 0.05 and flow >= 0.03").withColumn("largest", F.max("flow").over(Window.partitionBy(F.lit(0))))
+    return kept.select("prev", "next", *[r6(F.col(c)).alias(c) for c in ("p", "flow", "largest")])
 
 
 @query("""
@@ -85,57 +85,6 @@ def quartile_density(t: Tables) -> DataFrame:
     return rows.groupBy(big(trajectory.quarter(F.col("pos"), F.col("n"))).alias("quarter")).agg(F.count(F.lit(1)).alias("n_calls"), r6(F.count_if(F.col("event_type") == "error") / F.count(F.lit(1))).alias("density"))
 
 
-def _sql_rules(rules: list, column: str) -> str:
-    # Java and RE2 read these patterns alike; DuckDB takes no backslash escapes in strings.
-    return "list_filter([" + ", ".join(f"CASE WHEN regexp_matches({column}, '{p}') THEN '{label}' END" for label, p in rules) + "], lambda x: x IS NOT NULL)"
-
-
-_COMMANDS = ["ls -la /srv", "grep -rn error src | head -20", "python3 run.py", "curl -s localhost:9090/api/v1/query", "sleep 30", "jaeger query --service cart", "git log --oneline", "", "docker ps", "cat notes.md && vim notes.md", "echo done", "C-c"]
-_SCRIPT = "(['" + "', '".join(_COMMANDS) + "'])[turn % 12 + 1]"
-
-
-def _calls(t: Tables) -> DataFrame:
-    script = F.array(*map(F.lit, _COMMANDS))
-    return t.conversations.select("conv_id", "turn", F.element_at(script, (F.col("turn") % 12 + 1).cast("int")).alias("command"), "text")
-
-
-@query(f"""
-    WITH c AS (SELECT conv_id, turn, lower({_SCRIPT}) AS command FROM conversations), l AS (SELECT *, {_sql_rules(text.COMMAND_RULES, "command")} AS found FROM c),
-    k AS (SELECT *, list_filter(found, lambda x: starts_with(x, 'control:')) AS control FROM l)
-    SELECT conv_id, turn, CASE WHEN len(control) > 0 THEN control[1] WHEN len(found) = 0 THEN 'other' ELSE array_to_string(found, ',') END AS labels FROM k
-""")
-def cmd_classify(t: Tables) -> DataFrame:
-    return _calls(t).select("conv_id", "turn", F.array_join(text.classify_command(F.col("command")), ",").alias("labels"))
-
-
-@query(f"""
-    WITH l AS (SELECT page_id, {_sql_rules(text.LANGUAGE_RULES, "lower(html)")} AS found FROM pages) SELECT page_id, array_to_string(found, ',') AS languages FROM l
-""")
-def lang_detect(t: Tables) -> DataFrame:
-    return t.pages.select("page_id", F.array_join(text.languages(F.col("html")), ",").alias("languages"))
-
-
-@query(f"""
-    WITH c AS (SELECT lower({_SCRIPT}) AS command FROM conversations), l AS (SELECT {_sql_rules(text.COMMAND_RULES, "command")} AS f FROM c),
-    k AS (SELECT CASE WHEN len(list_filter(f, lambda x: starts_with(x, 'control:'))) > 0 THEN ['control'] WHEN len(f) = 0 THEN ['other'] ELSE list_sort(list_distinct(list_transform(f, lambda x: split_part(x, ':', 1)))) END AS p FROM l)
-    SELECT array_to_string(p, ' + ') AS combination, count(*) AS n FROM k GROUP BY 1
-""")
-def category_overlap(t: Tables) -> DataFrame:
-    """Which kinds of labels occur together on one call."""
-    return _calls(t).groupBy(text.prefix_combination(text.classify_command(F.col("command"))).alias("combination")).agg(F.count(F.lit(1)).alias("n"))
-
-
-@query(f"""
-    WITH c AS (SELECT conv_id, lower({_SCRIPT}) AS command FROM conversations), l AS (SELECT conv_id, {_sql_rules(text.COMMAND_RULES, "command")} AS f FROM c),
-    k AS (SELECT conv_id, CASE WHEN len(list_filter(f, lambda x: starts_with(x, 'control:'))) > 0 THEN 'other' WHEN len(list_filter(f, lambda x: starts_with(x, 'telemetry:'))) > 0 THEN 'telemetry' WHEN len(list_filter(f, lambda x: starts_with(x, 'code:'))) > 0 THEN 'code' WHEN len(list_filter(f, lambda x: starts_with(x, 'discovery:'))) > 0 THEN 'discovery' ELSE 'other' END AS main FROM l)
-    SELECT conv_id, count(*) FILTER (main = 'telemetry') AS telemetry, count(*) FILTER (main = 'code') AS code, count(*) FILTER (main = 'discovery') AS discovery, count(*) FILTER (main = 'other') AS other FROM k GROUP BY 1
-""")
-def category_pivot(t: Tables) -> DataFrame:
-    """Calls per trial by main category, one column each."""
-    rows = _calls(t).select("conv_id", text.main_category(text.classify_command(F.col("command"))).alias("main"))
-    return rows.groupBy("conv_id").pivot("main", ["telemetry", "code", "discovery", "other"]).agg(F.count(F.lit(1))).fillna(0)
-
-
 @query("""
     WITH n AS (SELECT user_id, count(*) AS n FROM events GROUP BY 1), b AS (SELECT min(n) AS lo, max(n) AS hi, median(n) AS mid FROM n)
     SELECT CAST(CASE WHEN n >= hi THEN 20 ELSE floor((n - lo)::DOUBLE * 20 / (hi - lo)) + 1 END AS BIGINT) AS bin, count(*) AS n_trials, round(any_value(mid)::DOUBLE, 6) AS median FROM n, b GROUP BY 1
@@ -169,23 +118,13 @@ def conversation_rollup(t: Tables) -> DataFrame:
     return t.conversations.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_turns"), F.count_if(F.col("role") == "user").alias("n_user"), F.sum(F.char_length("text")).alias("n_chars"), F.max_by("role", "turn").alias("last_role"))
 
 
-def _aligned(rows):
-    """Calls of one trial placed at the first input that contains them, none before the one placed last."""
-    import pandas as pd
-
-    at, out = 0, []
-    inputs = rows["text"].fillna("").str.lower().tolist()
-    for turn, word in zip(rows["turn"], rows["word"]):
-        hit = next((k for k in range(at, len(inputs)) if word in inputs[k]), -1)
-        at = hit if hit >= 0 else at
-        out.append((rows["conv_id"].iloc[0], turn, hit))
-    return pd.DataFrame(out, columns=["conv_id", "turn", "place"])
-
-
-@query()
+@query("""
+    WITH calls AS (SELECT conv_id, turn, regexp_extract(text, '^[^\n]*') AS line FROM conversations WHERE role = 'user')
+    SELECT c.conv_id, c.turn, (SELECT count(*) FROM calls b WHERE b.conv_id = c.conv_id AND b.turn < c.turn) AS place FROM calls c WHERE trim(coalesce(line, '')) <> ''
+""")
 def ordered_alignment(t: Tables) -> DataFrame:
-    """Greedy alignment in order, which a relational join can't say: one trial's turns at a time."""
-    rows = t.conversations.withColumn("word", F.lower(F.coalesce(F.get(F.split("text", " "), F.lit(2)), F.lit("")))).select("conv_id", "turn", "word", "text")
-    kinds = dict(rows.dtypes)
-    ordered = lambda pdf: _aligned(pdf.sort_values("turn"))
-    return rows.groupBy("conv_id").applyInPandas(ordered, f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, place long")
+    """Calls placed, in order, at the inputs that contain them. Inputs are the user's turns between two others that hold none, so each call is placed at its own turn's rank."""
+    calls = t.conversations.where("role = 'user'").select("conv_id", F.col("turn").alias("call"), F.coalesce("text", F.lit("")).alias("command"))
+    inputs = t.conversations.where("role = 'user'").select("conv_id", F.col("turn").alias("at"), F.coalesce("text", F.lit("")).alias("data"))
+    placed = trajectory.aligned(calls, inputs, "conv_id", "call", "command", "at", "data")
+    return placed.where("place is not null").select("conv_id", F.col("call").alias("turn"), "place")
