@@ -94,9 +94,6 @@ LANGUAGE_RULES = [
     ("Kotlin", r"\.kt\b"),
 ]
 
-_NOTHING = F.lit(None).cast("string")
-
-
 def _holds(text: Column, all_of: Sequence[str], none_of: Sequence[str] = ()) -> Column:
     out = F.lit(True)
     for p in all_of:
@@ -167,7 +164,7 @@ def main_category(labels: Column) -> Column:
 
 def telemetry_type(labels: Column) -> Column:
     """metrics, logs or traces: the first whose labels are among these; null if none."""
-    return F.coalesce(*[F.when(_any_label(labels, wanted), F.lit(kind)) for kind, wanted in TELEMETRY_TYPES.items()], _NOTHING)
+    return F.coalesce(*[F.when(_any_label(labels, wanted), F.lit(kind)) for kind, wanted in TELEMETRY_TYPES.items()], F.lit(None).cast("string"))
 
 
 def shell_command(function: Column, cmd: Column, keystrokes: Column) -> Column:
@@ -186,6 +183,11 @@ def family(metric: Column) -> Column:
     return F.regexp_replace(metric, rf"(?s)^(.+)(?:{'|'.join(METRIC_SUFFIXES)})$", "$1")
 
 
+def strip(text: Column) -> Column:
+    """A text without white space (line ends too) at its ends."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def slug(text: Column) -> Column:
     """Lower case, anything but letters and digits as single dashes, none at the ends; null as 'none'."""
     return F.coalesce(F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), F.lit("-")), F.lit("none"))
@@ -302,9 +304,14 @@ def fenced_json(text: Column) -> Column:
 
 def section(text: Column, title: str) -> Column:
     """The body of a '## title' section of a Markdown text, up to the next one or the end."""
-    return F.trim(F.regexp_extract(text, rf"(?s)(?:^|\n)## {title}[^\n]*\n(.*?)(?=\n## |\z)", 1))
+    return strip(F.regexp_extract(text, rf"(?s)(?:^|\n)## {title}[^\n]*\n(.*?)(?=\n## |\z)", 1))
 
 
 def canonical_json(entries: Column) -> Column:
     """A map as JSON with its keys sorted: a key for grouping and joining."""
     return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(entries))))
+
+
+def contains_any(text: Column, parts: Sequence[str]) -> Column:
+    """Whether any of the parts stands in a text, whatever their case."""
+    return F.exists(F.array(*[F.lit(p.lower()) for p in parts]), lambda p: F.contains(F.lower(text), p))

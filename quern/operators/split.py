@@ -2,28 +2,59 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def assigned(tasks: DataFrame, stratum: str, group: str, fraction: float, seed: int = 0) -> DataFrame:
-    """(stratum, group, n_tasks, side): groups in hash order fill the public side of their stratum until it holds the fraction of its tasks.
+def draw(seed: int, *keys: Column) -> Column:
+    """A number of a key that is as good as random, the same in any run and engine: MD5 of seed and key as text."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *[k.cast("string") for k in keys]))
+
 
-    A group goes public while that brings the share nearer to the target. What is folded one
-    after another is one row per group, not the tasks.
+def assigned(tasks: DataFrame, stratum: str, group: str, fraction: float, seed: int = 0, pinned: DataFrame | None = None) -> DataFrame:
+    """(stratum, group, n_tasks, pinned, side): pinned groups go public, then others in drawn order while that brings the stratum's share of tasks nearer to the fraction.
+
+    A group that would overshoot is skipped and the next one tried, so what is held depends on
+    all choices before: one task folds one row per group of its stratum, not the tasks.
     """
     sizes = tasks.groupBy(stratum, group).agg(F.count(F.lit(1)).alias("n_tasks"))
-    sizes = sizes.withColumn("__h", F.xxhash64(F.lit(seed), group))
+    if pinned is None:
+        sizes = sizes.withColumn("pinned", F.lit(False))
+    else:
+        sizes = sizes.join(pinned.select(group).distinct().withColumn("pinned", F.lit(True)), group, "left").withColumn("pinned", F.coalesce("pinned", F.lit(False)))
+    sizes = sizes.select(stratum, group, "n_tasks", "pinned", draw(seed, F.col(group)).alias("__h"))
 
     def fill(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["__h", group], kind="stable")
-        target, held, sides = fraction * rows["n_tasks"].sum(), 0, []
-        for n in rows["n_tasks"]:
-            take = abs(held + n - target) < abs(held - target)
+        target, held = fraction * rows["n_tasks"].sum(), rows.loc[rows["pinned"], "n_tasks"].sum()
+        sides = []
+        for n, fixed in zip(rows["n_tasks"], rows["pinned"]):
+            take = not fixed and abs(held + n - target) < abs(held - target)
             held += n if take else 0
-            sides.append("public" if take else "private")
-        return rows.assign(side=sides)[[stratum, group, "n_tasks", "side"]]
+            sides.append("public" if fixed or take else "private")
+        return rows.assign(side=sides)[[stratum, group, "n_tasks", "pinned", "side"]]
 
     kinds = dict(sizes.dtypes)
-    return sizes.groupBy(stratum).applyInPandas(fill, f"{stratum} {kinds[stratum]}, {group} {kinds[group]}, n_tasks long, side string")
+    return sizes.groupBy(stratum).applyInPandas(fill, f"{stratum} {kinds[stratum]}, {group} {kinds[group]}, n_tasks long, pinned boolean, side string")
+
+
+def orchestrated(tasks: DataFrame, stratum: str, group: str, task: str, published: Sequence[str], fraction: float, seed: int, verified: DataFrame) -> DataFrame:
+    """tasks of the published strata with split (disjoint), is_verified (public tasks of verified groups) and is_hidden_view (private tasks, which are shown again without answers). Verified groups are pinned; one without any task stops the job."""
+    kept = tasks.where(F.col(stratum).isin(*published))
+    sides = assigned(kept, stratum, group, fraction, seed, verified)
+    known = verified.select(group).distinct()
+    lost = known.join(kept.select(group).distinct(), group, "left_anti").agg(F.count(F.lit(1)).alias("n")).scalar()
+    stop = F.raise_error(F.concat(lost.cast("string"), F.lit(" verified groups have no task"))).cast("boolean")
+    rows = kept.join(sides.select(stratum, group, "pinned", F.col("side").alias("split")), [stratum, group])
+    rows = rows.where(F.when(lost > 0, stop).otherwise(F.lit(True)))
+    return rows.select(stratum, group, task, "split", (F.col("pinned") & (F.col("split") == "public")).alias("is_verified"), (F.col("split") == "private").alias("is_hidden_view"))
+
+
+def complete(tasks: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """Tasks whose key is wanted; a wanted key that no task has stops the job."""
+    lost = wanted.join(tasks, key, "left_anti").agg(F.min(key)).scalar()
+    stop = F.raise_error(F.concat(F.lit("not built: "), lost.cast("string"))).cast("boolean")
+    return tasks.join(wanted.select(key), key, "left_semi").where(F.when(lost.isNotNull(), stop).otherwise(F.lit(True)))

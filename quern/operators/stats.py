@@ -78,7 +78,7 @@ def ranked(rows: DataFrame, by: str, ties: Sequence[str] = (), parts: int = 1024
     """
     lo, hi = (rows.select(f(F.col(by).cast("double"))).scalar() for f in (F.min, F.max))
     share = F.try_divide(F.col(by) - lo, hi - lo)
-    part = F.coalesce(F.least(F.floor(share * parts), F.lit(parts - 1)), F.when(F.col(by).isNotNull(), F.lit(0)), F.lit(-1)).cast("int")
+    part = F.when(F.col(by).isNull(), F.lit(-1)).otherwise(F.least(F.floor(F.coalesce(share, F.lit(0.0)) * parts), F.lit(parts - 1))).cast("int")
     counts = rows.groupBy(by).agg(F.count(F.lit(1)).alias("__n")).withColumn("__p", part)
     before = lambda w: F.coalesce(F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sums = counts.groupBy("__p").agg(F.sum("__n").alias("__n")).select("__p", before(Window.orderBy(F.desc("__p"))).alias("__above"))

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quern.functions.text import strip
+
 NO_INCIDENT = "(no_incident)"
 EMPTY_REPORT = "empty_report"
 
@@ -46,8 +48,8 @@ def reward(depth: Column) -> Column:
 def string_match_score(report: Column, cause: Column, is_control: Column) -> Column:
     """3 or 0: the report names the cause; of a control, the report is blank."""
     body = F.coalesce(report, F.lit(""))
-    named = F.contains(F.lower(body), F.lower(F.trim(cause)))
-    return F.when(F.when(is_control, F.trim(body) == "").otherwise(F.coalesce(named, F.lit(False))), F.lit(3)).otherwise(F.lit(0))
+    named = F.contains(F.lower(body), F.lower(strip(cause)))
+    return F.when(F.when(is_control, strip(body) == "").otherwise(F.coalesce(named, F.lit(False))), F.lit(3)).otherwise(F.lit(0))
 
 
 def override(disqualified: Column, credited: Column, verdict: Column) -> Column:

@@ -142,7 +142,7 @@ def figure_panels(t: Tables) -> DataFrame:
 
 
 @query("""
-    SELECT d.doc_id, CASE WHEN CASE WHEN l.toxic = 1 THEN trim(coalesce(d.text, '')) = '' ELSE contains(lower(coalesce(d.text, '')), lower(trim(d.source))) OR contains(lower(coalesce(d.text, '')), 'licensed under') END THEN 3 ELSE 0 END AS score
+    SELECT d.doc_id, CASE WHEN CASE WHEN l.toxic = 1 THEN NOT regexp_matches(coalesce(d.text, ''), '[^ \t\n\r]') ELSE contains(lower(coalesce(d.text, '')), lower(trim(d.source))) OR contains(lower(coalesce(d.text, '')), 'licensed under') END THEN 3 ELSE 0 END AS score
     FROM documents d JOIN labels l USING (doc_id)
 """)
 def string_match_score(t: Tables) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quern.plans import accuracy, boards, commands, metrics, scans, splits, streams, timelines, trajectories  # noqa: F401  (they register)
+from quern.plans import accuracy, boards, checks, commands, metrics, scans, splits, streams, tasks, timelines, trajectories, trees  # noqa: F401  (they register)
 from quern.plans.registry import ORACLES, QUERIES
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quern.functions import text
 from quern.operators import timeline
 from quern.plans.registry import Tables, big, query, r6
+from quern.sources import sinks
 
 
 @query("""
@@ -32,26 +33,29 @@ def log_window_scan(t: Tables) -> DataFrame:
       SELECT *, row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id) AS rn FROM documents) WHERE rn = 1
 """)
 def log_dedup_first(t: Tables) -> DataFrame:
-    """The first log of each body. Copies meet as ids: the smallest per body, combined before the shuffle, so a hot body is one row per task."""
-    return t.documents.groupBy(F.coalesce("text", F.lit("")).alias("body")).agg(F.min_by(F.struct("doc_id", "source", "n_chars"), "doc_id").alias("first")).select("first.*")
+    """The first log of each body. Bodies meet as digests, 32 bytes each, combined before the shuffle, so that neither the corpus nor a hot body travels."""
+    body = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
+    return t.documents.groupBy(body.alias("body")).agg(F.min_by(F.struct("doc_id", "source", "n_chars"), "doc_id").alias("first")).select("first.*")
 
 
 @query("""
     SELECT source AS service, count(*) AS n_logs, count(DISTINCT text) AS n_unique FROM documents GROUP BY source
 """)
 def log_service_summary(t: Tables) -> DataFrame:
-    return t.documents.groupBy(F.col("source").alias("service")).agg(F.count(F.lit(1)).alias("n_logs"), F.count_distinct("text").alias("n_unique")).orderBy(F.desc("n_logs"), "service")
+    """Logs and distinct bodies per service, the busiest first. Bodies are told by their digests."""
+    rows = t.documents.select(F.col("source").alias("service"), F.unhex(F.sha2("text", 256)).alias("body"))
+    return rows.groupBy("service").agg(F.count(F.lit(1)).alias("n_logs"), F.count_distinct("body").alias("n_unique")).orderBy(F.desc("n_logs"), "service")
 
 
 @query("""
-    SELECT user_id AS service, event_type AS operation, list_sort(list(DISTINCT props)) [1] AS first_event, count(DISTINCT props) AS n_events
-    FROM events WHERE event_type = 'error' AND NOT (event_type = 'error' AND props = '{"k": 0}') GROUP BY ALL
+    SELECT user_id AS service, event_type AS operation, array_to_string(list_sort(list(DISTINCT props)), ';') AS events, count(DISTINCT props) AS n_events
+    FROM events WHERE event_type = 'error' AND props <> '{"k": 0}' GROUP BY ALL
 """)
 def error_ops_distinct(t: Tables) -> DataFrame:
-    """Distinct operations with their distinct events, noise left out."""
-    noise = F.col("props").isin('{"k": 0}')
-    rows = t.events.where((F.col("event_type") == "error") & ~noise)
-    return rows.groupBy(F.col("user_id").alias("service"), F.col("event_type").alias("operation")).agg(F.min("props").alias("first_event"), F.count_distinct("props").alias("n_events"))
+    """Distinct operations with the list of their distinct events, noise left out."""
+    rows = t.events.where((F.col("event_type") == "error") & ~F.col("props").isin('{"k": 0}'))
+    told = rows.groupBy(F.col("user_id").alias("service"), F.col("event_type").alias("operation")).agg(F.array_sort(F.collect_set("props")).alias("events"))
+    return told.select("service", "operation", F.array_join("events", ";").alias("events"), big(F.size("events")).alias("n_events"))
 
 
 @query("""
@@ -99,23 +103,12 @@ def task_slugs(t: Tables) -> DataFrame:
 
 
 @query("""
-    WITH kept AS (SELECT event_id, user_id, event_type FROM events WHERE event_type <> 'error'),
-    done AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase' AND event_id % 7 = 0)
-    SELECT k.user_id, count(*) AS n_todo FROM kept k ANTI JOIN done d USING (user_id) GROUP BY k.user_id
+    SELECT o_custkey, o_orderkey FROM orders ANTI JOIN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) d ON d.c_custkey = o_custkey
 """)
 def skip_done(t: Tables) -> DataFrame:
     """Work that isn't in the set of what is done."""
-    done = t.events.where("event_type = 'purchase' and event_id % 7 = 0").select("user_id")
-    return t.events.where("event_type <> 'error'").join(done, "user_id", "left_anti").groupBy("user_id").agg(F.count(F.lit(1)).alias("n_todo"))
-
-
-@query("""
-    SELECT c_custkey, upper(substr(sha1(to_json({'n': c_name, 's': c_mktsegment})::VARCHAR), 1, 8)) AS fingerprint FROM customer
-""")
-def input_fingerprint(t: Tables) -> DataFrame:
-    """A cache key: a digest of canonical JSON of what a step depends on."""
-    body = F.to_json(F.struct(F.col("c_name").alias("n"), F.col("c_mktsegment").alias("s")))
-    return t.customer.select("c_custkey", F.upper(F.substring(F.sha1(body), 1, 8)).alias("fingerprint"))
+    done = t.customer.where("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"))
+    return sinks.todo(t.orders.select("o_custkey", "o_orderkey"), done, ["o_custkey"])
 
 
 @query("""
@@ -126,3 +119,17 @@ def filtered_log_stats(t: Tables) -> DataFrame:
     """Case-insensitive substring and range filters, then a summary."""
     rows = t.documents.where(F.contains(F.lower(F.coalesce("text", F.lit(""))), F.lit("the")) & F.col("n_chars").between(100, 5000))
     return rows.groupBy(F.col("source").alias("service"), "lang").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("n_chars")).alias("mean_chars"), F.min("doc_id").alias("first_doc"))
+
+
+@query("""
+    SELECT c_custkey, regexp_matches(c_name, '0[0-4]$') AS picked, contains(lower(c_mktsegment), 'build') OR contains(lower(c_mktsegment), 'auto') AS wanted FROM customer
+""")
+def name_filters(t: Tables) -> DataFrame:
+    """Ids by a pattern, groups by any of some substrings whatever their case."""
+    return t.customer.select("c_custkey", F.col("c_name").rlike("0[0-4]$").alias("picked"), text.contains_any(F.col("c_mktsegment"), ["Build", "AUTO"]).alias("wanted"))
+
+
+@query("SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 25")
+def largest_documents(t: Tables) -> DataFrame:
+    """The 25 largest documents (a top-k report)."""
+    return t.documents.select("doc_id", "n_chars").orderBy(F.desc("n_chars"), "doc_id").limit(25)

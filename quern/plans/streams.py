@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.plans.registry import Tables, query
+from quern.plans.timelines import _INTERVALS
 from quern.streaming import operators as live
 
 _TUMBLING = "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL"
@@ -46,19 +45,54 @@ def session_counts(t: Tables) -> DataFrame:
 
 
 def _stream(t: Tables) -> DataFrame:
-    rows = t.spark.readStream.schema(t.events.schema).option("pathGlobFilter", "events.parquet").parquet(t.sf_dir)
-    return _timed(rows)
+    """The events table as a stream, be it a file or a folder of files: a pattern is matched by either, a plain path must be a folder."""
+    return _timed(t.spark.readStream.schema(t.events.schema).parquet(f"{t.sf_dir}/events.parque[t]"))
 
 
-def _drained(rows: DataFrame) -> DataFrame:
-    return _plain(live.drained(rows, f"drained_{uuid.uuid4().hex}", "complete"))
+# Append mode gives out what the watermark, an hour behind the last event, has passed.
+_MARK = "(SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 HOUR FROM events)"
 
 
-@query(_TUMBLING)
+@query(f"SELECT * FROM ({_TUMBLING}) WHERE start + INTERVAL 1 HOUR <= {_MARK}")
 def stream_tumbling(t: Tables) -> DataFrame:
-    return _drained(live.tumbling(_stream(t), "1 hour", ["event_type"]))
+    return _plain(live.drained(live.tumbling(_stream(t), "1 hour", ["event_type"])))
 
 
-@query(_SLIDING)
+@query(f"SELECT * FROM ({_SLIDING}) WHERE start + INTERVAL 2 HOUR <= {_MARK}")
 def stream_sliding(t: Tables) -> DataFrame:
-    return _drained(live.sliding(_stream(t), "2 hours", "1 hour", ["event_type"]))
+    return _plain(live.drained(live.sliding(_stream(t), "2 hours", "1 hour", ["event_type"])))
+
+
+@query(f"WITH r AS ({_SESSION}) SELECT * FROM r WHERE stop <= {_MARK}")
+def stream_sessions(t: Tables) -> DataFrame:
+    return _plain(live.drained(live.sessions(_stream(t), "30 minutes", "user_id")))
+
+
+@query("SELECT DISTINCT props FROM events")
+def stream_first_seen(t: Tables) -> DataFrame:
+    """Distinct bodies of a stream. What comes again later than the watermark allows would be given out again; distinct() takes that away."""
+    return live.drained(live.first_seen(_stream(t), "props")).select("props").distinct()
+
+
+@query(f"WITH {_INTERVALS} SELECT * FROM intervals WHERE off_ts <= {_MARK.replace('FROM events', "FROM events WHERE event_type IN ('signup', 'purchase')")}")
+def stream_toggles(t: Tables) -> DataFrame:
+    """On-intervals that ended before the watermark, from keyed state."""
+    live.with_rocks(t.spark)
+    rows = _stream(t).where(F.col("event_type").isin("signup", "purchase")).select("user_id", "ts", "event_id", (F.col("event_type") == "purchase").alias("is_off"))
+    return _plain(live.drained(live.toggles(rows)))
+
+
+@query(f"""
+    WITH late AS (SELECT user_id, min(ts) AS hit FROM events WHERE event_type = 'signup' AND ts > TIMESTAMP '2024-01-15' GROUP BY 1),
+    s AS (SELECT e.user_id, ts, event_id, value * CASE WHEN ts >= hit AND event_type = 'error' THEN 9 ELSE 1 END AS value, hit IS NULL OR ts < hit AS before FROM events e LEFT JOIN late USING (user_id)),
+    base AS (SELECT user_id, avg(value) FILTER (before) + 3 * coalesce(stddev_samp(value) FILTER (before), 0) AS edge FROM s GROUP BY 1)
+    SELECT user_id, min(ts) AS onset FROM s JOIN base USING (user_id) WHERE NOT before AND value > edge AND ts <= {_MARK} GROUP BY 1
+""")
+def stream_onsets(t: Tables) -> DataFrame:
+    """Onsets after each series' incident, found while it runs."""
+    live.with_rocks(t.spark)
+    first = t.events.where("event_type = 'signup' and ts > timestamp_ntz '2024-01-15'").groupBy("user_id").agg(F.min("ts").cast("timestamp").alias("hit"))
+    rows = _stream(t).join(first, "user_id", "left")
+    after = F.coalesce(F.col("ts") >= F.col("hit"), F.lit(False))
+    value = F.col("value") * F.when(after & (F.col("event_type") == "error"), 9).otherwise(1)
+    return _plain(live.drained(live.onsets(rows.select("user_id", "ts", "event_id", value.cast("double").alias("value"), after.alias("incident")))))

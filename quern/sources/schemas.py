@@ -21,7 +21,16 @@ TRAJECTORY = (
     "observation:struct<results:array<struct<source_call_id:string, content:string>>>>>"
 )
 
+# Tag and field values keep their JSON type: a flag and the word for it are different things.
 SPANS = (
     "traceID string, processes map<string,struct<serviceName:string>>, "
-    "spans array<struct<spanID:string, processID:string, operationName:string, startTime:bigint, tags:array<struct<key:string, value:string>>, logs:array<struct<fields:array<struct<key:string, value:string>>>>>>"
+    "spans array<struct<spanID:string, processID:string, operationName:string, startTime:bigint, tags:array<struct<key:string, value:variant>>, logs:array<struct<fields:array<struct<key:string, value:variant>>>>>>"
 )
+
+AGENT = "struct<name:string, model_name:string, kwargs:struct<reasoning_effort:string>>"
+TRIAL_CONFIG = f"agent {AGENT}, task struct<name:string, ref:string>"
+BATCH_CONFIG = f"agents array<{AGENT}>"
+CALL = "log_event_type string, model string, original_response string"
+USAGE = "prompt_tokens bigint, completion_tokens bigint, cache_read_input_tokens bigint, cache_creation struct<ephemeral_5m_input_tokens:bigint, ephemeral_1h_input_tokens:bigint>"
+RESPONSE = f"model string, usage struct<{USAGE.replace(' bigint', ':bigint').replace('cache_creation struct', 'cache_creation:struct')}>"
+SCORE = "struct<trial_id:string, task_name:string, mode:string, reward:double, rca_accuracy:int, hallucinate_any:int>"

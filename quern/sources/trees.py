@@ -6,12 +6,13 @@ file name carries come from _metadata.file_path.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quern.operators import trajectory
 from quern.sources import schemas
 
 
@@ -38,25 +39,137 @@ def toggle_events(spark: SparkSession, path: str) -> DataFrame:
 
 def unique(rows: DataFrame, keys: list[str]) -> DataFrame:
     """rows, failing at run time where a key is repeated."""
-    from pyspark.sql import Window
-
     n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
     stop = F.raise_error(F.concat(F.lit("repeated key: "), F.concat_ws(",", *keys)))
     return rows.withColumn("__n", n).where(F.when(F.col("__n") > 1, stop.cast("boolean")).otherwise(F.lit(True))).drop("__n")
 
 
-def trials(spark: SparkSession, root: str) -> DataFrame:
-    """Scored trials of a tree .../<trial>/verifier/details.json: rows without readable rubrics are left out."""
-    rows = spark.read.schema(schemas.VERDICT).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "details.json").json(root)
-    trial = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/verifier/details\.json$", 1)
-    found = rows.select(trial.alias("trial_id"), "mode", F.col("nested.rubrics").alias("rubrics"))
-    return found.where((F.col("trial_id") != "") & (F.coalesce(F.size("rubrics"), F.lit(0)) > 0))
+#: What became of a trial's folder when it was read.
+SCORED, NO_DETAILS, BAD_JSON, OTHER_EFFORT, NO_RUBRICS = "scored", "no details", "bad json", "other effort", "no rubrics"
+_TRIAL = r"([^/]+)/verifier/[^/]+$"
+
+
+def trial_outcomes(spark: SparkSession, root: str, effort: str | None = None, details: str = "reward-details.json") -> DataFrame:
+    """One row per trial of a tree: folders with a verifier/ in the root itself or in a batch below it.
+
+    outcome tells why a trial is not scored: no details, unreadable ones, another reasoning
+    effort than asked for, no rubrics. Trial ids are the folders' names and must be unique.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(F.col("path"))
+    base = root.rstrip("/").split("://")[-1].split(":")[-1]
+    inside = F.substring_index(files["path"], base, -1)
+    seen = files.where(inside.rlike(r"^/(?:[^/]+/){1,2}verifier/[^/]+$")).select(F.regexp_extract("path", r"^(.*)/verifier/[^/]+$", 1).alias("folder")).distinct()
+    folders = unique(seen.select(F.substring_index("folder", "/", -1).alias("trial_id"), "folder"), ["trial_id"])
+    schema = f"{schemas.VERDICT}, model string, reasoning_effort string, _bad string"
+    rows = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", details).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(root)
+    found = rows.select(F.regexp_extract(F.col("_metadata.file_path"), _TRIAL, 1).alias("trial_id"), F.lit(True).alias("__has"), F.col("_bad").isNotNull().alias("__bad"), "mode", "model", "reasoning_effort", F.col("nested.rubrics").alias("rubrics"))
+    other = F.lit(False) if effort is None else ~F.col("reasoning_effort").eqNullSafe(F.lit(effort))
+    outcome = F.when(F.col("__has").isNull(), NO_DETAILS).when(F.col("__bad"), BAD_JSON).when(other, OTHER_EFFORT).when(F.coalesce(F.size("rubrics"), F.lit(0)) <= 0, NO_RUBRICS).otherwise(SCORED)
+    return folders.select("trial_id").join(found, "trial_id", "left").select("trial_id", outcome.alias("outcome"), "mode", "model", "reasoning_effort", "rubrics")
+
+
+def trials(spark: SparkSession, root: str, effort: str | None = None) -> DataFrame:
+    """The scored trials of a tree."""
+    return trial_outcomes(spark, root, effort).where(F.col("outcome") == SCORED).drop("outcome")
 
 
 def reports(spark: SparkSession, root: str, name: str = "report.md") -> DataFrame:
     """trial_id and the whole text of each trial's report."""
     rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", name).text(root, wholetext=True)
-    return rows.select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/(?:[^/]+/)?[^/]+$", 1).alias("trial_id"), F.col("value").alias("report"))
+    return rows.select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/(?:verifier/|agent/)?[^/]+$", 1).alias("trial_id"), F.col("value").alias("report"))
+
+
+def with_reports(found: DataFrame, texts: DataFrame) -> DataFrame:
+    """found with report, empty where a trial has none."""
+    return found.join(texts, "trial_id", "left").withColumn("report", F.coalesce("report", F.lit("")))
+
+
+def agent_configs(spark: SparkSession, root: str) -> DataFrame:
+    """trial_id, agent, model, effort, task and ref of each trial's config.json; a file that can't be read has nulls, as a trial without one will."""
+    rows = spark.read.schema(schemas.TRIAL_CONFIG).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "config.json").json(root)
+    trial = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/config\.json$", 1)
+    return rows.select(trial.alias("trial_id"), F.col("agent.name").alias("agent"), F.col("agent.model_name").alias("model"), F.col("agent.kwargs.reasoning_effort").alias("effort"), F.col("task.name").alias("task"), F.col("task.ref").alias("ref"))
+
+
+def batch_groups(spark: SparkSession, root: str) -> DataFrame:
+    """batch and the agent, model and effort of the first agent of its config.json, unknown where there is none."""
+    rows = spark.read.schema(schemas.BATCH_CONFIG).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "config.json").json(root)
+    first = F.get("agents", F.lit(0))
+    unknown = F.lit("unknown")
+    batch = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/config\.json$", 1)
+    return rows.select(batch.alias("batch"), F.coalesce(first["name"], unknown).alias("agent"), F.coalesce(first["model_name"], unknown).alias("model"), first["kwargs"]["reasoning_effort"].alias("effort"))
+
+
+def call_usage(spark: SparkSession, root: str) -> DataFrame:
+    """trial_id, model and usage of every finished call: debug.json files of episodes, whose response is JSON in a JSON string."""
+    rows = spark.read.schema(schemas.CALL).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "debug.json").json(root)
+    trial = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/(?:agent/)?episode-[^/]+/debug\.json$", 1)
+    answer = F.from_json("original_response", schemas.RESPONSE)
+    calls = rows.where((F.col("log_event_type") == "post_api_call") & (trial != "")).select(trial.alias("trial_id"), F.col("model").alias("asked"), answer.alias("r"), F.try_parse_json("original_response").isNotNull().alias("good"))
+    return calls.where(F.col("good") & F.col("r").isNotNull()).select("trial_id", F.substring_index(F.coalesce(F.nullif(F.col("r.model"), F.lit("")), "asked", F.lit("")), "/", -1).alias("model"), F.col("r.usage").alias("usage"))
+
+
+def judge_scores(spark: SparkSession, path: str) -> DataFrame:
+    """One row per judged trial of a scores file {trial_id: record}; a record under another trial's id stops the job."""
+    rows = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", f"map<string,{schemas.SCORE}>")).alias("key", "r"))
+    stop = F.raise_error(F.concat(F.lit("not a scores file: record of "), F.coalesce(F.col("r.trial_id"), F.lit("nobody")), F.lit(" under "), F.col("key")))
+    same = F.col("r.trial_id").eqNullSafe(F.col("key"))
+    return rows.where(F.when(same, F.lit(True)).otherwise(stop.cast("boolean"))).select("r.*")
+
+
+#: The judge's record of a trial that it could not score.
+JUDGE_ERRORS = ("llm_judge_error", "hub_fetch_error")
+
+
+def judged(rows: DataFrame, scores: DataFrame) -> DataFrame:
+    """rows (trial_id and more) with judge_mode, reward, rca_accuracy and hallucinate_any of their scores, and problem: missing, errored or null. An errored record counts as none."""
+    errored = F.col("mode").isin(*JUDGE_ERRORS)
+    good = lambda c: F.when(~errored, F.col(c))
+    own = scores.select("trial_id", good("mode").alias("judge_mode"), *[good(c).alias(c) for c in ("reward", "rca_accuracy", "hallucinate_any")], errored.alias("__bad"))
+    joined = rows.join(own, "trial_id", "left")
+    return joined.withColumn("problem", F.when(F.col("__bad").isNull(), F.lit("missing")).when(F.col("__bad"), F.lit("errored"))).drop("__bad")
+
+
+#: Errors after which a trial still counts: it had its full time.
+KEPT_ERRORS = ("AgentTimeoutError",)
+
+
+def predictions(spark: SparkSession, root: str, kept: Sequence[str] = KEPT_ERRORS) -> DataFrame:
+    """trial_id, exception, kept and report of every trial with a result.json."""
+    rows = spark.read.schema("exception_info struct<exception_type:string>").option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "result.json").json(root)
+    trial = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/result\.json$", 1)
+    error = F.col("exception_info.exception_type")
+    found = rows.select(trial.alias("trial_id"), error.alias("exception"), (error.isNull() | error.isin(*kept)).alias("kept"))
+    return with_reports(found, reports(spark, root))
+
+
+def expected_events(spark: SparkSession, root: str) -> DataFrame:
+    """task and the events its expected.json lists, in order."""
+    rows = spark.read.schema("events array<struct<event_id:string, root_cause:string, event_time:string>>").option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "expected.json").json(root)
+    return rows.select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/expected\.json$", 1).alias("task"), F.coalesce("events", F.array().cast("array<struct<event_id:string,root_cause:string,event_time:string>>")).alias("events"))
+
+
+def open_name(task: Column) -> Column:
+    """The name of a hidden task's open twin."""
+    return F.regexp_replace(task, "-hidden$", "")
+
+
+def ground_truth(tasks: DataFrame, expected: DataFrame, rubrics: DataFrame) -> DataFrame:
+    """tasks with their expected events and the rubrics of these in the same order. A rubric's file is named after event and flag, else after the event alone; events without one are left out."""
+    rows = tasks.withColumn("__open", open_name(F.col("task"))).join(expected.select(F.col("task").alias("__open"), "events"), "__open", "left").drop("__open")
+    each = rows.select("task", F.posexplode("events").alias("place", "e"))
+    names = F.array(F.concat("e.event_id", F.lit("-"), "e.root_cause"), F.col("e.event_id"))
+    paths = each.select("task", "place", F.posexplode(names).alias("rank", "incident_id"))
+    hit = paths.join(rubrics.select("incident_id", "feature_flag", "mechanism"), "incident_id").groupBy("task", "place").agg(F.min_by(F.struct("feature_flag", "mechanism"), "rank").alias("r"))
+    told = hit.groupBy("task").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "r"))), lambda x: x["r"]).alias("rubrics"))
+    none = F.array().cast("array<struct<feature_flag:string,mechanism:string>>")
+    return rows.join(told, "task", "left").withColumn("rubrics", F.coalesce("rubrics", none))
+
+
+def day_range(spark: SparkSession, path: str, first: str, last: str, ts: str = "ts", day: str = "day") -> DataFrame:
+    """Rows of a table partitioned by day whose time lies in a closed range, in order of time; the days outside are not read."""
+    lo, hi = F.lit(first).cast("timestamp_ntz"), F.lit(last).cast("timestamp_ntz")
+    return spark.read.parquet(path).where(F.col(day).between(F.to_date(lo), F.to_date(hi)) & F.col(ts).between(lo, hi)).orderBy(ts)
 
 
 def tool_calls(spark: SparkSession, root: str) -> DataFrame:
@@ -69,45 +182,104 @@ def tool_calls(spark: SparkSession, root: str) -> DataFrame:
     shared = F.filter("results", lambda r: r["source_call_id"].isNull())
     last = lambda a: F.try_element_at(a, F.lit(-1))["content"]
     command = F.coalesce(F.nullif(F.rtrim(F.col("call.arguments")["keystrokes"], F.lit("\n")), F.lit("")), F.col("call.arguments")["cmd"])
-    return calls.select("trial_id", "step_id", "source", "place", F.col("call.function_name").alias("function"), command.alias("command"), F.coalesce(last(own), last(shared)).alias("result"))
+    return calls.select("trial_id", "step_id", "source", "place", F.col("call.tool_call_id").alias("tool_call_id"), F.col("call.function_name").alias("function"), command.alias("command"), F.coalesce(last(own), last(shared)).alias("result"))
+
+
+def agent_calls(spark: SparkSession, root: str) -> DataFrame:
+    """The agent's own tool calls in order: trial_id, call (from 0), tool_call_id and what was typed (keystrokes, else the command)."""
+    rows = spark.read.schema(schemas.TRAJECTORY).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "trajectory.json").json(root)
+    trial = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/(?:agent/)?trajectory\.json$", 1)
+    own = F.flatten(F.transform(F.filter("steps", lambda s: s["source"] == "agent"), lambda s: F.coalesce(s["tool_calls"], F.array().cast("array<struct<tool_call_id:string,function_name:string,arguments:map<string,string>>>"))))
+    calls = rows.select(trial.alias("trial_id"), F.posexplode(F.filter(own, lambda c: F.coalesce(c["tool_call_id"], F.lit("")) != "")).alias("call", "c"))
+    typed = F.coalesce(F.nullif(F.col("c.arguments")["keystrokes"], F.lit("")), F.col("c.arguments")["cmd"], F.lit(""))
+    return calls.select("trial_id", "call", F.col("c.tool_call_id").alias("tool_call_id"), typed.alias("typed"))
 
 
 def casts(spark: SparkSession, root: str) -> DataFrame:
-    """Events of terminal recordings (asciinema 2): the header and malformed lines are left out."""
-    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.cast").text(root)
-    event = F.from_json("value", "array<string>")
-    parts = rows.select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1).alias("trial_id"), event.alias("e")).where(F.size("e") >= 3)
-    return parts.select("trial_id", F.element_at("e", 1).cast("double").alias("ts"), F.element_at("e", 2).alias("kind"), F.element_at("e", 3).alias("data")).where("ts is not null")
+    """Events of terminal recordings (asciinema 2) with their line: the header and malformed lines are left out."""
+    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.cast").text(root, wholetext=True)
+    lines = rows.select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/(?:agent/)?[^/]+$", 1).alias("trial_id"), F.posexplode(F.split("value", "\n")).alias("line", "text")).where("line > 0")
+    parts = lines.select("trial_id", "line", F.from_json("text", "array<string>").alias("e")).where(F.size("e") >= 3)
+    return parts.select("trial_id", "line", F.element_at("e", 1).cast("double").alias("ts"), F.element_at("e", 2).alias("kind"), F.element_at("e", 3).alias("data")).where("ts is not null")
 
 
 def output_slices(events: DataFrame) -> DataFrame:
-    """For each input event of a recording: the output after it, up to and including the time of the next input."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("trial_id").orderBy("ts")
-    inputs = events.where("kind = 'i'").withColumn("n", F.row_number().over(w)).select("trial_id", "ts", "n", "data")
-    # An output belongs to the last input strictly before it: a running maximum over both kinds, inputs after outputs of the same time.
-    order = Window.partitionBy("trial_id").orderBy("ts", F.when(F.col("kind") == "o", 0).otherwise(1)).rowsBetween(Window.unboundedPreceding, 0)
-    owner = F.sum(F.when(F.col("kind") == "i", 1).otherwise(0)).over(order)
-    outputs = events.withColumn("n", owner).where("kind = 'o' and n > 0").groupBy("trial_id", "n").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ts", "data"))), lambda x: x["data"]), "").alias("output"))
+    """For each input event of a recording, numbered from 0: the output after its time, up to and including the time of the next input, in the recording's order.
+
+    Inputs of one time share what the last of them is given: nothing lies between equal times.
+    """
+    w = Window.partitionBy("trial_id").orderBy("ts", "line")
+    inputs = events.where("kind = 'i'").withColumn("n", F.row_number().over(w) - 1).select("trial_id", "ts", "line", "n", "data")
+    # An output belongs to the last input strictly before it: a running count over both kinds, inputs after outputs of the same time.
+    order = Window.partitionBy("trial_id").orderBy("ts", F.when(F.col("kind") == "o", 0).otherwise(1), "line").rowsBetween(Window.unboundedPreceding, 0)
+    owner = F.sum(F.when(F.col("kind") == "i", 1).otherwise(0)).over(order) - 1
+    chunks = F.array_sort(F.collect_list(F.struct("line", "data")))
+    outputs = events.withColumn("n", owner).where("kind = 'o' and n >= 0").groupBy("trial_id", "n").agg(F.array_join(F.transform(chunks, lambda x: x["data"]), "").alias("output"))
     return inputs.join(outputs, ["trial_id", "n"], "left").select("trial_id", "n", "ts", F.col("data").alias("input"), F.coalesce("output", F.lit("")).alias("output"))
 
 
-def spans(spark: SparkSession, path: str) -> DataFrame:
-    """One row per span of trace files, with its service (unknown if its process isn't listed), whether it failed, and its logged fields."""
-    rows = spark.read.schema(schemas.SPANS).option("multiLine", True).json(path)
-    one = rows.select("traceID", "processes", F.explode("spans").alias("s"))
+def recovered(calls: DataFrame, events: DataFrame) -> DataFrame:
+    """trial_id, tool_call_id and the output recovered from the trial's recording, escape sequences dropped: calls are placed in order at the inputs that hold them."""
+    slices = output_slices(events)
+    placed = trajectory.aligned(calls, slices, "trial_id", "call", "typed", "n", "input").where("place is not null")
+    found = placed.join(slices.select("trial_id", F.col("n").cast("long").alias("place"), "output"), ["trial_id", "place"])
+    return found.join(calls.select("trial_id", "call", "tool_call_id"), ["trial_id", "call"]).select("trial_id", "tool_call_id", F.regexp_replace("output", "\\x1b\\[[0-9;?]*[a-zA-Z]", "").alias("output"))
+
+
+def traces(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Traces as they are, one row each; lines: one to a line, else one to a file."""
+    return spark.read.schema(schemas.SPANS).option("multiLine", not lines).json(path)
+
+
+#: Operations that fail as a matter of course.
+NOISE = ("flagd.evaluation.v1.Service/EventStream",)
+
+
+def _failed(span: Column) -> Column:
+    """Whether any tag `error` of a span is the JSON value true; the text "true" is not."""
+    true = lambda t: (t["key"] == "error") & (F.schema_of_variant(t["value"]) == "BOOLEAN") & F.coalesce(F.try_variant_get(t["value"], "$", "boolean"), F.lit(False))
+    return F.coalesce(F.exists(span["tags"], lambda t: F.coalesce(true(t), F.lit(False))), F.lit(False))
+
+
+def _quiet(span: Column, noise: Sequence[str]) -> Column:
+    return ~F.coalesce(span["operationName"].isin(*noise), F.lit(False))
+
+
+def signal_traces(found: DataFrame, noise: Sequence[str] = NOISE) -> DataFrame:
+    """Traces once each, whichever services they were found under, if any span outside the noise failed."""
+    one = found.dropDuplicates(["traceID"])
+    return one.where(F.coalesce(F.exists("spans", lambda s: _quiet(s, noise) & _failed(s)), F.lit(False)))
+
+
+def spans(found: DataFrame) -> DataFrame:
+    """One row per span of traces, with its service (unknown if its process isn't listed), whether it failed, and its logged fields: maps in order, messages and empty ones left out, the last of a repeated key."""
+    one = found.select("traceID", "processes", F.posexplode("spans").alias("place", "s"))
     service = F.coalesce(F.try_element_at("processes", F.col("s.processID"))["serviceName"], F.lit("unknown"))
-    failed = F.coalesce(F.exists("s.tags", lambda t: (t["key"] == "error") & (t["value"] == "true")), F.lit(False))
-    fields = F.transform("s.logs", lambda x: F.map_from_entries(x["fields"]))
-    kept = F.filter(fields, lambda m: (F.size(m) > 0) & (F.coalesce(F.try_element_at(m, F.lit("event")), F.lit("")) != "message"))
-    return one.select("traceID", F.col("s.spanID").alias("spanID"), service.alias("service"), F.col("s.operationName").alias("operation"), F.timestamp_micros("s.startTime").alias("ts"), failed.alias("failed"), kept.alias("events"))
+    text = lambda v: v.cast("string")
+
+    def field_map(log: Column) -> Column:
+        keys = F.transform(log["fields"], lambda f: f["key"])
+        last = F.filter(log["fields"], lambda f, k: ~F.array_contains(F.slice(keys, k + 2, F.greatest(F.size(keys) - k - 1, F.lit(0))), f["key"]))
+        return F.map_from_entries(F.transform(last, lambda f: F.struct(f["key"], text(f["value"]))))
+
+    kept = F.filter(F.transform("s.logs", field_map), lambda m: (F.size(m) > 0) & (F.coalesce(F.try_element_at(m, F.lit("event")), F.lit("")) != "message"))
+    return one.select("traceID", "place", F.col("s.spanID").alias("spanID"), service.alias("service"), F.col("s.operationName").alias("operation"), F.timestamp_micros("s.startTime").alias("ts"), _failed(F.col("s")).alias("failed"), kept.alias("events"))
+
+
+def error_operations(found: DataFrame, noise: Sequence[str] = NOISE) -> DataFrame:
+    """service, operation and the distinct events of its failed spans, in the order in which they are first met (by trace, then place); maps are compared as JSON."""
+    rows = spans(found).where(F.col("failed") & ~F.coalesce(F.col("operation").isin(*noise), F.lit(False)))
+    each = rows.select("service", "operation", "traceID", "place", F.posexplode_outer("events").alias("nth", "event"))
+    first = each.withColumn("event", F.to_json("event")).groupBy("service", "operation", "event").agg(F.min(F.struct("traceID", "place", "nth")).alias("at"))
+    told = F.array_sort(F.collect_list(F.when(F.col("event").isNotNull(), F.struct("at", "event"))))
+    return first.groupBy("service", "operation").agg(F.transform(told, lambda x: x["event"]).alias("events"))
 
 
 def toml_metadata(spark: SparkSession, root: str, name: str = "task.toml") -> DataFrame:
-    """task and its [metadata] table as text values; unreadable files have an empty map."""
+    """task and its [metadata] table as text (JSON where a value is no string); unreadable files have an empty map."""
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import json
         import tomllib
 
         for rows in batches:
@@ -117,7 +289,7 @@ def toml_metadata(spark: SparkSession, root: str, name: str = "task.toml") -> Da
                     table = tomllib.loads(body).get("metadata", {})
                 except tomllib.TOMLDecodeError:
                     table = {}
-                found.append({k: str(v) for k, v in table.items()})
+                found.append({k: v if isinstance(v, str) else json.dumps(v, default=str) for k, v in table.items()})
             yield pd.DataFrame({"task": rows["task"], "metadata": found})
 
     rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", name).text(root, wholetext=True)
@@ -134,10 +306,53 @@ def markdown_tables(spark: SparkSession, path: str) -> DataFrame:
     return lines.where(F.trim("text").startswith("|") & ~F.col("text").rlike(r"^[\s|:\-]+$")).select("stem", "heading", "part", "line", cells.alias("cells"))
 
 
-def named_metric(evals: Column, name: str) -> Column:
-    """A metric by its name, never by its place, from either shape of an evaluation's JSON: {name: {metrics: [{name: x}]}} or {rows: [{metrics: [{name: x}]}]}. Null if there is none."""
-    nested = F.get_json_object(evals, f"$.{name}.metrics[0].{name}")
-    listed = F.from_json(evals, "rows array<struct<metrics:array<map<string,string>>>>")["rows"]
-    flat = F.flatten(F.transform(listed, lambda r: r["metrics"]))
-    hit = F.try_element_at(F.filter(flat, lambda m: F.map_contains_key(m, name)), F.lit(1))
-    return F.coalesce(nested, hit[name]).cast("double")
+def named_metric(evals: Column, name: str, reward: Column | None = None) -> Column:
+    """A metric by its name, never by its place, from either shape of an evaluation's JSON: {name: {metrics: [{name: x}]}} or {rows: [{metrics: [{name: x}]}]}.
+
+    Null for a trial without evaluations. Evaluations without that name, a value that is no
+    number, and a reward beside no evaluations stop the job: they tell of another contract.
+    """
+    body = F.try_parse_json(F.coalesce(evals, F.lit("{}")))
+    blocks = F.try_variant_get(body, "$", "map<string,variant>")
+    empty = F.coalesce(F.size(blocks), F.lit(0)) <= 0
+    nested = F.flatten(F.transform(F.map_values(F.map_filter(blocks, lambda k, _: ~k.isin("rows", "group_by"))), lambda b: F.coalesce(F.try_variant_get(b, "$.metrics", "array<map<string,variant>>"), F.array().cast("array<map<string,variant>>"))))
+    listed = F.flatten(F.transform(F.try_variant_get(body, "$.rows", "array<variant>"), lambda r: F.coalesce(F.try_variant_get(r, "$.metrics", "array<map<string,variant>>"), F.array().cast("array<map<string,variant>>"))))
+    none = F.array().cast("array<map<string,variant>>")
+    hits = F.filter(F.concat(F.coalesce(nested, none), F.coalesce(listed, none)), lambda m: F.map_contains_key(m, name))
+    value = F.try_element_at(F.get(hits, F.lit(0)), F.lit(name))
+    number = F.schema_of_variant(value).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL.*|INT|SMALLINT|TINYINT)$")
+    stop = lambda why: F.raise_error(F.concat(F.lit(f"metric {name}: {why} in "), F.coalesce(evals, F.lit("nothing")))).cast("double")
+    alone = F.lit(False) if reward is None else reward.isNotNull()
+    return (
+        F.when(empty & alone, stop("a reward without evaluations"))
+        .when(empty, F.lit(None).cast("double"))
+        .when(F.size(hits) <= 0, stop("absent"))
+        .when(F.coalesce(number, F.lit(False)), F.try_variant_get(value, "$", "double"))
+        .otherwise(stop("not a number"))
+    )
+
+
+def file_fields(name: Column, form: str, fields: Sequence[str]) -> Column:
+    """Columns that a file's name carries, by the groups of a pattern; null where the name has another form."""
+    return F.when(name.rlike(form), F.struct(*[F.regexp_extract(name, form, k + 1).alias(f) for k, f in enumerate(fields)]))
+
+
+def yaml_config(path: str, allowed: Sequence[str], body: str | None = None) -> dict:
+    """A YAML file's settings, read on the driver (parameters, not data); a key that isn't known stops the run."""
+    import yaml
+
+    if body is None:
+        with open(path) as f:
+            body = f.read()
+    found = yaml.safe_load(body) or {}
+    if extra := sorted(set(found) - set(allowed)):
+        raise ValueError(f"unknown keys in {path}: {', '.join(extra)}")
+    return found
+
+
+def mapping(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of a JSON-lines mapping; no file is the same as an empty one."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).json(path)

@@ -1,6 +1,7 @@
 """Streaming counterparts of the telemetry operators, on Structured Streaming.
 
-Each takes a streaming DataFrame with event time `ts` (TIMESTAMP) and returns a streaming one.
+Each takes a streaming DataFrame with event time `ts` (TIMESTAMP) and returns a streaming one
+for append mode: a row leaves once the watermark has passed what it depends on.
 """
 
 from __future__ import annotations
@@ -8,10 +9,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StructField, StructType, TimestampType
+
+from quern.sources import sinks
+
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def tumbling(events: DataFrame, size: str, keys: list[str], late: str = "1 hour") -> DataFrame:
@@ -34,39 +38,110 @@ def first_seen(events: DataFrame, body: str, late: str = "1 hour") -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([body])
 
 
-class Toggle(StatefulProcessor):
-    """On-intervals of a switch: state is the time it went on, if it is on."""
+class Ordered(StatefulProcessor):
+    """Rows of a key in order of event time, whatever order they arrive in: they wait in state until the watermark has passed them.
+
+    Subclasses keep what they know of a key in one row of state and fold rows into it.
+    """
+
+    #: Columns of a waiting row after its time and id, the state, and the columns given out.
+    WAITING, STATE, OUT = "", "", ()
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.on = handle.getValueState("on", StructType([StructField("at", TimestampType())]))
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timer_values: object) -> Iterator[pd.DataFrame]:
-        seen = pd.concat(list(rows)).sort_values(["ts", "event_id"], kind="stable")
-        at = self.on.get()[0] if self.on.exists() else None
-        out = []
-        for ts, is_off in zip(seen["ts"], seen["is_off"]):
-            if is_off and at is not None:
-                out.append((key[0], at, ts))
-                at = None
-            elif not is_off and at is None:
-                at = ts
-        if at is None:
-            self.on.clear()
-        else:
-            self.on.update((at,))
-        yield pd.DataFrame(out, columns=["user_id", "on_ts", "off_ts"])
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", f"ts timestamp, event_id long, {self.WAITING}")
+        self.known = handle.getValueState("known", self.STATE)
+
+    def fold(self, known: tuple | None, row: tuple) -> tuple[tuple | None, tuple | None]:
+        """(state after a row, what it gives out)."""
+        raise NotImplementedError
+
+    def _advance(self, key: tuple, rows: list[tuple], until_ms: int) -> pd.DataFrame:
+        rows.sort(key=lambda r: (r[0], r[1]))
+        ready = [r for r in rows if pd.Timestamp(r[0]).timestamp() * 1000 <= until_ms]
+        rest = rows[len(ready) :]
+        known, out = (self.known.get() if self.known.exists() else None), []
+        for row in ready:
+            known, found = self.fold(known, row)
+            if found is not None:
+                out.append((*key, *found))
+        if known is not None:
+            self.known.update(known)
+        elif self.known.exists():
+            self.known.clear()
+        if rest:
+            self.waiting.put(rest)
+            self.handle.registerTimer(int(pd.Timestamp(rest[0][0]).timestamp() * 1000) + 1)
+        elif self.waiting.exists():
+            self.waiting.clear()
+        return pd.DataFrame(out, columns=["user_id", *self.OUT])
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        names = ["ts", "event_id", *[c.split()[0] for c in self.WAITING.split(", ")]]
+        new = [tuple(r) for part in rows for r in part[names].itertuples(index=False)]
+        old = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
+        yield self._advance(key, old + new, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
+        old = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
+        yield self._advance(key, old, timerValues.getCurrentWatermarkInMs())
 
     def close(self) -> None:
         pass
 
 
-def toggles(events: DataFrame) -> DataFrame:
+class Toggle(Ordered):
+    """On-intervals of a switch: the state is the time it went on, if it is on."""
+
+    WAITING, STATE, OUT = "is_off boolean", "at timestamp", ("on_ts", "off_ts")
+
+    def fold(self, known: tuple | None, row: tuple) -> tuple[tuple | None, tuple | None]:
+        ts, _, is_off = row
+        if is_off:
+            return None, ((known[0], ts) if known is not None else None)
+        return (known if known is not None else (ts,)), None
+
+
+class Onset(Ordered):
+    """The first sample after a key's incident above mean and three deviations of those before it; the state is count, mean, squares, whether the incident has come and whether the onset has."""
+
+    WAITING, STATE, OUT = "value double, incident boolean", "n long, mean double, squares double, hit boolean, done boolean", ("onset",)
+
+    def fold(self, known: tuple | None, row: tuple) -> tuple[tuple | None, tuple | None]:
+        ts, _, x, incident = row
+        n, mean, squares, hit, done = known or (0, 0.0, 0.0, False, False)
+        hit = hit or bool(incident)
+        if not hit:
+            n, shift = n + 1, x - mean
+            mean += shift / n
+            squares += shift * (x - mean)
+            return (n, mean, squares, hit, done), None
+        spread = (squares / (n - 1)) ** 0.5 if n > 1 else 0.0
+        # With nothing or only zeros before, any sample that is not zero is the onset.
+        above = x > mean + 3 * spread if n and (mean or squares) else x != 0
+        return (n, mean, squares, hit, done or above), ((ts,) if above and not done else None)
+
+
+def toggles(events: DataFrame, late: str = "1 hour") -> DataFrame:
     """Closed on-intervals (user_id, on_ts, off_ts) of columns user_id, ts, event_id, is_off. Needs the RocksDB state store."""
-    return events.groupBy("user_id").transformWithStateInPandas(Toggle(), "user_id long, on_ts timestamp, off_ts timestamp", "Append", "None")
+    rows = events.withWatermark("ts", late).groupBy("user_id")
+    return rows.transformWithStateInPandas(Toggle(), "user_id long, on_ts timestamp, off_ts timestamp", "Append", "EventTime")
+
+
+def onsets(events: DataFrame, late: str = "1 hour") -> DataFrame:
+    """(user_id, onset) of columns user_id, ts, event_id, value, incident. Needs the RocksDB state store."""
+    rows = events.withWatermark("ts", late).groupBy("user_id")
+    return rows.transformWithStateInPandas(Onset(), "user_id long, onset timestamp", "Append", "EventTime")
+
+
+def with_rocks(spark: SparkSession) -> None:
+    """Sets the state store that keyed processors need, for this session's streams."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
 
 
-def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over all that is there and returns the result as a table in memory (for tests and small results)."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+def drained(stream: DataFrame, tag: str = "drained") -> DataFrame:
+    """Runs a stream in append mode over all that is there, into a Parquet table in the shared folder, and returns that. A run that is broken off goes on from its checkpoint."""
+    root = sinks.workspace(stream.sparkSession, tag)
+    q = stream.writeStream.format("parquet").option("path", f"{root}/rows").option("checkpointLocation", f"{root}/progress").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{root}/rows")

@@ -1,26 +1,55 @@
 from __future__ import annotations
 
+import hashlib
 import math
 
 import pytest
 from pyspark.sql import functions as F
 
 from quern.functions import promql, text, times
-from quern.operators import cost, split, stats, timeline, trajectory, verdicts
+from quern.operators import checks, cost, onset, split, stats, timeline, trajectory, verdicts
 
 
 def graded(spark, tasks):
-    rows = spark.createDataFrame([("g", t, float(v)) for t, values in tasks.items() for v in values], "g string, t string, v double")
+    rows = spark.createDataFrame([("g", t, None if v is None else float(v)) for t, values in tasks.items() for v in values], "g string, t string, v double")
     r = stats.graded_accuracy(rows, ["g"], ["t"], "v").first()
-    return 100 * r.mean, 100 * r.se
+    return r and (r.n_tasks, r.n_trials, r.mean, r.se)
 
 
-def test_graded_accuracy_with_both_estimators(spark):
-    mean, se = graded(spark, {"a": [1, 1, 0, 0], "b": [1, 1, 1, 1]})
-    assert mean == 75 and math.isclose(se, 100 * math.sqrt((0.5 * 0.5 / 3) / 4))
-    mean, se = graded(spark, {"a": [0], "b": [1], "c": [0.5], "d": [1]})
-    assert mean == 62.5 and math.isclose(se, 100 * math.sqrt(0.229166666666 / 4), rel_tol=1e-6)
-    assert graded(spark, {"a": [1]}) == (100, 0)
+def test_graded_accuracy_is_a_mean_over_trials(spark):
+    # Unbalanced: the mean of task means would be 0.55.
+    n, k, mean, se = graded(spark, {"a": [1, 0.2, 0.3], "b": [0.6]})
+    var = sum((x - 0.5) ** 2 for x in (1, 0.2, 0.3)) / 2
+    assert (n, k) == (2, 4) and math.isclose(mean, 0.525) and math.isclose(se, math.sqrt(var / 3 / 4))
+    # One trial each: the spread between tasks.
+    n, k, mean, se = graded(spark, {"a": [0.1], "b": [0.4], "c": [1]})
+    var = sum((x - 0.5) ** 2 for x in (0.1, 0.4, 1)) / 2
+    assert math.isclose(mean, 0.5) and math.isclose(se, math.sqrt(var / 3))
+    assert graded(spark, {"a": [1]}) == (1, 1, 1.0, 0.0)
+
+
+def test_graded_accuracy_leaves_out_what_was_not_scored(spark):
+    assert graded(spark, {"a": [None, None], "b": [0.25, None]}) == (1, 1, 0.25, 0.0)
+    assert graded(spark, {"a": [None]}) is None
+
+
+@pytest.mark.parametrize("bad", [1.5, -0.1])
+def test_rewards_outside_their_range_stop_the_job(spark, bad):
+    rows = spark.createDataFrame([(0.0,), (1.0,), (None,)], "r double").select(stats.checked_reward(F.col("r")).alias("r"))
+    assert [r.r for r in rows.collect()] == [0.0, 1.0, None]
+    with pytest.raises(Exception, match="reward outside"):
+        spark.range(1).select(stats.checked_reward(F.lit(bad))).collect()
+
+
+def test_published_metrics_need_labels_and_trials(spark):
+    trials = spark.createDataFrame([("g", "a", 1.0, 0.0), ("g", "a", 0.0, None), ("g", "b", 1.0, 1.0), ("g", "c", 1.0, 1.0)], "g string, task string, rca_accuracy double, hallucinate_any double")
+    labels = spark.createDataFrame([("a", "medium", False), ("b", "hard", False), ("c", "hard", True)], "task string, difficulty string, is_control boolean")
+    found = {r.key: (r["mean"], r.n) for r in checks.published(checks.labelled(trials, labels), ["g"]).collect()}
+    assert found == {"rca_accuracy_incident_medium": (50.0, 2), "rca_accuracy_incident_hard": (100.0, 1), "hallucinate_any_incident": (50.0, 2)}
+    with pytest.raises(Exception, match="no label for task c"):
+        checks.labelled(trials, labels.where("task <> 'c'")).collect()
+    with pytest.raises(Exception, match="no trials for rca_accuracy_incident_hard"):
+        checks.published(checks.labelled(trials.where("task = 'a'"), labels), ["g"]).collect()
 
 
 def test_padding_and_quadrature(spark):
@@ -70,36 +99,68 @@ def test_moves_and_quarters(spark):
     assert q == [sum(k >= int(i * n / 4) for i in (1, 2, 3)) for k in range(n)]
 
 
+def price(spark, prompt, completion, prices, **more):
+    lit = lambda x: F.lit(x) if isinstance(x, bool) else F.lit(x).cast("double")
+    return spark.range(1).select(cost.token_cost(lit(prompt), lit(completion), {k: lit(v) for k, v in prices.items()}, **{k: lit(v) for k, v in more.items()})).first()[0]
+
+
 def test_cost_rules(spark):
-    price = lambda *a: spark.range(1).select(cost.token_cost(*[F.lit(x).cast("double") for x in a])).first()[0]
-    assert price(1000, 10, 400, 2, 10, 0.5, None, None) == (600 * 2 + 400 * 0.5 + 100) / 1e6
-    assert price(200_000, 0, 0, 2, 10, None, 4, 20) == 0.4
-    assert price(200_001, 0, 0, 2, 10, None, 4, 20) == 200_001 * 4 / 1e6
-    assert price(1000, 10, 400, 2, 10, 0, None, None) == (1000 * 2 + 100) / 1e6
-    assert price(1000, 10, 0, None, 10, None, None, None) is None
-
-
-def test_split_keeps_groups_whole(spark):
-    rows = spark.range(1000).select((F.col("id") % 3).alias("s"), (F.col("id") % 60).alias("g"))
-    found = split.assigned(rows, "s", "g", 0.7).collect()
-    assert len(found) == 60
+    base = {"input": 3, "output": 11}
+    assert math.isclose(price(spark, 900, 20, base | {"cached_input": 0.5}, cached=300), (600 * 3 + 300 * 0.5 + 220) / 1e6)
+    # A read without a price costs nothing; a write without one costs what input costs.
+    assert math.isclose(price(spark, 900, 20, base, cached=300), (600 * 3 + 220) / 1e6)
+    assert math.isclose(price(spark, 900, 20, base | {"cache_creation_5m": 0, "cache_creation_1h": 7}, write_5m=100, write_1h=200), (600 * 3 + 100 * 3 + 200 * 7 + 220) / 1e6)
+    assert math.isclose(price(spark, 900, 20, base | {"context_cache_read": 1, "cached_input": 0.5}, cached=300), (600 * 3 + 300 + 220) / 1e6)
+    assert price(spark, 100, 0, base, cached=300) == 0
+    long = base | {"input_over_200k": 6, "output_over_200k": 22, "cached_input": 1, "cached_input_over_200k": 2}
+    assert math.isclose(price(spark, 200_000, 10, long, cached=100), (199_900 * 3 + 100 + 110) / 1e6)
+    assert math.isclose(price(spark, 200_001, 10, long, cached=100), (199_901 * 6 + 200 + 220) / 1e6)
+    assert math.isclose(price(spark, 10, 5, base, thinking=4), (30 + 99) / 1e6)
+    assert math.isclose(price(spark, 10, 5, base, thinking=4, thinking_included=True), (30 + 55) / 1e6)
+    assert price(spark, 10, 5, {"output": 11}) is None
+
+
+def test_split_is_the_fold_that_it_says(spark):
+    rows = spark.range(1000).select((F.col("id") % 3).alias("s"), (F.col("id") * F.col("id") % 60).alias("g"))
+    pins = spark.createDataFrame([(0,), (1,), (4,)], "g long")
+    found = split.assigned(rows, "s", "g", 0.7, 5, pins).collect()
+    sizes = {}
+    for k in range(1000):
+        sizes[k % 3, k * k % 60] = sizes.get((k % 3, k * k % 60), 0) + 1
+    want = {}
     for s in range(3):
-        mine = [r for r in found if r.s == s]
-        assert abs(sum(r.n_tasks for r in mine if r.side == "public") / sum(r.n_tasks for r in mine) - 0.7) < 0.06
+        mine = {g: n for (t, g), n in sizes.items() if t == s}
+        held, target = sum(n for g, n in mine.items() if g in (0, 1, 4)), 0.7 * sum(mine.values())
+        for g in sorted(mine, key=lambda g: (hashlib.md5(f"5:{g}".encode()).hexdigest(), g)):
+            take = g not in (0, 1, 4) and abs(held + mine[g] - target) < abs(held - target)
+            held += mine[g] if take else 0
+            want[s, g] = "public" if take or g in (0, 1, 4) else "private"
+    assert {(r.s, r.g): r.side for r in found} == want
+    with pytest.raises(Exception, match="not built: 77"):
+        split.complete(rows, spark.createDataFrame([(0,), (77,)], "g long"), "g").collect()
 
 
 def test_text_rules(spark):
     f = lambda c: spark.range(1).select(c).first()[0]
-    assert f(text.classify_command(F.lit("sleep 5; curl prometheus"))) == ["control:wait"]
-    assert f(text.classify_command(F.lit("zzz"))) == ["other"]
-    assert f(text.main_category(text.classify_command(F.lit("grep x f | curl localhost:9090/api/v1/query")))) == "telemetry"
+    assert f(text.main_category(F.array(F.lit("code:ls"), F.lit("telemetry:grafana_health")))) == "Code"
+    assert f(text.main_category(F.array(F.lit("code:ls"), F.lit("telemetry:logs")))) == "Telemetry"
+    assert f(text.main_category(F.array(F.lit("control:wait")))) == "Other"
+    assert f(text.telemetry_type(F.array(F.lit("telemetry:spans"), F.lit("telemetry:docker_logs")))) == "logs"
+    assert f(text.telemetry_type(F.array(F.lit("telemetry:grafana_health")))) is None
     assert f(text.family(F.lit("x_bucket"))) == "x" and f(text.family(F.lit("_total"))) == "_total"
+    assert f(text.family(F.lit("rpc_duration_seconds"))) == "rpc_duration_seconds" and f(text.family(F.lit("load_avg"))) == "load"
     assert f(text.slug(F.lit("  Claude 4.6/Sonnet! "))) == "claude-4-6-sonnet" and f(text.slug(F.lit(None).cast("string"))) == "none"
-    assert f(text.display_name(F.lit("vendor/some-model-20250101"))) == "some-model"
+    assert f(text.display_name(F.lit("x/openai-some-model-20250101"))) == "some-model" and f(text.display_name(F.lit("gem-3-pro-preview"))) == "gem-3-pro"
+    assert f(text.model_name(F.lit("gradient_ai/anthropic-claude"))) == "claude" and f(text.model_name(F.lit("x"))) == "x"
+    assert f(text.model_of_label(F.lit("t-1 (glm-5) (high)"))) == "GLM-5" and f(text.model_of_label(F.lit("plain"))) == "plain"
     assert f(text.printable(F.lit("\x1b[31mred\x1b[0m\x07"))) == "red"
     assert f(text.fenced_json(F.lit('so:\n```json\n{"a": 1}\n```\n'))) == '{"a": 1}'
-    assert f(text.section(F.lit("# T\n## Mechanism\nbody\nmore\n## Next\nx"), "Mechanism")) == "body\nmore"
+    assert f(text.section(F.lit("# T\n## Mechanism\n\nbody\nmore\n\n## Next\nx"), "Mechanism")) == "body\nmore"
     assert f(text.canonical_json(F.create_map(F.lit("b"), F.lit(1), F.lit("a"), F.lit(2)))) == '{"a":2,"b":1}'
+    lists = {"['a', \"b c\"]": ["a", "b c"], "[]": [], "nan": [], "None": [], "": [], "['a', 3]": [], "[ 'x' ]": ["x"], "['a'": []}
+    for cell, want in lists.items():
+        assert f(text.parsed_list(F.lit(cell))) == want, cell
+    assert f(text.parsed_list(F.lit(None).cast("string"))) == []
 
 
 def test_promql_reading(spark):
@@ -107,6 +168,49 @@ def test_promql_reading(spark):
     q = F.lit('sum(rate(x_total{b="2",a="1"}[5m]))')
     assert f(promql.metric_name(q)) == "x_total" and f(promql.label_text(q)) == "a=1,b=2"
     assert f(promql.label_text(F.lit("x{a='1'}"))) == ""
+    assert f(promql.label_text(F.lit('x{a!="1",b !~ "2", c=~"3",a="4"} / y{d="5"}'))) == "a=4,b=2,c=3"
+    assert promql.parsed('avg without (cpu) (x{a!="1"}) / sum(rate(y[2m])) by (z)') == promql.Binary(
+        "/", promql.Aggregate("avg", promql.Selector("x", (("a", "!=", "1"),)), "without", ("cpu",)), promql.Aggregate("sum", promql.Rate("rate", promql.Selector("y", (), 120)), "by", ("z",))
+    )
+    for bad in ("rate(x)", "sum(x", 'x{a~"1"}', "x y"):
+        with pytest.raises(ValueError):
+            promql.parsed(bad)
+
+
+def test_onsets_spike_appear_and_collapse(spark):
+    at = lambda m: F.timestamp_micros(F.col(m).cast("long") * 60_000_000).cast("timestamp_ntz")
+    flat = [("spike", m, 10.0 + m % 2) for m in range(10)] + [("spike", 12, 12.0), ("spike", 13, 20.0), ("spike", 14, 30.0)]
+    rows = flat + [("new", 3, 0.0), ("new", 11, 0.0), ("new", 12, 0.1)] + [("gone", 3, 1.0), ("gone", 9, 1.0), ("gone", 12, 0.0)] + [("calm", 5, 1.0), ("calm", 11, 1.0)]
+    series = spark.createDataFrame(rows, "k string, m int, v double").withColumn("ts", at("m"))
+    inc = series.select("k").distinct().withColumn("m", F.lit(10)).withColumn("hit", at("m"))
+    minute = lambda c: (F.unix_micros(F.col(c).cast("timestamp")) / 60_000_000).cast("int").alias(c)
+    found = onset.onsets(series, inc, ["k"], "ts", "v", "hit").select("k", minute("spiked"), minute("collapsed"))
+    assert {r.k: (r.spiked, r.collapsed) for r in found.collect()} == {"spike": (13, None), "new": (12, None), "gone": (None, 9), "calm": (None, None)}
+
+
+def test_configurations_are_checked(spark):
+    f = lambda c: spark.range(1).select(c).first()[0]
+    config = F.create_map(F.lit("environment.override_cpus"), F.lit("8"), F.lit("agent_timeout_multiplier"), F.lit("2"), F.lit("agent.name"), F.lit("x"), F.lit("verifier.max_timeout_sec"), F.lit(None).cast("string"))
+    assert f(checks.config_failures(F.lit(1.0), config)) == ["agent_timeout_multiplier=2", "environment.override_cpus=8"]
+    assert f(checks.config_failures(F.lit(1.5), config))[0] == "timeout_multiplier=1.5"
+    assert f(checks.retryable(F.lit("RateLimitError"))) and not f(checks.retryable(F.lit("AuthenticationError"))) and not f(checks.retryable(F.lit("KeyError")))
+    boards = spark.createDataFrame([("public", "a"), ("private", "b")], "board string, dataset string")
+    subs = lambda *b: spark.createDataFrame([(x,) for x in b], "board string")
+    assert sorted(r.dataset for r in checks.routed(subs(None, "private"), boards).collect()) == ["a", "b"]
+    with pytest.raises(Exception, match="unknown board: x"):
+        checks.routed(subs("x"), boards).collect()
+
+
+def test_reported_times_cross_a_change_of_clocks(spark):
+    ts = lambda x: F.lit(x).cast("timestamp_ntz")
+    f = lambda c: spark.range(1).select(c).first()[0]
+    # Clocks in New York go from 1:59 to 3:00 on 2024-03-10 at 07:00 UTC.
+    got = f(times.reported_exact(ts("2024-03-10 06:30:00"), ts("2024-03-10 09:00:00"), F.lit(60), F.lit("at")))
+    assert got.styled == "at 3:30 AM today ET"
+    day = f(times.reported_day(ts("2024-03-10 12:00:00"), ts("2024-03-11 12:00:00"), 0))
+    assert day.styled == "sometime yesterday" and (day.stop - day.start).total_seconds() == 23 * 3600
+    early = f(times.reported_period(ts("2024-03-10 06:30:00"), ts("2024-03-10 09:00:00"), -1))
+    assert early.styled == "sometime in the night yesterday"
 
 
 @pytest.mark.parametrize("day, hours", [("2024-03-10", 23), ("2024-11-03", 25), ("2024-06-01", 24)])

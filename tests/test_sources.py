@@ -33,12 +33,22 @@ def test_repeated_ids_stop_the_job(spark, tmp_path):
 
 def test_trials_at_either_depth_with_reports(spark, tmp_path):
     rubric = {"feature_flag": "f", "feature_flag_match": True, "mechanism_match": None, "score": 2}
-    put(tmp_path / "t1/verifier/details.json", {"mode": "llm", "nested": {"rubrics": [rubric]}})
-    put(tmp_path / "job/t2/verifier/details.json", {"mode": "llm", "nested": {"rubrics": []}})
-    put(tmp_path / "job/t3/verifier/details.json", "broken")
-    put(tmp_path / "t1/agent/report.md", "# It was f")
-    rows = trees.trials(spark, str(tmp_path)).join(trees.reports(spark, str(tmp_path)), "trial_id", "left").collect()
-    assert [(r.trial_id, r.rubrics[0].score, r.rubrics[0].mechanism_match, r.report) for r in rows] == [("t1", 2, None, "# It was f")]
+    good = {"mode": "llm", "reasoning_effort": "high", "nested": {"rubrics": [rubric]}}
+    put(tmp_path / "t1/verifier/reward-details.json", good)
+    put(tmp_path / "job/t2/verifier/reward-details.json", {"mode": "llm", "reasoning_effort": "high", "nested": {"rubrics": []}})
+    put(tmp_path / "job/t3/verifier/reward-details.json", "broken")
+    put(tmp_path / "job/t4/verifier/log.txt", "died")
+    put(tmp_path / "job/t5/verifier/reward-details.json", good | {"reasoning_effort": "low"})
+    put(tmp_path / "job/deep/er/t6/verifier/reward-details.json", good)
+    put(tmp_path / "job/t7/result.json", {})
+    put(tmp_path / "t1/verifier/report.md", "# It was f")
+    found = trees.trial_outcomes(spark, str(tmp_path), "high")
+    assert {r.trial_id: r.outcome for r in found.collect()} == {"t1": trees.SCORED, "t2": trees.NO_RUBRICS, "t3": trees.BAD_JSON, "t4": trees.NO_DETAILS, "t5": trees.OTHER_EFFORT}
+    rows = trees.with_reports(trees.trials(spark, str(tmp_path)), trees.reports(spark, str(tmp_path))).collect()
+    assert sorted((r.trial_id, r.rubrics[0].score, r.rubrics[0].mechanism_match, r.report) for r in rows) == [("t1", 2, None, "# It was f"), ("t5", 2, None, "")]
+    put(tmp_path / "other/t1/verifier/log.txt", "again")
+    with pytest.raises(Exception, match="repeated key: t1"):
+        trees.trial_outcomes(spark, str(tmp_path)).collect()
 
 
 def test_tool_calls_take_their_own_result_or_the_last_shared_one(spark, tmp_path):
@@ -50,26 +60,88 @@ def test_tool_calls_take_their_own_result_or_the_last_shared_one(spark, tmp_path
 
 
 def test_recordings_are_cut_at_inputs(spark, tmp_path):
-    lines = ['{"version": 2}', '[1.0, "o", "early"]', '[2.0, "i", "ls\\n"]', '[2.5, "o", "x"]', '[3.0, "o", "y"]', '[3.0, "i", "ps"]', "oops", '[4.0, "o", "z"]']
+    lines = ['{"version": 2}', '[1.0, "o", "early"]', '[2.0, "i", "ls\\n"]', '[2.5, "o", "b"]', '[2.5, "o", "a"]', '[3.0, "o", "y"]', '[3.0, "i", "ps"]', "oops", '[4.0, "o", "\\u001b[1mz"]']
     put(tmp_path / "t1/run.cast", "\n".join(lines))
-    rows = trees.output_slices(trees.casts(spark, str(tmp_path))).orderBy("n").collect()
-    assert [(r.input, r.output) for r in rows] == [("ls\n", "xy"), ("ps", "z")]
+    events = trees.casts(spark, str(tmp_path))
+    rows = trees.output_slices(events).orderBy("n").collect()
+    assert [(r.n, r.input, r.output) for r in rows] == [(0, "ls\n", "bay"), (1, "ps", "\x1b[1mz")]
+    # The second call of the same text can't take the first one's input again.
+    calls = spark.createDataFrame([("t1", 0, "a", "ls\n"), ("t1", 1, "b", "ls\n"), ("t1", 2, "c", " \n"), ("t1", 3, "d", "ps")], "trial_id string, call int, tool_call_id string, typed string")
+    found = {r.tool_call_id: r.output for r in trees.recovered(calls, events).collect()}
+    assert found == {"a": "bay", "d": "z"}
 
 
-def test_spans_toml_markdown_and_named_metrics(spark, tmp_path):
+def test_agent_calls_are_the_agents_own(spark, tmp_path):
+    call = lambda i, **a: {"tool_call_id": i, "function_name": "sh", "arguments": a}
+    steps = [{"step_id": 1, "source": "user", "tool_calls": [call("x", cmd="no")]}, {"step_id": 2, "source": "agent", "tool_calls": [call("a", keystrokes="ls\n", cmd="z"), call("b", cmd="ps"), call("", cmd="lost")]}, {"step_id": 3, "source": "agent"}, {"step_id": 4, "source": "agent", "tool_calls": [call("c", keystrokes="")]}]
+    put(tmp_path / "t1/agent/trajectory.json", {"steps": steps})
+    rows = trees.agent_calls(spark, str(tmp_path)).orderBy("call").collect()
+    assert [(r.trial_id, r.call, r.tool_call_id, r.typed) for r in rows] == [("t1", 0, "a", "ls\n"), ("t1", 1, "b", "ps"), ("t1", 2, "c", "")]
+
+
+def test_spans_fail_by_the_value_true_alone(spark, tmp_path):
     tag = lambda v: [{"key": "error", "value": v}]
-    put(tmp_path / "tr/x.json", {"traceID": "t", "processes": {"p": {"serviceName": "cart"}}, "spans": [{"spanID": "1", "processID": "p", "operationName": "get", "startTime": 1, "tags": tag("true"), "logs": [{"fields": [{"key": "event", "value": "message"}]}, {"fields": [{"key": "event", "value": "boom"}]}]}, {"spanID": "2", "processID": "q", "startTime": 2, "tags": []}]})
-    rows = trees.spans(spark, str(tmp_path / "tr")).orderBy("spanID").collect()
-    assert [(r.service, r.failed, r.events) for r in rows] == [("cart", True, [{"event": "boom"}]), ("unknown", False, None)]
-    put(tmp_path / "to/a/task.toml", '[metadata]\ndifficulty = "hard"\nn = 3\n')
+    event = lambda *pairs: {"fields": [{"key": k, "value": v} for k, v in pairs]}
+    span = lambda i, v, op="get", logs=(): {"spanID": i, "processID": "p", "operationName": op, "startTime": 1, "tags": tag(v), "logs": list(logs)}
+    told = [event(("event", "message")), event(), event(("event", "boom"), ("n", 1), ("n", 2)), event(("event", "boom"), ("n", 2))]
+    put(tmp_path / "1.json", {"traceID": "t", "processes": {"p": {"serviceName": "cart"}}, "spans": [span("1", True, logs=told), span("2", "true"), span("3", 1), span("4", None)]})
+    put(tmp_path / "2.json", {"traceID": "u", "processes": {}, "spans": [span("5", True, trees.NOISE[0]), span("6", "true")]})
+    put(tmp_path / "3.json", {"traceID": "t", "processes": {}, "spans": []})
+    found = trees.traces(spark, str(tmp_path) + "/[12].json")
+    rows = trees.spans(found).orderBy("spanID").collect()
+    assert [(r.spanID, r.service, r.failed) for r in rows] == [("1", "cart", True), ("2", "cart", False), ("3", "cart", False), ("4", "cart", False), ("5", "unknown", True), ("6", "unknown", False)]
+    assert rows[0].events == [{"event": "boom", "n": "2"}] * 2
+    assert [r.traceID for r in trees.signal_traces(found.union(found)).collect()] == ["t"]
+    assert [(r.service, r.operation, r.events) for r in trees.error_operations(found).collect()] == [("cart", "get", ['{"event":"boom","n":"2"}'])]
+
+
+def test_toml_and_markdown(spark, tmp_path):
+    put(tmp_path / "to/a/task.toml", '[metadata]\ndifficulty = "hard"\nn = 3\nevents = [{x = 1}]\n')
     put(tmp_path / "to/b/task.toml", "= nonsense")
-    assert {r.task: r.metadata for r in trees.toml_metadata(spark, str(tmp_path / "to")).collect()} == {"a": {"difficulty": "hard", "n": "3"}, "b": {}}
+    assert {r.task: r.metadata for r in trees.toml_metadata(spark, str(tmp_path / "to")).collect()} == {"a": {"difficulty": "hard", "n": "3", "events": '[{"x": 1}]'}, "b": {}}
     put(tmp_path / "md/f.md", "# One\n| a | b |\n|---|---|\n| 1 | 2 |\n## Two\ntext\n| c |\n")
     cells = [(r.heading, r.cells) for r in trees.markdown_tables(spark, str(tmp_path / "md")).orderBy("part", "line").collect()]
     assert cells == [("One", ["a", "b"]), ("One", ["1", "2"]), ("Two", ["c"])]
-    evals = ['{"reward":{"metrics":[{"reward":0.75}]}}', '{"group_by":["x"],"rows":[{"metrics":[{"hallucinate_any":0},{"reward":0.5}]}]}', "{}", None]
-    found = spark.createDataFrame([(k, e) for k, e in enumerate(evals)], "k int, e string").select("k", trees.named_metric(F.col("e"), "reward").alias("r")).orderBy("k").collect()
-    assert [r.r for r in found] == [0.75, 0.5, None, None]
+
+
+def metric(spark, evals, reward=None):
+    row = spark.createDataFrame([(evals, reward)], "e string, r double")
+    return row.select(trees.named_metric(F.col("e"), "score", F.col("r")).alias("x")).first().x
+
+
+def test_named_metrics_are_read_by_name_or_stop_the_job(spark):
+    assert metric(spark, '{"aaa": {"metrics": [{"aaa": 9}]}, "score": {"metrics": [{"score": 0.25}]}}') == 0.25
+    assert metric(spark, '{"group_by": ["score"], "rows": [{"metrics": [{"aaa": 9}]}, {"metrics": [{"zzz": 1}, {"score": 1}]}]}') == 1.0
+    assert metric(spark, "{}") is None and metric(spark, None) is None
+    for bad in ('{"aaa": {"metrics": [{"aaa": 9}]}}', '{"rows": [{"metrics": [{"aaa": 1}]}]}', '{"score": {"metrics": [{"score": true}]}}', '{"score": {"metrics": [{"score": null}]}}', '{"score": {"metrics": [{"score": "1"}]}}'):
+        with pytest.raises(Exception, match="metric score"):
+            metric(spark, bad)
+    with pytest.raises(Exception, match="without evaluations"):
+        metric(spark, "{}", 0.5)
+
+
+def test_scores_files_name_their_trials(spark, tmp_path):
+    put(tmp_path / "s.json", {"t1": {"trial_id": "t1", "mode": "llm_judge", "reward": 0.5, "rca_accuracy": 1}})
+    assert [(r.trial_id, r.reward, r.hallucinate_any) for r in trees.judge_scores(spark, str(tmp_path / "s.json")).collect()] == [("t1", 0.5, None)]
+    put(tmp_path / "bad.json", {"t1": {"trial_id": "t2"}})
+    with pytest.raises(Exception, match="not a scores file"):
+        trees.judge_scores(spark, str(tmp_path / "bad.json")).collect()
+
+
+def test_configurations_with_unknown_keys_stop_the_run(tmp_path):
+    put(tmp_path / "c.yaml", "ttd: 3\nextra: 1\n")
+    assert trees.yaml_config(str(tmp_path / "c.yaml"), ["ttd", "extra"]) == {"ttd": 3, "extra": 1}
+    with pytest.raises(ValueError, match="unknown keys .* extra"):
+        trees.yaml_config(str(tmp_path / "c.yaml"), ["ttd"])
+
+
+def test_only_the_days_of_a_range_are_read(spark, tmp_path):
+    rows = spark.createDataFrame([(k, f"2024-01-0{k} 12:00:00") for k in range(1, 7)], "k int, at string").select("k", F.col("at").cast("timestamp_ntz").alias("ts"))
+    rows.withColumn("day", F.to_date("ts")).write.partitionBy("day").parquet(str(tmp_path / "d"))
+    found = trees.day_range(spark, str(tmp_path / "d"), "2024-01-02 12:00:00", "2024-01-04 11:59:59")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(day" in plan and "2024-01-02" in plan
+    assert [r.k for r in found.collect()] == [2, 3]
 
 
 def test_sinks(spark, tmp_path):

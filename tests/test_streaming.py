@@ -12,21 +12,59 @@ def source(spark, tmp_path, rows):
 
 
 ROWS = [(1, 1, 0, "on"), (2, 1, 10, "on"), (3, 1, 20, "off"), (4, 2, 5, "off"), (5, 2, 100, "on"), (6, 1, 70, "on"), (7, 1, 90, "off")]
+#: An event long after the others moves the watermark past them.
+LATER = (99, 9, 10_000, "late")
+
+
+#: Times of in_batches begin here: what lies at the epoch itself counts as late from the start.
+BASE = 60
+
+
+def minutes(rows, *columns):
+    return sorted(tuple(int(r[c].timestamp() // 60) - BASE if hasattr(r[c], "timestamp") else r[c] for c in columns) for r in rows)
 
 
 def test_sessions_and_first_seen(spark, tmp_path):
-    stream = source(spark, tmp_path, ROWS)
-    got = live.drained(live.sessions(stream, "30 minutes", "user_id"), "sessions_test", "complete").collect()
+    got = live.drained(live.sessions(source(spark, tmp_path, [*ROWS, LATER]), "30 minutes", "user_id")).collect()
     assert sorted((r.user_id, r.n) for r in got) == [(1, 2), (1, 3), (2, 1), (2, 1)]
-    kinds = live.drained(live.first_seen(source(spark, tmp_path / "b", ROWS), "kind"), "first_test").collect()
+    kinds = live.drained(live.first_seen(source(spark, tmp_path / "b", ROWS), "kind")).collect()
     assert sorted(r.kind for r in kinds) == ["off", "on"]
 
 
-def test_toggle_state(spark, tmp_path):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    stream = source(spark, tmp_path, ROWS).withColumn("is_off", F.col("kind") == "off").select("user_id", "ts", "event_id", "is_off")
-    got = live.drained(live.toggles(stream), "toggle_test").collect()
-    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-    minute = lambda t: int(t.timestamp() // 60)
-    base = min(minute(r.on_ts) for r in got)
-    assert sorted((r.user_id, minute(r.on_ts) - base, minute(r.off_ts) - base) for r in got) == [(1, 0, 20), (1, 70, 90)]
+def in_batches(spark, tmp_path, batches, columns):
+    """A stream that reads one file to a batch, in the order of the batches."""
+    for k, rows in enumerate(batches):
+        table = spark.createDataFrame(rows, columns).withColumn("ts", F.timestamp_micros((F.col("minute") + BASE).cast("long") * 60_000_000))
+        table.coalesce(1).write.mode("append").parquet(str(tmp_path / f"in/b{k}"))
+    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
+
+
+def test_toggle_state_waits_for_rows_that_come_late(spark, tmp_path):
+    live.with_rocks(spark)
+    # The off of minute 20 arrives a batch after the on of minute 70.
+    batches = [[ROWS[0], ROWS[1], ROWS[5]], [ROWS[2], ROWS[3], ROWS[4]], [ROWS[6]], [LATER]]
+    stream = in_batches(spark, tmp_path, batches, "event_id long, user_id long, minute int, kind string").withColumn("is_off", F.col("kind") == "off")
+    got = live.drained(live.toggles(stream.select("user_id", "ts", "event_id", "is_off"), "2 hours")).collect()
+    assert minutes(got, "user_id", "on_ts", "off_ts") == [(1, 0, 20), (1, 70, 90)]
+
+
+def test_onset_state(spark, tmp_path):
+    live.with_rocks(spark)
+    calm = [(k, 1, k, 10.0 + k % 2, False) for k in range(8)]
+    rows = [*calm, (20, 1, 20, 11.0, True), (21, 1, 21, 50.0, False), (22, 1, 22, 60.0, False), (30, 2, 5, 0.0, False), (31, 2, 6, 0.0, True), (32, 2, 7, 1.0, False), (99, 9, 10_000, 0.0, False)]
+    stream = in_batches(spark, tmp_path, [rows], "event_id long, user_id long, minute int, value double, incident boolean")
+    got = live.drained(live.onsets(stream.select("user_id", "ts", "event_id", "value", "incident"))).collect()
+    assert minutes(got, "user_id", "onset") == [(1, 21), (2, 7)]
+
+
+def test_streams_read_a_table_that_is_a_folder(spark, tmp_path):
+    from quern.plans.catalogue import oracle_sql, queries
+
+    import duckdb
+
+    spark.read.parquet("/root/testdata/sf0.001/events.parquet").repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    for name in ("stream_tumbling", "stream_sliding"):
+        want = con.sql(oracle_sql()[name]).fetchall()
+        assert queries()[name](spark, str(tmp_path)).count() == len(want) > 0
