@@ -167,7 +167,7 @@ _RUNS = f"""
     switches AS (SELECT conv_id, count(*) FILTER ((prev = 'code' AND side = 'telemetry') OR (prev = 'telemetry' AND side = 'code')) AS n_switches FROM c GROUP BY 1),
     runs AS (SELECT conv_id, any_value(n) AS n_calls, arg_min(nullif({_DATA}, ''), turn) FILTER ({_DATA} <> '') AS first_data, arg_min(side, turn) FILTER (side <> 'other') AS starts_with,
       count_if(side IN ('code', 'both'))::DOUBLE / count(*) AS code_share, count_if(side IN ('telemetry', 'both'))::DOUBLE / count(*) AS telemetry_share,
-      coalesce(count_if(side IN ('code', 'both') AND nth < floor(n / 4))::DOUBLE / nullif(count_if(nth < floor(n / 4)), 0), 0) AS first_quarter_code, count_if(contains(coalesce(text, ''), '1')) AS n_marked FROM s GROUP BY 1)
+      coalesce(count_if(side IN ('code', 'both') AND nth < floor(n / 4))::DOUBLE / nullif(count_if(nth < floor(n / 4)), 0), 0) AS first_quarter_code, CAST(count_if(contains(coalesce(text, ''), '1')) AS BIGINT) AS n_marked FROM s GROUP BY 1)
 """
 
 
@@ -203,7 +203,7 @@ def run_analysis(t: Tables) -> DataFrame:
 
 @query(f"""
     WITH {_RUNS} SELECT 'agent-' || (conv_id % 3) AS agent, count(*) AS n_runs, round(avg(n_calls), 6) AS mean_calls, round(avg(n_switches), 6) AS mean_switches, round(avg(code_share), 6) AS mean_code,
-      count_if(starts_with = 'code') AS n_code_first, round(100.0::DOUBLE * count_if(starts_with = 'code') / count(*), 6) AS pct_code_first, round(median(n_calls)::DOUBLE, 6) AS median_calls, max(n_calls) AS most_calls
+      CAST(count_if(starts_with = 'code') AS BIGINT) AS n_code_first, round(100.0::DOUBLE * count_if(starts_with = 'code') / count(*), 6) AS pct_code_first, round(median(n_calls)::DOUBLE, 6) AS median_calls, max(n_calls) AS most_calls
     FROM runs JOIN switches USING (conv_id) GROUP BY 1
 """)
 def run_summary(t: Tables) -> DataFrame:

@@ -300,7 +300,7 @@ def _judged(t: Tables) -> DataFrame:
 
 @query(f"""
     WITH {_SCORES} SELECT 't' || k AS trial_id, 'task' || n AS task, CASE WHEN has AND mode <> 'llm_judge_error' THEN mode END AS judge_mode, CASE WHEN has AND mode <> 'llm_judge_error' THEN round(reward, 6) END AS reward,
-      CASE WHEN has AND mode <> 'llm_judge_error' THEN rca END AS rca_accuracy, CASE WHEN has AND mode <> 'llm_judge_error' THEN hall END AS hallucinate_any, CASE WHEN NOT has THEN 'missing' WHEN mode = 'llm_judge_error' THEN 'errored' END AS problem FROM s
+      CAST(CASE WHEN has AND mode <> 'llm_judge_error' THEN rca END AS INT) AS rca_accuracy, CAST(CASE WHEN has AND mode <> 'llm_judge_error' THEN hall END AS INT) AS hallucinate_any, CASE WHEN NOT has THEN 'missing' WHEN mode = 'llm_judge_error' THEN 'errored' END AS problem FROM s
 """)
 def judged_trials(t: Tables) -> DataFrame:
     """Trials with the judge's record in place of a verifier's; those without one or with a failed one stay unscored and say why."""
@@ -409,7 +409,7 @@ def csv_round_trip(t: Tables) -> DataFrame:
     sinks.csv_by(t.conversations.select("conv_id", "turn", cats.alias("cats")), root, "conv_id")
     rows = t.spark.read.schema("turn long, cats string, conv_id long").option("header", True).option("escape", '"').csv(root)
     found = rows.withColumn("cats", text.parsed_list(F.col("cats")))
-    return found.select("conv_id", "turn", F.size("cats").alias("n_cats"), F.translate(F.array_join("cats", ","), "~", "'").alias("cats"))
+    return found.select("conv_id", "turn", big(F.size("cats")).alias("n_cats"), F.translate(F.array_join("cats", ","), "~", "'").alias("cats"))
 
 
 @query("SELECT 'agent' || (n_nationkey % 2) AS agent, 'm' || n_nationkey AS model, n_nationkey AS n, n_regionkey AS tokens FROM nation")
@@ -513,7 +513,7 @@ _ERROR = "CASE WHEN s_suppkey % 3 = 1 THEN 'AgentTimeoutError' WHEN s_suppkey %
 @query(f"SELECT 't' || s_suppkey AS trial_id, {_ERROR} AS exception, CASE WHEN s_suppkey % 6 = 0 THEN 0 WHEN s_suppkey % 10 = 0 THEN 2 ELSE length('It was flag' || s_nationkey) END AS n_chars FROM supplier WHERE coalesce({_ERROR}, '') <> 'RuntimeError'")
 def prediction_scan(t: Tables) -> DataFrame:
     """Predictions of the trials that ended by themselves or ran out of time; other errors are left out."""
-    return _results(t).where("kept").select("trial_id", "exception", F.char_length("report").alias("n_chars"))
+    return _results(t).where("kept").select("trial_id", "exception", big(F.char_length("report")).alias("n_chars"))
 
 
 @query(f"SELECT coalesce({_ERROR}, 'none') AS exception, coalesce({_ERROR}, '') <> 'RuntimeError' AS kept, count(*) AS n FROM supplier GROUP BY ALL")
