@@ -1,22 +1,24 @@
 """License detection by ordered signature rules.
 
-A rule is a phrase of words with a label and a priority. Its regular expression, on the
-lower-cased UTF-8 bytes, lets any run of non-word bytes stand between words and asks for
-word borders at both ends. Rules come from a hand-written list of license names and a
-hand-written list of wordings around them (a few hundred rules together), SPDX tags and
-copyright formulas, and the base phrases.
+Several hundred rules, written by hand (license_rules.py): sentences of license texts, tags
+with versions, names, wordings and copyright lines, each a regular expression over the
+lower-cased UTF-8 bytes with a label. Base phrases are rules too.
 
 One Aho-Corasick pass over a text finds which keywords it has; only the rules gated by those
-keywords run. Detections are then taken in order of priority, longer and earlier first; one
-that lies inside the interval of a detection already taken is suppressed. Base phrases are
-facts about the text: they are always reported, and only suppress others.
-
-Null and empty texts have no words and score 0. Whole texts are scanned, however long.
+keywords run. A rule's keyword is the rarest word that each of its matches must hold: a name
+rather than one of the words that all licenses share (COMMON). Detections are then taken in order of
+priority, longer and earlier first; one that lies inside the interval of a detection already taken
+is suppressed. Base phrases are facts about the text: they are always reported, and neither
+suppress others nor are suppressed.
+
+Null and empty texts have no words and score 0. Whole texts are scanned, however long; repeated
+rows are judged one by one; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
 import re
+import re._parser as sre
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -27,107 +29,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from quern.llm import license_rules
 from quern.llm.common import LOWER, buffer_of, configure, pieces, texts, word_spans
 
 #: (phrase, label) that every place is reported of.
 BASE = [("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved")]
 
-#: (label, names in words; a word with a dot is written as two).
-LICENSES = [
-    ("mit", ["mit", "expat", "x11"]),
-    ("apache-1.1", ["apache software 1 1"]),
-    ("apache-2.0", ["apache 2 0", "apache"]),
-    ("bsd-2-clause", ["bsd 2 clause", "simplified bsd", "freebsd"]),
-    ("bsd-3-clause", ["bsd 3 clause", "new bsd", "modified bsd"]),
-    ("bsd", ["bsd"]),
-    ("agpl", ["gnu affero general public", "affero general public", "agpl"]),
-    ("lgpl", ["gnu lesser general public", "gnu library general public", "lesser general public", "lgpl"]),
-    ("gpl", ["gnu general public", "gnu gpl", "gpl"]),
-    ("gfdl", ["gnu free documentation", "gfdl"]),
-    ("mpl-2.0", ["mozilla public", "mpl"]),
-    ("epl", ["eclipse public", "epl"]),
-    ("cddl", ["common development and distribution", "cddl"]),
-    ("cpl", ["common public"]),
-    ("isc", ["isc"]),
-    ("zlib", ["zlib", "zlib libpng"]),
-    ("artistic", ["artistic", "perl artistic"]),
-    ("boost", ["boost software"]),
-    ("python", ["python software foundation", "psf"]),
-    ("eupl", ["european union public", "eupl"]),
-    ("ms-pl", ["microsoft public"]),
-    ("ms-rl", ["microsoft reciprocal"]),
-    ("ofl", ["sil open font", "open font"]),
-    ("cc0", ["cc0", "cc0 1 0", "creative commons zero"]),
-    ("cc-by-nc-nd", ["cc by nc nd", "creative commons attribution noncommercial noderivatives", "creative commons attribution non commercial no derivatives"]),
-    ("cc-by-nc-sa", ["cc by nc sa", "creative commons attribution noncommercial sharealike", "creative commons attribution non commercial share alike"]),
-    ("cc-by-nc", ["cc by nc", "creative commons attribution noncommercial", "creative commons attribution non commercial"]),
-    ("cc-by-nd", ["cc by nd", "creative commons attribution noderivatives", "creative commons attribution no derivatives"]),
-    ("cc-by-sa", ["cc by sa", "creative commons attribution sharealike", "creative commons attribution share alike"]),
-    ("cc-by", ["cc by", "creative commons attribution"]),
-    ("odbl", ["open database", "odbl"]),
-    ("wtfpl", ["do what the fuck you want to public", "wtfpl"]),
-    ("postgresql", ["postgresql"]),
-    ("openssl", ["openssl"]),
-    ("php", ["php"]),
-    ("ruby", ["ruby"]),
-    ("vim", ["vim"]),
-    ("json", ["json"]),
-]
-
-#: Wordings around a license name: words before, words after. They run from the most to the least specific.
-WORDINGS = [
-    ("licensed under the terms of the", "license"),
-    ("licensed under the terms of the", ""),
-    ("licensed under the", "license"),
-    ("licensed under the", "licence"),
-    ("licensed under the", ""),
-    ("licensed under", ""),
-    ("released under the", "license"),
-    ("released under the", ""),
-    ("released under", ""),
-    ("distributed under the", "license"),
-    ("distributed under", ""),
-    ("available under the", "license"),
-    ("available under", ""),
-    ("subject to the terms of the", "license"),
-    ("the terms of the", "license"),
-    ("under the", "license"),
-    ("spdx license identifier", ""),
-    ("", "license version"),
-    ("", "license"),
-    ("", "licence"),
-]
-
-#: (phrase, label): formulas that name no license of the list.
-FORMULAS = [
-    ("permission is hereby granted free of charge to any person obtaining a copy", "mit"),
-    ("permission to use copy modify and or distribute this software for any purpose", "isc"),
-    ("redistribution and use in source and binary forms with or without modification are permitted", "bsd"),
-    ("this is free and unencumbered software released into the public domain", "unlicense"),
-    ("this program is free software you can redistribute it and or modify it", "gpl"),
-    ("this library is free software you can redistribute it and or modify it", "lgpl"),
-    ("this source code form is subject to the terms of the mozilla public license", "mpl-2.0"),
-    ("you may not use this file except in compliance with the license", "apache-2.0"),
-    ("released into the public domain", "public-domain"),
-    ("dedicated to the public domain", "public-domain"),
-    ("is in the public domain", "public-domain"),
-    ("the software is provided as is", "as-is"),
-    ("this software is provided as is", "as-is"),
-    ("without warranty of any kind", "no-warranty"),
-    ("no part of this publication may be reproduced", "proprietary"),
-    ("may not be reproduced without permission", "proprietary"),
-    ("reproduction without permission is prohibited", "proprietary"),
-    ("unauthorized copying of this file", "proprietary"),
-    ("proprietary and confidential", "proprietary"),
-    ("all rights are reserved", "proprietary"),
-    ("tous droits réservés", "proprietary"),
-    ("alle rechte vorbehalten", "proprietary"),
-    ("todos los derechos reservados", "proprietary"),
-    ("for non commercial use only", "non-commercial"),
-    ("for personal use only", "non-commercial"),
-    ("some rights reserved", "some-rights"),
-    ("no rights reserved", "no-rights"),
-]
+#: Words that tell nothing about which license a text speaks of, the most common first.
+COMMON = (
+    "the of and to in a is licen this or for by with be not under license licensed licence software use terms as any without version copyright distributed "
+    "released available provided published permission work public general open source free rights reserved notice all you may copy made file data "
+    "code subject material commons creative distribution document program"
+).split()
 
 #: Weight of one detection in the score: wordings that state a grant, bare mentions, base phrases.
 STATED, MENTIONED, BASED = 0.9, 0.5, 0.7
@@ -136,9 +49,26 @@ _SEP = rb"[\x00-\x2f\x3a-\x60\x7b-\x7f]+"
 _WORD = rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]"
 
 
+def _sure(form: list) -> Iterator[str]:
+    """Strings without a space that each match of a parsed pattern holds: runs of letters outside choices and repeats."""
+    run = ""
+    for kind, value in form:
+        if kind is sre.SUBPATTERN:
+            inner = list(_sure(value[-1]))
+            yield from inner
+        elif kind is sre.LITERAL and value != 0x20:
+            run += chr(value)
+            continue
+        if run:
+            yield run
+        run = ""
+    if run:
+        yield run
+
+
 @dataclass(frozen=True)
 class Rule:
-    phrase: str
+    form: str
     label: str
     priority: int
     weight: float
@@ -146,23 +76,26 @@ class Rule:
 
     @property
     def keyword(self) -> str:
-        """The phrase's longest word: a text without it can't match."""
-        return max(self.phrase.split(), key=len)
+        """A string that every match holds: of the words outside groups the one that is least common, the longest of several."""
+        words = list(_sure(sre.parse(self.form)))
+        rare = [w for w in words if w not in COMMON and not w.isdigit()]
+        return max(rare, key=len) if rare else max(words, key=lambda w: (COMMON.index(w) if w in COMMON else -1, len(w)))
 
     def pattern(self) -> re.Pattern[bytes]:
-        return re.compile(rb"(?<!" + _WORD + rb")" + _SEP.join(re.escape(w.encode()) for w in self.phrase.split()) + rb"(?!" + _WORD + rb")")
+        body = self.form.encode("latin-1").replace(b" ?", b"(?:" + _SEP + b")?").replace(b" ", _SEP)
+        first = rb"" if self.form.startswith("\\") else rb"(?<!" + _WORD + rb")"
+        return re.compile(first + body + rb"(?!" + _WORD + rb")", re.S)
 
 
 @lru_cache
 def rules() -> tuple[Rule, ...]:
-    """All rules. A lower priority number wins: formulas, then wordings from specific to bare, then base phrases."""
-    out = [Rule(p, label, 0, STATED, False) for p, label in FORMULAS]
-    for k, (before, after) in enumerate(WORDINGS):
-        for label, names in LICENSES:
-            # A name that is an ordinary word counts only where words around it state a grant.
-            out += [Rule(f"{before} {n} {after}".strip(), label, 1 + k, STATED if before else MENTIONED, False) for n in names]
-    out += [Rule(p, label, 1 + len(WORDINGS), BASED, True) for p, label in BASE]
-    return tuple({r.phrase + str(r.base): r for r in reversed(out)}.values())[::-1]
+    """All rules. A lower priority number wins: sections in order, in each the rules in order; base phrases stand outside."""
+    out = []
+    for section, weight in ((license_rules.GRANTS, STATED), (license_rules.TAGS, STATED), (license_rules.NAMES, MENTIONED), (license_rules.MENTIONS, MENTIONED)):
+        for line in section.strip().splitlines():
+            label, form = line.split("\t")
+            out.append(Rule(form, label, len(out), weight, False))
+    return tuple(out + [Rule(p, label, len(out) + k, BASED, True) for k, (p, label) in enumerate(BASE)])
 
 
 @lru_cache
@@ -177,12 +110,20 @@ def _machine() -> tuple[ahocorasick.Automaton, dict[str, list[tuple[Rule, re.Pat
     return found, gated
 
 
+def _gated(low: bytes) -> Iterator[tuple[Rule, re.Pattern[bytes]]]:
+    automaton, gated = _machine()
+    for w in sorted({w for _, w in automaton.iter(low.decode("latin-1"))}):
+        yield from gated[w]
+
+
 def detect(low: bytes) -> list[tuple[int, int, Rule]]:
     """(start, end, rule) of what is reported of a lower-cased text, in order of place."""
-    automaton, gated = _machine()
-    keys = sorted({w for _, w in automaton.iter(low.decode("utf-8", "replace"))})
-    every = [(m.start(), m.end(), r) for w in keys for r, p in gated[w] for m in p.finditer(low)]
-    every.sort(key=lambda x: (x[2].priority, x[0] - x[1], x[0], x[2].phrase))
+    return resolved([(m.start(), m.end(), r) for r, p in _gated(low) for m in p.finditer(low)])
+
+
+def resolved(every: list[tuple[int, int, Rule]]) -> list[tuple[int, int, Rule]]:
+    """What is left of all detections once those inside others of higher rank are suppressed."""
+    every.sort(key=lambda x: (x[2].priority, x[0] - x[1], x[0], x[2].form))
     taken = [x for x in every if x[2].base]
     kept: list[tuple[int, int, Rule]] = []
     spans: list[tuple[int, int]] = []  # of kept, in order
@@ -194,7 +135,7 @@ def detect(low: bytes) -> list[tuple[int, int, Rule]]:
                 kept.append(x)
                 insort(spans, x[:2])
                 longest = max(longest, x[1] - x[0])
-    return sorted(taken + kept, key=lambda x: (x[0], x[1], x[2].phrase))
+    return sorted(taken + kept, key=lambda x: (x[0], x[1], x[2].form))
 
 
 FOUND = "doc_id long, n_words long, detections array<struct<start_word:long,start:long,stop:long,label:string,phrase:string,base:boolean>>, score double"
@@ -219,7 +160,7 @@ def scan(docs: DataFrame) -> DataFrame:
                 for k, (a, b) in enumerate(zip(at.tolist(), at[1:].tolist())):
                     found = detect(body[a:b])
                     word = (np.searchsorted(starts, [a + x[0] for x in found]) - first[k]).tolist() if found else []
-                    detections.append([{"start_word": w, "start": s, "stop": e, "label": r.label, "phrase": r.phrase, "base": r.base} for w, (s, e, r) in zip(word, found)])
+                    detections.append([{"start_word": w, "start": s, "stop": e, "label": r.label, "phrase": r.form, "base": r.base} for w, (s, e, r) in zip(word, found)])
                     left = 1.0
                     for _, _, r in found:
                         left *= 1 - r.weight
