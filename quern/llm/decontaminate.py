@@ -10,16 +10,23 @@ all its verbatim occurrences, and neighbouring occurrences chain into longest ma
 Words are numbered by 64-bit hashes of the benchmark vocabulary; each occurrence is compared
 with the window's own bytes before it counts.
 
-The benchmark is broadcast in blocks of at most BLOCK_BYTES of text, one pass over the
-documents per block, so what is sent doesn't grow with it. Null and empty texts have no
-words and are never hit. Null items have no windows; a null item_id is written as an empty
-string. Repeated documents are judged one by one; repeated items count once per item_id.
+The benchmark is broadcast in blocks, one pass over the documents per block: a block's items
+are drawn to the driver one after another, the arrays made of them (some OBJECT_SHARE bytes for
+each byte of text) hold at most about OBJECT_BYTES, and a block that has done its work is
+destroyed. A text too long for a block goes in parts that overlap by a window less a word, so
+that a match across their border is told as two.
+
+Null and empty texts have no words and are never hit. Null items have no windows; a null
+item_id is written as an empty string. Repeated documents are judged one by one; repeated items
+count once per item_id. An empty benchmark hits nothing, an empty table gives no rows. Other
+columns, whatever their names, come through decontaminated() unchanged.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import cached_property
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +34,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from quern.llm.common import LOWER, buffer_of, configure, pieces, span_hashes, word_spans, written
+from quern.llm.common import LOWER, aside, back, buffer_of, configure, forget, pieces, span_hashes, word_spans, written
 
 WINDOW = 10
-BLOCK_BYTES = 16 << 20
+#: Bytes of a block's arrays, and how many of them a byte of text makes (measured: 21).
+OBJECT_BYTES, OBJECT_SHARE = 64 << 20, 24
+BLOCK_BYTES = OBJECT_BYTES // OBJECT_SHARE
 SHARD_BYTES = 2 << 20
 _SLOTS = 1 << 20
 
@@ -38,13 +47,14 @@ ADDED = "n_words long, spans array<struct<start:long,stop:long>>, items array<st
 
 
 class Benchmark:
-    """Windows of one block of items, numbered words and what a search needs. Small: its text is at most BLOCK_BYTES."""
+    """Windows of one block of items (name, text, number of its first word), numbered words and what a search needs."""
 
-    def __init__(self, items: list[tuple[str, str]], window: int) -> None:
+    def __init__(self, items: list[tuple[str, str, int]], window: int) -> None:
         self.window = window
-        self.names = sorted({name for name, _ in items})
+        self.names = sorted({name for name, _, _ in items})
         number = {name: k for k, name in enumerate(self.names)}
-        data, offsets = buffer_of(pa.array([text for _, text in items], pa.string()))
+        skipped = np.array([skip for _, _, skip in items], np.int64)
+        data, offsets = buffer_of(pa.array([text for _, text, _ in items], pa.string()))
         self.data = LOWER[data]
         self.starts, self.ends = word_spans(self.data, offsets)
         row = np.searchsorted(offsets, self.starts, "right") - 1
@@ -66,7 +76,7 @@ class Benchmark:
         # Equal windows are searched once: `owner` lists all places of window k at owner_at[k]:owner_at[k + 1].
         self.table, which = np.unique(table, axis=0, return_inverse=True) if len(table) else (table, np.zeros(0, np.int64))
         order = np.argsort(which.reshape(-1), kind="stable")
-        self.owner_item, self.owner_word = item[order], (at - first[row[at]] if len(at) else at)[order]
+        self.owner_item, self.owner_word = item[order], (at - first[row[at]] + skipped[row[at]] if len(at) else at)[order]
         self.owner_at = np.searchsorted(which.reshape(-1)[order], np.arange(len(self.table) + 1))
         self.length = (self.table > 0).sum(axis=1)
         self.place = at[order][self.owner_at[:-1]] if len(at) else at
@@ -210,42 +220,72 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def blocks(benchmark: DataFrame, limit: int = BLOCK_BYTES) -> Iterator[list[tuple[str, str]]]:
-    """The items in blocks of about limit bytes of text, one at a time on the driver."""
+def parts_of(text: str, limit: int, window: int) -> Iterator[tuple[str, int]]:
+    """A text in parts of about limit bytes that overlap by window - 1 words, each with the number of its first word."""
+    if len(text) <= limit:
+        yield text, 0
+        return
+    data = text.encode()
+    starts, ends = word_spans(LOWER[np.frombuffer(data, np.uint8)], np.array([0, len(data)]))
+    lo = 0
+    while lo < len(starts):
+        # At least a word more than the overlap, or the next part would begin where this one does.
+        hi = max(lo + window, int(np.searchsorted(ends, starts[lo] + limit, "right")))
+        yield data[starts[lo] : ends[min(hi, len(starts)) - 1]].decode(), lo
+        if hi >= len(starts):
+            return
+        lo = hi - window + 1
+
+
+def blocks(benchmark: DataFrame, limit: int = BLOCK_BYTES, window: int = WINDOW) -> Iterator[list[tuple[str, str, int]]]:
+    """The items in blocks of about limit bytes of text, one block at a time on the driver."""
     held, size = [], 0
     rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("name"), F.col("text").cast("string").alias("text")).where("text is not null")
     for r in rows.toLocalIterator():
-        if held and size + len(r.text) > limit:
-            yield held
-            held, size = [], 0
-        held.append((r.name, r.text))
-        size += len(r.text)
+        for part, skip in parts_of(r.text, limit, window):
+            n = len(part.encode())
+            if held and size + n > limit:
+                yield held
+                held, size = [], 0
+            held.append((r.name, part, skip))
+            size += n
     if held:
         yield held
 
 
+NAMES = ("n_words", "spans", "items", "matches")
+
+
 def found(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs with n_words, spans (hit words, half-open), items (ids whose windows occur, sorted as strings) and matches (longest verbatim matches and where they are)."""
+    """docs with n_words, spans (hit words, half-open), items (ids whose windows occur, sorted as strings) and matches (longest verbatim matches and where they are). Columns that docs has under these names are replaced."""
     spark = docs.sparkSession
     configure(spark)
-    out, clash = None, {"n_words", "spans", "items", "matches"}
-    rest = [c for c in docs.columns if c not in clash]
+    rest = [c for c in docs.columns if c not in NAMES]
     schema = StructType([*docs.select(*rest).schema.fields, *StructType.fromDDL(ADDED).fields])
-    for items in [*blocks(benchmark, block_bytes)] or [[]]:
-        shared = spark.sparkContext.broadcast(Benchmark(items, window))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, again=out is not None) -> Iterator[pa.RecordBatch]:
+    out = past = last = None
+    todo = blocks(benchmark, block_bytes, window)
+    for items in chain([next(todo, [])], todo):
+        if out is not None:
+            # What the block before found is written, so that block and the table before that can go.
+            done = written(out, "blocks")
+            last.destroy()
+            if past is not None:
+                forget(spark, past)
+            past = done
+        last = spark.sparkContext.broadcast(Benchmark(items, window))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=last, again=past is not None) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 before = tuple(batch.column(c).to_pylist() for c in ("spans", "items", "matches")) if again else None
                 n_words, *more = _scan(shared.value, batch.column("text"), before)
                 kinds = [pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])), pa.list_(pa.string()), pa.list_(pa.struct([("item_id", pa.string()), ("doc_word", pa.int64()), ("item_word", pa.int64()), ("n_words", pa.int64())]))]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(n_words, pa.int64()), *map(pa.array, more, kinds)], [*rest, "n_words", "spans", "items", "matches"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(n_words, pa.int64()), *map(pa.array, more, kinds)], [*rest, *NAMES])
 
-        source = docs.select(*rest) if out is None else written(out, "blocks")
-        out = source.mapInArrow(run, schema)
+        out = (docs.select(*rest) if past is None else past).mapInArrow(run, schema)
     return out
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs without those in which any benchmark window occurs."""
-    return found(docs, benchmark, window).where(F.size("items") == 0).select(*[c for c in docs.columns if c not in {"n_words", "spans", "items", "matches"}])
+    kept = found(aside(docs, NAMES), benchmark, window).where(F.size("items") == 0)
+    return back(kept, docs.columns, NAMES)

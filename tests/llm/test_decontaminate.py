@@ -67,7 +67,7 @@ DOCS = [*AWKWARD, (20, "x a b c d e f g h i j k l y"), (21, "a b c d e f g h i j
 def test_awkward_rows_and_short_items_in_one_or_many_blocks(spark):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     want = {(i, n, h, k) for i, n, h, k, *_ in brute(DOCS, [(i, t) for i, t in ITEMS])}
-    for limit in (1 << 20, 30):
+    for limit in (1 << 20, 70):
         rows = decontaminate.found(clashing(docs_of(spark, DOCS)), items, block_bytes=limit).collect()
         assert len(rows) == len(DOCS)
         assert {(r.doc_id, r.n_words, sum(s.stop - s.start for s in r.spans), len(r.items)) for r in rows} == want
@@ -80,6 +80,32 @@ def test_filter_and_empty_tables(spark):
     docs = docs_of(spark, DOCS)
     kept = decontaminate.decontaminated(docs, items)
     assert kept.columns == docs.columns
+    named = clashing(docs)
+    both = decontaminate.decontaminated(named, items)
+    assert both.columns == named.columns and {(r.n_words, r.spans, r.items, r.matches) for r in both.collect()} == {("clash",) * 4}
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [1, 2, 3, 7, 23, 24, 25]
     assert decontaminate.decontaminated(docs, items.limit(0)).count() == len(DOCS)
     assert decontaminate.found(docs.limit(0), items).collect() == []
+
+
+def test_long_items_go_in_parts(spark):
+    words = [f"w{k}" for k in range(60)]
+    text = " ".join(words)
+    parts = list(decontaminate.parts_of(text, 60, 10))
+    assert len(parts) > 3 and {(k + j, w) for body, k in parts for j, w in enumerate(body.split())} == set(enumerate(words))
+    windows = {tuple(body.split()[j : j + 10]) for body, _ in parts for j in range(len(body.split()) - 9)}
+    assert windows == {tuple(words[j : j + 10]) for j in range(51)}
+    items = spark.createDataFrame([(1, text)], "item_id long, text string")
+    rows = decontaminate.found(docs_of(spark, [(1, "x " + text), (2, " ".join(words[30:41])), (3, "w1 w2")]), items, block_bytes=60).collect()
+    assert {r.doc_id: [(s.start, s.stop) for s in r.spans] for r in rows} == {1: [(1, 61)], 2: [(0, 11)], 3: []}
+    assert {(m.doc_word - 1 - m.item_word) for r in rows if r.doc_id == 1 for m in r.matches} == {0}
+
+
+def test_a_block_holds_what_its_bound_says():
+    rng = __import__("random").Random(1)
+    text = " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9))) for _ in range(60_000))
+    bench = decontaminate.Benchmark([("1", text, 0)], 10)
+    bench.openers, bench.bounds  # noqa: B018
+    arrays = [x for v in vars(bench).values() for x in (v if isinstance(v, tuple | list) else [v])]
+    size = sum(x.nbytes for y in arrays for x in (y if isinstance(y, list) else [y]) if hasattr(x, "nbytes"))
+    assert size < 3 * decontaminate.OBJECT_SHARE * len(text)
