@@ -10,7 +10,7 @@ import ctypes
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -35,9 +35,11 @@ def configure(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; one of our own only where the session names none."""
+    """The folder all executors share; one of our own only where the session names none and is a local one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='quern-checkpoints-')}"
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -71,6 +73,21 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
 
 
+_OWN = "__own_"
+
+
+def aside(docs: DataFrame, names: Iterable[str]) -> DataFrame:
+    """docs with its columns of those names renamed, so that an operator can give such columns of its own; back() undoes it."""
+    taken = set(names)
+    return docs.select(*[F.col(f"`{c}`").alias(_OWN + c if c in taken else c) for c in docs.columns])
+
+
+def back(docs: DataFrame, columns: Sequence[str], names: Iterable[str]) -> DataFrame:
+    """The columns that docs had before aside()."""
+    taken = set(names)
+    return docs.select(*[F.col(f"`{_OWN + c}`").alias(c) if c in taken else F.col(f"`{c}`") for c in columns])
+
+
 def buffer_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and row offsets (n + 1) of a string column; null counts as empty."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column

@@ -24,8 +24,9 @@ window that many share stands in as many contexts; windows around such hot minim
 dealt by half of the context too. Groups and buckets are as many as the text needs.
 
 Null texts count as empty; texts shorter than `depth` have no windows. A null id counts as
-larger than any other. Rows of equal id don't remove from each other. Equal spans are told
-by 128 bits of two hashes; windows of different spans by their bytes.
+larger than any other. Rows of equal id don't remove from each other, repeated rows included.
+An empty table gives no rows. Other columns, whatever their names, come through unchanged.
+Equal spans are told by 128 bits of two hashes; windows of different spans by their bytes.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from quern.llm.common import PIECE_BYTES, buffer_of, mix64, pieces, release_memory, span_hashes, written
+from quern.llm.common import PIECE_BYTES, aside, back, buffer_of, mix64, pieces, release_memory, span_hashes, written
 
 DEPTH = 50
 GROUP_BYTES = 4 << 20
@@ -131,7 +132,7 @@ class Group:
         self.data, self.offsets = buffer_of(docs.column("text"))
         self.ids = docs.column("doc_id").fill_null(int(_LAST_ID)).to_numpy().astype(np.int64)
         copied = {(r["o"], r["tag"]) for r in known.filter(pc.equal(known.column("kind"), 0)).select(["o", "tag"]).to_pylist()}
-        tags = docs.column("tag").to_pylist()
+        tags = docs.column("__tag").to_pylist()
         self.copies = np.array([(o, t) in copied for o, t in zip(self.ids.tolist(), tags)], bool) if copied else np.zeros(len(tags), bool)
         h, row, first, n, place = anchors(self.data, self.offsets, depth)
         own = ~self.copies[row]
@@ -230,7 +231,7 @@ _KNOWN_DDL = "g long, kind int, o long, tag long, hash binary, digest binary, ma
 def _send_hashes(docs: pa.Table, known: pa.Table, depth: int, n: int) -> pa.Table:
     if not docs.num_rows:
         return _table([], _HASHES)
-    g, (h, many) = docs.column("g")[0].as_py(), Group(docs, known, depth).repeated()
+    g, (h, many) = docs.column("__g")[0].as_py(), Group(docs, known, depth).repeated()
     bucket = _buckets(h, n)
     run = _runs(bucket) if len(h) else []
     return _table([(int(bucket[a]), g, h[a:b][~many[a:b]].tobytes(), h[a:b][many[a:b]].tobytes()) for a, b in zip(run, [*run[1:], len(h)])], _HASHES)
@@ -262,7 +263,7 @@ def _match_hashes(sent: pa.Table, hot_groups: int) -> pa.Table:
 def _send_spans(docs: pa.Table, known: pa.Table, depth: int, n: int) -> pa.Table:
     if not docs.num_rows:
         return _table([], _SPANS)
-    g, group = docs.column("g")[0].as_py(), Group(docs, known, depth)
+    g, group = docs.column("__g")[0].as_py(), Group(docs, known, depth)
     wanted = _array(known.filter(pc.equal(known.column("kind"), 1)).column("hash"), np.uint64)
     at, digest, run = group.spans(np.unique(np.concatenate([np.zeros(0, np.uint64), *wanted])))
     at, digest = at[run], digest[run]
@@ -372,22 +373,30 @@ def _cut(docs: pa.Table, known: pa.Table, depth: int, columns: list[str], schema
 ADDED = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
 
 
+#: Names that cut() gives, and how many tasks a text with many copies is looked up in.
+NAMES = tuple(x.split()[0] for x in ADDED.split(", "))
+SALTS = 16
+
+
 def cut(docs: DataFrame, depth: int = DEPTH, group_bytes: int = GROUP_BYTES, hot_groups: int = HOT_GROUPS) -> DataFrame:
-    """docs with n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 and kept_text (what is left, without characters cut in two). Columns of these names, g and tag are replaced."""
+    """docs with n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 and kept_text (what is left, without characters cut in two). Columns that docs has under these names are replaced; deduplicated() keeps them."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     minimizer_length(depth)
-    columns = [c for c in docs.columns if c not in {x.split()[0] for x in ADDED.split(", ")} | {"g", "tag"}]
+    columns = [c for c in docs.columns if c not in NAMES]
     body = F.coalesce(F.col("text").cast("string"), F.lit(""))
     n_bytes = docs.agg(F.sum(F.octet_length(body))).first()[0] or 0
     n = int(n_bytes // group_bytes) + 1
     tag, order = F.xxhash64(body), F.coalesce(F.col("doc_id").cast("long"), F.lit(int(_LAST_ID)))
     g = F.pmod(F.xxhash64("doc_id", tag), F.lit(n))
-    rows = docs.select(*columns, tag.alias("tag"), g.alias("g")).withColumn("doc_id", F.col("doc_id").cast("long"))
+    rows = docs.select(*columns, tag.alias("__tag"), g.alias("__g")).withColumn("doc_id", F.col("doc_id").cast("long"))
 
+    # Only texts of two ids or more are looked up, each in SALTS places: one that a third of all documents have is no single key.
     light = docs.select(g.alias("g"), order.alias("o"), tag.alias("tag"), F.sha2(body, 256).alias("whole"))
-    least = light.groupBy("whole").agg(F.min("o").alias("least"))
-    copies = light.join(least, "whole").where("o > least").select("g", F.lit(0).alias("kind"), "o", "tag", *(F.lit(None).cast("binary").alias(c) for c in ("hash", "digest", "mask")))
+    least = light.groupBy("whole").agg(F.min("o").alias("least"), F.max("o").alias("most")).where("least < most")
+    spread = least.select("whole", "least", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    dealt = light.withColumn("salt", F.pmod(F.xxhash64("o"), F.lit(SALTS)).cast("int"))
+    copies = dealt.join(spread, ["whole", "salt"]).where("o > least").select("g", F.lit(0).alias("kind"), "o", "tag", *(F.lit(None).cast("binary").alias(c) for c in ("hash", "digest", "mask")))
     copies = written(copies.distinct(), "copies")
 
     def ddl(schema: pa.Schema) -> str:
@@ -410,7 +419,7 @@ def cut(docs: DataFrame, depth: int = DEPTH, group_bytes: int = GROUP_BYTES, hot
     five = released(lambda d, k: _cut(d, k, depth, columns, arrow))
 
     def with_docs(known: DataFrame, step: Callable[[pa.Table, pa.Table], pa.Table], out: str | StructType) -> DataFrame:
-        left, right = rows.groupBy("g"), known.groupBy("g")
+        left, right = rows.groupBy("__g"), known.groupBy("g")
         return left.cogroup(right).applyInArrow(lambda d, k: step(d, k), out)
 
     # The three passes over the documents share one shuffle of them.
@@ -423,7 +432,7 @@ def cut(docs: DataFrame, depth: int = DEPTH, group_bytes: int = GROUP_BYTES, hot
 
 def deduplicated(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     """docs with the repeated passages cut out of text, and n_chars, where there is one, counted again."""
-    out = cut(docs, depth).withColumn("text", F.col("kept_text"))
+    out = cut(aside(docs, NAMES), depth).withColumn("text", F.col("kept_text"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return back(out, docs.columns, NAMES)

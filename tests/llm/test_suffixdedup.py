@@ -89,6 +89,19 @@ def test_deduplicated_text_and_empty_tables(spark):
     assert {i: r.text for i, r in rows.items()} == {1: "x" + passage, 2: "ab", 3: ""}
     assert {i: r.n_chars for i, r in rows.items()} == {1: 61, 2: 2, 3: 0}
     assert suffixdedup.deduplicated(docs).columns == docs.columns
+    named = clashing(docs)
+    kept = suffixdedup.deduplicated(named)
+    assert kept.columns == named.columns and {(r.doc_id, r.g, r.tag, r.n_bytes, r.kept_text) for r in kept.collect()} == {(i, *["clash"] * 4) for i in (1, 2, 3)}
+
+
+def test_a_text_that_most_documents_share(spark):
+    rows = [(k, "") for k in range(300)] + [(1000 + k, "the same text again and again, longer than one window of bytes") for k in range(300)]
+    found = {r.doc_id: r.n_removed for r in suffixdedup.cut(docs_of(spark, rows), 50, 2000).collect()}
+    assert found == {k: 0 for k in range(300)} | {1000: 0} | {1000 + k: 62 for k in range(1, 300)}
+
+
+def test_an_empty_table_gives_no_rows(spark):
+    docs = docs_of(spark, [(1, "x")])
     assert suffixdedup.cut(docs.limit(0)).collect() == []
 
 
@@ -99,7 +112,7 @@ def test_buckets_sorted_in_parts_answer_alike(monkeypatch):
     passage = "".join(rng.choice("abcd ") for _ in range(400))
     texts = ["".join(rng.choice("abcd ") for _ in range(60)) + passage[k : k + 200] for k in range(0, 200, 20)]
     known, answers = suffixdedup._table([], suffixdedup._KNOWN), []
-    docs = pa.table({"doc_id": list(range(len(texts))), "text": texts, "tag": [0] * len(texts), "g": [0] * len(texts)})
+    docs = pa.table({"doc_id": list(range(len(texts))), "text": texts, "__tag": [0] * len(texts), "__g": [0] * len(texts)})
     h = suffixdedup.Group(docs, known, 50).repeated()[0]
     for kind in (1, 3):
         wanted = suffixdedup._table([(0, kind, None, None, h.tobytes(), None, None)], suffixdedup._KNOWN)
