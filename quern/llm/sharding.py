@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 
 #: Rows that one bucket of a shard is to hold, about.
 BUCKET_ROWS = 50_000
+#: Slots of equal rows that are made at once.
+RUN = 10_000
 
 
 def shard_of(key: Column, weights: Sequence[float]) -> Column:
@@ -42,9 +44,9 @@ def shard_of(key: Column, weights: Sequence[float]) -> Column:
     return (F.greatest(*picks) if len(picks) > 1 else picks[0])["shard"]
 
 
-def with_slots(rows: DataFrame, shard: str, content: Sequence[str], n_rows: int) -> DataFrame:
+def with_slots(rows: DataFrame, shard: str, content: Sequence[str], n_rows: int, n_shards: int) -> DataFrame:
     """rows with slot: gapless from 0 in each shard. content: columns that fix a row's place; rows that are equal in them are interchangeable."""
-    buckets = max(1, n_rows // BUCKET_ROWS)
+    buckets = max(1, n_rows // n_shards // BUCKET_ROWS)
     counted = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("__n"))
     counted = counted.withColumn("__b", F.pmod(F.xxhash64(*content), F.lit(buckets)))
     sums = counted.groupBy(shard, "__b").agg(F.sum("__n").alias("__m"))
@@ -53,8 +55,10 @@ def with_slots(rows: DataFrame, shard: str, content: Sequence[str], n_rows: int)
     inside = Window.partitionBy(shard, "__b").orderBy(*content).rowsBetween(Window.unboundedPreceding, -1)
     numbered = counted.withColumn("__k", F.coalesce(F.sum("__n").over(inside), F.lit(0)))
     numbered = numbered.join(firsts, (F.col(shard) == F.col("__s")) & (F.col("__b") == F.col("__c")))
-    first = F.col("__first") + F.col("__k")
-    return numbered.withColumn("slot", F.explode(F.sequence(first, first + F.col("__n") - 1))).select(*rows.columns, "slot")
+    first, last = F.col("__first") + F.col("__k"), F.col("__first") + F.col("__k") + F.col("__n") - 1
+    # Many equal rows are dealt out run by run: no array is longer than RUN.
+    runs = numbered.select(*rows.columns, last.alias("__last"), F.explode(F.sequence(first, last, F.lit(RUN).cast("long"))).alias("__from"))
+    return runs.select(*rows.columns, F.explode(F.sequence("__from", F.least(F.col("__from") + RUN - 1, "__last"))).alias("slot"))
 
 
 def shard(docs: DataFrame, n_shards: int = 24, weights: Sequence[float] | None = None, grown_weight: float = 1.0, key: str = "doc_id") -> DataFrame:
@@ -69,5 +73,5 @@ def shard(docs: DataFrame, n_shards: int = 24, weights: Sequence[float] | None =
         shard_of(F.col(key), weights).alias("shard"),
         shard_of(F.col(key), [*weights, grown_weight]).alias("grown_shard"),
     )
-    out = with_slots(rows, "shard", ["doc_id", "size", "text_crc32"], docs.select("doc_id").count())
+    out = with_slots(rows, "shard", ["doc_id", "size", "text_crc32"], docs.select("doc_id").count(), len(weights))
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
