@@ -3,7 +3,7 @@ from __future__ import annotations
 import corpus_pipeline
 from quern.llm import quality
 
-from . import test_decontaminate, test_simhash, test_suffixdedup
+from . import test_decontaminate, test_suffixdedup
 from .tables import AWKWARD, least_reachable
 
 DIR = "/root/testdata/sf0.001"
@@ -13,6 +13,12 @@ def rows_of(df):
     return {r.doc_id: r for r in df.collect()}
 
 
+def shingles(text):
+    """Five-word shingles of a text as a set; fewer words make one."""
+    words = (text or "").encode().lower().split()
+    return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+
+
 def test_stages_equal_brute_force(spark):
     docs = spark.read.parquet(f"{DIR}/documents.parquet")
     outs = []
@@ -25,9 +31,9 @@ def test_stages_equal_brute_force(spark):
     order = sorted(first)
     scores = dict(zip(order, model.scores([first[i].text.encode() for i in order])))
     assert set(good) == {i for i in first if scores[i] >= quality.THRESHOLD}
-    prints = {i: test_simhash.brute_fingerprint(r.text) for i, r in good.items()}
-    names = sorted(prints)
-    linked = [(a, b) for k, a in enumerate(names) for b in names[k + 1 :] if (prints[a] ^ prints[b]).bit_count() <= 3]
+    sets = {i: shingles(r.text) for i, r in good.items()}
+    names = sorted(sets)
+    linked = [(a, b) for k, a in enumerate(names) for b in names[k + 1 :] if sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
     assert set(single) == set(least_reachable(names, linked).values())
     want = {i: n for i, _, n, _, _ in test_suffixdedup.brute([(i, r.text) for i, r in single.items()], 100)}
     assert set(cut) == set(single)
