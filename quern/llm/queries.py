@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import bpe, decontaminate, fingerprints, licenses, lm, quality, sharding, simhash, suffixdedup, tokencount
+from quern.llm import bpe, conversations, decontaminate, fingerprints, licenses, lm, oracles, quality, sharding, simhash, suffixdedup, tokencount
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,6 +84,10 @@ def op10_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_docs(spark, sf_dir), n_shards=24)
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.audits(conversations.damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
 def queries() -> dict:
     return {
         "op1_quality_classifier": op1_quality_classifier,
@@ -96,6 +100,7 @@ def queries() -> dict:
         "op8_token_counts": op8_token_counts,
         "op9_license_scan": op9_license_scan,
         "op10_rendezvous_shards": op10_rendezvous_shards,
+        "op11_conversation_repair": op11_conversation_repair,
     }
 
 
@@ -118,4 +123,4 @@ OP7_SQL = f"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_decontamination": OP7_SQL}
+    return {"op7_decontamination": OP7_SQL, "op11_conversation_repair": oracles.op11()}
