@@ -65,3 +65,30 @@ def op11() -> str:
         coalesce(substr(path, 1, 6)::BIGINT, 0) AS cost, coalesce(substr(path, 7), '') AS audit, sha256(coalesce(whole, '')) AS repaired_sha256
     FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN repaired w ON w.conv_id IS NOT DISTINCT FROM o.conv_id
     """
+
+
+def op13(parts: int = 8, entries: int = 16, rounds: int = 6, scale: int = 4096) -> str:
+    """For vec_ids that occur once and vectors of one length, a multiple of parts."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""
+    d{r} AS MATERIALIZED (SELECT x.vec_id, x.part, e.entry, sum((x.v - e.v) * (x.v - e.v))::BIGINT AS d FROM x JOIN e{r} e ON e.part = x.part AND e.pos = x.pos GROUP BY ALL),
+    a{r} AS MATERIALIZED (SELECT vec_id, part, arg_min(entry, d * {entries} + entry) AS entry, min(d) AS d FROM d{r} GROUP BY ALL)""")
+        if r < rounds:
+            steps.append(f"""
+    m{r} AS (SELECT x.part, a.entry, x.pos, floor(sum(x.v)::DOUBLE / count(*))::BIGINT AS v FROM x JOIN a{r} a ON a.vec_id = x.vec_id AND a.part = x.part GROUP BY ALL),
+    e{r + 1} AS MATERIALIZED (SELECT e.part, e.entry, e.pos, coalesce(m.v, e.v) AS v FROM e{r} e LEFT JOIN m{r} m ON m.part = e.part AND m.entry = e.entry AND m.pos = e.pos)""")
+    return f"""
+    WITH good AS (
+        SELECT vec_id, label, embedding, len(embedding) // {parts} AS width FROM embeddings
+        WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NOT NULL AND isfinite(c))) = len(embedding)),
+    x AS MATERIALIZED (
+        SELECT vec_id, (i - 1) // width AS part, (i - 1) % width AS pos, floor(embedding[i]::DOUBLE * {scale})::BIGINT AS v
+        FROM (SELECT *, unnest(range(1, len(embedding) + 1)) AS i FROM good)),
+    firsts AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM good ORDER BY vec_id LIMIT {entries}),
+    e0 AS MATERIALIZED (SELECT part, entry, pos, v FROM x JOIN firsts USING (vec_id)),{",".join(steps)},
+    coded AS (SELECT vec_id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY 1)
+    SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error,
+        (SELECT sha256(string_agg(v::VARCHAR, ',' ORDER BY part, entry, pos)) FROM e{rounds}) AS codebooks_sha256
+    FROM coded JOIN good USING (vec_id)
+    """

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import bpe, conversations, decontaminate, fingerprints, licenses, lm, oracles, quality, sharding, simhash, suffixdedup, tokencount
+from quern.llm import bpe, codebooks, conversations, decontaminate, fingerprints, licenses, lm, oracles, quality, sharding, simhash, suffixdedup, tokencount
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,6 +88,12 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.audits(conversations.damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = codebooks.trained(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    digest = F.lit(books.digest() if books is not None else "")
+    return codebooks.with_label_errors(coded).select("vec_id", "code", "error", "label_error", digest.alias("codebooks_sha256"))
+
+
 def queries() -> dict:
     return {
         "op1_quality_classifier": op1_quality_classifier,
@@ -101,6 +107,7 @@ def queries() -> dict:
         "op9_license_scan": op9_license_scan,
         "op10_rendezvous_shards": op10_rendezvous_shards,
         "op11_conversation_repair": op11_conversation_repair,
+        "op13_vector_codes": op13_vector_codes,
     }
 
 
@@ -123,4 +130,4 @@ OP7_SQL = f"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_decontamination": OP7_SQL, "op11_conversation_repair": oracles.op11()}
+    return {"op7_decontamination": OP7_SQL, "op11_conversation_repair": oracles.op11(), "op13_vector_codes": oracles.op13()}
