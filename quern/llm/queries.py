@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import bpe, codebooks, conversations, decontaminate, fingerprints, licenses, lm, oracles, quality, sharding, simhash, suffixdedup, tokencount
+from quern.llm import bpe, codebooks, conversations, decontaminate, fingerprints, licenses, lm, oracles, pages, quality, sharding, simhash, suffixdedup, tokencount
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,6 +88,10 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.audits(conversations.damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
 
 
+def op12_main_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extracted(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded, books = codebooks.trained(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
     digest = F.lit(books.digest() if books is not None else "")
@@ -107,6 +111,7 @@ def queries() -> dict:
         "op9_license_scan": op9_license_scan,
         "op10_rendezvous_shards": op10_rendezvous_shards,
         "op11_conversation_repair": op11_conversation_repair,
+        "op12_main_texts": op12_main_texts,
         "op13_vector_codes": op13_vector_codes,
     }
 
