@@ -21,6 +21,13 @@ def workspace(spark: SparkSession, tag: str) -> str:
     return f"{found.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
+def settled(rows: DataFrame, tag: str) -> DataFrame:
+    """rows as a table in the shared folder, read again: for what a plan needs several times, and to cut lineage."""
+    path = workspace(rows.sparkSession, tag)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def put_files(rows: DataFrame, root: str) -> int:
     """Writes each row's body to the file root/path and returns how many there were. For trees that people read, one file per entity: rows come to the driver one at a time."""
     spark, n = rows.sparkSession, 0

@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import hashlib
 import math
+import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -83,11 +85,42 @@ def test_intervals_and_as_of(spark):
     inside = timeline.within(points, found.drop("k"), "at", "on_ts", "off_ts", 600, open_until=last).select(minutes("at")).collect()
     assert sorted(r[0] for r in inside) == [10, 15, 20, 25, 50, 55]
     marks = toggles.where("is_off").select("ts")
-    for bucket in (60, 600, 86_400):
-        nxt = timeline.next_after(points, marks, "at", "ts", "x", bucket_seconds=bucket).select(minutes("at"), minutes("x")).collect()
-        assert {a: b for a, b in nxt} == {m: next((o for o in (0, 30, 40) if o > m), None) for m in range(0, 60, 5)}
-        old = timeline.last_at(points, marks, "at", "ts", "x", bucket_seconds=bucket).select(minutes("at"), minutes("x")).collect()
-        assert {a: b for a, b in old} == {m: max(o for o in (0, 30, 40) if o <= m) for m in range(0, 60, 5)}
+    nxt = timeline.next_after(points, marks, "at", "ts", "x").select(minutes("at"), minutes("x")).collect()
+    assert {a: b for a, b in nxt} == {m: next((o for o in (0, 30, 40) if o > m), None) for m in range(0, 60, 5)}
+    old = timeline.last_at(points, marks, "at", "ts", "x").select(minutes("at"), minutes("x")).collect()
+    assert {a: b for a, b in old} == {m: max(o for o in (0, 30, 40) if o <= m) for m in range(0, 60, 5)}
+
+
+@pytest.mark.parametrize("spread", [50, 10**6, 10**9, 10**12, 10**16])
+def test_as_of_picks_at_every_spacing(spark, spread):
+    """Against bisect: microseconds to centuries, before and after 1970, repeated times, null times and keys, marks that carry values."""
+    rng = random.Random(spread)
+    at = lambda: rng.choice([rng.randrange(-spread, spread), rng.randrange(-9, 9)])
+    marks = [(rng.choice("ab"), at(), i) for i in range(300)]
+    points = [(rng.choice(["a", "b", "c", None]), rng.choice([at(), at(), at(), None]), i) for i in range(400)]
+    stamp = F.timestamp_micros("t").cast("timestamp_ntz")
+    m = spark.createDataFrame(marks, "k string, t long, v int").select("k", stamp.alias("mark"), "v")
+    p = spark.createDataFrame(points, "k string, t long, i int").select("k", stamp.alias("ts"), "i")
+    micros = timeline.micros
+    for keys in ([], ["k"]):
+        for pick, forward in ((timeline.next_after, True), (timeline.last_at, False)):
+            found = {r.i: (r.x, r.v) for r in pick(p, m if keys else m.drop("k"), "ts", "mark", "out", keys, carry=["v"]).select("i", micros(F.col("out")).alias("x"), "v").collect()}
+            assert len(found) == len(points)
+            for k, t, i in points:
+                own = [(u, v) for key, u, v in marks if t is not None and (not keys or key == k) and (u > t if forward else u <= t)]
+                assert found[i] == ((min(own) if forward else max(own)) if own else (None, None))
+
+
+def test_as_of_grows_with_the_rows(spark):
+    """Four times the rows in one bucket of time take less than six times as long: frames run, they don't start anew."""
+    def took(n):
+        sides = [spark.range(n).select(F.timestamp_micros(F.col("id") * 2 + k).cast("timestamp_ntz").alias("t")) for k in (0, 1)]
+        began = time.perf_counter()
+        timeline.next_after(sides[0], sides[1].withColumnRenamed("t", "mark"), "t", "mark", "x").write.format("noop").mode("overwrite").save()
+        return time.perf_counter() - began
+
+    took(1000)
+    assert took(400_000) < 6 * max(1.0, took(100_000))
 
 
 def test_moves_and_quarters(spark):
