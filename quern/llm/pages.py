@@ -122,10 +122,15 @@ def main_texts(html: Sequence[str | None], model: BiLstm) -> list[str]:
 
 
 def training_pages(pages: DataFrame, html: str = "html", limit: int = PAGES_READ) -> list[str]:
-    """The bounded sample of corpus pages: smallest hashes first, ties by the page itself."""
+    """The bounded sample of corpus pages: smallest hashes first, copies once. Hashes alone are ranked, then the pages that have them are fetched, so that little comes to the driver however many tasks there are."""
     body = F.col(f"`{html}`").cast("string")
     sample = pages.select(body.alias("html")).where(F.length("html").between(1, READ_CHARS)).where(F.lower("html").rlike("<(article|main)[\\s>]"))
-    return [r.html for r in sample.orderBy(F.xxhash64("html"), "html").limit(limit).collect()]
+    sample = sample.withColumn("hash", F.xxhash64("html"))
+    least = [r.hash for r in sample.select("hash").distinct().orderBy("hash").limit(limit).collect()]
+    if not least:
+        return []
+    found = sample.where(F.col("hash") <= least[-1]).dropDuplicates(["html"]).orderBy("hash", "html").limit(limit)
+    return [r.html for r in found.collect()]
 
 
 def extracted(pages: DataFrame, model: BiLstm | None = None) -> DataFrame:
