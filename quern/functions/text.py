@@ -126,7 +126,7 @@ def classify_command(command: Column) -> Column:
 
     def told(found: Column) -> Column:
         # A query through the generic endpoint is unresolved only if nothing tells what it asked for.
-        return F.when(F.arrays_overlap(found, F.array(*map(F.lit, TELEMETRY_DATA[:4]))), F.array_remove(found, "telemetry:grafana_query_unresolved")).otherwise(found)
+        return F.when(F.arrays_overlap(found, F.array(*map(F.lit, TELEMETRY_DATA[:3]))), F.array_remove(found, "telemetry:grafana_query_unresolved")).otherwise(found)
 
     def late(low: Column, found: Column) -> Column:
         return _let(_labels(low, LATE_RULES), lambda x: F.when(F.size(found) > 0, F.array_remove(x, "utility:timestamp")).otherwise(x))
@@ -268,12 +268,58 @@ def exit_error(output: Column) -> Column:
     return F.contains(body, F.lit("Process exited with code 1")) | F.contains(body, F.lit("Process exited with code 2"))
 
 
+#: One item of a list as Python writes it, and a whole list (a comma may follow the last item).
+_ITEM = r"""(?:'(?:[^'\\\n]|\\[\s\S])*+'|"(?:[^"\\\n]|\\[\s\S])*+"|None|True|False|[-+]?[0-9][0-9.eE+-]*)"""
+_LIST = rf"^\[\s*(?:{_ITEM}\s*(?:,\s*{_ITEM}\s*)*+(?:,\s*)?)?\]$"
+#: What stands for what after a backslash, besides numbers of characters.
+_ESCAPES = {"\\": "\\", "'": "'", '"': '"', "n": "\n", "r": "\r", "t": "\t", "a": "\a", "b": "\b", "f": "\f", "v": "\v", "\n": ""}
+
+
+def _unescaped(body: Column) -> Column:
+    parts = F.regexp_extract_all(body, F.lit(r"\\x[0-9a-fA-F]{2}|\\u[0-9a-fA-F]{4}|\\U[0-9a-fA-F]{8}|\\[0-7]{1,3}|\\[\s\S]|[^\\]+"), F.lit(0))
+    known = F.create_map(*[F.lit(x) for k, v in _ESCAPES.items() for x in (k, v)])
+
+    def shown(part: Column) -> Column:
+        kind, digits = F.substring(part, 2, 1), F.substr(part, F.lit(3))
+        of = lambda hexadecimal: F.decode(F.unhex(F.lpad(hexadecimal, 8, "0")), "UTF-32")
+        coded = F.when(kind.isin("x", "u", "U"), of(digits)).when(kind.rlike("^[0-7]$"), of(F.conv(F.substr(part, F.lit(2)), 8, 16)))
+        return F.when(~part.startswith("\\"), part).otherwise(F.coalesce(coded, F.try_element_at(known, kind), part))
+
+    return F.array_join(F.transform(parts, shown), "")
+
+
+def _list_text(cell: Column) -> Column:
+    return F.trim(F.coalesce(cell, F.lit("")), F.lit(" \t\r\n"))
+
+
 def parsed_list(cell: Column) -> Column:
-    """A list of strings written as text, ['a', "b"]; anything else is the empty list."""
-    inside = F.trim(F.coalesce(cell, F.lit("")))
-    items = F.regexp_extract_all(inside, F.lit(r"""'([^']*)'|"([^"]*)\""""), F.lit(0))
-    none = F.array().cast("array<string>")
-    return F.when(inside.rlike(r"""^\[\s*(?:(?:'[^']*'|"[^"]*")\s*(?:,\s*|(?=\])))*\]$"""), F.transform(items, lambda x: F.substr(x, F.lit(2), F.length(x) - 2))).otherwise(none)
+    """A list written as Python writes it, its strings without their quotes and escapes, numbers and truth values as text, None as null; anything else is the empty list (`malformed_list` tells it from one)."""
+    inside = _list_text(cell)
+    items = F.regexp_extract_all(inside, F.lit(_ITEM), F.lit(0))
+    bare = lambda x: _unescaped(F.substr(x, F.lit(2), F.length(x) - 2))
+    read = F.transform(items, lambda x: F.when(x.rlike("""^['"]"""), bare(x)).when(x != "None", x))
+    return F.when(inside.rlike(_LIST), read).otherwise(F.array().cast("array<string>"))
+
+
+def malformed_list(cell: Column) -> Column:
+    """Whether a cell says something, but no list: neither blank nor none nor nan, in letters of any case."""
+    inside = _list_text(cell)
+    return ~inside.rlike(_LIST) & ~F.lower(inside).isin("", "none", "nan")
+
+
+def written_list(items: Column) -> Column:
+    """A list of strings as Python writes it: in single quotes, or in double ones where that saves escapes, with what has no shape of its own as escapes; null as None."""
+    shapes = F.create_map(*map(F.lit, ("\\", "\\\\", "\n", "\\n", "\r", "\\r", "\t", "\\t")))
+
+    def shown(part: Column) -> Column:
+        return F.when(part.rlike(r"^[^\\\x00-\x1f\x7f]"), part).otherwise(F.coalesce(F.try_element_at(shapes, part), F.concat(F.lit("\\x"), F.lower(F.lpad(F.hex(F.ascii(part)), 2, "0")))))
+
+    def quoted(item: Column) -> Column:
+        body = F.array_join(F.transform(F.regexp_extract_all(item, F.lit(r"[\\\x00-\x1f\x7f]|[^\\\x00-\x1f\x7f]+"), F.lit(0)), shown), "")
+        double = F.contains(item, F.lit("'")) & ~F.contains(item, F.lit('"'))
+        return F.when(double, F.concat(F.lit('"'), body, F.lit('"'))).otherwise(F.concat(F.lit("'"), F.replace(body, F.lit("'"), F.lit("\\'")), F.lit("'")))
+
+    return F.concat(F.lit("["), F.array_join(F.transform(items, lambda x: F.coalesce(quoted(x), F.lit("None"))), ", "), F.lit("]"))
 
 
 def rendered(template: str, values: dict[str, Column]) -> Column:

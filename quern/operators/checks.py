@@ -122,9 +122,3 @@ def published(trials: DataFrame, group: Sequence[str], specs: Sequence[tuple[str
 def stripped(metadata: Column, allowed: Sequence[str]) -> Column:
     """A map with nothing but the allowed keys, and of these those that are not null."""
     return F.map_filter(metadata, lambda k, v: k.isin(*allowed) & v.isNotNull())
-
-
-def natural_key(name: Column) -> Column:
-    """A name to sort by in which runs of digits compare as numbers (of up to twelve digits)."""
-    parts = F.regexp_extract_all(name, F.lit(r"\d+|\D+"), F.lit(0))
-    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d+$"), F.lpad(p, 12, "0")).otherwise(p)), "")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -55,26 +56,54 @@ def batches(rows: DataFrame, keys: Sequence[str], order: Sequence[str], size: in
 NEEDLE = 30
 
 
-def aligned(calls: DataFrame, inputs: DataFrame, trial: str, call: str, command: str, at: str, data: str) -> DataFrame:
+class Places:
+    """Where needles stand in a list of texts: one pass of an Aho-Corasick automaton over each text, then a sorted list per needle to bisect in."""
+
+    def __init__(self, needles: Sequence[str], texts: Sequence[str | None]) -> None:
+        import ahocorasick
+
+        words = ahocorasick.Automaton()
+        self._held: dict[str, list[int]] = {n: [] for n in needles if n}
+        for n in self._held:
+            words.add_word(n, n)
+        if not self._held:
+            return
+        words.make_automaton()
+        for k, body in enumerate(texts):
+            for n in {n for _, n in words.iter(body or "")}:
+                self._held[n].append(k)
+
+    def first(self, needle: str, start: int) -> int | None:
+        """The first text from `start` on that holds a needle."""
+        held = self._held.get(needle, [])
+        at = bisect_left(held, start)
+        return held[at] if at < len(held) else None
+
+
+def aligned(calls: DataFrame, inputs: DataFrame, trial: str, call: str, command: str, at: str, data: str, carry_calls: Sequence[str] = (), carry_inputs: Sequence[str] = ()) -> DataFrame:
     """calls with place: the first input, of those after the one taken last, that holds the start of the command's first line; null where the line is blank or none holds it.
 
     Greedy matching in order is no relational join: one trial's calls and inputs are walked
-    together. Places count a trial's inputs from 0 in the order of `at`.
+    together, in time that grows with their length. Places count a trial's inputs from 0 in the order of `at`.
+    carry_calls, carry_inputs: columns that come along from the call and from the input it is placed at.
     """
-    import pandas as pd
-
-    kinds = dict(calls.dtypes)
-
-    def walk(own: pd.DataFrame, seen: pd.DataFrame) -> pd.DataFrame:
-        bodies = seen.sort_values(at, kind="stable")[data].tolist()
-        own = own.sort_values(call, kind="stable")
-        free, places = 0, []
-        for line in own[command].fillna("").str.split("\n").str[0].str.strip():
-            needle = line[:NEEDLE]
-            hit = next((k for k in range(free, len(bodies)) if needle in (bodies[k] or "")), None) if needle else None
+    import pyarrow as pa
+
+    out = calls.select(trial, call).withColumn("place", F.lit(None).cast("long")).select(trial, call, "place").schema
+    for column in [*(calls.schema[c] for c in carry_calls), *(inputs.schema[c] for c in carry_inputs)]:
+        out = out.add(column.name, column.dataType, True)
+
+    def walk(own: pa.Table, seen: pa.Table) -> pa.Table:
+        in_order = lambda t, key: t.take(sorted(range(t.num_rows), key=t.column(key).to_pylist().__getitem__))
+        own, seen = in_order(own, call), in_order(seen, at)
+        needles = [(c or "").split("\n", 1)[0].strip()[:NEEDLE] for c in own.column(command).to_pylist()]
+        where, free, places = Places(needles, seen.column(data).to_pylist()), 0, []
+        for needle in needles:
+            hit = where.first(needle, free)
             free = free if hit is None else hit + 1
             places.append(hit)
-        return pd.DataFrame({trial: own[trial], call: own[call], "place": pd.array(places, "Int64")})
+        at_place = pa.array(places, pa.int64())
+        return pa.table([own.column(trial), own.column(call), at_place, *[own.column(c) for c in carry_calls], *[seen.column(c).take(at_place) for c in carry_inputs]], names=out.names)
 
-    left = calls.select(trial, call, command).groupBy(trial)
-    return left.cogroup(inputs.select(trial, at, data).groupBy(trial)).applyInPandas(walk, f"{trial} {kinds[trial]}, {call} {kinds[call]}, place long")
+    left = calls.select(trial, call, command, *carry_calls).groupBy(trial)
+    return left.cogroup(inputs.select(trial, at, data, *carry_inputs).groupBy(trial)).applyInArrow(walk, out)

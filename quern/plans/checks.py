@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions import text, times
-from quern.operators import checks, verdicts
+from quern.operators import checks, ordering, verdicts
 from quern.plans.registry import Tables, big, query, r6
 from quern.plans.trees import _cat, _files
 from quern.sources import sinks, trees
@@ -232,14 +232,14 @@ def trial_groups(t: Tables) -> DataFrame:
 
 
 @query("""
-    SELECT s_suppkey, CAST(row_number() OVER (ORDER BY s_nationkey, s_suppkey) AS BIGINT) AS place FROM supplier
+    SELECT s_suppkey, CAST(row_number() OVER (ORDER BY s_nationkey, (s_suppkey || repeat('9', CAST(s_suppkey % 28 AS INT)))::HUGEINT) AS BIGINT) AS place FROM supplier
 """)
 def natural_order(t: Tables) -> DataFrame:
-    """Folders batch-2/t10 and the like in the order of their numbers."""
-    from pyspark.sql import Window
-
-    name = _cat("batch-", F.col("s_nationkey"), "/t", F.col("s_suppkey"))
-    return t.supplier.select("s_suppkey", big(F.row_number().over(Window.orderBy(checks.natural_key(name)))).alias("place"))
+    """Folders batch-2/t10 and the like in the order of their numbers, which have up to thirty digits and, some of them, leading zeros."""
+    k = F.col("s_suppkey")
+    zeros = F.repeat(F.lit("0"), (k % 3).cast("int"))
+    name = F.concat(F.lit("batch-"), F.col("s_nationkey").cast("string"), F.lit("/t"), zeros, k.cast("string"), F.repeat(F.lit("9"), (k % 28).cast("int")))
+    return ordering.placed(t.supplier.select("s_suppkey", ordering.natural_key(name).alias("key")), ["key"]).select("s_suppkey", "place")
 
 
 @query("""

@@ -119,12 +119,21 @@ def conversation_rollup(t: Tables) -> DataFrame:
 
 
 @query("""
-    WITH calls AS (SELECT conv_id, turn, regexp_extract(text, '^[^\n]*') AS line FROM conversations WHERE role = 'user')
-    SELECT c.conv_id, c.turn, (SELECT count(*) FROM calls b WHERE b.conv_id = c.conv_id AND b.turn < c.turn) AS place FROM calls c WHERE trim(coalesce(line, '')) <> ''
+    WITH RECURSIVE calls AS (
+      SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS c,
+        substr(trim(split_part(CASE WHEN turn % 4 = 3 THEN substr(coalesce(text, ''), 1, 2) ELSE coalesce(text, '') END, chr(10), 1)), 1, 30) AS needle FROM conversations),
+    inputs AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn * 3 % 8) - 1 AS k, coalesce(text, '') AS data FROM conversations WHERE turn % 5 <> 2),
+    walk AS (
+      SELECT conv_id, 0::BIGINT AS c, NULL::BIGINT AS turn, NULL::BIGINT AS place, 0::BIGINT AS free FROM calls GROUP BY 1
+      UNION ALL
+      SELECT w.conv_id, n.c, n.turn, min(i.k), coalesce(min(i.k) + 1, max(w.free)) FROM walk w JOIN calls n ON n.conv_id = w.conv_id AND n.c = w.c + 1
+      LEFT JOIN inputs i ON i.conv_id = w.conv_id AND i.k >= w.free AND n.needle <> '' AND contains(i.data, n.needle) GROUP BY w.conv_id, n.c, n.turn)
+    SELECT conv_id, turn, place FROM walk WHERE c > 0
 """)
 def ordered_alignment(t: Tables) -> DataFrame:
-    """Calls placed, in order, at the inputs that contain them. Inputs are the user's turns between two others that hold none, so each call is placed at its own turn's rank."""
-    calls = t.conversations.where("role = 'user'").select("conv_id", F.col("turn").alias("call"), F.coalesce("text", F.lit("")).alias("command"))
-    inputs = t.conversations.where("role = 'user'").select("conv_id", F.col("turn").alias("at"), F.coalesce("text", F.lit("")).alias("data"))
-    placed = trajectory.aligned(calls, inputs, "conv_id", "call", "command", "at", "data")
-    return placed.where("place is not null").select("conv_id", F.col("call").alias("turn"), "place")
+    """Calls placed, in order, at the inputs that contain them. Inputs lie in another order than calls and lack some, and every fourth call has but two letters, so calls are missed and taken by others' inputs."""
+    said = F.coalesce("text", F.lit(""))
+    short = F.when(F.col("turn") % 4 == 3, F.substring(said, 1, 2)).otherwise(said)
+    calls = t.conversations.select("conv_id", F.col("turn").alias("call"), short.alias("command"))
+    inputs = t.conversations.where("turn % 5 <> 2").select("conv_id", (F.col("turn") * 3 % 8).alias("at"), said.alias("data"))
+    return trajectory.aligned(calls, inputs, "conv_id", "call", "command", "at", "data").select("conv_id", F.col("call").alias("turn"), "place")

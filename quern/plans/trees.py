@@ -7,17 +7,18 @@ break, by remainders of ids, is what the readers must cope with.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions import text, times
-from quern.operators import cost, verdicts
+from quern.operators import cost, ordering, verdicts
 from quern.plans.registry import Tables, big, query, r6
 from quern.sources import sinks, trees
+from quern.sources.files import put_files
 from quern.sources.paged import paged
 
-
-
 # Columns are made when a query is: none exist without a session.
 
 
@@ -38,10 +39,9 @@ def _cat(*parts: Column | str) -> Column:
 
 
 def _files(t: Tables, tag: str, *rows: DataFrame) -> str:
-    """Trees of (path, body) rows, in a new folder."""
+    """Trees of (path, body) rows, in a new folder, written by the tasks that have the rows."""
     root = sinks.workspace(t.spark, tag)
-    for r in rows:
-        sinks.put_files(r, root)
+    put_files(reduce(DataFrame.unionAll, rows), root)
     return root
 
 
@@ -218,7 +218,7 @@ def difficulty_panel(t: Tables) -> DataFrame:
 
 def _recordings(t: Tables) -> str:
     """A trajectory and a recording per conversation; every third call is missing in the recording."""
-    said = F.substring(F.coalesce("text", F.lit("")), 1, 60)
+    said = F.coalesce("text", F.lit(""))
     call = F.struct(_cat("c", F.col("turn")).alias("tool_call_id"), F.lit("bash_command").alias("function_name"), F.create_map(F.lit("keystrokes"), F.concat(said, F.lit("\n"))).alias("arguments"))
     results = F.array(F.struct(_cat("c", F.col("turn")).alias("source_call_id"), _cat("seen ", F.col("turn")).alias("content")))
     step = F.struct(F.col("turn").alias("step_id"), F.when(F.col("role") == "assistant", F.lit("agent")).otherwise(F.lit("user")).alias("source"), F.array(call).alias("tool_calls"), F.struct(results.alias("results")).alias("observation"))
@@ -233,18 +233,15 @@ def _recordings(t: Tables) -> str:
 
 
 @query("""
-    WITH c AS (SELECT conv_id, turn, turn % 3 <> 0 AND trim(split_part(substr(coalesce(text, ''), 1, 60), chr(10), 1)) <> '' AS kept FROM conversations WHERE role = 'assistant')
+    WITH c AS (SELECT conv_id, turn, turn % 3 <> 0 AND trim(split_part(coalesce(text, ''), chr(10), 1)) <> '' AS kept FROM conversations WHERE role = 'assistant')
     SELECT 't' || conv_id AS trial_id, 'c' || turn AS tool_call_id, CASE WHEN kept THEN 'z' || turn || 'a' || turn ELSE 'seen ' || turn END AS output, CASE WHEN kept THEN 'recording' ELSE 'trajectory' END AS source FROM c
 """)
 def recovered_outputs(t: Tables) -> DataFrame:
     """Each call's output as its recording shows it, else as the trajectory has it, and which of the two it is."""
     root = _recordings(t)
-    calls = trees.agent_calls(t.spark, root)
-    found = trees.recovered(calls, trees.casts(t.spark, root))
-    own = trees.tool_calls(t.spark, root).where("source = 'agent'").select("trial_id", "tool_call_id", "result")
-    rows = calls.join(found, ["trial_id", "tool_call_id"], "left").join(own, ["trial_id", "tool_call_id"], "left")
+    found = trees.recovered(trees.agent_calls(t.spark, root), trees.casts(t.spark, root))
     source = F.when(F.col("output").isNotNull(), F.lit("recording")).otherwise(F.lit("trajectory"))
-    return rows.select("trial_id", "tool_call_id", F.coalesce("output", "result", F.lit("")).alias("output"), source.alias("source"))
+    return found.select("trial_id", "tool_call_id", F.coalesce("output", "result", F.lit("")).alias("output"), source.alias("source"))
 
 
 @query("SELECT 't' || conv_id AS trial_id, turn AS step_id, CASE role WHEN 'assistant' THEN 'agent' ELSE 'user' END AS source, 'c' || turn AS tool_call_id, 'seen ' || turn AS result FROM conversations")
@@ -375,41 +372,50 @@ def error_spans(t: Tables) -> DataFrame:
     return found.select("service", "operation", big(F.size("events")).alias("n_events"), F.array_join("events", ";").alias("events"))
 
 
+def _listing(t: Tables, items: DataFrame, page: Column, by: str, kind: str) -> str:
+    """A paged listing of items in pages by number; the first page knows between which values of `by` each page lies. Numbers that no item has are empty pages."""
+    per = items.withColumn("page", page).groupBy("page").agg(F.collect_list(F.struct(*items.columns)).alias("items"), F.min(by).alias("lo"), F.max(by).alias("hi"))
+    per = sinks.settled(per, "listing")
+    total = per.select(F.max("page")).scalar()
+    pages = t.spark.range(1).select(F.explode(F.sequence(F.lit(1), total)).alias("page")).join(per, "page", "left")
+    known = F.transform(F.array_sort(F.collect_list(F.struct("page", F.when(F.col("lo").isNotNull(), F.array(*[F.col(c).cast(kind) for c in ("lo", "hi")])).alias("b")))), lambda x: x["b"])
+    bounds = pages.agg(known.alias("bounds"), F.count(F.lit(1)).alias("total"))  # two values a page: what an index of the listing has
+    first = bounds.select(F.lit(1).alias("page"), "bounds", F.col("total").alias("total_pages"))
+    body = F.to_json(F.struct(F.coalesce("items", F.array().cast(per.schema["items"].dataType)).alias("items"), "total_pages", "bounds"))
+    return _files(t, "pages", pages.join(first, "page", "left").select(_cat("page-", F.col("page"), ".json").alias("path"), body.alias("body"))) + "/page-{page}.json"
+
+
 @query("SELECT s_suppkey, s_name, s_acctbal FROM supplier")
 def paged_trials(t: Tables) -> DataFrame:
     """A listing read page by page, a task for each page."""
-    page = F.floor(F.row_number().over(_order()) / 40).cast("int") + 1
-    total = F.max("page").over(_all())
-    items = t.supplier.select("*", page.alias("page")).withColumn("total", total)
-    per = items.groupBy("page", "total").agg(F.collect_list(F.struct("s_suppkey", "s_name", "s_acctbal")).alias("items"))
-    root = _files(t, "pages", per.select(_cat("page-", F.col("page"), ".json").alias("path"), F.to_json(F.struct("items", F.col("total").alias("total_pages"))).alias("body")))
-    return paged(t.spark, root + "/page-{page}.json", "s_suppkey long, s_name string, s_acctbal double")
-
+    url = _listing(t, t.supplier.select("s_suppkey", "s_name", "s_acctbal"), (F.floor(_k() / 40) + 1).cast("int"), "s_suppkey", "long")
+    return paged(t.spark, url, "s_suppkey long, s_name string, s_acctbal double")
 
-def _order():
-    from pyspark.sql import Window
 
-    return Window.orderBy("s_suppkey")
+@query("SELECT event_id, event_type, ts FROM events WHERE ts >= TIMESTAMP '2024-01-05 12:00:00' AND ts < TIMESTAMP '2024-01-08 06:00:00' AND event_type <> 'view'")
+def paged_range(t: Tables) -> DataFrame:
+    """A time range of a listing whose pages are in order of time: the range chooses the pages, and only these are opened."""
+    start = t.events.select(F.min(F.to_date("ts"))).scalar()
+    items = t.events.select("event_id", "event_type", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("ts"))
+    url = _listing(t, items, F.date_diff(F.to_date("ts"), start) + 1, "ts", "string")
+    rows = paged(t.spark, url, "event_id long, event_type string, ts timestamp_ntz", order="ts")
+    lo, hi = (F.lit(x).cast("timestamp_ntz") for x in ("2024-01-05 12:00:00", "2024-01-08 06:00:00"))
+    return rows.where((F.col("ts") >= lo) & (F.col("ts") < hi) & (F.col("event_type") != "view"))
 
 
-def _all():
-    from pyspark.sql import Window
-
-    return Window.partitionBy(F.lit(0))
-
-
-@query("""
-    SELECT conv_id, turn, CASE role WHEN 'system' THEN 0 ELSE 1 + turn % 2 END AS n_cats, CASE role WHEN 'system' THEN '' ELSE 'code:ls' || CASE turn % 2 WHEN 1 THEN ',it''s' ELSE '' END END AS cats FROM conversations
+@query(r"""
+    SELECT conv_id, turn, len(cats) AS n_cats, array_to_string(list_transform(cats, lambda x: coalesce(x, '<none>')), '|') AS cats, false AS malformed FROM (
+      SELECT conv_id, turn, CASE role WHEN 'system' THEN [] ELSE ['code:ls', text] || list_slice(['it''s', 'a"b', 'it''s "so"', '\', '\n', chr(10) || chr(9) || chr(13) || chr(1) || chr(127), '漢 é 😀', '', '], [', NULL], 1, turn + 3) END AS cats FROM conversations)
 """)
 def csv_round_trip(t: Tables) -> DataFrame:
-    """Rows written as CSV per trial, lists as text, and read back with a schema."""
-    none = F.array().cast("array<string>")
-    cats = F.when(F.col("role") == "system", none).when(F.col("turn") % 2 == 1, F.array(F.lit("code:ls"), F.lit("it~s"))).otherwise(F.array(F.lit("code:ls")))
+    """Rows written as CSV per trial, lists as text, and read back with a schema: whole texts, and items with quotes, escapes and white space in them."""
+    odd = F.array(*[F.lit(x).cast("string") for x in ("it's", 'a"b', "it's \"so\"", "\\", "\\n", "\n\t\r\x01\x7f", "漢 é 😀", "", "], [", None)])
+    cats = F.when(F.col("role") == "system", F.array().cast("array<string>")).otherwise(F.concat(F.array(F.lit("code:ls"), F.col("text")), F.slice(odd, F.lit(1), (F.col("turn") + 3).cast("int"))))
     root = sinks.workspace(t.spark, "csv")
     sinks.csv_by(t.conversations.select("conv_id", "turn", cats.alias("cats")), root, "conv_id")
     rows = t.spark.read.schema("turn long, cats string, conv_id long").option("header", True).option("escape", '"').csv(root)
-    found = rows.withColumn("cats", text.parsed_list(F.col("cats")))
-    return found.select("conv_id", "turn", big(F.size("cats")).alias("n_cats"), F.translate(F.array_join("cats", ","), "~", "'").alias("cats"))
+    found = rows.withColumn("malformed", text.malformed_list(F.col("cats"))).withColumn("cats", text.parsed_list(F.col("cats")))
+    return found.select("conv_id", "turn", big(F.size("cats")).alias("n_cats"), F.array_join(F.col("cats"), "|", "<none>").alias("cats"), "malformed")
 
 
 @query("SELECT 'agent' || (n_nationkey % 2) AS agent, 'm' || n_nationkey AS model, n_nationkey AS n, n_regionkey AS tokens FROM nation")
@@ -465,19 +471,16 @@ def partitioned_window(t: Tables) -> DataFrame:
 
 
 @query("""
-    SELECT strftime(date_trunc('minute', ts), '%Y%m%dT%H%M%SZ') || '-' || event_id AS name, date_trunc('minute', ts) AS snap_ts, CAST(row_number() OVER (ORDER BY date_trunc('minute', ts), event_id::VARCHAR) AS BIGINT) AS place
-    FROM events WHERE event_type = 'signup' AND user_id = 3
+    SELECT strftime(date_trunc('minute', ts), '%Y%m%dT%H%M%SZ') || '-' || event_id AS name, date_trunc('minute', ts) AS snap_ts, CAST(row_number() OVER (ORDER BY date_trunc('minute', ts), event_id) AS BIGINT) AS place
+    FROM events WHERE event_type = 'signup'
 """)
 def snapshot_catalog(t: Tables) -> DataFrame:
-    """Snapshots of one flag found by their names, in the order of the times that these begin with."""
-    from pyspark.sql import Window
-
+    """Snapshots of all flags found by their names, in the order of the times that these begin with, then of their numbers."""
     stamp = F.date_format(F.date_trunc("minute", "ts"), "yyyyMMdd'T'HHmmss'Z'")
-    rows = t.events.where("event_type = 'signup' and user_id = 3").select(_cat(stamp, "-", F.col("event_id"), "/done").alias("path"), F.lit("x").alias("body"))
+    rows = t.events.where("event_type = 'signup'").select(_cat("flag", F.col("user_id"), "/", stamp, "-", F.col("event_id"), "/done").alias("path"), F.lit("x").alias("body"))
     root = _files(t, "snaps", rows)
     found = t.spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(F.regexp_extract("path", r"([^/]+)/done$", 1).alias("name"))
-    found = found.withColumn("snap_ts", times.snapshot_time(F.col("name")))
-    return found.withColumn("place", big(F.row_number().over(Window.orderBy("snap_ts", F.substring_index("name", "-", -1)))))
+    return ordering.placed(found.withColumn("snap_ts", times.snapshot_time(F.col("name"))), ["snap_ts", ordering.natural_key(F.col("name"))])
 
 
 @query("SELECT 'e' || n_nationkey AS incident_id, 'flag' || n_nationkey AS flag, CASE WHEN n_nationkey % 3 = 0 THEN 0 ELSE n_regionkey END AS n_metrics FROM nation")

@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.functions import text
+
 
 def workspace(spark: SparkSession, tag: str) -> str:
     """A new folder that driver and executors share, under spark.checkpoint.dir. Without that setting a temporary one, which only a local session can use."""
@@ -28,19 +30,6 @@ def settled(rows: DataFrame, tag: str) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
-def put_files(rows: DataFrame, root: str) -> int:
-    """Writes each row's body to the file root/path and returns how many there were. For trees that people read, one file per entity: rows come to the driver one at a time."""
-    spark, n = rows.sparkSession, 0
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    system = jvm.org.apache.hadoop.fs.Path(root).getFileSystem(conf)
-    for path, body in rows.select("path", "body").toLocalIterator():
-        out = system.create(jvm.org.apache.hadoop.fs.Path(f"{root}/{path}"), True)
-        out.write(bytearray(body.encode()))
-        out.close()
-        n += 1
-    return n
-
-
 def json_by(rows: DataFrame, path: str, key: str) -> None:
     """One folder of JSON per entity."""
     rows.write.mode("overwrite").partitionBy(key).json(path)
@@ -54,8 +43,7 @@ def csv_table(rows: DataFrame, path: str) -> None:
 
 def csv_by(rows: DataFrame, path: str, key: str) -> None:
     """One folder of CSV per entity; arrays are written as Python lists, as older runs have them."""
-    shown = lambda c: F.concat(F.lit("["), F.array_join(F.transform(c, lambda x: F.concat(F.lit("'"), x, F.lit("'"))), ", "), F.lit("]"))
-    flat = [shown(F.col(c)).alias(c) if k.startswith("array") else F.col(c) for c, k in rows.dtypes]
+    flat = [text.written_list(F.col(c)).alias(c) if k.startswith("array") else F.col(c) for c, k in rows.dtypes]
     rows.select(*flat).write.mode("overwrite").partitionBy(key).option("header", True).option("escape", '"').csv(path)
 
 

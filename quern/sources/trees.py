@@ -178,21 +178,31 @@ def tool_calls(spark: SparkSession, root: str) -> DataFrame:
     trial = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/(?:agent/)?trajectory\.json$", 1)
     steps = rows.select(trial.alias("trial_id"), F.explode("steps").alias("s"))
     calls = steps.select("trial_id", "s.step_id", "s.source", F.posexplode("s.tool_calls").alias("place", "call"), F.col("s.observation.results").alias("results"))
-    own = F.filter("results", lambda r: r["source_call_id"] == F.col("call.tool_call_id"))
-    shared = F.filter("results", lambda r: r["source_call_id"].isNull())
-    last = lambda a: F.try_element_at(a, F.lit(-1))["content"]
     command = F.coalesce(F.nullif(F.rtrim(F.col("call.arguments")["keystrokes"], F.lit("\n")), F.lit("")), F.col("call.arguments")["cmd"])
-    return calls.select("trial_id", "step_id", "source", "place", F.col("call.tool_call_id").alias("tool_call_id"), F.col("call.function_name").alias("function"), command.alias("command"), F.coalesce(last(own), last(shared)).alias("result"))
+    return calls.select("trial_id", "step_id", "source", "place", F.col("call.tool_call_id").alias("tool_call_id"), F.col("call.function_name").alias("function"), command.alias("command"), _result(F.col("results"), F.col("call.tool_call_id")).alias("result"))
+
+
+def _result(results: Column, call: Column) -> Column:
+    """What a step's results say of a call: the last with its id, else the last that names none."""
+    last = lambda keep: F.try_element_at(F.filter(results, keep), F.lit(-1))["content"]
+    return F.coalesce(last(lambda r: r["source_call_id"] == call), last(lambda r: r["source_call_id"].isNull()))
 
 
 def agent_calls(spark: SparkSession, root: str) -> DataFrame:
-    """The agent's own tool calls in order: trial_id, call (from 0), tool_call_id and what was typed (keystrokes, else the command)."""
+    """The agent's own tool calls in order: trial_id, call (from 0), tool_call_id, what was typed (keystrokes, else the command) and the result that the trajectory has."""
     rows = spark.read.schema(schemas.TRAJECTORY).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "trajectory.json").json(root)
     trial = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/(?:agent/)?trajectory\.json$", 1)
-    own = F.flatten(F.transform(F.filter("steps", lambda s: s["source"] == "agent"), lambda s: F.coalesce(s["tool_calls"], F.array().cast("array<struct<tool_call_id:string,function_name:string,arguments:map<string,string>>>"))))
-    calls = rows.select(trial.alias("trial_id"), F.posexplode(F.filter(own, lambda c: F.coalesce(c["tool_call_id"], F.lit("")) != "")).alias("call", "c"))
-    typed = F.coalesce(F.nullif(F.col("c.arguments")["keystrokes"], F.lit("")), F.col("c.arguments")["cmd"], F.lit(""))
-    return calls.select("trial_id", "call", F.col("c.tool_call_id").alias("tool_call_id"), typed.alias("typed"))
+
+    def typed(arguments: Column) -> Column:
+        return F.coalesce(F.nullif(arguments["keystrokes"], F.lit("")), arguments["cmd"], F.lit(""))
+
+    def of_step(s: Column) -> Column:
+        named = F.filter(s["tool_calls"], lambda c: F.coalesce(c["tool_call_id"], F.lit("")) != "")
+        found = F.transform(named, lambda c: F.struct(c["tool_call_id"].alias("tool_call_id"), typed(c["arguments"]).alias("typed"), _result(s["observation"]["results"], c["tool_call_id"]).alias("result")))
+        return F.coalesce(found, F.array().cast("array<struct<tool_call_id:string,typed:string,result:string>>"))
+
+    own = F.flatten(F.transform(F.filter("steps", lambda s: s["source"] == "agent"), of_step))
+    return rows.select(trial.alias("trial_id"), F.posexplode(own).alias("call", "c")).select("trial_id", "call", "c.*")
 
 
 def casts(spark: SparkSession, root: str) -> DataFrame:
@@ -208,22 +218,19 @@ def output_slices(events: DataFrame) -> DataFrame:
 
     Inputs of one time share what the last of them is given: nothing lies between equal times.
     """
-    w = Window.partitionBy("trial_id").orderBy("ts", "line")
-    inputs = events.where("kind = 'i'").withColumn("n", F.row_number().over(w) - 1).select("trial_id", "ts", "line", "n", "data")
     # An output belongs to the last input strictly before it: a running count over both kinds, inputs after outputs of the same time.
     order = Window.partitionBy("trial_id").orderBy("ts", F.when(F.col("kind") == "o", 0).otherwise(1), "line").rowsBetween(Window.unboundedPreceding, 0)
     owner = F.sum(F.when(F.col("kind") == "i", 1).otherwise(0)).over(order) - 1
-    chunks = F.array_sort(F.collect_list(F.struct("line", "data")))
-    outputs = events.withColumn("n", owner).where("kind = 'o' and n >= 0").groupBy("trial_id", "n").agg(F.array_join(F.transform(chunks, lambda x: x["data"]), "").alias("output"))
-    return inputs.join(outputs, ["trial_id", "n"], "left").select("trial_id", "n", "ts", F.col("data").alias("input"), F.coalesce("output", F.lit("")).alias("output"))
+    mine = lambda c: F.max(F.when(F.col("kind") == "i", F.col(c)))
+    chunks = F.array_sort(F.collect_list(F.when(F.col("kind") == "o", F.struct("line", "data"))))
+    owned = events.where("kind in ('i', 'o')").withColumn("n", owner).where("n >= 0").groupBy("trial_id", "n")
+    return owned.agg(mine("ts").alias("ts"), mine("data").alias("input"), F.array_join(F.transform(chunks, lambda x: x["data"]), "").alias("output"))
 
 
 def recovered(calls: DataFrame, events: DataFrame) -> DataFrame:
-    """trial_id, tool_call_id and the output recovered from the trial's recording, escape sequences dropped: calls are placed in order at the inputs that hold them."""
-    slices = output_slices(events)
-    placed = trajectory.aligned(calls, slices, "trial_id", "call", "typed", "n", "input").where("place is not null")
-    found = placed.join(slices.select("trial_id", F.col("n").cast("long").alias("place"), "output"), ["trial_id", "place"])
-    return found.join(calls.select("trial_id", "call", "tool_call_id"), ["trial_id", "call"]).select("trial_id", "tool_call_id", F.regexp_replace("output", "\\x1b\\[[0-9;?]*[a-zA-Z]", "").alias("output"))
+    """Calls of the agent with the output recovered from the trial's recording, escape sequences dropped, null where none is: calls are placed in order at the inputs that hold them. Both sides are read once."""
+    placed = trajectory.aligned(calls, output_slices(events), "trial_id", "call", "typed", "n", "input", [c for c in calls.columns if c not in ("trial_id", "call", "typed")], ["output"])
+    return placed.drop("place").withColumn("output", F.regexp_replace("output", "\\x1b\\[[0-9;?]*[a-zA-Z]", ""))
 
 
 def traces(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
