@@ -1,8 +1,9 @@
 """Commands of trajectories: classes, languages, tables of labels by group.
 
-Stand-ins: a conversation is a trial; what the assistant says in a turn stands for a written-out
-command (one of COMMANDS), what others say is a command as it is; the number of the
-conversation gives the agent.
+Stand-ins: a conversation is a trial, a turn a tool call. What the assistant says is a written-out
+command (one of COMMANDS), two times in three with the whole text of the turn behind it; what others
+say is a command as it is. Calls of the system's turns are of another tool than the shell. The number
+of the conversation gives the agent.
 """
 
 from __future__ import annotations
@@ -40,6 +41,8 @@ COMMANDS = [
     ("docker-compose config", "code:docker"),
     ("docker compose logs cart", "telemetry:docker_logs"),
     ("docker logs cart", "telemetry:docker_logs"),
+    ("docker logs cart; curl $G/api/ds/query -d @q.json", "telemetry:docker_logs,telemetry:grafana_query_unresolved"),
+    ("curl loki/loki/api/v1/query; curl $G/api/ds/query", "telemetry:metrics,telemetry:logs"),
     ("docker ps", "code:container_inspect"),
     ("docker exec cart ls", "code:ls,code:container_inspect"),
     ("curl $GRAFANA_URL/api/health", "telemetry:grafana_health"),
@@ -84,21 +87,79 @@ def _quoted(x: str) -> str:
 
 
 _EXPECTED = "(VALUES " + ", ".join(f"({k}, {_quoted(c)}, {_quoted(want)})" for k, (c, want) in enumerate(COMMANDS)) + ") e(k, command, labels)"
-# Of the tables' prose one rule alone can say anything, the one that looks for part of a word.
-_PROSE = """
-    CASE WHEN contains(lower(text), 'prom') THEN 'telemetry:metrics' WHEN trim(coalesce(text, '')) = '' THEN 'control:wait' ELSE 'other' END
-"""
+
+
+def _one_of(**rules: str) -> str:
+    return ", ".join(f"CASE WHEN {rule} THEN '{label.replace('__', ':')}' END" for label, rule in rules.items())
+
+
+def _m(pattern: str, of: str = "cl") -> str:
+    return f"regexp_matches({of}, {_quoted(pattern)})"
+
+
+def _has(*words: str) -> str:
+    return "(" + " OR ".join(f"contains(cl, {_quoted(w)})" for w in words) + ")"
+
+
+# The labels of any command, rule by rule, in SQL of their own.
+_READ = r"\bcat\b|\bhead\b|\btail\b|\bless\b|\bwc\b|\bnl\b|\bawk\b"
+_REPORT, _SCRATCH, _CURL, _KEYS = r"\breport\.md\b", r"/tmp/\S*\.txt\b", r"\bcurl\b", r"^C-[cdz]\s*$"
+_QUIET = f"NOT {_has('grep')} AND NOT {_has('printenv')}"
+_FOUND = [
+    _one_of(code__ls=rf"{_m(r'\bls\b')} AND NOT {_has('api', 'grafana')} AND NOT report"),
+    _one_of(code__find=rf"{_m(r'\bfind\b')} AND ({_m(r'\.(go|ts|js|py|java|cs|rb|proto|yaml|yml)')} OR {_has('src/', '/app/opentelemetry-demo')})"),
+    _one_of(code__read_file=rf"({_m(_READ)} AND NOT {_has('api')} OR {_m(r'\bsed\b.*src/')}) AND NOT report AND NOT scratch"),
+    _one_of(code__search=rf"{_m(r'\b(grep|rg)\b')} AND {_has('src', '.go', '.ts', '.js', '.py', '.java')} AND NOT report"),
+    _one_of(code__docker=f"{_m('docker-compose|docker compose')} AND NOT {_m('docker-compose logs|docker compose logs')}"),
+    _one_of(code__container_inspect=rf"{_m(r'\bdocker\s+(inspect|exec|ps)\b')} AND NOT {_has('grafana')}"),
+    _one_of(telemetry__grafana_health=_has("api/health")),
+    _one_of(telemetry__grafana_ds_list=rf"{_m(r'api/datasources\b')} AND NOT {_m(r'api/datasources/\d+/proxy')}"),
+    _one_of(telemetry__grafana_dashboard=_m(r"api/search\b|dashboard")),
+    _one_of(telemetry__metrics=_m(r"prom|api/v1/query|api/v1/label|rate\(|histogram_quantile|sum\(|avg\(|increase\(|webstore-metrics|datasources/proxy.*api/v1/") + " OR " + _m(r'(_total|_bucket|_count|_sum|_duration)["\s\)]')),
+    _one_of(telemetry__spans=f"{_m('traceql|/api/traces|webstore-traces|datasources/proxy.*(jaeger|traces|tempo)')} OR {_m('jaeger|/api/services')} AND {_QUIET}"),
+    _one_of(telemetry__logs=f"{_m('webstore-logs|opensearch|loki')} AND {_QUIET}"),
+    _one_of(telemetry__docker_logs=_m("docker (compose )?logs|docker-compose logs")),
+]
+_LATER = [
+    _one_of(telemetry__grafana_query_unresolved=f"{_has('api/ds/query')} AND NOT list_has_any(found, ['telemetry:metrics', 'telemetry:spans', 'telemetry:logs'])"),
+    _one_of(setup__env_discovery=rf"{_m(r'\bprintenv\b')} OR {_m(r'\benv\b')} AND {_has('grep')}"),
+    _one_of(setup__package_install=_m("pip install|apt-get|apt install")),
+    _one_of(setup__env_discovery=f"{_has('echo')} AND {_has('grafana_url')}"),
+]
+_WRITES = r">>?\s*\S*\breport\.md\b|\btee\b\s+\S*\breport\.md\b"
+_LAST = [
+    _one_of(utility__timestamp=rf"{_m(r'\bdate\b')} AND len(found) = 0"),
+    _one_of(utility__write_report=f"report AND {_m(_WRITES)}"),
+    _one_of(utility__read_report=f"report AND NOT {_m(_WRITES)}"),
+    _one_of(utility__read_scratch=f"scratch AND {_m(_READ + '|' + chr(92) + 'bsed' + chr(92) + 'b')}"),
+]
+_OTHERWISE = f"""CASE WHEN {_has('python')} AND {_has('datetime', 'timestamp', 'time.time')} THEN 'utility:timestamp' WHEN {_has('python')} AND {_has('json')} THEN 'utility:json_processing'
+    WHEN {_has('python')} AND {_has('urllib', 'request')} OR {_m(_CURL)} AND {_has('http')} OR {_has('grafana')} THEN 'telemetry:grafana_query_unresolved' ELSE 'other' END"""
+_SENTINEL = "^(?is:(echo|printf)\\s+'?\"?(ready|recovered|done|ok|shell_ok)\\\\?n?'?\"?\\s*)$"
+_CONTROL = f"""CASE WHEN raw = '' OR {_m(_SENTINEL, 'raw')} OR {_m('^(?i:clear|reset|enter)$', 'raw')} THEN 'control:wait' WHEN {_m(_KEYS, 'cmd')} THEN 'control:interrupt' END"""
+_SOME = "lambda c: c IS NOT NULL"
 _CALLS = f"""
-    calls AS (SELECT conv_id, turn, text, CASE WHEN role = 'assistant' THEN e.labels ELSE {_PROSE} END AS labels
-      FROM conversations LEFT JOIN {_EXPECTED} ON e.k = (conv_id * 7 + turn) % {len(COMMANDS)})
+    said AS (SELECT conv_id, turn, role, text, CASE WHEN role = 'assistant' THEN e.command || CASE WHEN (conv_id + turn) % 3 = 0 THEN '' ELSE ' # ' || coalesce(text, '') END ELSE coalesce(text, '') END AS cmd
+      FROM conversations LEFT JOIN {_EXPECTED} ON e.k = (conv_id * 7 + turn) % {len(COMMANDS)}),
+    bare AS (SELECT *, lower(cmd) AS cl, trim(cmd, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS raw FROM said),
+    io AS (SELECT *, {_m(_REPORT)} AS report, {_m(_SCRATCH)} AS scratch FROM bare),
+    a AS (SELECT *, list_filter([{", ".join(_FOUND)}], {_SOME}) AS found FROM io),
+    b AS (SELECT * EXCLUDE (found), found || list_filter([{", ".join(_LATER)}], {_SOME}) AS found FROM a),
+    c AS (SELECT * EXCLUDE (found), found || list_filter([{", ".join(_LAST)}], {_SOME}) AS found FROM b),
+    calls AS MATERIALIZED (SELECT conv_id, turn, role, text, cmd, coalesce({_CONTROL}, CASE WHEN len(found) > 0 THEN array_to_string(list_filter(found, lambda x, i: list_position(found, x) = i), ',') ELSE {_OTHERWISE} END) AS labels FROM c)
 """
 
 
 def _calls(t: Tables) -> DataFrame:
+    said = F.coalesce("text", F.lit(""))
+    behind = F.when((F.col("conv_id") + F.col("turn")) % 3 == 0, F.lit("")).otherwise(F.concat(F.lit(" # "), said))
+    command = F.when(F.col("role") == "assistant", F.concat(_written(), behind)).otherwise(said)
+    return t.conversations.select("conv_id", "turn", "role", "text", command.alias("command")).withColumn("cats", text.classify_command(F.col("command")))
+
+
+def _written() -> Column:
     script = F.array(*[F.lit(c) for c, _ in COMMANDS])
-    written = F.element_at(script, ((F.col("conv_id") * 7 + F.col("turn")) % len(COMMANDS) + 1).cast("int"))
-    command = F.when(F.col("role") == "assistant", written).otherwise(F.col("text"))
-    return t.conversations.select("conv_id", "turn", "text", text.classify_command(command).alias("cats"))
+    return F.element_at(script, ((F.col("conv_id") * 7 + F.col("turn")) % len(COMMANDS) + 1).cast("int"))
 
 
 def _agent(conv: Column) -> Column:
@@ -110,11 +171,10 @@ def cmd_classify(t: Tables) -> DataFrame:
     return _calls(t).select("conv_id", "turn", F.array_join("cats", ",").alias("labels"))
 
 
-@query(f"SELECT k, labels FROM {_EXPECTED}")
+@query(f"SELECT conv_id, turn, labels FROM conversations JOIN {_EXPECTED} ON e.k = (conv_id * 7 + turn) % {len(COMMANDS)}")
 def cmd_expected(t: Tables) -> DataFrame:
-    """Written-out commands, each with its labels."""
-    rows = t.spark.range(1).select(F.posexplode(F.array(*[F.lit(c) for c, _ in COMMANDS])).alias("k", "command"))
-    return rows.select("k", F.array_join(text.classify_command(F.col("command")), ",").alias("labels"))
+    """Written-out commands, one for each turn, with the labels that were written down for them."""
+    return t.conversations.select("conv_id", "turn", F.array_join(text.classify_command(_written()), ",").alias("labels"))
 
 
 @query("""
@@ -161,50 +221,63 @@ _SIDE = """
     CASE WHEN contains(labels, 'code:') AND contains(labels, 'telemetry:') THEN 'both' WHEN contains(labels, 'code:') THEN 'code' WHEN contains(labels, 'telemetry:') THEN 'telemetry' ELSE 'other' END
 """
 _DATA = "regexp_extract(labels, '(telemetry:(?:metrics|spans|logs|docker_logs|grafana_query_unresolved))', 1)"
+_LANGUAGES = {r"\.ya?ml\b": "YAML", r"\.go\b": "Go", r"\.ts\b": "TypeScript", r"\.js\b": "JavaScript", r"\.py\b": "Python", r"\.java\b": "Java", r"\.cs\b": "C#", r"\.rb\b": "Ruby", r"\.php\b": "PHP", r"\.rs\b": "Rust", r"\.proto\b": "Protobuf", "Dockerfile": "Docker", r"\.kt\b": "Kotlin"}
+_SPOKEN = "[" + ", ".join(f"CASE WHEN {_m(p, 'cmd')} THEN '{name}' END" for p, name in _LANGUAGES.items()) + "]"
+_QUARTERS = ", ".join(f"count(*) FILTER (code AND nth >= floor({q} * n / 4) AND nth < floor({q + 1} * n / 4)) / greatest(floor({q + 1} * n / 4) - floor({q} * n / 4), 1)::DOUBLE AS q{q + 1}_code" for q in range(4))
 _RUNS = f"""
-    {_CALLS}, s AS (SELECT *, {_SIDE} AS side, lag({_SIDE}) OVER (PARTITION BY conv_id ORDER BY turn) AS before, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS nth, count(*) OVER (PARTITION BY conv_id) AS n FROM calls),
-    c AS (SELECT *, lag(side) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM s WHERE before IS DISTINCT FROM side),
-    switches AS (SELECT conv_id, count(*) FILTER ((prev = 'code' AND side = 'telemetry') OR (prev = 'telemetry' AND side = 'code')) AS n_switches FROM c GROUP BY 1),
-    runs AS (SELECT conv_id, any_value(n) AS n_calls, arg_min(nullif({_DATA}, ''), turn) FILTER ({_DATA} <> '') AS first_data, arg_min(side, turn) FILTER (side <> 'other') AS starts_with,
-      count_if(side IN ('code', 'both'))::DOUBLE / count(*) AS code_share, count_if(side IN ('telemetry', 'both'))::DOUBLE / count(*) AS telemetry_share,
-      coalesce(count_if(side IN ('code', 'both') AND nth < floor(n / 4))::DOUBLE / nullif(count_if(nth < floor(n / 4)), 0), 0) AS first_quarter_code, CAST(count_if(contains(coalesce(text, ''), '1')) AS BIGINT) AS n_marked FROM s GROUP BY 1)
+    {_CALLS}, s AS (SELECT *, {_SIDE} AS side, lag({_SIDE}) OVER w AS before, row_number() OVER w - 1 AS nth, count(*) OVER (PARTITION BY conv_id) AS n, contains(labels, 'code:') AS code FROM calls WHERE role <> 'system' WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+    k AS (SELECT *, lag(side) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM s WHERE before IS DISTINCT FROM side),
+    switches AS (SELECT conv_id, count(*) FILTER ((prev = 'code' AND side = 'telemetry') OR (prev = 'telemetry' AND side = 'code')) AS n_switches FROM k GROUP BY 1),
+    spoken AS (SELECT conv_id, string_agg(DISTINCT x, ',' ORDER BY x) AS languages, count(DISTINCT x) AS n_languages FROM (SELECT conv_id, unnest({_SPOKEN}) AS x FROM s) GROUP BY 1),
+    whole AS (SELECT conv_id, count(*) AS n_calls FROM conversations GROUP BY 1),
+    runs AS (SELECT conv_id, count(*) AS n_commands, arg_min(nullif({_DATA}, ''), turn) FILTER ({_DATA} <> '') AS first_data, arg_min(side, turn) FILTER (side <> 'other') AS starts_with,
+      count_if(side IN ('code', 'both')) AS n_code, count_if(side IN ('telemetry', 'both')) AS n_telemetry, {_QUARTERS}, count_if(turn % 4 IN (1, 2)) AS n_errors FROM s GROUP BY conv_id, n)
 """
 
 
 def _runs(t: Tables) -> DataFrame:
-    rows = _calls(t).select("conv_id", "turn", "text", "cats", text.side(F.col("cats")).alias("side"))
+    """The analysis of each run over its shell calls: languages, first telemetry query, sides and switches, shares, density of code in each quarter, errors. Other tools' calls count in n_calls alone."""
+    every = _calls(t)
+    output = F.concat(F.coalesce("text", F.lit("")), F.lit("\nProcess exited with code "), (F.col("turn") % 4).cast("string"))
+    rows = every.where("role <> 'system'").select("conv_id", "turn", "cats", text.side(F.col("cats")).alias("side"), text.languages(F.col("command")).alias("languages"), text.exit_error(output).alias("failed"))
     w = Window.partitionBy("conv_id")
     code, tele = F.col("side").isin("code", "both"), F.col("side").isin("telemetry", "both")
     data = F.filter("cats", lambda c: c.isin(*text.TELEMETRY_DATA))
-    placed = trajectory.numbered(rows, ["conv_id"], ["turn"]).withColumn("n", F.count(F.lit(1)).over(w)).withColumn("early", trajectory.quarter(F.col("pos"), F.col("n")) == 0)
+    placed = trajectory.numbered(rows, ["conv_id"], ["turn"]).withColumn("n", F.count(F.lit(1)).over(w)).withColumn("quarter", trajectory.quarter(F.col("pos"), F.col("n")))
+    density = lambda q: F.coalesce(F.avg(F.when(F.col("quarter") == q, code.cast("double"))), F.lit(0.0)).alias(f"q{q + 1}_code")
     per = placed.groupBy("conv_id").agg(
-        F.count(F.lit(1)).alias("n_calls"),
-        F.min_by(data[0], F.when(F.size(data) > 0, F.col("turn"))).alias("first_data"),
+        F.count(F.lit(1)).alias("n_commands"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("languages")))).alias("languages"),
+        F.min_by(F.get(data, F.lit(0)), F.when(F.size(data) > 0, F.col("turn"))).alias("first_data"),
         F.min_by("side", F.when(F.col("side") != "other", F.col("turn"))).alias("starts_with"),
-        F.avg(code.cast("double")).alias("code_share"),
-        F.avg(tele.cast("double")).alias("telemetry_share"),
-        F.coalesce(F.avg(F.when(F.col("early"), code.cast("double"))), F.lit(0.0)).alias("first_quarter_code"),
-        F.count_if(F.contains(F.coalesce("text", F.lit("")), F.lit("1"))).alias("n_marked"),
+        F.count_if(code).alias("n_code"),
+        F.count_if(tele).alias("n_telemetry"),
+        *map(density, range(4)),
+        F.count_if("failed").alias("n_errors"),
     )
     runs = trajectory.collapsed(rows, ["conv_id"], ["turn"], "side").withColumn("prev", F.lag("side").over(w.orderBy("turn")))
     flip = ((F.col("prev") == "code") & (F.col("side") == "telemetry")) | ((F.col("prev") == "telemetry") & (F.col("side") == "code"))
-    return per.join(runs.groupBy("conv_id").agg(F.count_if(flip).alias("n_switches")), "conv_id")
+    whole = every.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_calls"))
+    return whole.join(per, "conv_id").join(runs.groupBy("conv_id").agg(F.count_if(flip).alias("n_switches")), "conv_id")
 
 
 @query(f"""
-    WITH {_RUNS} SELECT conv_id, n_calls, first_data, starts_with, n_switches, round(code_share, 6) AS code_share, round(telemetry_share, 6) AS telemetry_share, round(first_quarter_code, 6) AS first_quarter_code, n_marked
-    FROM runs JOIN switches USING (conv_id)
+    WITH {_RUNS} SELECT conv_id, n_calls, n_commands, coalesce(languages, '') AS languages, n_languages, first_data, starts_with, n_switches, n_code, n_telemetry, round(n_code / n_commands::DOUBLE, 6) AS code_share, round(n_telemetry / n_commands::DOUBLE, 6) AS telemetry_share,
+      round(q1_code, 6) AS q1_code, round(q2_code, 6) AS q2_code, round(q3_code, 6) AS q3_code, round(q4_code, 6) AS q4_code, n_errors, round(n_errors / n_commands::DOUBLE, 6) AS error_rate
+    FROM whole JOIN runs USING (conv_id) JOIN switches USING (conv_id) JOIN spoken USING (conv_id)
 """)
 def run_analysis(t: Tables) -> DataFrame:
-    """One row per run: its first telemetry query, the side it starts with, switches between sides, shares, density in its first quarter."""
-    cells = ["code_share", "telemetry_share", "first_quarter_code"]
-    return _runs(t).select("conv_id", "n_calls", "first_data", "starts_with", "n_switches", *[r6(F.col(c)).alias(c) for c in cells], "n_marked")
+    """One row per run: languages, its first telemetry query, the side it starts with, switches between sides, shares, density of code in each quarter, errors."""
+    share = lambda c: r6(F.col(c) / F.col("n_commands"))
+    cells = [r6(F.col(f"q{q}_code")).alias(f"q{q}_code") for q in range(1, 5)]
+    whole = ["conv_id", "n_calls", "n_commands", F.array_join("languages", ",").alias("languages"), big(F.size("languages")).alias("n_languages"), "first_data", "starts_with", "n_switches", "n_code", "n_telemetry"]
+    return _runs(t).select(*whole, share("n_code").alias("code_share"), share("n_telemetry").alias("telemetry_share"), *cells, "n_errors", share("n_errors").alias("error_rate"))
 
 
 @query(f"""
-    WITH {_RUNS} SELECT 'agent-' || (conv_id % 3) AS agent, count(*) AS n_runs, round(avg(n_calls), 6) AS mean_calls, round(avg(n_switches), 6) AS mean_switches, round(avg(code_share), 6) AS mean_code,
+    WITH {_RUNS} SELECT 'agent-' || (conv_id % 3) AS agent, count(*) AS n_runs, round(avg(n_calls), 6) AS mean_calls, round(avg(n_switches), 6) AS mean_switches, round(avg(n_code / n_commands::DOUBLE), 6) AS mean_code,
       CAST(count_if(starts_with = 'code') AS BIGINT) AS n_code_first, round(100.0::DOUBLE * count_if(starts_with = 'code') / count(*), 6) AS pct_code_first, round(median(n_calls)::DOUBLE, 6) AS median_calls, max(n_calls) AS most_calls
-    FROM runs JOIN switches USING (conv_id) GROUP BY 1
+    FROM whole JOIN runs USING (conv_id) JOIN switches USING (conv_id) GROUP BY 1
 """)
 def run_summary(t: Tables) -> DataFrame:
     """Means of per-run measures by group, shares with their counts, the median and the largest run."""
@@ -214,7 +287,7 @@ def run_summary(t: Tables) -> DataFrame:
         F.count(F.lit(1)).alias("n_runs"),
         r6(F.avg("n_calls")).alias("mean_calls"),
         r6(F.avg("n_switches")).alias("mean_switches"),
-        r6(F.avg("code_share")).alias("mean_code"),
+        r6(F.avg(F.col("n_code") / F.col("n_commands"))).alias("mean_code"),
         first.alias("n_code_first"),
         r6(100.0 * first / F.count(F.lit(1))).alias("pct_code_first"),
         r6(F.median("n_calls")).alias("median_calls"),
@@ -267,9 +340,8 @@ def calls_spread(t: Tables) -> DataFrame:
 def unmapped_trials(t: Tables) -> DataFrame:
     """Trials with telemetry calls that have a group, and those that have none (an anti join)."""
     trials = _calls(t).where(text.is_telemetry(F.col("cats"))).select("conv_id").distinct()
-    groups = t.conversations.select("conv_id").distinct().where("conv_id % 10 <> 9")
-    mapped = trials.join(groups, "conv_id", "left_semi").agg(F.count(F.lit(1)).alias("n_mapped"))
-    return mapped.crossJoin(trials.join(groups, "conv_id", "left_anti").agg(F.count(F.lit(1)).alias("n_unmapped")))
+    groups = t.conversations.select("conv_id").distinct().where("conv_id % 10 <> 9").withColumn("known", F.lit(True))
+    return trials.join(groups, "conv_id", "left").agg(F.count("known").alias("n_mapped"), F.count_if(F.col("known").isNull()).alias("n_unmapped"))
 
 
 @query(f"""
