@@ -11,16 +11,11 @@ from pyspark.sql import functions as F
 
 from quern.operators.timeline import micros
 
-#: Nested calls that are peeled off a query.
-DEPTH = 4
-
-
 def metric_name(query: Column) -> Column:
-    """The metric a query selects: calls peeled from outside, ranges and matchers dropped. Of an expression of several selectors, what is left of the whole text."""
-    out = F.trim(query)
-    for _ in range(DEPTH):
-        out = F.trim(F.regexp_replace(out, r"^[a-zA-Z_]+(?:\s+(?:by|without)\s*\([^)]*\))?\s*\((.*)\)$", "$1"))
-    return F.trim(F.regexp_replace(F.regexp_replace(out, r"\[[^\]]*\]", ""), r"\{[^}]*\}", ""))
+    """The metric a query selects: calls peeled from outside, however deep, each with what follows its last parenthesis; ranges and matchers dropped. Of a text that doesn't begin with a call, what is left of the whole."""
+    calls = F.regexp_extract_all(F.regexp_extract(query, r"^((?:\w+\()*)", 1), F.lit(r"\w+\("), F.lit(0))
+    inner = F.aggregate(F.transform(calls, lambda _: F.lit(0)), query, lambda x, _: F.regexp_replace(x, r"(?s)^\w+\((.+)\)[^)]*$", "$1"))
+    return F.trim(F.regexp_replace(F.regexp_replace(inner, r"\[\d+[smhd](?:\d+[smhd])*\]", ""), r"\{[^}]*\}", ""))
 
 
 #: One matcher of a selector: a name, any of the four comparisons, a double-quoted value.
@@ -41,14 +36,46 @@ def label_text(query: Column) -> Column:
     return F.array_join(F.transform(labels_of(query), lambda p: F.concat(p["key"], F.lit("="), p["value"])), ",")
 
 
-def rate(samples: DataFrame, series: Sequence[str], ts: str, value: str, seconds: int, out: str = "rate", tie: str | None = None) -> DataFrame:
-    """samples with the per-second increase over the last `seconds`, corrected for counter resets (a value below its predecessor counts whole)."""
+#: Microseconds of a bucket of a series: 18 minutes. A series of any length is worked on bucket by bucket.
+SPAN = 1 << 30
+
+
+def rises(samples: DataFrame, series: Sequence[str], ts: str, value: str, tie: str | None = None, out: str = "rise") -> DataFrame:
+    """samples with how much each is above its predecessor in its series: a value below it counts whole (the counter was reset), the first counts nothing.
+
+    Predecessors are found inside buckets of time; the first of a bucket takes the last of the bucket before,
+    of which there is one row per bucket.
+    """
     order = [ts, *([tie] if tie else [])]
-    before = F.lag(value).over(Window.partitionBy(*series).orderBy(*order))
-    rise = F.when(before.isNull(), F.lit(0.0)).when(F.col(value) < before, F.col(value)).otherwise(F.col(value) - before)
-    rows = samples.withColumn("__rise", rise).withColumn("__us", micros(F.col(ts)))
-    w = Window.partitionBy(*series).orderBy("__us").rangeBetween(-seconds * 1_000_000 + 1, 0)
-    return rows.withColumn(out, F.sum("__rise").over(w) / F.lit(float(seconds))).drop("__rise", "__us")
+    rows = samples.withColumn("__b", F.floor(micros(F.col(ts)) / SPAN).cast("long"))
+    w = Window.partitionBy(*series, "__b").orderBy(*order)
+    lasts = rows.groupBy(*series, "__b").agg(F.max_by(value, F.struct(*order)).alias("__last"))
+    before = lasts.select(*[F.col(c).alias(f"__{c}") for c in series], F.col("__b").alias("__at"), F.lag("__last").over(Window.partitionBy(*series).orderBy("__b")).alias("__before"))
+    on = F.col("__b") == F.col("__at")
+    for c in series:
+        on = on & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    placed = rows.withColumn("__own", F.lag(value).over(w)).withColumn("__n", F.row_number().over(w)).join(before, on)
+    last = F.when(F.col("__n") == 1, F.col("__before")).otherwise(F.col("__own"))
+    rise = F.when(last.isNull(), F.lit(0.0)).when(F.col(value) < last, F.col(value)).otherwise(F.col(value) - last)
+    return placed.select(*samples.columns, rise.alias(out))
+
+
+def rate(samples: DataFrame, series: Sequence[str], ts: str, value: str, seconds: int, out: str = "rate", tie: str | None = None) -> DataFrame:
+    """samples with the per-second increase over the last `seconds`, corrected for counter resets (a value below its predecessor counts whole).
+
+    The frame looks into its own bucket of time and, by copies of what lies within `seconds` of the next
+    bucket, into the one before.
+    """
+    back = seconds * 1_000_000
+    width = max(SPAN, back)
+    us = micros(F.col(ts))
+    bucket = F.floor(us / width).cast("long")
+    near = F.when(us > (bucket + 1) * width - back, F.struct((bucket + 1).alias("b"), F.lit(False).alias("own")))
+    places = F.array_compact(F.array(F.struct(bucket.alias("b"), F.lit(True).alias("own")), near))
+    rows = rises(samples, series, ts, value, tie, "__rise").withColumn("__us", us).withColumn("__p", F.explode(places))
+    rows = rows.withColumn("__b", F.col("__p.b")).withColumn("__own", F.col("__p.own"))
+    w = Window.partitionBy(*series, "__b").orderBy("__us").rangeBetween(-back + 1, 0)
+    return rows.withColumn(out, F.sum("__rise").over(w) / F.lit(float(seconds))).where("__own").drop("__rise", "__us", "__p", "__b", "__own")
 
 
 def on_grid(samples: DataFrame, series: Sequence[str], ts: str, value: str, step_seconds: int) -> DataFrame:
@@ -219,9 +246,8 @@ def evaluate(samples: DataFrame, query: str, step: int, stop: int, lookback: int
             rows = _spread(_selected(samples, node), lookback, step, stop)
             return rows.groupBy("name", "labels", "__k").agg(F.max_by("value", F.struct("ts", "value")).alias("value")).select("labels", "__k", "value")
         if isinstance(node, Rate):
-            before = F.lag("value").over(Window.partitionBy("name", "labels").orderBy("ts", "value"))
-            rise = F.when(before.isNull(), F.lit(0.0)).when(F.col("value") < before, F.col("value")).otherwise(F.col("value") - before)
-            rows = _spread(_selected(samples, node.of).withColumn("rise", rise), node.of.seconds, step, stop)
+            risen = rises(_selected(samples, node.of), ["name", "labels"], "ts", "value", "value")
+            rows = _spread(risen, node.of.seconds, step, stop)
             over = float(node.of.seconds) if node.function == "rate" else 1.0
             return rows.groupBy("name", "labels", "__k").agg((F.sum("rise") / F.lit(over)).alias("value")).select("labels", "__k", "value")
         if isinstance(node, Aggregate):

@@ -23,11 +23,28 @@ def _queries(t: Tables) -> DataFrame:
     brand = F.concat(F.lit("brand"), pick(_MATCHERS, key % 4), F.lit('"'), F.col("p_brand"), F.lit('"'))
     size = F.concat(F.lit('size="'), (F.col("p_size") % 3).cast("string"), F.lit('"'))
     body = F.concat(name, F.lit("{"), F.when(key % 2 == 0, F.concat(brand, F.lit(","), size)).otherwise(F.concat(size, F.lit(", "), brand)), F.lit("}"))
-    forms = {0: ("rate(", "[5m])"), 1: ("sum(rate(", "[2m]))"), 2: ("", ""), 3: ("avg without (cpu) (", ")")}
+    forms = {0: ("rate(", "[5m])"), 1: ("sum(rate(", "[2m]))"), 2: ("", ""), 3: ("avg(log2(rate(increase(max(", "[5m1s]))))) * 60")}
     whole = F.coalesce(*[F.when(F.col("p_size") % 4 == k, F.concat(F.lit(a), body, F.lit(b))) for k, (a, b) in forms.items()])
     return t.part.select("p_partkey", "p_type", "p_brand", "p_size", whole.alias("q"))
 
 
+_PEELED = "q"
+for _ in range(7):
+    _PEELED = rf"regexp_replace({_PEELED}, '^\w+\((.+)\)[^)]*$', '\1', 's')"
+
+
+@query(rf"""
+    WITH f AS (SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN 'avg without (cpu) (' || p_type || '{{a="1"}})' WHEN 1 THEN 'a(b(c(d(e(f(' || p_type || '[5m])))))) + 1' WHEN 2 THEN 'log2(' || p_type || '{{x="("}}' || ')' WHEN 3 THEN 'sum(rate(x[1h:5m])) / sum(rate(' || p_type || '[2m]))' ELSE ' rate(' || p_type || ') ' END AS q FROM part)
+    SELECT p_partkey, trim(regexp_replace(regexp_replace({_PEELED}, '\[\d+[smhd](\d+[smhd])*\]', '', 'g'), '\{{[^}}]*\}}', '', 'g')) AS metric FROM f
+""")
+def metric_names(t: Tables) -> DataFrame:
+    """What is taken for the metric's name in odd texts: deep calls, arithmetic behind or between calls, words between a function and its parenthesis, leading blanks."""
+    kind, name = F.col("p_size") % 5, F.col("p_type")
+    forms = [('avg without (cpu) (', '{a="1"})'), ("a(b(c(d(e(f(", "[5m])))))) + 1"), ("log2(", '{x="("})'), ("sum(rate(x[1h:5m])) / sum(rate(", "[2m]))"), (" rate(", ") ")]
+    q = F.coalesce(*[F.when(kind == k, F.concat(F.lit(a), name, F.lit(b))) for k, (a, b) in enumerate(forms)])
+    return t.part.select("p_partkey", promql.metric_name(q).alias("metric"))
+
+
 _FAMILY = "lower(p_type) || CASE p_partkey % 9 WHEN 8 THEN '_seconds' ELSE '' END"
 _LABELS = "'brand=' || p_brand || ',size=' || (p_size % 3)"
 
