@@ -3,13 +3,14 @@ from __future__ import annotations
 import hashlib
 import math
 import random
+import re
 import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from quern.functions import promql, text, times
-from quern.operators import checks, cost, onset, split, stats, timeline, trajectory, verdicts
+from quern.operators import checks, cost, onset, ordering, split, stats, timeline, trajectory, verdicts
 
 
 def graded(spark, tasks):
@@ -190,12 +191,101 @@ def test_text_rules(spark):
     assert f(text.fenced_json(F.lit('so:\n```json\n{"a": 1}\n```\n'))) == '{"a": 1}'
     assert f(text.section(F.lit("# T\n## Mechanism\n\nbody\nmore\n\n## Next\nx"), "Mechanism")) == "body\nmore"
     assert f(text.canonical_json(F.create_map(F.lit("b"), F.lit(1), F.lit("a"), F.lit(2)))) == '{"a":2,"b":1}'
-    lists = {"['a', \"b c\"]": ["a", "b c"], "[]": [], "nan": [], "None": [], "": [], "['a', 3]": [], "[ 'x' ]": ["x"], "['a'": []}
+    lists = {"['a', \"b c\"]": ["a", "b c"], "[]": [], "nan": [], "None": [], "": [], "['a', 3, None, True]": ["a", "3", None, "True"], "[ 'x' ,]": ["x"], "['a'": [], "['a' 'b']": [], "x": []}
     for cell, want in lists.items():
         assert f(text.parsed_list(F.lit(cell))) == want, cell
+        assert f(text.malformed_list(F.lit(cell))) == (cell in ("['a'", "['a' 'b']", "x"))
     assert f(text.parsed_list(F.lit(None).cast("string"))) == []
 
 
+def test_lists_as_python_writes_and_reads_them(spark):
+    import ast
+
+    rng = random.Random(3)
+    letters = ["a", "'", '"', "\\", "n", "\n", "\t", "\r", ",", "[", "]", " ", "é", "漢", "😀", "\x00", "\x1b", "\x7f", "x41", "u0041"]
+    lists = [["".join(rng.choices(letters, k=rng.randrange(6))) for _ in range(rng.randrange(4))] for _ in range(400)]
+    rows = spark.createDataFrame([(i, x, repr(x)) for i, x in enumerate(lists)], "i int, x array<string>, python string")
+    for r in rows.select("*", text.written_list(F.col("x")).alias("own"), text.parsed_list(F.col("python")).alias("read"), text.malformed_list(F.col("python")).alias("bad")).collect():
+        assert r.own == repr(lists[r.i]) and r.read == lists[r.i] and not r.bad
+    odd = [r"['\x41\u00e9\U0001F600\101\q']", r'["\a\b\f\v"]', "['it\\'s', \"so\"]"]
+    for r in spark.createDataFrame([(x,) for x in odd], "x string").select("x", text.parsed_list(F.col("x")).alias("read")).collect():
+        assert r.read == ast.literal_eval(r.x)
+
+
+def test_places_over_whole_tables(spark):
+    names = ["b10/t2", "b9/t10", "b9/t9", "b9/t" + "9" * 30, "b9/t" + "9" * 29 + "8", "b9/t0010a", "b9/t", "7", "a", "A1", "b09/t9b", "t1234567890123", "t1234567890129", "t"]
+    parts = lambda x: [int(p) if p.isdigit() else p for p in re.split(r"(\d+)", x)]
+    rows = spark.createDataFrame([(x,) for x in names], "x string").repartition(4)
+    found = {r.place: r.x for r in ordering.placed(rows, [ordering.natural_key(F.col("x")), "x"]).collect()}
+    assert [found[k + 1] for k in range(len(names))] == sorted(names, key=lambda x: (parts(x), x))
+    many = ordering.placed(spark.range(20000).select((F.col("id") * 7919 % 20000).alias("v")), ["v"])
+    assert many.where("place <> v + 1").count() == 0
+
+
+def test_greedy_fill_equals_the_fold(spark):
+    rng = random.Random(8)
+    tasks, pins = [], [(g,) for g in range(0, 400, 90)]
+    for s in "abcd":
+        for g in range({"a": 400, "b": 30, "c": 3, "d": 200}[s]):
+            tasks += [(s, g)] * (1 if s == "d" else rng.choice([1, 1, 2, 5, 40, 300]))
+    rows = spark.createDataFrame([*tasks, (None, 1), (None, 2)], "s string, g int")
+    for fraction in (0.0, 0.3, 0.7, 1.0):
+        found = {(r.s, r.g): r.side for r in split.assigned(rows, "s", "g", fraction, 5, spark.createDataFrame(pins, "g int")).collect()}
+        sizes = {}
+        for key in [*tasks, (None, 1), (None, 2)]:
+            sizes[key] = sizes.get(key, 0) + 1
+        assert found.keys() == sizes.keys()
+        for s in ("a", "b", "c", "d", None):
+            own = {g: n for (k, g), n in sizes.items() if k == s}
+            target, fixed = fraction * sum(own.values()), {g for g, in pins}
+            held = sum(n for g, n in own.items() if g in fixed)
+            for g in sorted(own, key=lambda g: hashlib.md5(f"5:{g}".encode()).hexdigest()):
+                take = g not in fixed and abs(held + own[g] - target) < abs(held - target)
+                held += own[g] if take else 0
+                assert found[s, g] == ("public" if take or g in fixed else "private")
+
+
+def test_alignment_by_an_index(spark):
+    rng = random.Random(6)
+    for _ in range(200):
+        texts = ["".join(rng.choices("ab", k=rng.randrange(6))) for _ in range(rng.randrange(8))]
+        needles = ["".join(rng.choices("ab", k=rng.randrange(4))) for _ in range(6)]
+        where = trajectory.Places(needles, texts)
+        for n in filter(None, needles):
+            for start in range(9):
+                assert where.first(n, start) == next((k for k in range(start, len(texts)) if n in texts[k]), None)
+    # 100,000 calls that all miss, and some that are there: one pass, not one for each.
+    n = 100_000
+    calls = spark.range(n).select(F.lit("t").alias("t"), F.col("id").alias("c"), F.when(F.col("id") % 1000 == 0, F.concat(F.lit("in "), (F.col("id") / 1000).cast("int").cast("string"), F.lit("."))).otherwise(F.concat(F.lit("missing "), "id")).alias("cmd"))
+    inputs = spark.range(n).select(F.lit("t").alias("t"), F.col("id").alias("k"), F.concat(F.lit("in "), "id", F.lit(".")).alias("data"))
+    began = time.perf_counter()
+    found = trajectory.aligned(calls, inputs, "t", "c", "cmd", "k", "data").where("place is not null").collect()
+    assert sorted((r.c, r.place) for r in found) == [(k * 1000, k) for k in range(100)]
+    assert time.perf_counter() - began < 60
+
+
+def test_rates_across_buckets(spark):
+    """Against plain sums, with resets, gaps of any size and repeated times; one series, ranges below and above the width of a bucket."""
+    rng = random.Random(9)
+    at, rows = 0, []
+    for i in range(400):
+        at += rng.choice([0, 1, 10**6, 10**8, promql.SPAN // 3, promql.SPAN * 5])
+        rows.append((at, float(rng.randrange(50)), i))
+    table = spark.createDataFrame(rows, "t long, v double, i int").withColumn("ts", F.timestamp_micros("t")).repartition(4)
+    rise = [0.0] + [b if b < a else b - a for (_, a, _), (_, b, _) in zip(rows, rows[1:])]
+    for seconds in (60, 300, 1073, 10_000):
+        found = {r.i: r.rate for r in promql.rate(table, [], "ts", "v", seconds, tie="i").collect()}
+        for t, _, i in rows:
+            want = sum(x for (u, _, _), x in zip(rows, rise) if t - seconds * 1_000_000 < u <= t) / seconds
+            assert math.isclose(found[i], want, abs_tol=1e-12)
+
+
+def test_hot_series_spreads_over_tasks(spark):
+    table = spark.range(400_000).select(F.timestamp_micros(F.col("id") * 100_000).alias("ts"), (F.col("id") % 977).cast("double").alias("v"), F.lit("one").alias("s"))
+    rows = promql.rate(table, ["s"], "ts", "v", 30).select("rate", F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    assert sum(r["count"] for r in rows) == 400_000 and max(r["count"] for r in rows) < 300_000
+
+
 def test_promql_reading(spark):
     f = lambda c: spark.range(1).select(c).first()[0]
     q = F.lit('sum(rate(x_total{b="2",a="1"}[5m]))')

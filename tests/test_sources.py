@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.sources import sinks, trees
+from quern.sources.files import put_files
+from quern.sources.paged import paged
 
 
 def put(path, body):
@@ -68,7 +70,7 @@ def test_recordings_are_cut_at_inputs(spark, tmp_path):
     # The second call of the same text can't take the first one's input again.
     calls = spark.createDataFrame([("t1", 0, "a", "ls\n"), ("t1", 1, "b", "ls\n"), ("t1", 2, "c", " \n"), ("t1", 3, "d", "ps")], "trial_id string, call int, tool_call_id string, typed string")
     found = {r.tool_call_id: r.output for r in trees.recovered(calls, events).collect()}
-    assert found == {"a": "bay", "d": "z"}
+    assert found == {"a": "bay", "b": None, "c": None, "d": "z"}
 
 
 def test_agent_calls_are_the_agents_own(spark, tmp_path):
@@ -156,3 +158,55 @@ def test_sinks(spark, tmp_path):
     new = spark.createDataFrame([("a", 9, []), ("c", 3, [])], rows.schema)
     assert sorted((r.k, r.n) for r in sinks.upserted(rows, new, ["k"]).collect()) == [("a", 1), ("b", 2), ("c", 3)]
     assert (sinks.mean_cell(None, None), sinks.mean_cell(22.449, None), sinks.mean_cell(26.61, 3.004)) == ("—", "22.4%", "26.6% ± 3.0%")
+
+
+def tree_of(root):
+    return {str(p.relative_to(root)): p.read_text() for p in root.rglob("*") if p.is_file() and not p.name.endswith(".crc")}
+
+
+def test_files_are_written_by_tasks(spark, tmp_path):
+    rows = spark.range(200).select(F.concat(F.lit("a/"), F.col("id") % 7, F.lit("/"), "id", F.lit(".txt")).alias("path"), F.when(F.col("id") % 5 > 0, F.concat(F.lit("body é "), "id")).alias("body")).repartition(4)
+    for root in (tmp_path / "x", tmp_path / "y"):
+        put_files(rows, f"file://{root}" if root.name == "x" else str(root))
+        assert tree_of(root) == {f"a/{k % 7}/{k}.txt": f"body é {k}" if k % 5 else "" for k in range(200)}
+    put_files(spark.createDataFrame([("a/0/0.txt", bytearray(b"\x00new"))], "path string, body binary"), str(tmp_path / "x"))
+    assert (tmp_path / "x/a/0/0.txt").read_bytes() == b"\x00new"
+    put_files(rows.limit(0), str(tmp_path / "x"))
+    for bad in ("../out", "/etc/x", "", "a/../../b"):
+        with pytest.raises(Exception, match="not a path inside the tree"):
+            put_files(spark.createDataFrame([(bad, "x")], "path string, body string"), str(tmp_path / "x"))
+
+
+def test_a_task_that_fails_half_way_leaves_no_file(spark, tmp_path):
+    body = F.when(F.col("id") == 70, F.raise_error(F.lit("lost")).cast("string")).otherwise(F.repeat(F.lit("x"), 100_000))
+    rows = spark.range(0, 100, 1, 1).select(F.col("id").cast("string").alias("path"), body.alias("body"))
+    with pytest.raises(Exception, match="lost"):
+        put_files(rows, str(tmp_path / "tree"))
+    assert tree_of(tmp_path / "tree") == {}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        with pytest.raises(Exception, match="lost"):
+            put_files(rows, str(tmp_path / "tree"))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert tree_of(tmp_path / "tree") == {} and not list((tmp_path / "tree").glob("_staging*"))
+
+
+def test_a_range_opens_its_pages_alone(spark, tmp_path):
+    """Pages outside the range are broken: to open one of them fails."""
+    stamp = lambda n: f"2024-01-{n:02d}T00:00:00"
+    page = lambda n: {"items": [{"id": n * 10 + k, "at": f"2024-01-{n:02d}T{k:02d}:00:00"} for k in range(10)]}
+    put(tmp_path / "p-1.json", page(1) | {"total_pages": 9, "bounds": [[stamp(n), f"2024-01-{n:02d}T09:00:00"] for n in range(1, 9)] + [None]})
+    for n in range(2, 9):
+        put(tmp_path / f"p-{n}.json", page(n) if n in (3, 4) else "{broken")
+    put(tmp_path / "p-9.json", {"items": []})
+    read = lambda order="at": paged(spark, str(tmp_path / "p-{page}.json"), "id long, at timestamp_ntz", order=order)
+    at = F.col("at")
+    some = lambda x: F.lit(x).cast("timestamp_ntz")
+    assert sorted(r.id for r in read().where((at >= some("2024-01-03T05:00:00")) & (at < some("2024-01-04T02:00:00"))).collect()) == [35, 36, 37, 38, 39, 40, 41]
+    assert [r.id for r in read().where(at == some("2024-01-04T03:00:00")).collect()] == [43]
+    assert read().where(at > some("2025-01-01T00:00:00")).collect() == []
+    assert sorted(r.id for r in read().where(at.isin("2024-01-03T00:00:00", "2024-01-04T09:00:00") & (F.col("id") > 0)).collect()) == [30, 49]
+    for rows in (read(), read(None).where(at == some("2024-01-04T03:00:00"))):
+        with pytest.raises(Exception, match="JSON|Expecting"):
+            rows.collect()
