@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import posixpath
 import re
+import time
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -20,6 +22,10 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterComm
 from pyspark.sql.types import StructType
 
 
+#: Renames that are under way together when a write is committed.
+RENAMES_AT_ONCE = 16
+
+
 def located(uri: str) -> tuple[fs.FileSystem, str]:
     """The file system of a URI, as Hadoop writes it, and the path inside it. A path without scheme is local."""
     uri = re.sub(r"^s3[an]:", "s3:", uri)
@@ -28,49 +34,62 @@ def located(uri: str) -> tuple[fs.FileSystem, str]:
 
 
 @dataclass
-class _Written(WriterCommitMessage):
-    files: int
+class _Staged(WriterCommitMessage):
+    """Where a task has left its files and the list of their places."""
+
+    folder: str
 
 
 class _TreeWriter(DataSourceArrowWriter):
-    """A task writes its files under a staging folder of its own and moves each to its place once it has written all; a file is there whole or not at all.
+    """Two steps, as Spark's own committers have: tasks write their files into staging folders of their own, each with a list of the places they belong in; when all tasks have ended well the files are moved there, each by one rename.
 
-    A task that is run again, or twice at once, moves equal files over equal ones. When the job ends,
-    in whichever way, the staging folders go; of a job that failed the files of the tasks that
-    had ended stay.
+    A file is there whole or not at all, and a job that fails places none. A task that is run again or
+    twice at once has another folder, and only one of them is committed. Task messages name
+    folders, not files.
     """
 
     def __init__(self, root: str) -> None:
         self.root, self.staging = root.rstrip("/"), f"_staging-{uuid.uuid4().hex}"
 
-    def write(self, iterator: Iterator[pa.RecordBatch]) -> _Written:
-        system, root = located(self.root)
-        own, places, made = f"{root}/{self.staging}/{uuid.uuid4().hex}", [], set()
-        system.create_dir(own)
-        for batch in iterator:
-            for path, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                inside = posixpath.normpath(path or "")
-                if inside in (".", "..") or inside.startswith(("/", "../")):
-                    raise ValueError(f"not a path inside the tree: {path!r}")
-                with system.open_output_stream(f"{own}/{len(places)}") as out:
-                    out.write(body if isinstance(body, bytes) else (body or "").encode())
-                places.append(inside)
-        for n, inside in enumerate(places):
-            folder = posixpath.dirname(f"{root}/{inside}")
-            if folder not in made:
-                system.create_dir(folder)
-                made.add(folder)
-            system.move(f"{own}/{n}", f"{root}/{inside}")
-        return _Written(len(places))
-
-    def _clean(self) -> None:
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> _Staged:
         system, root = located(self.root)
-        if system.get_file_info(f"{root}/{self.staging}").type == fs.FileType.Directory:
-            system.delete_dir(f"{root}/{self.staging}")
+        own, n = f"{self.staging}/{uuid.uuid4().hex}", 0
+        system.create_dir(f"{root}/{own}")
+        with system.open_output_stream(f"{root}/{own}/places") as places:
+            for batch in iterator:
+                for path, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    inside = posixpath.normpath(path or "")
+                    if inside in (".", "..") or inside.startswith(("/", "../")) or "\n" in inside:
+                        raise ValueError(f"not a path inside the tree: {path!r}")
+                    with system.open_output_stream(f"{root}/{own}/{n}") as out:
+                        out.write(body if isinstance(body, bytes) else (body or "").encode())
+                    places.write(f"{inside}\n".encode())
+                    n += 1
+        return _Staged(own)
 
     def commit(self, messages: list) -> None:
+        system, root = located(self.root)
+        with ThreadPoolExecutor(RENAMES_AT_ONCE) as pool:
+            for message in messages:
+                own = f"{root}/{message.folder}"
+                with system.open_input_stream(f"{own}/places") as f:
+                    places = f.read().decode().splitlines()
+                list(pool.map(lambda folder: system.create_dir(f"{root}/{folder}"), {posixpath.dirname(p) for p in places}))
+                list(pool.map(lambda job: system.move(f"{own}/{job[0]}", f"{root}/{job[1]}"), enumerate(places)))  # noqa: B023
         self._clean()
 
+    def _clean(self) -> None:
+        """Staging folders go. A task that is being stopped may still write into one, so this tries a few times; what it can't remove begins with an underscore, which Spark's readers pass over."""
+        system, root = located(self.root)
+        for wait in (0.0, 0.2, 1.0, 3.0):
+            time.sleep(wait)
+            try:
+                if system.get_file_info(f"{root}/{self.staging}").type == fs.FileType.Directory:
+                    system.delete_dir(f"{root}/{self.staging}")
+                return
+            except OSError:
+                continue
+
     def abort(self, messages: list) -> None:
         self._clean()
 
