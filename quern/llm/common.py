@@ -14,7 +14,7 @@ from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 try:  # glibc's own call for it; other C libraries return memory in their own ways
@@ -73,19 +73,37 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
 
 
+def named(columns: Iterable[str]) -> list[Column]:
+    """Columns by their whole names, which may have dots in them."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
+
+
+def undotted(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with plain names for columns whose names have dots, which functions over Arrow batches take for paths; and what redotted() needs."""
+    plain = {c: f"__dotted_{k}" for k, c in enumerate(docs.columns) if "." in c}
+    if not plain:
+        return docs, {}
+    return docs.select(*[x.alias(plain.get(c, c)) for c, x in zip(docs.columns, named(docs.columns))]), {v: k for k, v in plain.items()}
+
+
+def redotted(docs: DataFrame, names: dict[str, str]) -> DataFrame:
+    """docs with the names that undotted() took away."""
+    return docs.select(*[F.col(c).alias(names.get(c, c)) for c in docs.columns]) if names else docs
+
+
 _OWN = "__own_"
 
 
 def aside(docs: DataFrame, names: Iterable[str]) -> DataFrame:
     """docs with its columns of those names renamed, so that an operator can give such columns of its own; back() undoes it."""
     taken = set(names)
-    return docs.select(*[F.col(f"`{c}`").alias(_OWN + c if c in taken else c) for c in docs.columns])
+    return docs.select(*[x.alias(_OWN + c if c in taken else c) for c, x in zip(docs.columns, named(docs.columns))])
 
 
 def back(docs: DataFrame, columns: Sequence[str], names: Iterable[str]) -> DataFrame:
     """The columns that docs had before aside()."""
     taken = set(names)
-    return docs.select(*[F.col(f"`{_OWN + c}`").alias(c) if c in taken else F.col(f"`{c}`") for c in columns])
+    return docs.select(*[x.alias(c) for c, x in zip(columns, named(_OWN + c if c in taken else c for c in columns))])
 
 
 def buffer_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

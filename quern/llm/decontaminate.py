@@ -13,7 +13,8 @@ with the window's own bytes before it counts.
 The benchmark is broadcast in blocks, one pass over the documents per block: a block's items
 are drawn to the driver one after another, the arrays made of them (some OBJECT_SHARE bytes for
 each byte of text) hold at most about OBJECT_BYTES, and a block that has done its work is
-destroyed. A text too long for a block goes in parts that overlap by a window less a word, so
+destroyed. Where there are several, each writes what it has found for the texts it hits, and these
+finds are joined to the documents once, at the end. A text too long for a block goes in parts that overlap by a window less a word, so
 that a match across their border is told as two.
 
 Null and empty texts have no words and are never hit. Null items have no windows; a null
@@ -25,16 +26,16 @@ columns, whatever their names, come through decontaminated() unchanged.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cached_property
+from functools import cached_property, reduce
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from quern.llm.common import LOWER, aside, back, buffer_of, configure, forget, pieces, span_hashes, word_spans, written
+from quern.llm.common import LOWER, aside, back, buffer_of, configure, pieces, redotted, span_hashes, undotted, word_spans, written
 
 WINDOW = 10
 #: Bytes of a block's arrays, and how many of them a byte of text makes (measured: 21).
@@ -186,8 +187,8 @@ def longest(bench: Benchmark, word: np.ndarray, window: np.ndarray, row: np.ndar
     return np.column_stack([doc[first], item[first], p[first], q[first], p[last] - p[first] + size[last]])
 
 
-def _scan(bench: Benchmark, column: pa.Array, before: tuple[list, list, list] | None) -> tuple[list, ...]:
-    """n_words, spans, items and matches of each text, added to what earlier blocks found."""
+def _scan(bench: Benchmark, column: pa.Array) -> tuple[list, ...]:
+    """n_words, spans, items and matches of each text."""
     whole, offsets = buffer_of(column)
     n_words, spans, items, matches = [], [], [], []
     for lo, hi in pieces(offsets, SHARD_BYTES):
@@ -202,10 +203,9 @@ def _scan(bench: Benchmark, column: pa.Array, before: tuple[list, list, list] |
         n_words += np.diff(first).tolist()
         for k in range(hi - lo):
             mine = [(bench.names[i], p - int(first[k]), q, n) for _, i, p, q, n in chains[cut[k] : cut[k + 1]].tolist()]
-            old = (before[0][lo + k], before[1][lo + k], before[2][lo + k]) if before else ([], [], [])
-            spans.append(merged([(s["start"], s["stop"]) for s in old[0]] + [(p, p + n) for _, p, _, n in mine]))
-            items.append(sorted({*old[1], *(i for i, *_ in mine)}))
-            matches.append([*old[2], *({"item_id": i, "doc_word": p, "item_word": q, "n_words": n} for i, p, q, n in mine)])
+            spans.append(merged([(p, p + n) for _, p, _, n in mine]))
+            items.append(sorted({i for i, *_ in mine}))
+            matches.append([{"item_id": i, "doc_word": p, "item_word": q, "n_words": n} for i, p, q, n in mine])
     return n_words, [[{"start": a, "stop": b} for a, b in x] for x in spans], items, matches
 
 
@@ -256,33 +256,71 @@ def blocks(benchmark: DataFrame, limit: int = BLOCK_BYTES, window: int = WINDOW)
 NAMES = ("n_words", "spans", "items", "matches")
 
 
+_SPANS, _ITEMS, _MATCHES = "array<struct<start:long,stop:long>>", "array<string>", "array<struct<item_id:string,doc_word:long,item_word:long,n_words:long>>"
+_KINDS = [pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])), pa.list_(pa.string()), pa.list_(pa.struct([("item_id", pa.string()), ("doc_word", pa.int64()), ("item_word", pa.int64()), ("n_words", pa.int64())]))]
+
+
 def found(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs with n_words, spans (hit words, half-open), items (ids whose windows occur, sorted as strings) and matches (longest verbatim matches and where they are). Columns that docs has under these names are replaced."""
+    docs, dotted = undotted(docs)
     spark = docs.sparkSession
     configure(spark)
     rest = [c for c in docs.columns if c not in NAMES]
-    schema = StructType([*docs.select(*rest).schema.fields, *StructType.fromDDL(ADDED).fields])
-    out = past = last = None
+    kept = docs.select(*rest)
     todo = blocks(benchmark, block_bytes, window)
-    for items in chain([next(todo, [])], todo):
-        if out is not None:
-            # What the block before found is written, so that block and the table before that can go.
-            done = written(out, "blocks")
-            last.destroy()
-            if past is not None:
-                forget(spark, past)
-            past = done
-        last = spark.sparkContext.broadcast(Benchmark(items, window))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=last, again=past is not None) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                before = tuple(batch.column(c).to_pylist() for c in ("spans", "items", "matches")) if again else None
-                n_words, *more = _scan(shared.value, batch.column("text"), before)
-                kinds = [pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])), pa.list_(pa.string()), pa.list_(pa.struct([("item_id", pa.string()), ("doc_word", pa.int64()), ("item_word", pa.int64()), ("n_words", pa.int64())]))]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(n_words, pa.int64()), *map(pa.array, more, kinds)], [*rest, *NAMES])
+    first, second = next(todo, []), next(todo, None)
+    if second is not None:
+        return redotted(_joined(kept, rest, _block_hits(docs, chain([first, second], todo), window)), dotted)
+    shared = spark.sparkContext.broadcast(Benchmark(first, window))
 
-        out = (docs.select(*rest) if past is None else past).mapInArrow(run, schema)
-    return out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n_words, *more = _scan(shared.value, batch.column("text"))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(n_words, pa.int64()), *map(pa.array, more, _KINDS)], [*rest, *NAMES])
+
+    return redotted(kept.mapInArrow(run, StructType([*kept.schema.fields, *StructType.fromDDL(ADDED).fields])), dotted)
+
+
+def _digest() -> Column:
+    return F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)
+
+
+def _block_hits(docs: DataFrame, todo: Iterator[list[tuple[str, str, int]]], window: int) -> DataFrame:
+    """What each block finds, one row per text (by its digest) that it hits: no text is written, and texts without a hit leave nothing."""
+    spark, parts = docs.sparkSession, []
+    bodies = docs.select(_digest().alias("digest"), F.col("text").cast("string").alias("text"))
+    for items in todo:
+        shared = spark.sparkContext.broadcast(Benchmark(items, window))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                _, *more = _scan(shared.value, batch.column("text"))
+                hit = pa.array([bool(x) for x in more[1]], pa.bool_())
+                yield pa.RecordBatch.from_arrays([batch.column("digest"), *map(pa.array, more, _KINDS)], ["digest", *NAMES[1:]]).filter(hit)
+
+        hits = bodies.mapInArrow(run, f"digest string, spans {_SPANS}, items {_ITEMS}, matches {_MATCHES}")
+        parts.append(written(hits.dropDuplicates(["digest"]), "hits"))
+        shared.destroy()
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _joined(kept: DataFrame, rest: list[str], hits: DataFrame) -> DataFrame:
+    """Rows with the finds of all blocks, joined once by the digests of texts (a text that many rows have is split by adaptive execution, unless the finds are few enough to be sent to all)."""
+    lists = lambda c: F.flatten(F.collect_list(c)).alias(f"__{c}")
+    whole = hits.groupBy(F.col("digest").alias("__digest")).agg(lists("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("__items"), F.array_sort(F.flatten(F.collect_list("matches"))).alias("__matches"))
+    rows = kept.withColumn("__d", _digest()).join(whole, F.col("__d") == F.col("__digest"), "left").select(*rest, "__spans", "__items", "__matches")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = buffer_of(batch.column("text"))
+            starts, _ = word_spans(LOWER[data], offsets)
+            n_words = np.diff(np.searchsorted(starts, offsets))
+            spans, items, matches = (batch.column(c).to_pylist() for c in ("__spans", "__items", "__matches"))
+            spans = [[{"start": a, "stop": b} for a, b in merged([(s["start"], s["stop"]) for s in x or []])] for x in spans]
+            more = [spans, [x or [] for x in items], [x or [] for x in matches]]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(n_words, pa.int64()), *map(pa.array, more, _KINDS)], [*rest, *NAMES])
+
+    return rows.mapInArrow(run, StructType([*kept.schema.fields, *StructType.fromDDL(ADDED).fields]))
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from quern.llm.common import buffer_of, configure
+from quern.llm.common import buffer_of, configure, redotted, undotted
 
 BLOCK = 512
 LEVEL = 3
@@ -147,6 +147,7 @@ def fit(docs: DataFrame, labels: DataFrame, docs_per_class: int = DOCS_PER_CLASS
 
 def scored(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     """docs with a column of scores (0 to 1; higher: label 1 likelier). A column of that name is replaced."""
+    docs, dotted = undotted(docs)
     spark = docs.sparkSession
     configure(spark)
     shared, rest = spark.sparkContext.broadcast(model), [c for c in docs.columns if c != name]
@@ -159,7 +160,7 @@ def scored(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(found, pa.float64())], [*rest, name])
 
     kept = docs.select(*rest)
-    return kept.mapInArrow(run, StructType([*kept.schema.fields, StructField(name, DoubleType())]))
+    return redotted(kept.mapInArrow(run, StructType([*kept.schema.fields, StructField(name, DoubleType())])), dotted)
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

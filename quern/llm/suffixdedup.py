@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from quern.llm.common import PIECE_BYTES, aside, back, buffer_of, mix64, pieces, release_memory, span_hashes, written
+from quern.llm.common import PIECE_BYTES, aside, back, buffer_of, mix64, pieces, redotted, release_memory, span_hashes, undotted, written
 
 DEPTH = 50
 GROUP_BYTES = 4 << 20
@@ -383,6 +383,7 @@ def cut(docs: DataFrame, depth: int = DEPTH, group_bytes: int = GROUP_BYTES, hot
     from pyspark.sql.pandas.types import to_arrow_schema
 
     minimizer_length(depth)
+    docs, dotted = undotted(docs)
     columns = [c for c in docs.columns if c not in NAMES]
     body = F.coalesce(F.col("text").cast("string"), F.lit(""))
     n_bytes = docs.agg(F.sum(F.octet_length(body))).first()[0] or 0
@@ -427,7 +428,7 @@ def cut(docs: DataFrame, depth: int = DEPTH, group_bytes: int = GROUP_BYTES, hot
     wanted = hashes.groupBy("b").applyInArrow(lambda t: two(t), _KNOWN_DDL)
     spans = with_docs(copies.union(wanted), three, ddl(_SPANS))
     answers = spans.groupBy("b").applyInArrow(lambda t: four(t), _KNOWN_DDL)
-    return with_docs(copies.union(answers).union(wanted.where("kind = 3")), five, schema)
+    return redotted(with_docs(copies.union(answers).union(wanted.where("kind = 3")), five, schema), dotted)
 
 
 def deduplicated(docs: DataFrame, depth: int = DEPTH) -> DataFrame:

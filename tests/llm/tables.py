@@ -27,7 +27,7 @@ def clashing(docs):
     """The same table with columns that have the names operators use inside."""
     from pyspark.sql import functions as F
 
-    names = ["fp", "shard", "slot", "size", "key", "rest", "root", "node", "score", "batch", "n", "text_crc32", "word", "c", "b", "part", "ids", "g", "tag", "n_bytes", "n_removed", "n_spans", "kept_text", "n_words", "spans", "items", "matches", "held_out", "known", "id", "hash", "place", "whole"]
+    names = ["fp", "shard", "slot", "size", "key", "rest", "root", "node", "score", "batch", "n", "text_crc32", "word", "c", "b", "part", "ids", "g", "tag", "n_bytes", "n_removed", "n_spans", "kept_text", "n_words", "spans", "items", "matches", "held_out", "known", "id", "hash", "place", "whole", "meta.src"]
     return docs.withColumns({x: F.lit("clash") for x in names})
 
 

@@ -75,6 +75,20 @@ def test_awkward_rows_and_short_items_in_one_or_many_blocks(spark):
     assert {(m.item_id, m.doc_word, m.item_word, m.n_words) for m in chained} == {("1", 1, 0, 12), ("10", 2, 0, 10)}
 
 
+def test_blocks_write_no_texts(spark, monkeypatch):
+    """Some twenty blocks: what is written between them has digests and finds alone, the result is that of one block."""
+    kept = []
+    plain = decontaminate.written
+    monkeypatch.setattr(decontaminate, "written", lambda df, tag: kept.append(df.schema.fieldNames()) or plain(df, tag))
+    items = [(k, " ".join(f"w{k * 3 + j}" for j in range(12))) for k in range(20)] + [(7, "once more w21 w22 w23 w24 w25 w26 w27 w28")]
+    docs = [(k, " ".join(f"w{k * 2 + j}" for j in range(30))) for k in range(20)] * 2 + AWKWARD
+    table = spark.createDataFrame(items, "item_id long, text string")
+    shown = lambda rows: sorted((str(r.doc_id), r.n_words, str(r.spans), str(r.items), str(sorted(r.matches))) for r in rows)
+    many = shown(decontaminate.found(docs_of(spark, docs), table, block_bytes=60).collect())
+    assert len(kept) >= 20 and {tuple(x) for x in kept} == {("digest", "spans", "items", "matches")}
+    assert many == shown(decontaminate.found(docs_of(spark, docs), table).collect())
+
+
 def test_filter_and_empty_tables(spark):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     docs = docs_of(spark, DOCS)
