@@ -122,3 +122,35 @@ def published(trials: DataFrame, group: Sequence[str], specs: Sequence[tuple[str
 def stripped(metadata: Column, allowed: Sequence[str]) -> Column:
     """A map with nothing but the allowed keys, and of these those that are not null."""
     return F.map_filter(metadata, lambda k, v: k.isin(*allowed) & v.isNotNull())
+
+
+def private_finished(source: Column, board: str, n_evals: Column, error: Column) -> Column:
+    """Whether a trial of the private board reached its verifier: no verdict (an empty map of them; null: none was made), and no error but those after which a report is judged."""
+    return F.coalesce((source == board) & (n_evals == 0) & (error.isNull() | error.isin(*JUDGEABLE)), F.lit(False))
+
+
+def coverage(trials: DataFrame, private: bool) -> DataFrame:
+    """task and n, the trials that cover it: those with a verdict or an override and, on the private board, those that finished without either.
+
+    trials: task, reward, overridden, finished. A trial that was overridden counts once. Tasks that nothing covers are absent.
+    """
+    judged = F.coalesce(F.col("overridden"), F.lit(False)) | F.col("reward").isNotNull()
+    finished = F.coalesce(F.col("finished"), F.lit(False)) & ~F.coalesce(F.col("overridden"), F.lit(False)) if private else F.lit(False)
+    n = judged.cast("long") + finished.cast("long")
+    return trials.groupBy("task").agg(F.sum(n).alias("n")).where("n > 0")
+
+
+def coverage_failure(covered: DataFrame, n_expected: int | Column, least: int) -> DataFrame:
+    """One row, failure: empty if as many tasks are covered as are expected, each by at least `least` trials; else what is wrong, the number of tasks before the number of trials."""
+    found = covered.agg(F.count(F.lit(1)).alias("tasks"), F.count_if(F.col("n") < least).alias("short"))
+    expected = F.lit(n_expected) if isinstance(n_expected, int) else n_expected
+    missing = F.concat(F.col("tasks").cast("string"), F.lit(" tasks (expected "), expected.cast("string"), F.lit(")"))
+    few = F.concat(F.col("short").cast("string"), F.lit(f" task(s) below {least} trials"))
+    return found.select(F.when(F.col("tasks") != expected, missing).when(F.col("short") > 0, few).otherwise(F.lit("")).alias("failure"))
+
+
+def key_differences(schema: DataFrame, computed: DataFrame, key: str) -> DataFrame:
+    """side, key: keys that are computed and that the schema lacks, and keys of the schema that are not computed."""
+    one = lambda a, b, side: a.select(key).exceptAll(b.select(key)).distinct().select(F.lit(side).alias("side"), F.col(key).alias("key"))
+    have, want = computed.select(key).distinct(), schema.select(key).distinct()
+    return one(have, want, "computed").unionByName(one(want, have, "schema"))

@@ -85,3 +85,29 @@ def ranked(rows: DataFrame, by: str, ties: Sequence[str] = (), parts: int = 1024
     inside = before(Window.partitionBy("__p").orderBy(F.col(by).desc_nulls_last()))
     places = counts.withColumn("__in", inside).join(sums, "__p").select(F.col(by).alias("__v"), (F.col("__above") + F.col("__in") + 1).cast("int").alias("rank"))
     return rows.join(places, rows[by].eqNullSafe(places["__v"])).drop("__v").orderBy("rank", *ties)
+
+
+def padded_by_group(records: DataFrame, group: Sequence[str], trial: str, measures: dict[str, Column], trials: DataFrame | None = None) -> DataFrame:
+    """Mean and standard error of each measure per group (name and name_sem), over as many trials as there were, those without a record counting as zeros; n_records, n_trials.
+
+    trials: group columns and n_trials, counted elsewhere; a group it lacks has as many trials as records. Without it, the
+    distinct trials of the records count. Null measures count as zeros.
+    """
+    sums = []
+    for name, x in measures.items():
+        x = F.coalesce(x.cast("double"), F.lit(0.0))
+        sums += [F.sum(x).alias(f"__s_{name}"), F.sum(x * x).alias(f"__q_{name}")]
+    found = records.groupBy(*group).agg(F.count(F.lit(1)).alias("n_records"), F.count_distinct(trial).alias("__own"), *sums)
+    if trials is None:
+        found = found.withColumn("n_trials", F.col("__own"))
+    else:
+        told = trials.select(*[F.col(g).alias(f"__{g}") for g in group], F.col("n_trials").alias("__told"))
+        on = F.lit(True)
+        for g in group:
+            on = on & F.col(g).eqNullSafe(F.col(f"__{g}"))
+        found = found.join(told, on, "left").withColumn("n_trials", F.coalesce("__told", "n_records"))
+    out = []
+    for name in measures:
+        mean, sem = padded_mean_sem(F.col(f"__s_{name}"), F.col(f"__q_{name}"), F.col("n_trials"))
+        out += [mean.alias(name), sem.alias(f"{name}_sem")]
+    return found.select(*group, "n_records", "n_trials", *out)

@@ -174,6 +174,31 @@ def durations(t: Tables) -> DataFrame:
     return rows.groupBy(F.col("o_orderkey").alias("trial_id")).agg(F.count(F.lit(1)).alias("n_calls"), F.count_distinct("l_suppkey").alias("n_steps"), r6((us(F.max("l_shipdate")) - us(F.min("o_orderdate"))) / 6e7).alias("minutes"))
 
 
+# Trials are customers, records those of their orders that tell what was used; trials are counted apart, but for every fifth nation.
+_USED = """
+    r AS (SELECT c_mktsegment, c_nationkey, c_custkey AS trial, o_totalprice AS tokens, CASE WHEN o_orderkey % 3 > 0 THEN o_orderkey % 100 END AS thinking FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'F'),
+    told AS (SELECT c_mktsegment, c_nationkey, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey % 5 > 0 GROUP BY ALL),
+    s AS (SELECT c_mktsegment, c_nationkey, count(*) AS n_records, sum(tokens / 1e6::DOUBLE) AS t, sum((tokens / 1e6::DOUBLE) * (tokens / 1e6::DOUBLE)) AS tt, sum(coalesce(thinking, 0)::DOUBLE) AS k, sum(coalesce(thinking, 0)::DOUBLE * coalesce(thinking, 0)) AS kk FROM r GROUP BY ALL),
+    p AS (SELECT s.*, coalesce(told.n, n_records) AS n_trials FROM s LEFT JOIN told USING (c_mktsegment, c_nationkey))
+"""
+
+
+@query(f"""
+    WITH {_USED} SELECT c_mktsegment, c_nationkey, n_records, n_trials, round(t / n_trials, 6) AS tokens, round(CASE WHEN n_trials > 1 THEN sqrt(greatest(tt - n_trials * (t / n_trials) * (t / n_trials), 0) / (n_trials - 1)) / sqrt(n_trials) ELSE 0 END, 5) AS tokens_sem,
+      round(k / n_trials, 6) AS thinking, round(CASE WHEN n_trials > 1 THEN sqrt(greatest(kk - n_trials * (k / n_trials) * (k / n_trials), 0) / (n_trials - 1)) / sqrt(n_trials) ELSE 0 END, 5) AS thinking_sem FROM p
+""")
+def token_statistics(t: Tables) -> DataFrame:
+    """Tokens in millions per group, over trials that were counted elsewhere where they were, missing ones as zeros."""
+    every = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
+    thinking = F.when(F.col("o_orderkey") % 3 > 0, F.col("o_orderkey") % 100)
+    records = every.where("o_orderstatus = 'F'").select("c_mktsegment", "c_nationkey", "c_custkey", "o_totalprice", thinking.alias("used"))
+    told = every.where("c_nationkey % 5 > 0").groupBy("c_mktsegment", "c_nationkey").agg(F.count(F.lit(1)).alias("n_trials"))
+    measures = {"tokens": F.col("o_totalprice").cast("double") / 1e6, "thinking": F.col("used")}
+    found = stats.padded_by_group(records, ["c_mktsegment", "c_nationkey"], "c_custkey", measures, told)
+    cell = lambda c, digits: F.round(c, digits).alias(c)
+    return found.select("c_mktsegment", "c_nationkey", "n_records", "n_trials", cell("tokens", 6), cell("tokens_sem", 5), cell("thinking", 6), cell("thinking_sem", 5))
+
+
 @query("""
     WITH s AS (SELECT c_custkey, count(o_orderkey) AS n, coalesce(sum(o_totalprice), 0) AS total, coalesce(sum(o_totalprice * o_totalprice), 0) AS squares FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1)
     SELECT c_custkey, n, round(total / 20, 6) AS mean, round(sqrt(greatest(squares - 20 * (total / 20) * (total / 20), 0) / 19) / sqrt(20), 4) AS sem FROM s

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.operators import cost, stats, verdicts
+from quern.operators import checks, cost, stats, verdicts
 from quern.plans.registry import Tables, big, query, r6
 
 _REWARD = "(o_totalprice::DOUBLE % 1000) / 1000"
@@ -61,6 +61,39 @@ def lb_coverage_anti(t: Tables) -> DataFrame:
     return missing.unionByName(per.where("n < 5").select(F.col("o_custkey").alias("task"), F.lit("few").alias("problem")))
 
 
+# Trials that end without a verdict: a third of the orders of status O broke off. Overrides are by trial.
+_COVER = f"""
+    trial AS (SELECT o_custkey AS task, {_SCORED} AS reward, o_orderkey % 50 IN (3, 4) AS overridden, CASE o_orderkey % 6 WHEN 0 THEN 'RuntimeError' WHEN 1 THEN 'AgentTimeoutError' END AS error FROM orders),
+    n AS (SELECT task, sum((overridden OR reward IS NOT NULL)::INT) AS public, sum((overridden OR reward IS NOT NULL)::INT + (NOT overridden AND reward IS NULL AND coalesce(error, '') <> 'RuntimeError')::INT) AS private FROM trial GROUP BY 1),
+    covered AS (SELECT 'public' AS board, task, public AS n FROM n WHERE public > 0 UNION ALL SELECT 'private', task, private FROM n WHERE private > 0)
+"""
+
+
+def _covering(t: Tables) -> DataFrame:
+    error = F.when(F.col("o_orderkey") % 6 == 0, "RuntimeError").when(F.col("o_orderkey") % 6 == 1, "AgentTimeoutError")
+    rows = _scored(t).withColumn("n_evals", F.when(F.col("reward").isNull(), 0).otherwise(1))
+    finished = checks.private_finished(F.lit("board-private"), "board-private", F.col("n_evals"), error)
+    return rows.select(F.col("o_custkey").alias("task"), "reward", (F.col("o_orderkey") % 50).isin(3, 4).alias("overridden"), finished.alias("finished"))
+
+
+@query(f"WITH {_COVER} SELECT board, task, CAST(n AS BIGINT) AS n FROM covered")
+def lb_coverage(t: Tables) -> DataFrame:
+    """How many trials cover each task on either board: verdicts and overrides, on the private one also what finished without a verdict."""
+    both = [checks.coverage(_covering(t), private).select(F.lit("private" if private else "public").alias("board"), "task", "n") for private in (False, True)]
+    return both[0].unionByName(both[1])
+
+
+@query(f"""
+    WITH {_COVER}, s AS (SELECT board, count(*) AS tasks, count(*) FILTER (n < 5) AS short FROM covered GROUP BY 1), e AS (SELECT count(DISTINCT o_custkey) AS expected FROM orders)
+    SELECT board, CASE WHEN tasks <> expected THEN tasks || ' tasks (expected ' || expected || ')' WHEN short > 0 THEN short || ' task(s) below 5 trials' ELSE '' END AS failure FROM s, e
+""")
+def coverage_checks(t: Tables) -> DataFrame:
+    """Whether each board's submission covers every task often enough, and what is wrong if not."""
+    expected = t.orders.select(F.count_distinct("o_custkey")).scalar()
+    both = [checks.coverage_failure(checks.coverage(_covering(t), private), expected, 5).select(F.lit("private" if private else "public").alias("board"), "failure") for private in (False, True)]
+    return both[0].unionByName(both[1])
+
+
 @query(f"""
     WITH m AS (SELECT c_nationkey, avg({_REWARD}) AS mean, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1)
     SELECT n_name AS model, n, round(mean, 6) AS mean, CAST(rank() OVER (ORDER BY round(mean, 6) DESC) AS INT) AS rank FROM m JOIN nation ON n_nationkey = c_nationkey

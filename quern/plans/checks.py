@@ -172,14 +172,16 @@ def hub_metadata(t: Tables) -> DataFrame:
     return t.customer.select("c_custkey", F.array_join(F.transform(F.map_entries(kept), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",").alias("metadata"), times.short_date(day).alias("date_display"))
 
 
-@query("SELECT 'computed' AS side, 'rca_accuracy_incident_hard_display' AS key UNION ALL SELECT 'schema', 'cost' UNION ALL SELECT 'schema', 'tokens'")
+@query("""
+    WITH schema AS (SELECT DISTINCT p_name AS key FROM part WHERE p_size > 10), computed AS (SELECT DISTINCT p_name AS key FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size < 40)
+    SELECT 'computed' AS side, key FROM (SELECT key FROM computed EXCEPT SELECT key FROM schema) UNION ALL SELECT 'schema', key FROM (SELECT key FROM schema EXCEPT SELECT key FROM computed)
+""")
 def schema_keys(t: Tables) -> DataFrame:
-    """Keys of a schema that are not computed, and computed ones that it lacks."""
-    computed = F.array(*[F.lit(k + s) for k, _, _ in checks.PUBLISHED for s in ("", "_stderr", "_display")])
-    listed = F.array(*[F.lit(k + s) for k, _, _ in checks.PUBLISHED for s in ("", "_stderr", "_display") if k + s != "rca_accuracy_incident_hard_display"], F.lit("cost"), F.lit("tokens"))
-    rows = t.spark.range(1).select(computed.alias("c"), listed.alias("s"))
-    one = lambda a, b, side: rows.select(F.explode(F.array_except(a, b)).alias("key")).select(F.lit(side).alias("side"), "key")
-    return one("c", "s", "computed").unionByName(one("s", "c", "schema"))
+    """Keys of a schema (names of larger parts) that are not computed, and computed ones (names of smaller parts that were ordered) that it lacks."""
+    key = F.col("p_name").alias("name")
+    schema = t.part.where("p_size > 10").select(key)
+    computed = t.lineitem.join(t.part.where("p_size < 40"), F.col("l_partkey") == F.col("p_partkey")).select(key)
+    return checks.key_differences(schema, computed, "name")
 
 
 @query("""
@@ -208,9 +210,9 @@ def effort_lookup(t: Tables) -> DataFrame:
 """)
 def display_lookup(t: Tables) -> DataFrame:
     """Display names from a mapping that may lack some, which are listed as incomplete; an absent mapping file is an empty one."""
-    names = t.nation.where("n_regionkey <> 2").join(F.broadcast(t.region), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("display"), F.concat(F.lit("Org "), "r_name").alias("org"))
+    names = t.nation.where("n_regionkey <> 2").join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("display"), F.concat(F.lit("Org "), "r_name").alias("org"))
     found = trees.mapping(t.spark, sinks.workspace(t.spark, "nowhere") + "/names.json", "key long, display string").select(F.col("key").alias("c_nationkey"), F.col("display").alias("other"))
-    rows = t.customer.select("c_custkey", "c_nationkey").join(F.broadcast(names), "c_nationkey", "left").join(F.broadcast(found), "c_nationkey", "left")
+    rows = t.customer.select("c_custkey", "c_nationkey").join(names, "c_nationkey", "left").join(found, "c_nationkey", "left")
     return rows.select("c_custkey", F.coalesce("display", "other").alias("display"), "org", (F.col("display").isNull() | F.col("org").isNull()).alias("incomplete"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.plans.registry import Tables, query
 from quern.plans.timelines import _INTERVALS
+from quern.sources import sinks
 from quern.streaming import operators as live
 
 _TUMBLING = "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL"
@@ -68,10 +69,47 @@ def stream_sessions(t: Tables) -> DataFrame:
     return _plain(live.drained(live.sessions(_stream(t), "30 minutes", "user_id")))
 
 
-@query("SELECT DISTINCT props FROM events")
+# Events arrive in batches by spans of five days; one in forty comes two batches late.
+_LATE = "event_id % 40 = 7"
+_ARRIVED = f"""
+    e AS (SELECT *, date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) // 5 + CASE WHEN {_LATE} THEN 2 ELSE 0 END AS file FROM events),
+    b AS (SELECT *, dense_rank() OVER (ORDER BY file) - 1 AS batch FROM e),
+    tops AS (SELECT batch, date_trunc('millisecond', max(max(ts)) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING)) - INTERVAL 1 HOUR AS mark FROM b GROUP BY batch),
+    a AS (SELECT b.*, mark, date_trunc('hour', ts) AS hour FROM b JOIN tops USING (batch))
+"""
+
+
+def _arriving(t: Tables) -> DataFrame:
+    """The events as a stream of files, one to a batch, in the order in which they were written."""
+    root = sinks.workspace(t.spark, "arriving")
+    late = F.when(F.expr(_LATE), 2).otherwise(0)
+    rows = t.events.withColumn("file", F.floor(F.date_diff(F.to_date("ts"), F.lit("2024-01-01").cast("date")) / 5) + late)
+    held = sinks.settled(rows, "by-file")
+    for (file,) in held.select("file").distinct().orderBy("file").collect():  # a file is a batch: some seven in all
+        held.where(F.col("file") == file).drop("file").coalesce(1).write.mode("append").parquet(f"{root}/f{int(file):04d}")
+    stream = t.spark.readStream.schema(t.events.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/*")
+    return _timed(stream)
+
+
+@query(f"WITH {_ARRIVED} SELECT event_id, CAST(batch AS BIGINT) AS batch FROM a WHERE mark IS NOT NULL AND hour + INTERVAL 1 HOUR <= mark")
+def stream_late_rows(t: Tables) -> DataFrame:
+    """Events that come after the watermark has closed their hour, with the batch they came in."""
+    return live.late_rows(_arriving(t), "1 hour", F.window("ts", "1 hour")["end"]).select("event_id", "batch")
+
+
+@query(f"""
+    WITH {_ARRIVED} SELECT hour AS start, event_type, count(*) AS n FROM a WHERE mark IS NULL OR hour + INTERVAL 1 HOUR > mark GROUP BY ALL
+    HAVING hour + INTERVAL 1 HOUR <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 HOUR FROM events)
+""")
+def stream_counts_without_late(t: Tables) -> DataFrame:
+    """Hourly counts of the same stream: what comes late is not in them."""
+    return _plain(live.drained(live.tumbling(_arriving(t), "1 hour", ["event_type"])))
+
+
+@query("SELECT props, count(*) AS n FROM (SELECT props FROM events GROUP BY props) GROUP BY props")
 def stream_first_seen(t: Tables) -> DataFrame:
-    """Distinct bodies of a stream. What comes again later than the watermark allows would be given out again; distinct() takes that away."""
-    return live.drained(live.first_seen(_stream(t), "props")).select("props").distinct()
+    """Bodies of a stream with how often each is given out: once, as all of the stream lies within the watermark."""
+    return live.drained(live.first_seen(_stream(t), "props", "400 days")).groupBy("props").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"WITH {_INTERVALS} SELECT * FROM intervals WHERE off_ts <= {_MARK.replace('FROM events', "FROM events WHERE event_type IN ('signup', 'purchase')")}")

@@ -9,9 +9,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import LongType, StructField, StructType
 
 from quern.sources import sinks
 
@@ -38,10 +39,20 @@ def first_seen(events: DataFrame, body: str, late: str = "1 hour") -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([body])
 
 
+#: Milliseconds of event time whose waiting rows lie together in state.
+BUCKET_MS = 3_600_000
+
+
+def _ms(ts: object) -> int:
+    return int(pd.Timestamp(ts).timestamp() * 1000)
+
+
 class Ordered(StatefulProcessor):
     """Rows of a key in order of event time, whatever order they arrive in: they wait in state until the watermark has passed them.
 
-    Subclasses keep what they know of a key in one row of state and fold rows into it.
+    Rows wait in buckets of event time. A batch reads and writes the buckets that it brings rows for and
+    those that the watermark has reached, and the names alone of the others. Subclasses keep what
+    they know of a key in one row of state and fold rows into it.
     """
 
     #: Columns of a waiting row after its time and id, the state, and the columns given out.
@@ -49,42 +60,54 @@ class Ordered(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", f"ts timestamp, event_id long, {self.WAITING}")
+        self.waiting = handle.getMapState("waiting", "bucket long", f"rows array<struct<ts:timestamp,event_id:long,{self.WAITING.replace(' ', ':').replace(',:', ',')}>>")
         self.known = handle.getValueState("known", self.STATE)
 
     def fold(self, known: tuple | None, row: tuple) -> tuple[tuple | None, tuple | None]:
         """(state after a row, what it gives out)."""
         raise NotImplementedError
 
-    def _advance(self, key: tuple, rows: list[tuple], until_ms: int) -> pd.DataFrame:
-        rows.sort(key=lambda r: (r[0], r[1]))
-        ready = [r for r in rows if pd.Timestamp(r[0]).timestamp() * 1000 <= until_ms]
-        rest = rows[len(ready) :]
+    def _held(self, bucket: int) -> list[tuple]:
+        return [tuple(r) for r in self.waiting.getValue((bucket,))[0]] if self.waiting.containsKey((bucket,)) else []
+
+    def _keep(self, rows: list[tuple]) -> None:
+        buckets: dict[int, list[tuple]] = {}
+        for row in rows:
+            buckets.setdefault(_ms(row[0]) // BUCKET_MS, []).append(row)
+        for bucket, new in buckets.items():
+            self.waiting.updateValue((bucket,), (self._held(bucket) + new,))
+
+    def _advance(self, key: tuple, until_ms: int) -> pd.DataFrame:
+        buckets = sorted(int(b) for (b,) in self.waiting.keys())
         known, out = (self.known.get() if self.known.exists() else None), []
-        for row in ready:
-            known, found = self.fold(known, row)
-            if found is not None:
-                out.append((*key, *found))
+        for bucket in buckets:
+            rows = sorted(self._held(bucket), key=lambda r: (r[0], r[1]))
+            ready = [r for r in rows if _ms(r[0]) <= until_ms]
+            for row in ready:
+                known, found = self.fold(known, row)
+                if found is not None:
+                    out.append((*key, *found))
+            rest = rows[len(ready) :]
+            if ready and rest:
+                self.waiting.updateValue((bucket,), (rest,))
+            elif ready:
+                self.waiting.removeKey((bucket,))
+            if rest:
+                self.handle.registerTimer(_ms(rest[0][0]) + 1)
+                break
         if known is not None:
             self.known.update(known)
         elif self.known.exists():
             self.known.clear()
-        if rest:
-            self.waiting.put(rest)
-            self.handle.registerTimer(int(pd.Timestamp(rest[0][0]).timestamp() * 1000) + 1)
-        elif self.waiting.exists():
-            self.waiting.clear()
         return pd.DataFrame(out, columns=["user_id", *self.OUT])
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
         names = ["ts", "event_id", *[c.split()[0] for c in self.WAITING.split(", ")]]
-        new = [tuple(r) for part in rows for r in part[names].itertuples(index=False)]
-        old = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
-        yield self._advance(key, old + new, timerValues.getCurrentWatermarkInMs())
+        self._keep([tuple(r) for part in rows for r in part[names].itertuples(index=False)])
+        yield self._advance(key, timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
-        old = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
-        yield self._advance(key, old, timerValues.getCurrentWatermarkInMs())
+        yield self._advance(key, timerValues.getCurrentWatermarkInMs())
 
     def close(self) -> None:
         pass
@@ -145,3 +168,27 @@ def drained(stream: DataFrame, tag: str = "drained") -> DataFrame:
     q = stream.writeStream.format("parquet").option("path", f"{root}/rows").option("checkpointLocation", f"{root}/progress").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{root}/rows")
+
+
+def late_rows(events: DataFrame, late: str = "1 hour", passed: Column | None = None, tag: str = "late") -> DataFrame:
+    """The rows of a stream that a watermark of `late` drops, with the number of their batch: those for which it had passed `passed` (their time; for windows the window's end) when the batch before theirs began. State that a mark closes is given up at the end of a batch, so rows are judged by the mark of the batch before.
+
+    Spark counts such rows and keeps none. This reads the stream once more, by itself, keeps the latest
+    time of each batch as a small table in the shared folder, and appends what is behind the mark. A batch that is run again replaces what it wrote.
+    """
+    spark, root = events.sparkSession, sinks.workspace(events.sparkSession, tag)
+    end = F.col("ts") if passed is None else passed
+    out = StructType([*events.schema.fields, StructField("batch", LongType())])
+
+    def each(rows: DataFrame, batch: int) -> None:
+        session = rows.sparkSession
+        top = None
+        if batch > 1:
+            top = session.read.schema("top timestamp, batch long").parquet(f"{root}/marks").where(F.col("batch") < batch - 1).agg(F.max("top")).first()[0]
+        behind = rows.where(F.lit(False)) if top is None else rows.where(end <= F.date_trunc("millisecond", F.lit(top)) - F.expr(f"INTERVAL {late}"))
+        behind.write.mode("overwrite").parquet(f"{root}/late/batch={batch}")
+        rows.agg(F.max("ts").alias("top")).write.mode("overwrite").parquet(f"{root}/marks/batch={batch}")
+
+    q = events.writeStream.foreachBatch(each).option("checkpointLocation", f"{root}/progress").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(out).parquet(f"{root}/late")

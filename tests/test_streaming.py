@@ -68,3 +68,42 @@ def test_streams_read_a_table_that_is_a_folder(spark, tmp_path):
     for name in ("stream_tumbling", "stream_sliding"):
         want = con.sql(oracle_sql()[name]).fetchall()
         assert queries()[name](spark, str(tmp_path)).count() == len(want) > 0
+
+
+def test_late_rows_are_those_that_spark_drops(spark, tmp_path):
+    """Rows behind the mark in a table, as many as Spark's own counter says; a row is judged by the mark of the batch before."""
+    rows = lambda *m: [(k, 1, minute, "x") for k, minute in enumerate(m)]
+    batches = [rows(0, 500), rows(10, 600), rows(20, 380, 500, 900), rows(430, 445, 900), rows(30, 1000)]
+    stream = in_batches(spark, tmp_path, batches, "event_id long, user_id long, minute int, kind string")
+    late = live.late_rows(stream, "1 hour")
+    assert minutes(late.collect(), "batch", "ts") == [(2, 20), (2, 380), (3, 430), (3, 445), (4, 30)]
+    seen = stream.withWatermark("ts", "1 hour").dropDuplicates(["ts"])
+    q = seen.writeStream.format("noop").option("checkpointLocation", str(tmp_path / "c")).outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sum(o["numRowsDroppedByWatermark"] for p in q.recentProgress for o in p["stateOperators"]) == late.count()
+
+
+def test_waiting_rows_lie_in_buckets_of_time(spark, tmp_path):
+    """Rows of many hours in any order, over batches that each advance the mark a little."""
+    live.with_rocks(spark)
+    import random
+
+    rng = random.Random(4)
+    events = [(k, k % 2, k * 17, k % 3 == 2) for k in range(300)]
+    batches = [events[k * 30 : (k + 1) * 30] for k in range(10)]
+    for b in batches:
+        rng.shuffle(b)
+    last = [(999, 9, 100_000, False)]
+    stream = in_batches(spark, tmp_path, [*batches, last], "event_id long, user_id long, minute int, is_off boolean")
+    got = live.drained(live.toggles(stream.select("user_id", "ts", "event_id", "is_off"), "12 hours")).collect()
+    want = []
+    for user in (0, 1):
+        on = None
+        for k, u, minute, is_off in events:
+            if u == user:
+                if is_off and on is not None:
+                    want.append((user, on, minute))
+                    on = None
+                elif not is_off and on is None:
+                    on = minute
+    assert minutes(got, "user_id", "on_ts", "off_ts") == sorted(want)
