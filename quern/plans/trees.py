@@ -334,7 +334,7 @@ def ground_truth(t: Tables) -> DataFrame:
 
 _SPANS = """
     sp AS (SELECT 'tr' || lpad((event_id // 2)::VARCHAR, 9, '0') AS trace, event_id % 2 AS place, CASE WHEN user_id % 20 = 7 THEN 'unknown' ELSE 'svc' || (user_id % 20) END AS service, CASE WHEN user_id % 13 = 0 THEN 'flagd.evaluation.v1.Service/EventStream' ELSE event_type || (user_id % 4) END AS operation,
-      event_type = 'error' AS failed, user_id % 13 = 0 AS noise, event_id % 7 AS k FROM events)
+      event_type = 'error' AS failed, user_id % 13 = 0 AS noise, CASE WHEN event_id % 3 = 0 THEN '"' || (event_id % 7) || '"' ELSE (event_id % 7)::VARCHAR END AS k FROM events)
 """
 
 
@@ -342,7 +342,8 @@ def _trace_files(t: Tables) -> str:
     u, e = F.col("user_id"), F.col("event_id")
     tag = F.when(F.col("event_type") == "error", F.lit("true")).when(F.col("event_type") == "purchase", F.lit('"true"')).otherwise(F.lit("false"))
     name = F.when(u % 13 == 0, F.lit(trees.NOISE[0])).otherwise(_cat(F.col("event_type"), u % 4))
-    logs = _cat('[{"fields":[]},{"fields":[{"key":"event","value":"message"},{"key":"k","value":1}]},{"fields":[{"key":"event","value":"boom"},{"key":"k","value":99},{"key":"k","value":', e % 7, "}]}]")
+    number = F.when(e % 3 == 0, _cat('"', e % 7, '"')).otherwise(_cat(e % 7))  # the text "1" is another event than the number 1
+    logs = _cat('[{"fields":[]},{"fields":[{"key":"event","value":"message"},{"key":"k","value":1}]},{"fields":[{"key":"event","value":"boom"},{"key":"k","value":99},{"key":"k","value":', number, "}]}]")
     span = _cat('{"spanID":"s', e, '","processID":"p', u % 20, '","operationName":"', name, '","startTime":', e, ',"tags":[{"key":"http","value":{"a":1}},{"key":"error","value":', tag, '}],"logs":', logs, "}")
     trace = _cat("tr", F.lpad(F.floor(e / 2).cast("string"), 9, "0"))
     listed = F.array_join(F.transform(F.filter(F.sequence(F.lit(0), F.lit(19)), lambda p: p != 7), lambda p: F.concat(F.lit('"p'), p.cast("string"), F.lit('":{"serviceName":"svc'), p.cast("string"), F.lit('"}'))), ",")
@@ -364,7 +365,7 @@ def error_traces(t: Tables) -> DataFrame:
 
 @query(f"""
     WITH {_SPANS}, f AS (SELECT service, operation, k, min((trace, place)) AS met FROM sp WHERE failed AND NOT noise GROUP BY ALL)
-    SELECT service, operation, count(*) AS n_events, string_agg('{{"event":"boom","k":"' || k || '"}}', ';' ORDER BY met) AS events FROM f GROUP BY ALL
+    SELECT service, operation, count(*) AS n_events, string_agg('{{"event":"boom","k":' || k || '}}', ';' ORDER BY met) AS events FROM f GROUP BY ALL
 """)
 def error_spans(t: Tables) -> DataFrame:
     """Operations of failed spans with their distinct events in the order in which they are met."""
@@ -503,6 +504,16 @@ def toggle_files(t: Tables) -> DataFrame:
     return trees.toggle_events(t.spark, root).where("value <> 'off'").select("id", "flag", F.col("wall_clock_utc").cast("timestamp_ntz").alias("at"))
 
 
+@query("SELECT 't' || s_suppkey || '-' || s_nationkey AS task_id, 'q' || s_nationkey AS qid, CASE WHEN s_nationkey % 5 = 0 THEN NULL ELSE 'flag' || s_nationkey END AS flag, s_nationkey % 5 = 0 AS no_incident FROM supplier")
+def task_specs(t: Tables) -> DataFrame:
+    """A specification file for each task, under its id, which no other may have; a task without incident names no flag. Read back by their names."""
+    control = _n() % 5 == 0
+    specs = t.supplier.select(_cat("t", _k(), "-", _n()).alias("task_id"), _cat("q", _n()).alias("qid"), F.when(~control, _cat("flag", _n())).alias("flag"), control.alias("no_incident"))
+    root = sinks.workspace(t.spark, "specs")
+    trees.write_specs(specs, root, "task_id")
+    return trees.json_files(t.spark, root, "qid string, flag string, no_incident boolean", "task_id")
+
+
 def _results(t: Tables) -> DataFrame:
     error = F.when(_k() % 3 == 1, F.lit("AgentTimeoutError")).when(_k() % 5 == 2, F.lit("RuntimeError"))
     body = F.to_json(F.struct(F.when(error.isNotNull(), F.struct(error.alias("exception_type"))).alias("exception_info")))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quern.operators import trajectory
 from quern.sources import schemas
+from quern.sources.files import put_files
 
 
 def file_stem() -> Column:
@@ -44,6 +45,12 @@ def unique(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.withColumn("__n", n).where(F.when(F.col("__n") > 1, stop.cast("boolean")).otherwise(F.lit(True))).drop("__n")
 
 
+def write_specs(specs: DataFrame, root: str, key: str) -> None:
+    """One JSON file per row, named after its key, written by tasks and placed together; a key that two rows have stops the job before any file is placed."""
+    body = F.to_json(F.struct(*[c for c in specs.columns if c != key]))
+    put_files(unique(specs, [key]).select(F.concat(F.col(key).cast("string"), F.lit(".json")).alias("path"), body.alias("body")), root)
+
+
 #: What became of a trial's folder when it was read.
 SCORED, NO_DETAILS, BAD_JSON, OTHER_EFFORT, NO_RUBRICS = "scored", "no details", "bad json", "other effort", "no rubrics"
 _TRIAL = r"([^/]+)/verifier/[^/]+$"
@@ -259,17 +266,15 @@ def signal_traces(found: DataFrame, noise: Sequence[str] = NOISE) -> DataFrame:
 
 
 def spans(found: DataFrame) -> DataFrame:
-    """One row per span of traces, with its service (unknown if its process isn't listed), whether it failed, and its logged fields: maps in order, messages and empty ones left out, the last of a repeated key."""
+    """One row per span of traces, with its service (unknown if its process isn't listed), whether it failed, and its logged fields: maps in order with values as they are (1 is not "1"), messages and empty ones left out, the last of a repeated key."""
     one = found.select("traceID", "processes", F.posexplode("spans").alias("place", "s"))
     service = F.coalesce(F.try_element_at("processes", F.col("s.processID"))["serviceName"], F.lit("unknown"))
-    text = lambda v: v.cast("string")
-
     def field_map(log: Column) -> Column:
         keys = F.transform(log["fields"], lambda f: f["key"])
         last = F.filter(log["fields"], lambda f, k: ~F.array_contains(F.slice(keys, k + 2, F.greatest(F.size(keys) - k - 1, F.lit(0))), f["key"]))
-        return F.map_from_entries(F.transform(last, lambda f: F.struct(f["key"], text(f["value"]))))
+        return F.map_from_entries(F.transform(last, lambda f: F.struct(f["key"], f["value"])))
 
-    kept = F.filter(F.transform("s.logs", field_map), lambda m: (F.size(m) > 0) & (F.coalesce(F.try_element_at(m, F.lit("event")), F.lit("")) != "message"))
+    kept = F.filter(F.transform("s.logs", field_map), lambda m: (F.size(m) > 0) & ~F.coalesce(F.to_json(F.try_element_at(m, F.lit("event"))) == '"message"', F.lit(False)))
     return one.select("traceID", "place", F.col("s.spanID").alias("spanID"), service.alias("service"), F.col("s.operationName").alias("operation"), F.timestamp_micros("s.startTime").alias("ts"), _failed(F.col("s")).alias("failed"), kept.alias("events"))
 
 
@@ -314,7 +319,7 @@ def markdown_tables(spark: SparkSession, path: str) -> DataFrame:
 
 
 def named_metric(evals: Column, name: str, reward: Column | None = None) -> Column:
-    """A metric by its name, never by its place, from either shape of an evaluation's JSON: {name: {metrics: [{name: x}]}} or {rows: [{metrics: [{name: x}]}]}.
+    """A metric by its name, never by its place, from either shape of an evaluation's JSON: {name: {metrics: [{name: x}]}} or, where there is a list of rows, these alone: {rows: [{metrics: [{name: x}]}]}.
 
     Null for a trial without evaluations. Evaluations without that name, a value that is no
     number, and a reward beside no evaluations stop the job: they tell of another contract.
@@ -322,10 +327,11 @@ def named_metric(evals: Column, name: str, reward: Column | None = None) -> Colu
     body = F.try_parse_json(F.coalesce(evals, F.lit("{}")))
     blocks = F.try_variant_get(body, "$", "map<string,variant>")
     empty = F.coalesce(F.size(blocks), F.lit(0)) <= 0
-    nested = F.flatten(F.transform(F.map_values(F.map_filter(blocks, lambda k, _: ~k.isin("rows", "group_by"))), lambda b: F.coalesce(F.try_variant_get(b, "$.metrics", "array<map<string,variant>>"), F.array().cast("array<map<string,variant>>"))))
-    listed = F.flatten(F.transform(F.try_variant_get(body, "$.rows", "array<variant>"), lambda r: F.coalesce(F.try_variant_get(r, "$.metrics", "array<map<string,variant>>"), F.array().cast("array<map<string,variant>>"))))
+    nested = F.flatten(F.transform(F.map_values(blocks), lambda b: F.coalesce(F.try_variant_get(b, "$.metrics", "array<map<string,variant>>"), F.array().cast("array<map<string,variant>>"))))
+    rows = F.try_variant_get(body, "$.rows", "array<variant>")
+    listed = F.flatten(F.transform(rows, lambda r: F.coalesce(F.try_variant_get(r, "$.metrics", "array<map<string,variant>>"), F.array().cast("array<map<string,variant>>"))))
     none = F.array().cast("array<map<string,variant>>")
-    hits = F.filter(F.concat(F.coalesce(nested, none), F.coalesce(listed, none)), lambda m: F.map_contains_key(m, name))
+    hits = F.filter(F.coalesce(F.when(rows.isNotNull(), listed).otherwise(nested), none), lambda m: F.map_contains_key(m, name))
     value = F.try_element_at(F.get(hits, F.lit(0)), F.lit(name))
     number = F.schema_of_variant(value).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL.*|INT|SMALLINT|TINYINT)$")
     stop = lambda why: F.raise_error(F.concat(F.lit(f"metric {name}: {why} in "), F.coalesce(evals, F.lit("nothing")))).cast("double")
