@@ -4,10 +4,10 @@ from __future__ import annotations
 
 VARIANT = "struct<type:string, query:string, description:string, onset_utc:string, onset_offset_seconds:bigint, onset_reasoning:string>"
 METRIC = f"struct<metric_family:string, signal_layer:string, defining_labels:map<string,string>, variants:array<{VARIANT}>>"
-LOG = "struct<name:string, description:string, cause:string, source:string, representative_attributes:map<string,string>, log_documents:array<struct<_index:string, _id:string, `@timestamp`:string>>>"
+LOG = "struct<name:string, count:bigint, description:string, cause:string, source:string, representative_attributes:map<string,string>, log_documents:array<struct<_index:string, _id:string, `@timestamp`:string>>>"
 FRONTEND = "struct<description:string, route:string, deterministic:boolean, trigger_condition:string, symptom_type:string, source_file:string, source_line:bigint, calling_service:string, call_pattern:string, cause:string>"
-TRACE = "struct<name:string, description:string, cause:string, call_chain:string, smoking_gun:array<string>, trace_documents:array<struct<traceID:string, `@timestamp`:string, user_action:string>>>"
-INCIDENT = f"incident_time timestamp, feature_flag string, description string, mechanism string, symptoms struct<metrics:array<{METRIC}>, logs:array<{LOG}>, frontend:array<{FRONTEND}>, traces:array<{TRACE}>>"
+TRACE = "struct<name:string, count:bigint, description:string, cause:string, call_chain:string, smoking_gun:array<string>, trace_documents:array<struct<traceID:string, `@timestamp`:string, user_action:string>>>"
+INCIDENT = f"incident_time timestamp, feature_flag string, description string, mechanism string, interaction string, symptoms struct<metrics:array<{METRIC}>, logs:array<{LOG}>, frontend:array<{FRONTEND}>, traces:array<{TRACE}>>"
 
 TOGGLE = "id string, category string, description string, day int, time string, action string, flag string, value string, wall_clock_utc timestamp"
 
