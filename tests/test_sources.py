@@ -92,7 +92,7 @@ def test_spans_fail_by_the_value_true_alone(spark, tmp_path):
     found = trees.traces(spark, str(tmp_path) + "/[12].json")
     rows = trees.spans(found).orderBy("spanID").collect()
     assert [(r.spanID, r.service, r.failed) for r in rows] == [("1", "cart", True), ("2", "cart", False), ("3", "cart", False), ("4", "cart", False), ("5", "unknown", True), ("6", "unknown", False)]
-    assert [r[0] for r in trees.spans(found).where("spanID = '1'").select(F.explode(F.transform("events", F.to_json))).collect()] == ['{"event":"boom","n":2}'] * 2
+    assert [r[0] for r in trees.spans(found).where("spanID = '1'").select(F.explode(F.transform("events", lambda m: F.to_json(m)))).collect()] == ['{"event":"boom","n":2}'] * 2
     assert [r.traceID for r in trees.signal_traces(found.union(found)).collect()] == ["t"]
     assert [(r.service, r.operation, r.events) for r in trees.error_operations(found).collect()] == [("cart", "get", ['{"event":"boom","n":2}'])]
 
