@@ -29,7 +29,7 @@ HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 #: Elements that an implied end does not reach across.
 WALLS = set("article aside body div footer form header main nav section table td th ul ol dl".split())
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)""", re.S)
 _NAMED = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for name in ("script", "style", "textarea", "title", "noscript", "iframe", "template", "noframes")}
@@ -40,7 +40,7 @@ class Leaf:
     path: tuple[int, ...]
     text: str
     link_chars: int
-    names: tuple[str, ...]
+    names: frozenset[str]
 
 
 def _slot(feature: str) -> int:
@@ -53,7 +53,7 @@ def attribute_words(attributes: str) -> list[str]:
 
 
 class _Open:
-    """An element that is open: its name and the features and names of the path down to it."""
+    """An element that is open: its name and the features and names of the path down to it, each once however deep it is."""
 
     __slots__ = ("name", "slots", "names")
 
@@ -61,13 +61,17 @@ class _Open:
         self.name = name
         own = {_slot(f"tag {name}"), *(_slot(f"word {w}") for w in words)}
         self.slots = frozenset(own | above.slots) if above else frozenset(own)
-        self.names = (*(above.names if above else ()), name, *(f".{w}" for w in words))
+        names = {name, *(f".{w}" for w in words)}
+        self.names = frozenset(names | above.names) if above else frozenset(names)
+        if above and self.slots == above.slots and self.names == above.names:
+            self.slots, self.names = above.slots, above.names
 
 
 def leaves(html: str) -> list[Leaf]:
     """The blocks of a page that have text, in page order."""
     found: list[Leaf] = []
     stack: list[_Open] = []  # block elements
+    opened: dict[str, int] = {}  # how many of each name are on the stack
     text: list[str] = []
     links = link_chars = silent = at = 0
     mute = ""  # the element whose content is no text, with how deep it is nested
@@ -80,10 +84,19 @@ def leaves(html: str) -> list[Leaf]:
                 top = stack[-1] if stack else None
                 above = stack[-2].name if len(stack) > 1 else ""
                 own = {_slot(f"leaf {top.name}"), _slot(f"pair {above} {top.name}")} | top.slots if top else ()
-                found.append(Leaf(tuple(sorted(own)), shown, link_chars, top.names if top else ()))
+                found.append(Leaf(tuple(sorted(own)), shown, link_chars, top.names if top else frozenset()))
             text.clear()
         link_chars = 0
 
+    def push() -> None:
+        stack.append(_Open(name, attribute_words(attributes), stack[-1] if stack else None))
+        opened[name] = opened.get(name, 0) + 1
+
+    def cut(k: int) -> None:
+        for element in stack[k:]:
+            opened[element.name] -= 1
+        del stack[k:]
+
     def add(piece: str) -> None:
         nonlocal link_chars
         if piece and not mute:
@@ -107,7 +120,7 @@ def leaves(html: str) -> list[Leaf]:
                 mute = mute if silent else ""
             elif mute == "head" and name == "body":  # a head that was not closed
                 mute, silent = "", 0
-                stack.append(_Open(name, attribute_words(attributes), stack[-1] if stack else None))
+                push()
         elif name in SILENT:
             if not closing and not attributes.endswith("/"):
                 if name in _RAW_END:
@@ -127,10 +140,11 @@ def leaves(html: str) -> list[Leaf]:
             end_block()
             links = 0
             ended = HEADINGS if name in HEADINGS else {name}
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k].name in ended:
-                    del stack[k:]
-                    break
+            if any(opened.get(x) for x in ended):
+                k = len(stack) - 1
+                while stack[k].name not in ended:
+                    k -= 1
+                cut(k)
         else:
             end_block()
             ended = ALIKE.get(name, set()) | ({"p"} if name in ENDS_P else set()) | (HEADINGS if name in HEADINGS else set())
@@ -140,7 +154,7 @@ def leaves(html: str) -> list[Leaf]:
             if k >= 0 and stack[k].name in ended:
                 if name == "tr" and stack[k].name != "tr":
                     k -= 1 if k and stack[k - 1].name == "tr" else 0
-                del stack[k:]
-            stack.append(_Open(name, attribute_words(attributes), stack[-1] if stack else None))
+                cut(k)
+            push()
     end_block()
     return found

@@ -87,6 +87,17 @@ def test_leaves(html, want):
     assert [leaf.text for leaf in blocks.leaves(html)] == want
 
 
+def test_long_broken_pages_take_little_time():
+    """Names and tags that never end, elements that are never closed, end tags without a start."""
+    import time
+
+    n = 200_000
+    pages_ = ["<" + "a" * n, "<a" * n, "<div>" * n + "x", "<div class=c>" * 20_000 + "</p>y" * 20_000, "<p>z" * 20_000, "<!" * n, "<b " * n]
+    began = time.perf_counter()
+    sizes = [len(blocks.leaves(html)) for html in pages_]
+    assert sizes == [0, 0, 1, 20_000, 20_000, 0, 0] and time.perf_counter() - began < 30
+
+
 def test_attribute_words():
     assert blocks.attribute_words(" class='adSlot main-menu' data-class=no id=Foo_BAR") == ["ad", "slot", "main", "menu", "foo", "bar"]
 
