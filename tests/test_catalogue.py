@@ -40,3 +40,12 @@ def test_equals_oracle(spark, duck, name):
 
 def test_every_query_has_sql():
     assert set(catalogue.queries()) == set(catalogue.oracle_sql())
+
+
+def test_equal_numbers_have_places_by_their_supplier(spark, tmp_path):
+    """2 with two nines behind it and 29 with one are one number: places follow the keys then, however the rows lie."""
+    keys = [1, 2, 29, 3474, 34749]
+    for k, order in enumerate((keys, keys[::-1])):
+        spark.createDataFrame([(s, 5) for s in order], "s_suppkey long, s_nationkey int").repartition(3).write.parquet(str(tmp_path / f"{k}/supplier.parquet"))
+        places = {r.s_suppkey: r.place for r in catalogue.queries()["natural_order"](spark, str(tmp_path / str(k))).collect()}
+        assert places[29] == places[2] + 1 and places[34749] == places[3474] + 1 and sorted(places.values()) == [1, 2, 3, 4, 5]
