@@ -220,3 +220,23 @@ def test_specs_have_ids_of_their_own(spark, tmp_path):
     with pytest.raises(Exception, match="repeated key: a"):
         trees.write_specs(rows.union(rows.limit(1)), str(tmp_path / "y"), "id")
     assert [p for p in tree_of(tmp_path / "y") if not p.startswith("_")] == []
+
+
+def test_trees_are_listed_and_read_by_tasks(spark, tmp_path):
+    """Names with spaces and signs, hidden files, blank, marked, broken and repeated JSON; no listing of Spark's own, which brings every name to the driver."""
+    from quern.sources import files
+
+    bodies = {"b/t 1%/verifier/report.md": "one", "t2/verifier/report.md": "", "t2/_x/report.md": "no", "b/.t3/report.md": "no", "b/t 1%/config.json": '﻿ {"agent": {"name": "x"}}', "t2/config.json": " \n", "t4/config.json": '[{"agent": {"name": "y"}}, {"agent": {"name": "z"}}]', "t5/config.json": "[", "top.txt": "é"}
+    for name, body in bodies.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(body)
+    seen = [n for n in bodies if "_x" not in n and "/.t3" not in n]
+    found = files.listed(spark, f"file://{tmp_path}/")
+    assert sorted(r.inside for r in found.collect()) == sorted(seen)
+    assert {r.inside: r.value for r in files.bodies(found).collect()} == {n: bodies[n] for n in seen}
+    assert sorted(r.inside for r in files.listed(spark, str(tmp_path), deep=False).collect()) == ["top.txt"]
+    assert [(r.inside, r.value) for r in files.bodies(files.listed(spark, f"{tmp_path}/top.txt")).collect()] == [("", "é")]
+    for tree in (str(tmp_path), found):
+        assert sorted((r.trial_id, r.report) for r in trees.reports(spark, tree).collect()) == [("t 1%", "one"), ("t2", "")]
+        assert sorted((r.trial_id, r.agent or "-") for r in trees.agent_configs(spark, tree).collect()) == [("t 1%", "x"), ("t4", "y"), ("t4", "z"), ("t5", "-")]
+    assert not any("/report.md" in f for f in trees.reports(spark, str(tmp_path)).inputFiles())
