@@ -342,3 +342,12 @@ def test_local_days_have_their_length(spark, day, hours):
     us = lambda c: F.unix_micros(c.cast("timestamp"))
     assert spark.range(1).select(us(times.day_end(ts)) - us(times.day_start(ts))).first()[0] == hours * 3_600_000_000
     assert spark.range(1).select(times.offset_minutes(F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"), F.lit("2024-01-01 00:00:30").cast("timestamp_ntz"))).first()[0] == -1
+
+
+def test_each_rubric_has_those_of_all_other_flags(spark):
+    from quern.operators import answers
+
+    rows = spark.createDataFrame([(4, "a"), (1, "b"), (3, "a"), (9, None), (2, "c"), (7, "b")], "k long, flag string")
+    found = {r.k: (r.others, r.n_prior) for r in answers.with_others(answers.with_priors(rows, "k", "flag"), "k", "flag").collect()}
+    assert found == {4: ([1, 2, 9], 1), 3: ([1, 2, 9], 1), 1: ([2, 3, 9], 1), 7: ([2, 3, 9], 1), 2: ([1, 3, 9], 0), 9: ([1, 2, 3], 0)}
+    assert answers.with_others(rows.limit(0), "k", "flag").collect() == []
