@@ -50,17 +50,24 @@ def _ms(ts: object) -> int:
 class Ordered(StatefulProcessor):
     """Rows of a key in order of event time, whatever order they arrive in: they wait in state until the watermark has passed them.
 
-    Rows wait in buckets of event time. A batch reads and writes the buckets that it brings rows for and
-    those that the watermark has reached, and the names alone of the others. Subclasses keep what
-    they know of a key in one row of state and fold rows into it.
+    Every access to state is a call out of Python, so a key's rows are added to one list in one call, and the list
+    is read when the watermark reaches its first row. What is left then waits on in the list if it is
+    short, else in buckets of event time, of which a batch reads and writes those that the watermark
+    has reached. Subclasses keep what they know of a key in one row of state and fold rows into it.
     """
 
     #: Columns of a waiting row after its time and id, the state, and the columns given out.
     WAITING, STATE, OUT = "", "", ()
+    #: Rows that wait as one list before they are dealt to buckets.
+    MOST_LISTED = 2_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
+        row = f"ts timestamp, event_id long, {self.WAITING}"
+        self.listed = handle.getListState("listed", row)
         self.waiting = handle.getMapState("waiting", "bucket long", f"rows array<struct<ts:timestamp,event_id:long,{self.WAITING.replace(' ', ':').replace(',:', ',')}>>")
+        #: The first time in the list and whether any bucket is held, in milliseconds.
+        self.places = handle.getValueState("places", "first long, buckets boolean")
         self.known = handle.getValueState("known", self.STATE)
 
     def fold(self, known: tuple | None, row: tuple) -> tuple[tuple | None, tuple | None]:
@@ -70,44 +77,85 @@ class Ordered(StatefulProcessor):
     def _held(self, bucket: int) -> list[tuple]:
         return [tuple(r) for r in self.waiting.getValue((bucket,))[0]] if self.waiting.containsKey((bucket,)) else []
 
-    def _keep(self, rows: list[tuple]) -> None:
+    def _deal(self, rows: list[tuple]) -> None:
         buckets: dict[int, list[tuple]] = {}
         for row in rows:
             buckets.setdefault(_ms(row[0]) // BUCKET_MS, []).append(row)
         for bucket, new in buckets.items():
             self.waiting.updateValue((bucket,), (self._held(bucket) + new,))
 
-    def _advance(self, key: tuple, until_ms: int) -> pd.DataFrame:
-        buckets = sorted(int(b) for (b,) in self.waiting.keys())
-        known, out = (self.known.get() if self.known.exists() else None), []
-        for bucket in buckets:
-            rows = sorted(self._held(bucket), key=lambda r: (r[0], r[1]))
+    def _reached(self, until_ms: int) -> tuple[list[tuple], int | None]:
+        """(rows of buckets that the watermark has passed, the first time that stays in one)."""
+        out = []
+        for bucket in sorted(int(b) for (b,) in self.waiting.keys()):
+            rows = sorted(self._held(bucket), key=lambda r: (r[0], r[1])) if bucket * BUCKET_MS <= until_ms else []
             ready = [r for r in rows if _ms(r[0]) <= until_ms]
-            for row in ready:
-                known, found = self.fold(known, row)
-                if found is not None:
-                    out.append((*key, *found))
             rest = rows[len(ready) :]
+            out += ready
             if ready and rest:
                 self.waiting.updateValue((bucket,), (rest,))
             elif ready:
                 self.waiting.removeKey((bucket,))
+            if rest or not rows:
+                return out, _ms(rest[0][0]) if rest else bucket * BUCKET_MS
+        return out, None
+
+    def _advance(self, key: tuple, new: list[tuple], until_ms: int) -> Iterator[pd.DataFrame]:
+        first, dealt = self.places.get() or (None, False)
+        least = min((_ms(r[0]) for r in new), default=None)
+        out, before = [], (first, dealt)
+        if min((x for x in (first, least) if x is not None), default=until_ms + 1) > until_ms and not dealt:
+            # Nothing is ready: the new rows join the others unread.
+            if new:
+                self.listed.appendList(new)
+                first = least if first is None else min(first, least)
+        else:
+            rows = [*new, *(tuple(r) for r in self.listed.get())] if first is not None else list(new)
+            had, first = first is not None, None
+            ready = [r for r in rows if _ms(r[0]) <= until_ms]
+            rest = [r for r in rows if _ms(r[0]) > until_ms]
+            bucket = None
+            if len(rest) > self.MOST_LISTED:
+                self._deal(rest)
+                rest, dealt = [], True
+            if dealt:
+                passed, bucket = self._reached(until_ms)
+                ready += passed
+                dealt = bucket is not None
             if rest:
-                self.handle.registerTimer(_ms(rest[0][0]) + 1)
-                break
-        if known is not None:
-            self.known.update(known)
-        elif self.known.exists():
-            self.known.clear()
-        return pd.DataFrame(out, columns=["user_id", *self.OUT])
+                self.listed.put(rest)
+                first = min(_ms(r[0]) for r in rest)
+            elif had:
+                self.listed.clear()
+            if ready:
+                known = self.known.get()
+                had = known is not None
+                for row in sorted(ready, key=lambda r: (r[0], r[1])):
+                    known, found = self.fold(known, row)
+                    if found is not None:
+                        out.append((*key, *found))
+                if known is not None:
+                    self.known.update(known)
+                elif had:
+                    self.known.clear()
+            if bucket is not None:
+                self.handle.registerTimer(max(bucket, until_ms) + 1)
+        if first is not None and first != before[0]:
+            self.handle.registerTimer(first + 1)
+        if first is None and not dealt:
+            if before != (None, False):
+                self.places.clear()
+        elif (first, dealt) != before:
+            self.places.update((first, dealt))
+        if out:
+            yield pd.DataFrame(out, columns=["user_id", *self.OUT])
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
         names = ["ts", "event_id", *[c.split()[0] for c in self.WAITING.split(", ")]]
-        self._keep([tuple(r) for part in rows for r in part[names].itertuples(index=False)])
-        yield self._advance(key, timerValues.getCurrentWatermarkInMs())
+        yield from self._advance(key, [tuple(r) for part in rows for r in part[names].itertuples(index=False)], timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
-        yield self._advance(key, timerValues.getCurrentWatermarkInMs())
+        yield from self._advance(key, [], timerValues.getCurrentWatermarkInMs())
 
     def close(self) -> None:
         pass

@@ -107,3 +107,62 @@ def test_waiting_rows_lie_in_buckets_of_time(spark, tmp_path):
                 elif not is_off and on is None:
                     on = minute
     assert minutes(got, "user_id", "on_ts", "off_ts") == sorted(want)
+
+
+def test_few_calls_to_state_for_a_key(spark):
+    """Rows that wait are added in one call, whatever their hours; long lists are dealt to buckets, and all come out in order."""
+    from collections import Counter
+    from datetime import datetime, timedelta, timezone
+
+    calls = Counter()
+
+    class State:
+        def __init__(self, kind):
+            self.kind, self.held = kind, {} if kind == "map" else None
+
+        def __getattr__(self, name):
+            def call(*args):
+                calls[f"{self.kind}.{name}"] += 1
+                if name == "appendList":
+                    self.held = [*(self.held or []), *args[0]]
+                elif name in ("put", "update"):
+                    self.held = args[0]
+                elif name == "clear":
+                    self.held = None
+                elif name == "get":
+                    return iter(self.held or []) if self.kind == "list" else self.held
+                elif name == "updateValue":
+                    self.held[args[0]] = args[1]
+                elif name == "removeKey":
+                    del self.held[args[0]]
+                elif name == "containsKey":
+                    return args[0] in self.held
+                elif name == "getValue":
+                    return self.held[args[0]]
+                elif name == "keys":
+                    return iter(list(self.held))
+
+            return call
+
+    class Handle:
+        getListState, getMapState, getValueState = (lambda self, *a, k=k: State(k) for k in ("list", "map", "value"))
+
+        def registerTimer(self, ms):
+            calls["timer"] += 1
+
+    zero = datetime(1970, 1, 2, tzinfo=timezone.utc)
+    rows = [(zero + timedelta(hours=k), k, k % 3 == 2) for k in range(60)]
+    want = [(zero + timedelta(hours=k), zero + timedelta(hours=k + 2)) for k in range(0, 60, 3)]
+    for most in (2_000, 7):
+        switch = live.Toggle()
+        switch.MOST_LISTED = most
+        switch.init(Handle())
+        calls.clear()
+        at = lambda k: int((zero + timedelta(hours=k)).timestamp() * 1000)
+        out = [*switch._advance((1,), rows[::-1][:30], 0), *switch._advance((1,), rows[:30], 0)]
+        assert out == [] and sum(calls.values()) <= 9
+        for hour in (10, 10.5, 31, 44, 59):
+            out += [tuple(r[1:]) for part in switch._advance((1,), [], at(hour)) for r in part.itertuples(index=False)]
+        assert out == want
+        assert (calls["map.updateValue"] > 0) == (most == 7)
+        assert switch.listed.held is None and switch.waiting.held == {} and switch.places.held is None
