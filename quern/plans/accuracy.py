@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.operators import stats, verdicts
-from quern.plans.registry import Tables, big, query, r6
+from quern.plans.registry import Tables, big, parts_for, query, r6
 
 _RUBRICS = """
     rubrics AS (SELECT l_orderkey AS trial_id, CASE l_returnflag WHEN 'R' THEN true WHEN 'A' THEN false END AS flag_match,
@@ -169,7 +169,9 @@ def type_match_rate(t: Tables) -> DataFrame:
     FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1
 """)
 def durations(t: Tables) -> DataFrame:
-    rows = t.orders.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey"))
+    items = t.lineitem.select("l_orderkey", "l_suppkey", "l_shipdate")
+    n = parts_for(items)
+    rows = t.orders.select("o_orderkey", "o_orderdate").repartition(n, "o_orderkey").join(items.repartition(n, "l_orderkey"), F.col("o_orderkey") == F.col("l_orderkey"))
     us = lambda c: F.unix_micros(c.cast("timestamp"))
     return rows.groupBy(F.col("o_orderkey").alias("trial_id")).agg(F.count(F.lit(1)).alias("n_calls"), F.count_distinct("l_suppkey").alias("n_steps"), r6((us(F.max("l_shipdate")) - us(F.min("o_orderdate"))) / 6e7).alias("minutes"))
 

@@ -351,3 +351,12 @@ def test_each_rubric_has_those_of_all_other_flags(spark):
     found = {r.k: (r.others, r.n_prior) for r in answers.with_others(answers.with_priors(rows, "k", "flag"), "k", "flag").collect()}
     assert found == {4: ([1, 2, 9], 1), 3: ([1, 2, 9], 1), 1: ([2, 3, 9], 1), 7: ([2, 3, 9], 1), 2: ([1, 3, 9], 0), 9: ([1, 2, 3], 0)}
     assert answers.with_others(rows.limit(0), "k", "flag").collect() == []
+
+
+def test_parts_grow_with_a_table(spark, monkeypatch):
+    from quern.plans import registry
+
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert registry.parts_for(spark.range(100)) == least
+    monkeypatch.setattr(registry, "ROWS_EACH", 10)
+    assert registry.parts_for(spark.range(10 * least + 15)) == least + 2
