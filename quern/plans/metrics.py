@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quern.functions import promql, text
 from quern.operators import families, onset
 from quern.operators.timeline import micros
-from quern.plans.registry import Tables, query, r6
+from quern.plans.registry import Tables, parts_for, query, r6
 
 # Query texts made of parts: four forms, nine endings of names, four matchers, labels in either order.
 _ENDINGS = ["_count", "_sum", "_bucket", "_total", "_created", "_avg", "_max", "_min", "_seconds"]
@@ -173,7 +173,8 @@ def earliest_onset(t: Tables) -> DataFrame:
     inc = t.events.groupBy("user_id").agg(F.min_by("ts", F.when(late, F.col("event_id"))).alias("hit")).where("hit is not null")
     after, kind = F.col("ts") >= F.col("hit"), F.col("user_id") % 3
     value = F.when(((kind == 0) & after) | ((kind == 1) & ~after), F.lit(0.0)).otherwise(F.col("value") * F.when(after & (F.col("event_type") == "error"), 9).otherwise(1))
-    series = t.events.join(inc, "user_id").select("user_id", "ts", value.alias("value"))
+    n = parts_for(t.events)
+    series = t.events.select("user_id", "ts", "event_type", "value").repartition(n, "user_id").join(inc.repartition(n, "user_id"), "user_id").select("user_id", "ts", value.alias("value"))
     return onset.onsets(series, inc, ["user_id"], "ts", "value", "hit").select("user_id", "spiked", "collapsed")
 
 
