@@ -240,3 +240,10 @@ def test_trees_are_listed_and_read_by_tasks(spark, tmp_path):
         assert sorted((r.trial_id, r.report) for r in trees.reports(spark, tree).collect()) == [("t 1%", "one"), ("t2", "")]
         assert sorted((r.trial_id, r.agent or "-") for r in trees.agent_configs(spark, tree).collect()) == [("t 1%", "x"), ("t4", "y"), ("t4", "z"), ("t5", "-")]
     assert not any("/report.md" in f for f in trees.reports(spark, str(tmp_path)).inputFiles())
+
+
+def test_a_folder_of_csv_is_written_by_one_task(spark, tmp_path):
+    from quern.sources import sinks
+
+    sinks.csv_by(spark.range(40).repartition(5).selectExpr("id % 4 as k", "id"), str(tmp_path / "x"), "k")
+    assert [len(list((tmp_path / f"x/k={k}").glob("*.csv"))) for k in range(4)] == [1] * 4
