@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from quern.llm import lm, queries
 
@@ -225,3 +226,29 @@ def test_the_sample_is_never_empty(spark):
     few = docs_of(spark, [(k, f"a text {k}") for k in range(5)]).select("doc_id", "text")
     assert len(lm._sample(few, 50, 1 << 20)) == 5 and len(lm._sample(few, 1 << 40, 1 << 10)) == 1
     assert lm._sample(few.limit(0), 0) == []
+
+
+def test_all_training_texts_teach_weights_and_map(spark):
+    rng = np.random.default_rng(9)
+    rows = [(k, " ".join("".join(chr(c) for c in rng.integers(97, 101, 4)) for _ in range(rng.integers(50, 600)))) for k in range(60)]
+    docs = docs_of(spark, rows).select("doc_id", "text")
+    n_bytes = sum(len(lm.stream(t.encode())) for _, t in rows)
+    trained = lm.train(docs, n_bytes // 2)
+    told = {r.doc_id: (r.fit, r.g) for r in docs.select("doc_id", lm.halved().alias("fit"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(3)).alias("g")).collect()}
+    tables = [np.zeros(2 * lm.LEAST_SLOTS, np.uint32) for _ in lm.ORDERS]
+    for k, at in lm.addresses([lm.stream(t.encode()) for i, t in rows if not told[i][0]], trained.code, lm.LEAST_SLOTS):
+        np.add.at(tables[k], at.astype(np.int64), np.uint32(1))
+    tables, weights, points, total = [lm.logits(t) for t in tables], 0, 0, 0
+    for g in range(3):
+        bodies = sorted((lm.stream(t.encode()) for i, t in rows if told[i] == (True, g)), key=lambda x: (zlib.crc32(x), x))
+        start, size = lm.learned(lm.Model(trained.code, tables, lm.Start.plain()), bodies), sum(map(len, bodies))
+        assert size
+        weights, points, total = weights + start.weights.astype(float) * size, points + start.points.astype(float) * size, total + size
+    assert np.allclose(trained.start.weights, weights / total, atol=1e-5) and np.allclose(trained.start.points, points / total, atol=1e-5)
+
+
+def test_counts_of_any_width_are_packed():
+    for at, n in (([], []), ([0], [1]), ([3, 70_000, 4_000_000], [255, 1 << 33, 65_536]), ([0, 5, 6], [1, 2, 3])):
+        table = np.zeros(1 << 22, np.uint64)
+        lm._unpack(lm._body(np.array(at, np.uint32), np.array(n, np.uint64)), table)
+        assert np.flatnonzero(table).tolist() == at and table[at].tolist() == n
