@@ -1,15 +1,17 @@
 """Near copies: texts whose sets of five-word shingles have a Jaccard likeness of 0.8 or more, all of them.
 
 1. A text's shingles are a set of 64-bit hashes; equal sets are one node, however many texts.
-2. In any order of all shingles, two sets that alike share one of the first
+2. SimHash (simhash.py) over the same shingles: fingerprints within RADIUS bits are found with BK-trees,
+   equal ones meet at one of their nodes. Those links are tested exactly; the ones that hold make first groups.
+3. Copies at 0.8 differ in some ten bits, too many to search for, so what lies beyond RADIUS is found by prefixes. In any order of all shingles, two sets that alike share one of the first
    n - ceil(0.8 n) + 1 shingles of each (prefix filter). The order here is by hash, with
    shingles that a sample shows to be common last. Only shingles that two nodes have in
    their prefix are looked at.
-3. Nodes that meet under a shingle are compared by their sketches: bit h mod B is the parity of
+4. Nodes of different groups that meet under a shingle are compared by their sketches: bit h mod B is the parity of
    the number of shingles there, so two sets differ in at least as many shingles as their
    sketches in bits. What is too far by that can't be near. Of the other pairs a spanning forest
    is kept.
-4. Links of the forest are tested exactly. A component of candidates whose links all hold is
+5. Links of the forest are tested exactly, too. A component of candidates whose links all hold is
    one group. In the others all pairs that sketches allow are tested, exactly.
 
 Null and empty texts have the empty set and are one node. Fewer words than five make one shingle.
@@ -25,11 +27,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm import simhash
 from quern.llm.common import buffer_of, configure, release_memory, texts, written
 from quern.llm.components import components
 from quern.llm.simhash import shingle_hashes
 
-WIDTH = 5
+WIDTH, RADIUS = 5, 3
 #: One text of SAMPLE is looked at for common shingles; one found COMMON times there goes last. Speed alone depends on them.
 SAMPLE, COMMON, MOST_COMMON = 16, 64, 100_000
 
@@ -62,14 +65,14 @@ def folded(words: np.ndarray) -> np.ndarray:
     return words[:half] ^ words[half:]
 
 
-def forest(sizes: np.ndarray, sketches: list[np.ndarray], test=None) -> list[tuple[int, int]]:
-    """Links that join all sets connected by pairs that their sketches (and the test, if any) allow, as positions."""
+def forest(sizes: np.ndarray, sketches: list[np.ndarray], test=None, groups: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links that join all sets connected by pairs that their sketches (and the test, if any) allow, as positions. Sets of one group (numbers) count as joined."""
     order = np.argsort(sizes, kind="stable")
     sizes = sizes[order]
     sketches = [sketches[k] for k in order.tolist()]
     width = np.array([len(x) for x in sketches])
     stacks = {w: (lo := int(np.searchsorted(width, w)), np.stack(sketches[lo : int(np.searchsorted(width, w, "right"))])) for w in np.unique(width).tolist()}
-    label, links = np.arange(len(sizes)), []
+    label, links = np.arange(len(sizes)) if groups is None else groups[order], []
     least = np.searchsorted(5 * sizes, 4 * sizes)
     for i in range(1, len(sizes)):
         lo, mine, near, far = int(least[i]), sketches[i], [], []
@@ -101,10 +104,14 @@ def forest(sizes: np.ndarray, sketches: list[np.ndarray], test=None) -> list[tup
     return links
 
 
-def _sets(batch: pa.RecordBatch) -> list[np.ndarray]:
+def _hashes(batch: pa.RecordBatch) -> list[np.ndarray]:
     data, offsets = buffer_of(batch.column("text"))
     body, at = data.tobytes(), offsets.tolist()
-    return [shingle_set(body[a:b]) for a, b in zip(at, at[1:])]
+    return [shingle_hashes(body[a:b], WIDTH) for a, b in zip(at, at[1:])]
+
+
+def _sets(batch: pa.RecordBatch) -> list[np.ndarray]:
+    return [np.unique(x) for x in _hashes(batch)]
 
 
 def _name(found: np.ndarray) -> int:
@@ -124,26 +131,27 @@ def _common(docs: DataFrame) -> np.ndarray:
 
 
 def _near(rows: DataFrame) -> DataFrame:
-    """(a, b): a forest of the pairs of nodes under each key (columns key, node, size, sketch) that sketches allow."""
+    """(a, b): a forest of the pairs of nodes under each key (columns key, node, size, sketch, root) that sketches allow; nodes of one root are joined already."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_key, names, sizes, sketches = None, [], [], []
+        held_key, names, sizes, sketches, roots = None, [], [], [], []
         a, b = [], []
 
         def close() -> None:
             if len(names) > 1:
-                for x, y in forest(np.array(sizes, np.int64), sketches):
+                for x, y in forest(np.array(sizes, np.int64), sketches, groups=np.unique(np.array(roots, np.int64), return_inverse=True)[1]):
                     a.append(names[x])
                     b.append(names[y])
 
         for batch in batches:
-            for key, node, size, body in zip(*(batch.column(c).to_pylist() for c in ("key", "node", "size", "sketch"))):
+            for key, node, size, body, root in zip(*(batch.column(c).to_pylist() for c in ("key", "node", "size", "sketch", "root"))):
                 if key != held_key:
                     close()
-                    held_key, names, sizes, sketches = key, [], [], []
+                    held_key, names, sizes, sketches, roots = key, [], [], [], []
                 names.append(node)
                 sizes.append(size)
                 sketches.append(np.frombuffer(body, "<u8"))
+                roots.append(root)
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
                 a, b = [], []
@@ -168,6 +176,37 @@ def _all_pairs(rows: pa.Table) -> pa.Table:
     return pa.table([pa.array([names[x] for x, _ in links], pa.int64()), pa.array([names[y] for _, y in links], pa.int64())], names=["a", "b"])
 
 
+def _sets_of(docs: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, found): the shingle sets of the nodes in links (a, b)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = _sets(batch)
+            yield pa.RecordBatch.from_arrays([pa.array([_name(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], ["node", "found"])
+        release_memory()
+
+    ends = written(links.select(F.col("a").alias("node")).union(links.select("b")).distinct(), "ends")
+    sets = texts(docs).mapInArrow(run, "node long, found binary").join(ends, "node", "left_semi")
+    return written(sets.groupBy("node").agg(F.first("found").alias("found")), "sets")
+
+
+def _test(links: DataFrame, sets: DataFrame) -> DataFrame:
+    """links (a, b) with what the exact test says (good)."""
+    both = links.join(sets.select(F.col("node").alias("a"), F.col("found").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("found").alias("y")), "b")
+    return written(both.select("a", "b", "x", "y").mapInArrow(_tested, "a long, b long, good boolean"), "tested")
+
+
+def by_simhash(docs: DataFrame, prints: DataFrame) -> DataFrame:
+    """(a, b): links of nodes whose SimHash fingerprints (prints: node, fp) are within RADIUS bits and which are near copies by the exact test."""
+    hubs = written(prints.groupBy("fp").agg(F.min("node").alias("hub")), "hubs")
+    near = simhash.links(hubs.select("fp"), RADIUS).distinct()
+    end = lambda c: hubs.select(F.col("fp").alias(c), F.col("hub").alias(f"hub_{c}"))
+    across = near.join(end("a"), "a").join(end("b"), "b").select(F.col("hub_a").alias("a"), F.col("hub_b").alias("b"))
+    within = prints.select("fp", "node").join(hubs, "fp").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    links = written(across.union(within).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "near_prints")
+    return _test(links, _sets_of(docs, links)).where("good").select("a", "b")
+
+
 def grouped(docs: DataFrame) -> DataFrame:
     """doc_id and component_id (the smallest doc_id reachable over near copies, itself included) of every document."""
     spark = docs.sparkSession
@@ -176,34 +215,31 @@ def grouped(docs: DataFrame) -> DataFrame:
 
     def prints_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = _sets(batch)
+            hashes = _hashes(batch)
+            prints = np.array([simhash.majority(x) for x in hashes], np.uint64).view(np.int64)
+            found = [np.unique(x) for x in hashes]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([_name(x) for x in found], pa.int64()), pa.array([len(x) for x in found], pa.int64()), pa.array([sketch(x).tobytes() for x in found], pa.binary()), pa.array([prefix(x, common.value).view(np.int64) for x in found], pa.list_(pa.int64()))],
-                ["doc_id", "node", "size", "sketch", "keys"],
+                [batch.column("doc_id"), pa.array([_name(x) for x in found], pa.int64()), pa.array([len(x) for x in found], pa.int64()), pa.array([sketch(x).tobytes() for x in found], pa.binary()), pa.array([prefix(x, common.value).view(np.int64) for x in found], pa.list_(pa.int64())), pa.array(prints)],
+                ["doc_id", "node", "size", "sketch", "keys", "fp"],
             )
         release_memory()
 
-    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = _sets(batch)
-            yield pa.RecordBatch.from_arrays([pa.array([_name(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], ["node", "found"])
-        release_memory()
-
-    prints = written(texts(docs).mapInArrow(prints_of, "doc_id long, node long, size long, sketch binary, keys array<long>"), "prints")
+    prints = written(texts(docs).mapInArrow(prints_of, "doc_id long, node long, size long, sketch binary, keys array<long>, fp long"), "prints")
+    sure = by_simhash(docs, prints.select("node", "fp"))
+    joined = written(components(sure), "joined")
     keys = prints.select(F.explode("keys").alias("key"), "node")
     shared = keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key")
     rows = keys.join(written(shared, "shared"), "key", "left_semi").distinct()
     nodes = prints.groupBy("node").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch"))
-    links = written(_near(rows.join(nodes, "node").select("key", "node", "size", "sketch")).distinct(), "links")
+    nodes = nodes.join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    links = written(_near(rows.join(nodes, "node").select("key", "node", "size", "sketch", "root")).distinct(), "links")
 
-    ends = written(links.select(F.col("a").alias("node")).union(links.select("b")).distinct(), "ends")
-    sets = texts(docs).mapInArrow(sets_of, "node long, found binary").join(ends, "node", "left_semi")
-    sets = written(sets.groupBy("node").agg(F.first("found").alias("found")), "sets")
-    both = links.join(sets.select(F.col("node").alias("a"), F.col("found").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("found").alias("y")), "b")
-    tested = written(both.select("a", "b", "x", "y").mapInArrow(_tested, "a long, b long, good boolean"), "tested")
-    good, bad = tested.where("good").select("a", "b"), tested.where("not good")
+    candidates = links.union(sure)
+    sets = _sets_of(docs, candidates)
+    tested = _test(links, sets)
+    good, bad = tested.where("good").select("a", "b").union(sure), tested.where("not good")
     if not bad.isEmpty():
-        reach = written(components(links), "reach")
+        reach = written(components(candidates), "reach")
         mixed = reach.join(bad.select(F.col("a").alias("node")), "node", "left_semi").select("root").distinct()
         inside = reach.join(mixed, "root", "left_semi").join(sets, "node").select("root", "node", "found")
         good = good.union(inside.groupBy("root").applyInArrow(_all_pairs, "a long, b long"))

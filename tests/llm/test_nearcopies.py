@@ -69,3 +69,38 @@ def test_awkward_rows(spark):
     kept = [r.doc_id for r in nearcopies.deduplicated(docs).collect()]
     assert sorted(x for x in kept if x is not None) == [1, 4, 6, 7, 8] and kept.count(None) == 2
     assert nearcopies.deduplicated(docs.limit(0)).collect() == []
+
+
+def test_simhash_links_come_first_and_are_exact(spark, monkeypatch):
+    """Near copies within three bits are linked by SimHash and the exact test, and are not searched for again; other texts within three bits are not linked."""
+    rng = random.Random(3)
+    words = [f"w{rng.randrange(5000)}" for _ in range(900)]
+    few = [f"v{k}" for k in range(12)]
+    rows = [(0, " ".join(words)), (1, " ".join([*words[:-1], "other"])), (2, " ".join(words * 2)), (3, " ".join(few)), (4, " ".join(few[::-1])), (5, "")]
+    seen, near = {}, nearcopies._near
+    by_simhash = nearcopies.by_simhash
+
+    def spy_links(docs, prints):
+        seen["prints"] = {(r.node, r.fp) for r in prints.collect()}
+        out = by_simhash(docs, prints)
+        seen["links"] = {(r.a, r.b) for r in out.collect()}
+        return out
+
+    def spy_near(found):
+        out = near(found)
+        seen["roots"] = {r.node: r.root for r in found.collect()}
+        seen["later"] = out.count()
+        return out
+
+    monkeypatch.setattr(nearcopies, "by_simhash", spy_links)
+    monkeypatch.setattr(nearcopies, "_near", spy_near)
+    monkeypatch.setattr(nearcopies, "RADIUS", 3)
+    kept = {r.doc_id for r in nearcopies.deduplicated(docs_of(spark, rows)).collect()}
+    name = {i: nearcopies._name(nearcopies.shingle_set((t or "").encode())) for i, t in rows}
+    assert kept == brute(rows)[1] == {0, 3, 4, 5}
+    ends = {x for link in seen["links"] for x in link}
+    assert {name[0], name[1]} <= ends <= {name[0], name[1], name[2]}
+    assert seen["roots"][name[0]] == seen["roots"][name[1]] and not seen["later"]
+    # One radius that takes all for near: the exact test still decides.
+    monkeypatch.setattr(nearcopies, "RADIUS", 15)
+    assert {r.doc_id for r in nearcopies.deduplicated(docs_of(spark, rows)).collect()} == {0, 3, 4, 5}
