@@ -360,3 +360,14 @@ def test_parts_grow_with_a_table(spark, monkeypatch):
     assert registry.parts_for(spark.range(100)) == least
     monkeypatch.setattr(registry, "ROWS_EACH", 10)
     assert registry.parts_for(spark.range(10 * least + 15)) == least + 2
+
+
+def test_members_of_intervals_are_those_of_a_nested_loop(spark, monkeypatch):
+    monkeypatch.setattr(timeline, "LISTED", 3)
+    rng = random.Random(5)
+    points = [(k, rng.choice([0, 900, 1800, rng.randrange(7200)])) for k in range(40)] + [(40, None), (None, 900)]
+    spans = [(k, a, a + rng.choice([0, 1, 900, 5000])) for k in range(30) for a in [rng.choice([0, 900, rng.randrange(7200)])]] + [(30, None, 900), (31, 900, None)]
+    p = spark.createDataFrame(points, "p long, s int").selectExpr("p", "timestamp_ntz'2024-03-10 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, s) as ts")
+    i = spark.createDataFrame(spans, "i long, a int, b int").selectExpr("i", *[f"timestamp_ntz'2024-03-10 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, {x}) as {n}" for x, n in (("a", "lo"), ("b", "hi"))])
+    found = sorted(((r.i, r.p) for r in timeline.members(p, i, "ts", "lo", "hi", 1000, "p").collect()), key=str)
+    assert found == sorted(((k, q) for k, a, b in spans for q, t in points if None not in (a, b, t) and a <= t < b), key=str) and len(found) > 50
