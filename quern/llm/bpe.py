@@ -113,12 +113,26 @@ class SegmentTree:
 
     def put(self, place: int, rank: int | None) -> None:
         low, k = self.low, place + self.width
-        low[k] = self.none if rank is None else rank << self.place | place
-        k >>= 1
-        while k:
-            a, b = low[2 * k], low[2 * k + 1]
-            low[k] = a if a < b else b
+        low[k] = new = self.none if rank is None else rank << self.place | place
+        while k > 1:
+            beside = low[k ^ 1]
+            if beside < new:
+                new = beside
             k >>= 1
+            if low[k] == new:  # nothing changes further up
+                return
+            low[k] = new
+
+
+class Young(dict[str, bytes]):
+    """Pieces met of late with their ids. Pieces that are here cost no call of Python."""
+
+    def __init__(self, codec: Codec) -> None:
+        super().__init__()
+        self.codec = codec
+
+    def __missing__(self, piece: str) -> bytes:
+        return self.codec._missed(piece)
 
 
 class Codec:
@@ -139,8 +153,8 @@ class Codec:
         symbols = byte_symbols()
         self.inner, self.last = [self.vocab[s] for s in symbols], [self.vocab[s + self.end] for s in symbols]
         # Two generations: what the older one holds moves up when it is met again.
-        self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.young = Young(self)
         spaced = [(self.names.get(i, "") + " ").encode() for i in range(max(self.names) + 1)]
         self.shown = np.frombuffer(b"".join(spaced), np.uint8)
         self.width = np.array([len(x) for x in spaced])
@@ -164,21 +178,40 @@ class Codec:
         if n < 3:
             return [merged[found[0]]] if n == 2 and found[0] is not None else ids
         tree = SegmentTree(found)
+        low, width, place, none = tree.low, tree.width, tree.place, tree.none
+        mask, known = (1 << place) - 1, ranks.get
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        while top := tree.top():
-            rank, at = top
+        # As SegmentTree.top and put do, without their calls.
+        while (root := low[1]) != none:
+            at = root & mask
             gone = after[at]
-            ids[at], ids[gone] = merged[rank], -1
-            right = after[at] = after[gone]
+            ids[at], ids[gone] = new, _ = merged[root >> place], -1
+            right, left = after[gone], before[at]
+            after[at] = right
+            own = none
+            changed = []
             if right < n:
                 before[right] = at
-                tree.put(gone, None)
-                tree.put(at, ranks.get((ids[at], ids[right])))
-            else:
-                tree.put(at, None)
-            left = before[at]
+                changed.append((gone + width, none))
+                rank = known((new, ids[right]))
+                if rank is not None:
+                    own = rank << place | at
+            changed.append((at + width, own))
             if left >= 0:
-                tree.put(left, ranks.get((ids[left], ids[at])))
+                rank = known((ids[left], new))
+                changed.append((left + width, none if rank is None else rank << place | left))
+            for k, least in changed:
+                if low[k] == least:
+                    continue
+                low[k] = least
+                while k > 1:
+                    beside = low[k ^ 1]
+                    if beside < least:
+                        least = beside
+                    k >>= 1
+                    if low[k] == least:
+                        break
+                    low[k] = least
         return [i for i in ids if i >= 0]
 
     def cut(self, text: str) -> list[str]:
@@ -187,17 +220,17 @@ class Codec:
         unsure = _HIGH.search(low) is not None and unsure_characters().search(low) is not None
         return (self.exact_pieces if unsure else self.pieces).findall(low)
 
-    def _known(self, piece: str) -> bytes:
-        found = self.young.get(piece)
+    def _missed(self, piece: str) -> bytes:
+        """Ids of a piece that is not in the younger generation."""
+        found = self.old.get(piece)
         if found is None:
-            found = self.old.get(piece)
-            if found is None:
-                ids = self.merge(piece.encode())
-                found = struct.pack(f"<{len(ids)}I", *ids)
-            if len(piece) <= 64:
-                if len(self.young) >= CACHE_PIECES:
-                    self.old, self.young = self.young, {}
-                self.young[piece] = found
+            ids = self.merge(piece.encode())
+            found = struct.pack(f"<{len(ids)}I", *ids)
+        if len(piece) <= 64:
+            if len(self.young) >= CACHE_PIECES:
+                self.old = dict(self.young)
+                self.young.clear()
+            self.young[piece] = found
         return found
 
     def coded(self, text: str) -> bytes:
@@ -208,7 +241,7 @@ class Codec:
             if part in self.added:
                 found.append(struct.pack("<I", self.added[part]))
             else:
-                found += map(self._known, self.cut(part))
+                found += map(self.young.__getitem__, self.cut(part))
         return b"".join(found)
 
     def decoded(self, coded: bytes) -> bytes:

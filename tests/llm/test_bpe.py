@@ -95,3 +95,18 @@ def test_awkward_rows(spark, library):
             assert r.ids == library.encode(texts[r.doc_id] or "", add_special_tokens=False).ids
             assert r.decoded == library.decode(r.ids, skip_special_tokens=False)
     assert bpe.encoded(docs_of(spark, AWKWARD).limit(0)).collect() == []
+
+
+def test_pieces_met_before_need_no_call_and_updates_end_where_nothing_changes():
+    c = bpe.Codec(open(bpe.default_path(), encoding="utf-8").read())
+    ids = c.coded("an unusualpiece")
+    c._missed = None
+    assert c.coded("an unusualpiece") == ids and c.young["an"] == ids[: len(c.young["an"])]
+    rng = random.Random(7)
+    ranks = [rng.choice([None, *range(5)]) for _ in range(21)]
+    tree = bpe.SegmentTree(ranks)
+    for _ in range(300):
+        place, ranks_now = rng.randrange(21), rng.choice([None, *range(5)])
+        ranks[place] = ranks_now
+        tree.put(place, ranks_now)
+        assert tree.top() == min(((r, k) for k, r in enumerate(ranks) if r is not None), default=None)
