@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import pickle
 import zlib
 from collections import Counter
 
@@ -252,3 +253,40 @@ def test_counts_of_any_width_are_packed():
         table = np.zeros(1 << 22, np.uint64)
         lm._unpack(lm._body(np.array(at, np.uint32), np.array(n, np.uint64)), table)
         assert np.flatnonzero(table).tolist() == at and table[at].tolist() == n
+
+
+def test_a_model_out_of_a_pickle_is_coded_with_the_quick_additions(monkeypatch):
+    """An array whose type object came out of a pickle is added to by numpy's slow path, and models reach tasks by pickle."""
+    kinds = []
+
+    class Add:
+        def __call__(self, *args, **more):
+            return np.add(*args, **more)
+
+        def at(self, array, places, values):
+            kinds.append(array.dtype is np.dtype(array.dtype.str) and values.dtype is array.dtype)
+            np.add.at(array, places, values)
+
+    class Numpy:
+        add = Add()
+
+        def __getattr__(self, name):
+            return getattr(np, name)
+
+    model, bodies = some_model(np.random.default_rng(3)), [lm.stream(b"some words and more words"), lm.stream(b"one")]
+    want = model.coded(bodies)[0]
+    monkeypatch.setattr(lm, "np", Numpy())
+    assert (pickle.loads(pickle.dumps(model)).coded(bodies)[0] == want).all()
+    assert kinds and all(kinds)
+
+
+def test_large_counts_and_large_numbers_lose_nothing():
+    counts = lm.Counts()
+    counts.RAW, counts.LEAST = 10, 10
+    some = np.repeat(np.array([3, 5, 7, (1 << 50) - 1], np.uint64), [1, 100_000, 2 * 16383, 16384])
+    for _ in range(4):
+        counts.add(some)
+    for _ in range(2):
+        at, n = counts.total()
+        assert at.tolist() == [3, 5, 7, (1 << 50) - 1] and n.tolist() == [4, 400_000, 8 * 16383, 4 * 16384]
+    assert [len(x) for x in lm.Counts().total()] == [0, 0]
