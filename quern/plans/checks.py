@@ -240,7 +240,9 @@ def natural_order(t: Tables) -> DataFrame:
     """Folders batch-2/t10 and the like in the order of their numbers, which have up to thirty digits and, some of them, leading zeros."""
     k = F.col("s_suppkey")
     zeros = F.repeat(F.lit("0"), (k % 3).cast("int"))
-    name = F.concat(F.lit("batch-"), F.col("s_nationkey").cast("string"), F.lit("/t"), zeros, k.cast("string"), F.repeat(F.lit("9"), (k % 28).cast("int")))
+    # Without a number there is a letter, which sorts behind all numbers.
+    told = lambda *parts: F.coalesce(F.concat(*parts), F.lit("x"))
+    name = F.concat(F.lit("batch-"), told(F.col("s_nationkey").cast("string")), F.lit("/t"), told(zeros, k.cast("string"), F.repeat(F.lit("9"), (k % 28).cast("int"))))
     # Folders 2/t299 and 2/t0299 have equal numbers: these go by the supplier's own.
     return ordering.placed(t.supplier.select("s_suppkey", ordering.natural_key(name).alias("key")), ["key", "s_suppkey"]).select("s_suppkey", "place")
 

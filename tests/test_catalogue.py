@@ -51,6 +51,15 @@ def test_equal_numbers_have_places_by_their_supplier(spark, tmp_path):
         assert places[29] == places[2] + 1 and places[34749] == places[3474] + 1 and sorted(places.values()) == [1, 2, 3, 4, 5]
 
 
+def test_suppliers_without_batch_or_number_come_last(spark, tmp_path):
+    rows = [(1, 5), (None, 5), (30, None), (4, 5), (None, None), (None, 5), (7, None), (2, 12), (3, 0), (None, 0)]
+    spark.createDataFrame(rows, "s_suppkey long, s_nationkey int").repartition(3).write.parquet(str(tmp_path / "supplier.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW supplier AS SELECT * FROM read_parquet('{tmp_path}/supplier.parquet/*.parquet')")
+    got, want = catalogue.queries()["natural_order"](spark, str(tmp_path)).collect(), con.sql(catalogue.oracle_sql()["natural_order"]).fetchall()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
 def _same(spark, duck, name, folder):
     return plain(catalogue.queries()[name](spark, folder).toPandas()), plain(duck.sql(catalogue.oracle_sql()[name]).df())
 
