@@ -290,3 +290,32 @@ def test_large_counts_and_large_numbers_lose_nothing():
         at, n = counts.total()
         assert at.tolist() == [3, 5, 7, (1 << 50) - 1] and n.tolist() == [4, 400_000, 8 * 16383, 4 * 16384]
     assert [len(x) for x in lm.Counts().total()] == [0, 0]
+
+
+def test_large_tables_are_looked_up_chunk_by_chunk(spark, monkeypatch):
+    """A worker holds one chunk of tables over HELD_SLOTS; weights, map and scores are those of tables that are held whole."""
+    rng = np.random.default_rng(12)
+    rows = [(k, " ".join("".join(chr(c) for c in rng.integers(97, 103, rng.integers(1, 7))) for _ in range(rng.integers(0, 900)))) for k in range(80)] + [(80, None), (81, "a")]
+    docs = docs_of(spark, rows)
+    bodies = [lm.stream((t or "").encode()) for _, t in rows]
+    whole, want = lm.train(docs.select("doc_id", "text"), 100_000), sorted(lm.scored(docs, 100_000).collect())
+    held, plain = [], lm.Trained.model
+    for size in (5_000, 1 << 20):
+        # Each worker would fail if it asked for whole tables.
+        monkeypatch.setattr(lm.Trained, "model", property(lambda self: 1 / 0))
+        monkeypatch.setattr(lm, "HELD_SLOTS", lm.LEAST_SLOTS // 2)
+        monkeypatch.setattr(lm, "LOOKED_BYTES", size)
+        got = lm.train(docs.select("doc_id", "text"), 100_000)
+        assert all(isinstance(x, lm.Broadcast) for x in got.chunks.values())
+        assert (got.start.weights == whole.start.weights).all() and (got.start.points == whole.start.points).all()
+        model = got.shared(spark).model
+        lots = list(model.lots(bodies, 3_000))
+        assert [x for lo, hi, _ in lots for x in range(lo, hi)] == list(range(len(bodies)))
+        monkeypatch.setattr(lm, "opened", lambda shared: held.append(len(lm.zstandard.decompress(shared.value))) or shared.value)
+        assert np.allclose(model.scores(bodies), plain.func(whole).scores(bodies), rtol=1e-9)
+        monkeypatch.setattr(lm, "LOOKED_BYTES", 1 << 20)
+        scored = sorted(lm.scored(docs, 100_000).collect())
+        assert [r[:6] for r in scored] == [r[:6] for r in want]
+        assert np.allclose([r.score for r in scored], [r.score for r in want], rtol=1e-9)
+        monkeypatch.undo()
+    assert set(held) == {2 * lm.LEAST_SLOTS // lm.CHUNKS}
