@@ -353,6 +353,20 @@ def test_each_rubric_has_those_of_all_other_flags(spark):
     assert answers.with_others(rows.limit(0), "k", "flag").collect() == []
 
 
+def test_texts_of_the_other_rubrics_are_cut_from_one(spark):
+    """Equal keys under several flags, a flag or keys that are null, numbers that are part of others, one flag alone; no row goes through a list."""
+    from quern.operators import answers
+
+    awkward = [(5, 1), (5, 2), (5, 3), (55, 4), (555, 4), (15, None), (None, None), (None, 5), (-5, 6), (7, 1), (51, 7), (1, 8), (1, 8)]
+    for told in (awkward, [(3, 9), (4, 9)], [(None, 9)], []):
+        rows = spark.createDataFrame(told, "k long, flag long")
+        want = answers.with_others(answers.with_priors(rows, "k", "flag"), "k", "flag")
+        want = want.select("k", "flag", F.array_join(F.transform("others", lambda x: x.cast("string")), ",").alias("others"), "n_prior").collect()
+        got = answers.with_others_text(rows, "k", "flag")
+        assert sorted(map(str, got.collect())) == sorted(map(str, want)) and len(want) == len(told)
+    assert "lambdafunction" not in got._jdf.queryExecution().optimizedPlan().toString().split("Aggregate")[0]
+
+
 def test_parts_grow_with_a_table(spark, monkeypatch):
     from quern.plans import registry
 
